@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lensmark.llm import exact_dedup, near_dedup, packing, tokens
+from lensmark.llm import exact_dedup, near_dedup, packing, span_dedup, tokens, toxicity
 from lensmark.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -23,9 +27,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without repeated spans, and how many sentences each had and lost."""
+    return span_dedup.drop_repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op7_byte_bpe, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op7_byte_bpe, op8_substring_dedup, op10_near_dedup)}
