@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lensmark.llm import exact_dedup, near_dedup, packing, span_dedup, tokens, toxicity
+from lensmark.llm import exact_dedup, language, licences, near_dedup, neighbours, packing, quality, span_dedup, tokens, toxicity
 from lensmark.llm.common import table
 
 
@@ -23,6 +23,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -32,9 +44,27 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.drop_repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+ALL = (
+    op1_toxicity,
+    op2_best_fit_packing,
+    op3_exact_dedup,
+    op4_language_id,
+    op5_quality,
+    op6_license_scan,
+    op7_byte_bpe,
+    op8_substring_dedup,
+    op9_nearest_vectors,
+    op10_near_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op7_byte_bpe, op8_substring_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in ALL}
