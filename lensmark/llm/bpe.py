@@ -216,14 +216,14 @@ def tokenizers_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merged(dict):
-    """Pre-token to what is made of its ids; keeps so many at most, others are made again."""
+    """Pre-token to what ``make`` makes of it; keeps so many at most, others are made again."""
 
-    def __init__(self, ranks: dict[bytes, int], make: Callable[[list[int]], object], most: int = 600_000):
+    def __init__(self, make: Callable[[bytes], object], most: int = 600_000):
         super().__init__()
-        self.ranks, self.make, self.most = ranks, make, most
+        self.make, self.most = make, most
 
     def __missing__(self, piece: bytes):
-        out = self.make(merge_pairs(piece, self.ranks))
+        out = self.make(piece)
         if len(self) < self.most and len(piece) <= 64:
             self[piece] = out
         return out
@@ -234,6 +234,6 @@ def merged_texts(data: np.ndarray, offsets: np.ndarray, merged: Merged) -> list[
     starts = pretokens(data, offsets)
     buffer, at = data.tobytes(), starts.tolist()
     at.append(len(buffer))
-    values = [merged[buffer[a:b]] for a, b in zip(at, at[1:], strict=False)]
+    values = list(map(merged.__getitem__, map(buffer.__getitem__, map(slice, at, at[1:]))))
     cut = np.searchsorted(starts, offsets).tolist()
     return [values[a:b] for a, b in zip(cut, cut[1:], strict=False)]

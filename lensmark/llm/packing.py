@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lensmark.llm import bpe
 from lensmark.llm.common import Scratch, pieces
 
-GROUPS = 40
+GROUPS = 80
 ROUNDS = 400
 
 
@@ -71,8 +73,18 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return [(patterns[:, j].astype(int), int(use[j] + 1e-9)) for j in range(k) if use[j] >= 1]
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Rows (length, first rank, end rank, first sequence, pieces of it a sequence, offset), and the number of sequences."""
+Plan = tuple[list[tuple[int, int, int, int, int, int]], int]
+
+
+def plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Rows (length, first rank, end rank, first sequence, pieces of it a sequence, offset), and the number of sequences.
+
+    With few pieces rounding can cost more than it gains: best fit alone is tried too, the fewer sequences win.
+    """
+    return min((_plan(histogram, capacity, k) for k in (GROUPS, 0)), key=lambda x: x[1])
+
+
+def _plan(histogram: dict[int, int], capacity: int, most_groups: int) -> Plan:
     rows: list[tuple[int, int, int, int, int, int]] = []
     left = {n: c for n, c in histogram.items() if n < capacity}
     taken: dict[int, int] = defaultdict(int)
@@ -84,10 +96,10 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     large = sorted((n for n in left if n > capacity // 8), reverse=True)
     total = sum(left[n] for n in large)
     groups: list[list[int]] = []
-    if total:
+    if total and most_groups:
         seen = 0
         for n in large:  # a length stays whole, so groups are of equal cardinality up to one length
-            if not groups or seen * GROUPS >= total * len(groups):
+            if not groups or seen * most_groups >= total * len(groups):
                 groups.append([])
             groups[-1].append(n)
             seen += left[n]
@@ -151,7 +163,9 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
 
 def _cut(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each text, with a number among the task's own pieces of the length."""
-    merged = bpe.Merged(bpe.tokenizers_ranks(path), lambda ids: np.array(ids, "<u4").tobytes(), 400_000)
+    # Ids need no method of their own here: the library's merges make those of a pre-token that the cache lacks.
+    encode = tiktoken.Encoding("own", pat_str=".+|\\s+", mergeable_ranks=bpe.tokenizers_ranks(path), special_tokens={})._encode_single_piece
+    merged = bpe.Merged(lambda piece: array("I", encode(piece)).tobytes(), 700_000)
     end_bytes = np.array([end_id], "<u4").tobytes()
     part = TaskContext.get().partitionId()
     seen = [0] * (capacity + 1)

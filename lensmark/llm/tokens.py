@@ -17,7 +17,11 @@ def _encoded(batches, path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     ranks = bpe.tiktoken_ranks(path)
     token = {i: t for t, i in ranks.items()}
     # What is kept of a pre-token: its ids as decimals, each after a space, and the bytes that they decode to.
-    merged = bpe.Merged(ranks, lambda ids: (b"".join(b" %d" % i for i in ids), b"".join([token[i] for i in ids])), 400_000)
+    def make(piece: bytes) -> tuple[bytes, bytes]:
+        ids = bpe.merge_pairs(piece, ranks)
+        return b"".join([b" %d" % i for i in ids]), b"".join([token[i] for i in ids])
+
+    merged = bpe.Merged(make, 500_000)
     for batch in batches:
         for first, end, data, offsets in pieces(batch.column(1)):
             n, ids, decoded, numbers = [], [], [], []
