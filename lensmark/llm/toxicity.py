@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from lensmark.llm.common import free_name, in_fold
 
 #: Bounds of what is fitted: labelled rows of each class, terms, and examples in the leave-one-out fit.
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS, MOST_FITTED = 2500, 5000, 4000, 3000
-BLOCK, NEIGHBOURS, STEM = 64, 15, 5
+BLOCK, GROUP, NEIGHBOURS, STEM = 64, 6, 15, 5
 #: A term's two-sided z for the difference of its rates between the classes.
 LEAST_Z = 4.5
 _WORD = re.compile(r"\w+")
@@ -55,43 +55,55 @@ def terms(text: str) -> Counter:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples, by term and block."""
+    """Unit vectors of examples. A block of BLOCK examples has a row of postings, zeros included, for each of its terms,
+    and every term has its largest weight in each block."""
 
-    def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, weights: np.ndarray, ids: list[int]):
+    def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, weights: np.ndarray, ids: list[int], n_terms: int):
         order = sorted(range(len(vectors)), key=lambda i: (labels[i], max(vectors[i], key=vectors[i].get, default=-1), i))
         self.labels, self.weights = labels[order], weights[order]
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.blocks = -(-len(order) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t].append((at, w))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, found in lists.items():
-            at, w = np.array([x[0] for x in found]), np.array([x[1] for x in found])
-            cut = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
-            full = np.flatnonzero(np.diff(cut))
-            self.postings[t] = at, w, cut, full, np.maximum.reduceat(w, cut[full])
+        self.largest = np.zeros((n_terms, self.blocks))
+        self.terms: list[np.ndarray] = []
+        self.postings: list[np.ndarray] = []
+        for b in range(self.blocks):
+            own = [vectors[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
+            terms = sorted({t for v in own for t in v})
+            row = {t: r for r, t in enumerate(terms)}
+            weight = np.zeros((len(terms), BLOCK))
+            for j, v in enumerate(own):
+                for t, w in v.items():
+                    weight[row[t], j] = w
+            self.terms.append(np.array(terms, int))
+            self.postings.append(weight)
+            self.largest[self.terms[b], b] = weight.max(1, initial=0)
+        self.dense = np.zeros(n_terms)
 
     def search(self, query: dict[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and similarities of the k nearest with a similarity over 0; ties to the smaller position."""
-        known = [(q, self.postings[t]) for t, q in query.items() if t in self.postings]
-        bound = np.zeros(self.blocks)
-        for q, (_, _, _, full, top) in known:
-            bound[full] += q * top
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] * (1 + 1e-12) < best[-1][0]):
+        at, score = np.empty(0, int), np.empty(0)
+        if not query:
+            return at, score
+        t, w = np.fromiter(query, int), np.fromiter(query.values(), float)
+        bound = w @ self.largest[t] * (1 + 1e-12)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        self.dense[t] = w
+        least = 0.0
+        for i in range(0, len(order), GROUP):
+            group = [b for b in order[i : i + GROUP] if bound[b] >= least]
+            if not group:
                 break
-            score = np.zeros(BLOCK)
-            for q, (at, w, cut, _, _) in known:
-                part = slice(cut[b], cut[b + 1])
-                score[at[part] - b * BLOCK] += q * w[part]
-            hit = np.flatnonzero(score > 0)
-            best += [(float(score[i]), int(b) * BLOCK + int(i)) for i in hit if b * BLOCK + i != but]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return np.array([p for _, p in best], int), np.array([s for s, _ in best])
+            new = np.concatenate([self.dense[self.terms[b]] @ self.postings[b] for b in group])
+            place = (np.array(group)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            ok = np.flatnonzero((new > 0) & (new >= least) & (place != but))
+            score, at = np.concatenate((score, new[ok])), np.concatenate((at, place[ok]))
+            best = np.lexsort((at, -score))[:k]
+            score, at = score[best], at[best]
+            if len(score) == k:
+                least = score[-1]
+        self.dense[t] = 0
+        return at, score
 
     def vote(self, query: dict[int, float], but: int = -1, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of label 1 among the neighbours' weights, the prior counting as a faint neighbour."""
@@ -207,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_colu
         return model
     weights = np.where(y > 0, true[1] / y.sum(), true[0] / (len(y) - y.sum()))
     weights /= weights.min()
-    index = BlockMaxIndex(vectors, y, weights, ids)
+    index = BlockMaxIndex(vectors, y, weights, ids, len(vocabulary))
     index.prior = true[1] / (true[0] + true[1])
     back = {int(i): p for p, i in enumerate(index.ids)}
     step = max(1, len(ids) // MOST_FITTED)
