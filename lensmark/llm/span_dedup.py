@@ -21,14 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmark.llm import hashes
-from lensmark.llm.common import Scratch, pieces
+from lensmark.llm.common import pieces
 
 #: Sentences in a run, and the fewest words that a run of so many must have. Runs of a few very short
 #: sentences repeat by chance in any large corpus and say nothing.
 LEAST_WORDS = {3: 15, 2: 20, 1: 30}
 LONG = 16
-#: Above so many marks, they are joined by shuffle rather than broadcast (16 bytes each).
-BROADCAST_MARKS = 1_000_000
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _PAUSE = np.zeros(256, bool)
@@ -138,18 +136,14 @@ def drop_repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column:
     span that occurs under this id only stays in each. Rows of a null id take no part in the comparison across
     documents. Should docs have columns n_sentences or n_removed, those of the result replace them.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
     docs = docs.drop("n_sentences", "n_removed")
     ids = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL")
     found = ids.mapInArrow(_emitted, "id long, at int, size tinyint, span long")
     seen = found.groupBy("span").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     covered = found.join(seen, "span").filter("id > first")
     marks = covered.groupBy("id").agg(F.collect_list((F.col("at") * 4 + F.col("size")).cast("int")).alias("marks"))
-    marks = scratch.save(marks, "marks")
-    few = (marks.agg(F.sum(F.size("marks"))).first()[0] or 0) <= BROADCAST_MARKS
     marks = marks.withColumnsRenamed({"id": "__id", "marks": "__marks"})
-    joined = docs.join(F.broadcast(marks) if few else marks, docs[id_column].cast("long") == marks["__id"], "left").drop("__id")
+    joined = docs.join(marks, docs[id_column].cast("long") == marks["__id"], "left").drop("__id")
     joined = joined.withColumnRenamed(text_column, "__text")
     names = [c for c in joined.columns if c != "__marks"]
     out = joined.mapInArrow(lambda it: _cleaned(it, names), ", ".join([*(f"`{c}` {t}" for c, t in joined.select(names).dtypes), "__n int", "__gone int"]))
