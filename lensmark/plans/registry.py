@@ -1,15 +1,254 @@
-"""All queries over the driver's tables and their DuckDB equivalents."""
+"""All queries over the driver's tables. Indices and sums are left unrounded by the operators and cut to six digits here,
+so that another engine's order of summation does not show."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lensmark.functions import text as T
+from lensmark.operators import board as B
+from lensmark.operators import careers as C
+from lensmark.operators import evaluation as E
+from lensmark.operators import graph as G
+from lensmark.operators import grading, subjects
+from lensmark.operators.detection import cue_hits, stub_transport, verified_cue_hits
+from lensmark.plans import sql, tables
+from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, text_lenses
+from lensmark.sources.intake import from_html
+from lensmark.streaming.events import windowed_events
+
+#: A day between the two cuts of the scoreboard.
+CUTS = ("1996-01-01", "1997-01-01")
+
+
+def lenses():
+    return text_lenses(load_lenses())
+
+
+def text_only():
+    return {k: v for k, v in lenses().items() if k != "event_register"}
+
+
+def cut(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def q_cue_hits(spark: SparkSession, d: str) -> DataFrame:
+    return cue_hits(tables.documents(spark, d).select("doc_id", "text"), text_only()).select("doc_id", "lens_id", "detection_id", "span", F.col("char_start").cast("long"), F.col("char_end").cast("long"), "rationale")
+
+
+def q_page_hits(spark: SparkSession, d: str) -> DataFrame:
+    pages = from_html(tables.table(spark, d, "pages")).select("doc_id", "text").distinct()
+    return cue_hits(pages, text_only()).select("doc_id", "lens_id", "detection_id", F.col("char_start").cast("long"))
+
+
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.grade_documents(tables.documents(spark, d), text_only(), rounded=False)
+
+
+def q_grade_documents(spark: SparkSession, d: str) -> DataFrame:
+    return cut(_graded(spark, d), "index", "breadth", "intensity", "density").select("doc_id", "lens_id", F.col("token_count").cast("long"), "index", "tier", "breadth", "intensity", "density")
+
+
+def q_token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+def q_html_to_text(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+def q_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    s = tables.table(spark, d, "documents").select("doc_id", T.sanitize(F.col("text"), 500).alias("s"))
+    return s.select("doc_id", "s.clean", "s.flagged")
+
+
+def q_span_locate(spark: SparkSession, d: str) -> DataFrame:
+    x = tables.table(spark, d, "documents")
+    return x.select("doc_id", T.span_start(F.col("text"), F.lit("tion")).cast("long").alias("at"), T.span_start(F.col("text"), F.lit("")).cast("long").alias("empty"))
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    docs, hits = tables.event_days(spark, d)
+    return grading.grade(docs, hits, {"event_register": lenses()["event_register"]}, rounded=False)
+
+
+def q_grade_event_days(spark: SparkSession, d: str) -> DataFrame:
+    return cut(_days(spark, d), "index", "breadth", "intensity", "density").select("doc_id", "index", "tier", "breadth", "intensity", "density")
+
+
+def q_marker_scores_long(spark: SparkSession, d: str) -> DataFrame:
+    return cut(_days(spark, d).select("doc_id", F.explode("marker_scores").alias("marker_id", "score")), "score")
+
+
+def q_markers_present(spark: SparkSession, d: str) -> DataFrame:
+    return _days(spark, d).select("doc_id", F.explode("markers_present").alias("marker_id"))
+
+
+def q_tier_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return _days(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+def q_subject_lens_summary(spark: SparkSession, d: str) -> DataFrame:
+    return cut(grading.subject_summary(_graded(spark, d), rounded=False), "max_index", "mean_index")
+
+
+def q_subject_trend(spark: SparkSession, d: str) -> DataFrame:
+    return cut(grading.subject_summary(_days(spark, d), rounded=False), "max_index", "mean_index")
+
+
+def q_subject_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return cut(grading.timeline(_days(spark, d), ["event_register"]), "event_register").select("subject", "date", "event_register")
+
+
+def q_conversation_trend(spark: SparkSession, d: str) -> DataFrame:
+    graded = subjects.grade_documents(tables.turns(spark, d), text_only(), rounded=False)
+    return cut(grading.subject_summary(graded, rounded=False), "max_index", "mean_index")
+
+
+def q_record_score(spark: SparkSession, d: str) -> DataFrame:
+    return cut(B.record_score(tables.records(spark, d), rounded=False), "score").select("institution", "ord", "assurance", "score")
+
+
+def q_board(spark: SparkSession, d: str) -> DataFrame:
+    ranked = B.board(tables.records(spark, d), rounded=False)
+    return cut(ranked, "fact", "unverified", "self_correction_mean").select(F.col("rank").cast("long"), "institution", "fact", "unverified", F.size("markers").cast("long").alias("n_markers"), "self_correction_mean", "n_records")
+
+
+def q_board_by_actor(spark: SparkSession, d: str) -> DataFrame:
+    return cut(B.board_by_actor(tables.records(spark, d), rounded=False), "score")
+
+
+def q_board_validate(spark: SparkSession, d: str) -> DataFrame:
+    return B.validate(tables.records(spark, d), load_lenses()).groupBy("institution", "kind").agg(F.count("*").alias("n"))
+
+
+def q_snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.records(spark, d)
+    before, now = (B.board(rows.filter(F.col("day") < day), rounded=False) for day in CUTS)
+    drift = B.delta(before, now)
+    return cut(drift, "fact_before", "fact_now").select("institution", "change", "fact_before", "fact_now", F.col("markers_before").cast("long"), F.col("markers_now").cast("long"))
+
+
+def q_board_totals(spark: SparkSession, d: str) -> DataFrame:
+    return B.totals(B.board(tables.records(spark, d), rounded=False))
+
+
+def q_career_moves(spark: SparkSession, d: str) -> DataFrame:
+    return C.careers(*tables.careers(spark, d)).select("id", "n_moves", F.array_join("sectors", ",").alias("sectors"), "untyped")
+
+
+def q_career_chain(spark: SparkSession, d: str) -> DataFrame:
+    return C.careers(*tables.careers(spark, d)).select("id", "chain")
+
+
+def q_career_hits(spark: SparkSession, d: str) -> DataFrame:
+    return cut(C.career_hits(*tables.careers(spark, d, 49)), "confidence").select("doc_id", "detection_id", "confidence")
+
+
+def q_career_grades(spark: SparkSession, d: str) -> DataFrame:
+    return cut(C.career_grades(*tables.careers(spark, d, 49), load_lenses(), rounded=False), "index").select("doc_id", "index", "tier")
+
+
+def q_funder_hits(spark: SparkSession, d: str) -> DataFrame:
+    return C.funding(*tables.careers(spark, d, 49)).select("id", "n_recipients", F.array_join("recipient_sectors", ",").alias("sectors"))
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    entities, edges = tables.trade_graph(spark, d)
+    adj = G.neighbours(edges)
+    return G.nodes(entities, adj), adj
+
+
+def q_graph_degree(spark: SparkSession, d: str) -> DataFrame:
+    return cut(G.degree(*_graph(spark, d)), "degree_centrality")
+
+
+def q_graph_roles(spark: SparkSession, d: str) -> DataFrame:
+    return G.brokerage_roles(*_graph(spark, d))
+
+
+def q_bridged_sectors(spark: SparkSession, d: str) -> DataFrame:
+    return G.bridged_sectors(*_graph(spark, d)).select("id", F.array_join("bridged", ",").alias("bridged"))
+
+
+def q_decile_cut(spark: SparkSession, d: str) -> DataFrame:
+    return cut(G.decile_cut(G.degree(*_graph(spark, d)), "degree_centrality"), "cut")
+
+
+def q_percentile_rank(spark: SparkSession, d: str) -> DataFrame:
+    return cut(G.degree(*_graph(spark, d)).select("id", G.percentile("degree_centrality").alias("p")), "p")
+
+
+def q_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    return cut(G.betweenness(*_graph(spark, d)), "betweenness")
+
+
+def q_network_hits(spark: SparkSession, d: str) -> DataFrame:
+    return G.network_hits(G.metrics(*tables.trade_graph(spark, d))).select("doc_id", "detection_id", "confidence", "span")
+
+
+def q_network_grades(spark: SparkSession, d: str) -> DataFrame:
+    return cut(G.network_grades(G.metrics(*tables.trade_graph(spark, d)), load_lenses(), rounded=False), "index").select("doc_id", "index", "tier")
+
+
+def q_two_lane_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The graph lane of all customers beside the text lane of all sources, in long form."""
+    graph = C.career_grades(*tables.careers(spark, d, 49), load_lenses(), rounded=False).select(F.lit("graph").alias("lane"), F.col("doc_id").alias("subject"), "lens_id", "index")
+    text = grading.subject_summary(_graded(spark, d), rounded=False).select(F.lit("text").alias("lane"), "subject", "lens_id", F.col("max_index").alias("index"))
+    return cut(graph.unionByName(text), "index")
+
+
+def q_affiliations(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.affiliations(*tables.trade_graph(spark, d)).select("id", F.array_join("affiliations", "|").alias("affiliations"), F.col("n_affiliations").cast("long"))
+
+
+def q_entity_lookup(spark: SparkSession, d: str) -> DataFrame:
+    s = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
+    return subjects.lookup(s, "SUPPLIER").select("id", "name")
+
+
+def q_eval_floor(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as fixtures: low quality should fire the morpheme lens, and expects the latinate marker."""
+    labels = tables.table(spark, d, "labels")
+    fixtures = labels.select(F.col("doc_id").alias("id"), F.lit("morpheme_register").alias("lens"), (F.col("quality") == 0).alias("should_fire"), F.when(F.col("toxic") == 1, "llm").otherwise("cues").alias("min_backend"), F.array(F.lit("latinate")).alias("expect_any"))
+    return E.floor_counts(fixtures, _graded(spark, d))
+
+
+def q_eval_confusion(spark: SparkSession, d: str) -> DataFrame:
+    labels = tables.table(spark, d, "labels")
+    return E.confusion(labels.select((F.col("quality") == 1).alias("expected"), (F.col("toxic") == 0).alias("kept")))
+
+
+def q_verify_receipts(spark: SparkSession, d: str) -> DataFrame:
+    docs = tables.documents(spark, d).select("doc_id", "text")
+    own = {k: v for k, v in text_only().items() if k in ("license_register", "contact_register")}
+    return verified_cue_hits(docs, own, stub_transport()).select("doc_id", "lens_id", "detection_id", "confidence", "span", F.col("char_start").cast("long"))
+
+
+def q_lens_summary(spark: SparkSession, d: str) -> DataFrame:
+    return lens_table(spark, load_lenses()).select("lens_id", F.array_join("markers", ",").alias("markers"), F.col("n_detections").cast("long"), F.col("n_cues").cast("long"))
+
+
+def q_cue_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(x["id"], m["id"], dd["id"], len(dd["cues"])) for x in cue_snapshot(load_lenses()) for m in x["markers"] for dd in m["detections"]]
+    return spark.createDataFrame(rows, "lens_id string, marker_id string, detection_id string, n_cues long")
+
+
+def q_detect_api(spark: SparkSession, d: str) -> DataFrame:
+    return cut(subjects.detect_api(tables.documents(spark, d), text_only(), ["license_register", "contact_register", "nonsense"]), "index").select("doc_id", "lens_id", "index")
+
+
+def q_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return cut(windowed_events(tables.table(spark, d, "events")), "total").select(F.col("start").cast("date").cast("string").alias("day"), "event_type", "n", "total")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.all_queries()
