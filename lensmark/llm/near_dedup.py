@@ -6,10 +6,11 @@ probability 5e-8. Instead of all pairs of a bucket, its members meet pivots. A p
 compared 16 positions at a time and it is dropped once the posterior probability of a similarity at
 or over the threshold falls below ``miss``; what survives is decided on the full shingle sets.
 
-A pivot has met every member of its bucket and leaves it. Buckets whose members are all in one
-component are settled; the others go on with more pivots, taken from outside the bucket's largest
-component, until none is left, so no link between classes that share a band is lost, and the number
-of pairs grows with the bucket, not its square.
+The pivot of a bucket is its smallest member. Buckets whose other members are then all in one component
+are settled. Of the rest, small buckets (SMALL members at most) have their members of different
+components compared; large ones are joined to clusters, and a cluster's members outside its largest component
+meet all its members, in blocks of bounded size that are compared inside a task and give no more than one link for two
+components. So no link between classes that share a band is lost, and rows grow with the members, not their square.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmark.llm import hashes
-from lensmark.llm.common import Scratch, pieces
+from lensmark.llm.common import Scratch, arrow_rows, pieces
 from lensmark.llm.components import components
 
 BANDS, ROWS, STEP = 32, 4, 16
@@ -32,6 +33,20 @@ _A = np.random.default_rng(1009).integers(1, 2**63, SIZE, np.uint64) * np.uint64
 _B = np.random.default_rng(2003).integers(1, 2**63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Above so many ids, an id table is joined by shuffle rather than broadcast (16 MB of longs).
 BROADCAST_IDS = 2_000_000
+#: Buckets of so many members at most are compared member by member; blocks of others hold about so many shingles.
+SMALL, BLOCK_SHINGLES = 16, 250_000
+#: Pairs with their full sets in one Arrow batch.
+PAIRS_AT_ONCE = 500
+
+
+def _minima(s: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The signature of each text's shingles; zeros without any."""
+    signature = np.zeros((len(at) - 1, SIZE), np.uint32)
+    full = np.flatnonzero(np.diff(at))
+    with np.errstate(over="ignore"):
+        for j in range(SIZE if len(full) else 0):
+            signature[full, j] = np.minimum.reduceat(s * _A[j], at[:-1][full]) >> np.uint64(32)
+    return [r.tobytes() for r in signature]
 
 
 def _signed(values: list[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -46,13 +61,8 @@ def _signed(values: list[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             for i in range(n):
                 w = h[of[i] : of[i + 1]]
                 d[i] = hashes.sequence(w), hashes.sequence(w ^ np.uint64(0xA0761D6478BD642F))
-            signature = np.zeros((n, SIZE), np.uint32)
-            full = np.flatnonzero(counts)
-            with np.errstate(over="ignore"):
-                for j in range(SIZE if len(full) else 0):
-                    signature[full, j] = np.minimum.reduceat(s * _A[j], at[:-1][full]) >> np.uint64(32)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, n), pa.array(d[:, 0].view(np.int64)), pa.array(d[:, 1].view(np.int64)), pa.array(counts), pa.array([r.tobytes() for r in signature], pa.binary())],
+                [ids.slice(first, n), pa.array(d[:, 0].view(np.int64)), pa.array(d[:, 1].view(np.int64)), pa.array(counts), pa.array(_minima(s, at), pa.binary())],
                 ["id", "d1", "d2", "n_shingles", "signature"],
             )
 
@@ -79,7 +89,8 @@ def fewest_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def _pruned(batches, least: list[int]) -> Iterator[pa.RecordBatch]:
+def _verified(batches, least: list[int], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures survive all batches of positions and whose full sets are similar enough."""
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SIZE) for c in ("sx", "sy"))
         alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
@@ -87,7 +98,15 @@ def _pruned(batches, least: list[int]) -> Iterator[pa.RecordBatch]:
             part = slice(i * STEP, (i + 1) * STEP)
             matches[alive] += (x[alive, part] == y[alive, part]).sum(1)
             alive = alive[matches[alive] >= m]
-        yield pa.RecordBatch.from_arrays([batch.column("x").take(pa.array(alive)), batch.column("y").take(pa.array(alive))], ["x", "y"])
+        tx, ty = batch.column("tx"), batch.column("ty")
+        linked = []
+        for i in alive:
+            a, b = tx[i].values.to_numpy(), ty[i].values.to_numpy()
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                linked.append(i)
+        at = pa.array(linked, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at)], ["u", "v"])
 
 
 def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
@@ -98,7 +117,54 @@ def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
             own = [np.unique(s[at[i] : at[i + 1]]) for i in range(end - first)]
             lengths = np.array([0, *map(len, own)]).cumsum()
             values = pa.array(np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values), pa.array(_minima(s, at), pa.binary())], ["id", "shingles", "signature"])
+
+
+def _compared(batches, percent: int, fewest: int) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, links between different components: one for each member and component at most."""
+    for batch in batches:
+        for pair in batch.to_pylist():
+            us, vs = [], []
+            wide = pair["wide"]
+            size = np.array([len(m["shingles"]) for m in wide])
+            value = np.concatenate([np.array(m["shingles"], np.int64) for m in wide])
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], np.repeat(np.arange(len(wide)), size)[order]
+            signatures = np.frombuffer(b"".join([m["signature"] for m in wide]), np.uint32).reshape(-1, SIZE)
+            component = np.array([m["component"] for m in wide])
+            for m in pair["outside"]:
+                near = (signatures == np.frombuffer(m["signature"], np.uint32)).sum(1) >= fewest
+                near &= component != m["component"]
+                if not near.any():
+                    continue
+                own = np.array(m["shingles"], np.int64)
+                low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(wide))
+                hit = np.flatnonzero(near & (100 * common >= percent * (size + len(own) - common)))
+                for i in hit[np.unique(component[hit], return_index=True)[1]]:
+                    us.append(m["id"])
+                    vs.append(wide[i]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def _between(rows: DataFrame, sets: DataFrame, percent: int, fewest: int, scratch: Scratch) -> DataFrame:
+    """Links between members of different components in clusters of large buckets. rows: bucket, id, component."""
+    first = rows.groupBy("bucket").agg(F.min("id").alias("v"))
+    cluster = components(scratch.save(rows.join(first, "bucket").filter("id <> v").select(F.col("id").alias("u"), "v").distinct(), "star"), scratch).toDF("id", "cluster")
+    own = rows.select("id", "component").distinct().join(cluster, "id", "left").select("id", "component", F.coalesce("cluster", "id").alias("cluster"))
+    own = scratch.save(own.join(sets, "id"), "clustered")
+    sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("volume"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    sided = sizes.join(largest, "cluster").groupBy("cluster", "largest", (F.col("component") == F.col("largest")).alias("inner")).agg(F.sum("volume").alias("volume"))
+    blocks = sided.select("cluster", "largest", "inner", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = own.join(blocks, "cluster").filter((F.col("component") == F.col("largest")) == F.col("inner"))
+    placed = placed.groupBy("cluster", "inner", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.collect_list(F.struct("id", "component", "signature", "shingles")).alias("members"))
+    placed = scratch.save(placed, "blocks")
+    outside = placed.filter("NOT inner").select("cluster", F.col("block").alias("o"), F.col("members").alias("outside"))
+    pairs = outside.join(placed.select("cluster", "inner", "block", F.col("members").alias("wide")), "cluster").filter("inner OR block >= o").select("outside", "wide")
+    return pairs.mapInArrow(lambda it: _compared(it, percent, fewest), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float = 1e-7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -129,34 +195,28 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     needed = met.select("id").distinct()
     few = needed.count() <= BROADCAST_IDS
     texts = ids.join(F.broadcast(needed) if few else needed, "id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(lambda it: _sets(it, k), "id long, shingles array<long>"), "sets")
+    sets = scratch.save(texts.mapInArrow(lambda it: _sets(it, k), "id long, shingles array<long>, signature binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        s = heads.select("id", "signature")
-        both = pairs.join(s.toDF("x", "sx"), "x").join(s.toDF("y", "sy"), "y")
-        alive = both.mapInArrow(lambda it: _pruned(it, least), "x long, y long")
-        full = alive.join(sets.toDF("x", "tx"), "x").join(sets.toDF("y", "ty"), "y")
-        common = F.size(F.array_intersect("tx", "ty"))
-        return full.filter(100 * common >= percent * (F.size("tx") + F.size("ty") - common)).select(F.col("x").alias("u"), F.col("y").alias("v"))
-
-    links = scratch.save(linked(met.filter("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()), "links")
+        both = pairs.join(sets.toDF("x", "tx", "sx"), "x").join(sets.toDF("y", "ty", "sy"), "y")
+        return both.mapInArrow(lambda it: _verified(it, least, percent), "u long, v long")
+
+    with arrow_rows(spark, PAIRS_AT_ONCE):
+        links = scratch.save(linked(met.filter("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()), "links")
     joined = components(links, scratch)
-    rest, pivots = met.filter("id <> pivot").select("bucket", "id"), 8
-    while True:
-        labelled = rest.join(joined.toDF("id", "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
-        open_rows = scratch.save(labelled.join(mixed, "bucket"), "open")
-        if open_rows.isEmpty():
-            break
-        sizes = open_rows.groupBy("bucket", "component").count()
-        largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        outside = open_rows.join(largest, "bucket").filter("component <> largest")
-        chosen = scratch.save(outside.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(pivots))).agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
-        pairs = open_rows.join(chosen, "bucket").filter("component <> pivot_component").select(F.greatest("id", "pivot").alias("x"), F.least("id", "pivot").alias("y")).distinct()
-        links = scratch.save(links.union(linked(pairs)), "links")
+    rest = met.filter("id <> pivot").join(joined.toDF("id", "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a < b").select("bucket", "n")
+    unsettled = scratch.save(rest.join(mixed, "bucket"), "unsettled")
+    if not unsettled.isEmpty():
+        few_rows = unsettled.filter(F.col("n") <= SMALL)
+        other = few_rows.toDF("bucket", "y", "other", "n").drop("n")
+        pairs = few_rows.join(other, "bucket").filter("id > y AND component <> other").select(F.col("id").alias("x"), "y").distinct()
+        more = _between(unsettled.filter(F.col("n") > SMALL), sets, percent, least[-1], scratch)
+        with arrow_rows(spark, PAIRS_AT_ONCE):
+            links = links.union(scratch.save(linked(pairs), "links"))
+        with arrow_rows(spark, 2):
+            links = scratch.save(links.union(more), "links")
         joined = components(links, scratch)
-        rest = scratch.save(open_rows.join(chosen.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "rest")
-        pivots *= 8
 
     found = members.join(joined.toDF("class", "component"), "class", "left").select("id", F.coalesce("component", "class").alias("component"))
     repeated = found.groupBy("id").agg(F.min("component").alias("component"))
