@@ -51,12 +51,12 @@ def profile(entities: DataFrame, edges: DataFrame, docs: DataFrame | None, lense
     return {**graph, "text": text}
 
 
-def detect_api(docs: DataFrame, lenses: dict[str, Lens], ids: list[str] | None = None) -> DataFrame:
+def detect_api(docs: DataFrame, lenses: dict[str, Lens], ids: list[str] | None = None, rounded: bool = True) -> DataFrame:
     """What the detection service answers: documents cut at API_CHARS, every lens asked for, best index first."""
     cut = prepared(docs.withColumn("text", F.substring("text", 1, API_CHARS)))
     wanted = {k: v for k, v in lenses.items() if ids is None or k in ids}
     hits = detect(cut.select("doc_id", "text"), wanted)
-    return grade(cut.drop("text"), hits, wanted).orderBy("doc_id", F.desc("index"), "lens_ord")
+    return grade(cut.drop("text"), hits, wanted, rounded).orderBy("doc_id", F.desc("index"), "lens_ord")
 
 
 def lookup(entities: DataFrame, query: str) -> DataFrame:

@@ -51,7 +51,7 @@ graded AS (SELECT *, CASE WHEN round(idx, 2) >= 60 THEN l2 WHEN round(idx, 2) >=
 
 SUMMARY = """dated AS (SELECT *, date IS NOT NULL AND date <> '' AS has FROM graded),
 ranked AS (SELECT *, CASE WHEN has THEN row_number() OVER (PARTITION BY subject, lens_id, has ORDER BY date, ord) END AS r, CASE WHEN has THEN count(*) OVER (PARTITION BY subject, lens_id, has) END AS n FROM dated)
-SELECT subject, lens_id, round(max(idx), 6) AS max_index, round(avg(idx), 6) AS mean_index, count(*) AS n_documents, count(*) FILTER (present > 0) AS n_documents_with_signal,
+SELECT subject, lens_id, round(max(idx) + 1e-9, 6) AS max_index, round(avg(idx) + 1e-9, 6) AS mean_index, count(*) AS n_documents, count(*) FILTER (present > 0) AS n_documents_with_signal,
   CASE WHEN max(n) IS NULL OR max(n) < 2 THEN 'insufficient-data'
        WHEN avg(idx) FILTER (r > floor(n / 2)) - avg(idx) FILTER (r <= floor(n / 2)) > 5 THEN 'rising'
        WHEN avg(idx) FILTER (r > floor(n / 2)) - avg(idx) FILTER (r <= floor(n / 2)) < -5 THEN 'falling' ELSE 'flat' END AS trend
@@ -149,11 +149,11 @@ def all_queries() -> dict[str, str]:
     by_day = f"WITH {dims(days)},\n{DAYS},\n{GRADE}"
     net = f"{GRAPH},\n{between()},\n{BRIDGED},\n{ROLES},\n{NETWORK}"
     few = {k: text[k] for k in ("license_register", "contact_register")}
-    shown = "round(idx, 6) AS index, tier, round(breadth, 6) AS breadth, round(intensity, 6) AS intensity, round(density, 6) AS density"
+    shown = "round(idx + 1e-9, 6) AS index, tier, round(breadth + 1e-9, 6) AS breadth, round(intensity + 1e-9, 6) AS intensity, round(density + 1e-9, 6) AS density"
     injection = INJECTION.replace("'", "''").replace(r"\{", "[{]")
     lens_rows = [(x.id, ",".join(m.id for m in x.markers), len(x.detections()), sum(len(d.cues) for _, d in x.detections())) for x in every.values()]
     cue_rows = [(x["id"], m["id"], d["id"], len(d["cues"])) for x in cue_snapshot(every) for m in x["markers"] for d in m["detections"]]
-    summed = "SELECT doc_id, round(idx, 6) AS index, tier FROM graded"
+    summed = "SELECT doc_id, round(idx + 1e-9, 6) AS index, tier FROM graded"
     return {
         "cue_hits": f"WITH {dims(text)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, span, char_start, char_end, rationale FROM hits",
         "page_hits": f"WITH {dims(text)},\ndoc AS (SELECT DISTINCT url AS doc_id, {HTML} AS text FROM pages),\n{HITS} SELECT doc_id, lens_id, detection_id, char_start FROM hits",
@@ -163,37 +163,37 @@ def all_queries() -> dict[str, str]:
         "sanitize": f"WITH c AS (SELECT doc_id, text, replace(text, '\"\"\"', '\"​\"​\"') AS c FROM documents) SELECT doc_id, CASE WHEN length(c) > 500 THEN left(c, 500) || ' […truncated]' ELSE c END AS clean, regexp_matches(text, '{injection}') AS flagged FROM c",
         "span_locate": "SELECT doc_id, CASE WHEN strpos(text, 'tion') > 0 THEN strpos(text, 'tion') - 1 END AS at, NULL::BIGINT AS empty FROM documents",
         "grade_event_days": f"{by_day} SELECT doc_id, {shown} FROM graded",
-        "marker_scores_long": f"{by_day} SELECT doc_id, marker_id, round(s, 6) AS score FROM m",
+        "marker_scores_long": f"{by_day} SELECT doc_id, marker_id, round(s + 1e-9, 6) AS score FROM m",
         "markers_present": f"{by_day} SELECT m.doc_id, m.marker_id FROM m JOIN lens USING (lens_id) WHERE s >= thr",
         "tier_histogram": f"{by_day} SELECT tier, count(*) AS n FROM graded GROUP BY tier",
         "subject_lens_summary": f"{graded},\n{SUMMARY}",
         "subject_trend": f"{by_day},\n{SUMMARY}",
-        "subject_timeline": f"{by_day} SELECT subject, date, round(idx, 6) AS event_register FROM graded",
+        "subject_timeline": f"{by_day} SELECT subject, date, round(idx + 1e-9, 6) AS event_register FROM graded",
         "conversation_trend": f"WITH {dims(text)},\n{TURN},\n{HITS},\n{GRADE},\n{SUMMARY}",
-        "record_score": f"WITH {RECORDS} SELECT institution, ord, assurance, round(score, 6) AS score FROM rec",
-        "board": f"WITH {RECORDS},\n{_board('bd')} SELECT row_number() OVER (ORDER BY fact DESC, first_ord) AS rank, institution, round(fact, 6) AS fact, round(unverified, 6) AS unverified, n_markers, round(self_correction_mean, 6) AS self_correction_mean, n_records FROM bd",
-        "board_by_actor": f"WITH {RECORDS} SELECT institution, actor, round(sum(score), 6) AS score FROM rec GROUP BY ALL",
+        "record_score": f"WITH {RECORDS} SELECT institution, ord, assurance, round(score + 1e-9, 6) AS score FROM rec",
+        "board": f"WITH {RECORDS},\n{_board('bd')} SELECT row_number() OVER (ORDER BY fact DESC, first_ord) AS rank, institution, round(fact + 1e-9, 6) AS fact, round(unverified + 1e-9, 6) AS unverified, n_markers, round(self_correction_mean + 1e-9, 6) AS self_correction_mean, n_records FROM bd",
+        "board_by_actor": f"WITH {RECORDS} SELECT institution, actor, round(sum(score) + 1e-9, 6) AS score FROM rec GROUP BY ALL",
         "board_validate": f"WITH {RECORDS} SELECT institution, kind, count(*) AS n FROM (SELECT institution, CASE WHEN lens = 'license_register' THEN 'unknown-marker' ELSE 'unknown-lens' END AS kind FROM rec UNION ALL SELECT institution, 'no-receipt' FROM rec WHERE l_linenumber = 7) GROUP BY ALL",
-        "snapshot_delta": f"WITH {RECORDS},\n{_board('p', "day < '1996-01-01'")},\n{_board('c', "day < '1997-01-01'")} SELECT institution, CASE WHEN p.institution IS NULL THEN 'added' WHEN c.institution IS NULL THEN 'removed' ELSE 'changed' END AS change, round(p.fact, 6) AS fact_before, round(c.fact, 6) AS fact_now, p.n_markers AS markers_before, c.n_markers AS markers_now FROM p FULL JOIN c USING (institution) WHERE p.institution IS NULL OR c.institution IS NULL OR abs(c.fact - p.fact) >= 0.01 OR p.n_markers <> c.n_markers",
+        "snapshot_delta": f"WITH {RECORDS},\n{_board('p', "day < '1996-01-01'")},\n{_board('c', "day < '1997-01-01'")} SELECT institution, CASE WHEN p.institution IS NULL THEN 'added' WHEN c.institution IS NULL THEN 'removed' ELSE 'changed' END AS change, round(p.fact + 1e-9, 6) AS fact_before, round(c.fact + 1e-9, 6) AS fact_now, p.n_markers AS markers_before, c.n_markers AS markers_now FROM p FULL JOIN c USING (institution) WHERE p.institution IS NULL OR c.institution IS NULL OR abs(c.fact - p.fact) >= 0.01 OR p.n_markers <> c.n_markers",
         "board_totals": f"WITH {RECORDS} SELECT count(DISTINCT institution) AS institutions, count(*) AS records FROM rec",
         "career_moves": f"WITH {careers(46)} SELECT id, n_moves, array_to_string(coalesce(s, []), ',') AS sectors, untyped FROM car",
         "career_chain": f"WITH {careers(46)} SELECT id, chain FROM car",
-        "career_hits": f"WITH {careers(49)},\n{CAREER_HITS} SELECT doc_id, detection_id, round(confidence::DOUBLE, 6) AS confidence FROM chits",
+        "career_hits": f"WITH {careers(49)},\n{CAREER_HITS} SELECT doc_id, detection_id, round(confidence::DOUBLE + 1e-9, 6) AS confidence FROM chits",
         "career_grades": f"WITH {dims({'revolving_door': every['revolving_door']})},\n{careers(49)},\n{CAREER_HITS},\ndoc AS (SELECT id AS doc_id, 0 AS token_count FROM ent),\nhits AS (SELECT doc_id, 'revolving_door' AS lens_id, detection_id, confidence::DOUBLE AS confidence FROM chits),\n{GRADE} {summed}",
         "funder_hits": f"WITH {careers(49)} SELECT id, n_recipients, array_to_string(coalesce(r, []), ',') AS sectors FROM fund",
-        "graph_degree": f"WITH {GRAPH} SELECT id, degree, round(degree_centrality, 6) AS degree_centrality FROM deg",
+        "graph_degree": f"WITH {GRAPH} SELECT id, degree, round(degree_centrality + 1e-9, 6) AS degree_centrality FROM deg",
         "graph_roles": f"WITH {GRAPH},\n{ROLES} SELECT * FROM roles",
         "bridged_sectors": f"WITH {GRAPH},\n{BRIDGED} SELECT id, array_to_string(bridged, ',') AS bridged FROM bridged",
-        "decile_cut": f"WITH {GRAPH} SELECT round({_cut_of('deg', 'degree_centrality')}, 6) AS cut",
-        "percentile_rank": f"WITH {GRAPH} SELECT id, round(cume_dist() OVER (ORDER BY degree_centrality), 6) AS p FROM deg",
-        "betweenness": f"WITH {GRAPH},\n{between()} SELECT id, round(betweenness, 6) AS betweenness FROM bc",
+        "decile_cut": f"WITH {GRAPH} SELECT round({_cut_of('deg', 'degree_centrality')} + 1e-9, 6) AS cut",
+        "percentile_rank": f"WITH {GRAPH} SELECT id, round(cume_dist() OVER (ORDER BY degree_centrality) + 1e-9, 6) AS p FROM deg",
+        "betweenness": f"WITH {GRAPH},\n{between()} SELECT id, round(betweenness + 1e-9, 6) AS betweenness FROM bc",
         "network_grades": f"WITH {dims({'network_brokerage': every['network_brokerage']})},\n{net},\ndoc AS (SELECT id AS doc_id, 0 AS token_count FROM ent),\nhits AS (SELECT doc_id, 'network_brokerage' AS lens_id, detection_id, round(confidence::DOUBLE, 3) AS confidence FROM nhits),\n{GRADE} {summed}",
         "two_lane_profile": f"WITH {dims({**text, 'revolving_door': every['revolving_door']})},\n{careers(49)},\n{CAREER_HITS},\nquoted AS (SELECT doc_id, detection_id, confidence FROM chits),\n"
         + f"tdoc AS (SELECT doc_id, source, text, {TOKENS.format('text')} AS token_count FROM documents WHERE trim(text) <> ''),\n"
         + "doc AS (SELECT doc_id::VARCHAR AS doc_id, text, token_count, source AS subject, 'text' AS lane FROM tdoc UNION ALL SELECT id, '', 0, id, 'graph' FROM ent),\n"
         + HITS.replace("hits AS (", "thits AS (")
         + ",\nhits AS (SELECT doc_id, lens_id, detection_id, confidence FROM thits UNION ALL SELECT doc_id, 'revolving_door', detection_id, confidence::DOUBLE FROM quoted),\n"
-        + f"{GRADE} SELECT lane, subject, lens_id, round(max(idx), 6) AS index FROM graded WHERE (lane = 'graph') = (lens_id = 'revolving_door') GROUP BY ALL",
+        + f"{GRADE} SELECT lane, subject, lens_id, round(max(idx) + 1e-9, 6) AS index FROM graded WHERE (lane = 'graph') = (lens_id = 'revolving_door') GROUP BY ALL",
         "affiliations": f"WITH {GRAPH},\nends AS (SELECT source AS id, target AS other FROM edge UNION ALL SELECT target, source FROM edge) SELECT e.id, array_to_string(list_sort(list(DISTINCT n.name)), '|') AS affiliations, count(DISTINCT n.name) AS n_affiliations FROM ends e JOIN ent n ON n.id = e.other GROUP BY e.id",
         "entity_lookup": "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE contains(lower(s_name), 'supplier') ORDER BY CASE WHEN lower(s_name) = 'supplier' THEN 0 ELSE 1 END, s_suppkey LIMIT 1",
         "eval_floor": f"{graded},\nfx AS (SELECT l.doc_id, quality = 0 AS fire, toxic = 1 AS skip, coalesce(present, 0) > 0 AS fired, coalesce(s, 0) >= 0.3 AS hit FROM labels l LEFT JOIN (SELECT doc_id, present FROM graded WHERE lens_id = 'morpheme_register') USING (doc_id) LEFT JOIN (SELECT doc_id, s FROM m WHERE marker_id = 'latinate') USING (doc_id)) "
@@ -202,6 +202,6 @@ def all_queries() -> dict[str, str]:
         "verify_receipts": f"WITH {dims(few)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, 0.9::DOUBLE AS confidence, span, char_start FROM hits",
         "lens_summary": f"WITH {_values('x', 'lens_id, markers, n_detections, n_cues', lens_rows)} SELECT lens_id, markers, n_detections::BIGINT AS n_detections, n_cues::BIGINT AS n_cues FROM x",
         "cue_snapshot": f"WITH {_values('x', 'lens_id, marker_id, detection_id, n_cues', cue_rows)} SELECT lens_id, marker_id, detection_id, n_cues::BIGINT AS n_cues FROM x",
-        "detect_api": f"WITH {dims(few)},\n{DOC},\n{HITS},\n{GRADE} SELECT doc_id, lens_id, round(idx, 6) AS index FROM graded",
-        "event_windows": "SELECT (ts::DATE)::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+        "detect_api": f"WITH {dims(few)},\n{DOC},\n{HITS},\n{GRADE} SELECT doc_id, lens_id, round(idx + 1e-9, 6) AS index FROM graded",
+        "event_windows": "SELECT (ts::DATE)::VARCHAR AS day, event_type, count(*) AS n, round(sum(value) + 1e-9, 6) AS total FROM events GROUP BY ALL",
     }

@@ -27,10 +27,7 @@ def from_text(spark: SparkSession, text: str, doc_id: str = "text", subject: str
 
 
 def _files(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0).alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0).alias("doc_id"), F.col("value").alias("text"))
 
 
 def from_file(spark: SparkSession, path: str, subject: str | None = None, url: str | None = None, date: str | None = None) -> DataFrame:
