@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lensmark.operators.board import board, render, validate
 from lensmark.operators.subjects import grade_documents, grade_person, grade_text, profile
 from lensmark.plans.lenses import OWN, lens_table, load_lenses, requested
-from lensmark.sources.intake import from_file, from_jsonl, load_records, ratchet_graph, to_json
+from lensmark.sources.intake import from_file, from_jsonl, load_records, folder_graph, to_json
 
 
 def emit(df: DataFrame) -> None:
@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
             emit(df)
     elif a.command == "profile":
         docs = from_jsonl(spark, a.texts, a.id) if a.texts else None
-        for df in profile(*ratchet_graph(spark, a.graph_dir), docs, lenses, a.id).values():
+        for df in profile(*folder_graph(spark, a.graph_dir), docs, lenses, a.id).values():
             if df is not None:
                 emit(df)
     else:

@@ -151,7 +151,7 @@ def from_subject(spark: SparkSession, path: str, subject: str) -> dict:
     return {"subject": found["id"] or subject, "label": found["label"], "sources": [u for u in urls if isinstance(u, str) and u.startswith("http")]}
 
 
-def ratchet_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def folder_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """entities and edges of a folder with people.jsonl, institutions.jsonl and edges.jsonl (objects or pairs).
     Relations are dropped, so are edges that lack an end."""
     own = "id string, label string, sector string"

@@ -44,7 +44,7 @@ def test_graphs(spark, tmp_path):
     lines(tmp_path / "people.jsonl", [{"id": "p", "label": "Pat"}])
     lines(tmp_path / "institutions.jsonl", [{"id": "i", "sector": "tech"}])
     lines(tmp_path / "edges.jsonl", [{"source": "p", "target": "i", "rel": "x"}, ["i", "p"], {"source": "p"}])
-    ents, edges = intake.ratchet_graph(spark, str(tmp_path))
+    ents, edges = intake.folder_graph(spark, str(tmp_path))
     assert sorted(map(tuple, ents.collect())) == [("i", "i", "tech"), ("p", "Pat", None)] and sorted((r["source"], r["target"], r["rel"]) for r in edges.collect()) == [("i", "p", None), ("p", "i", None)]
     assert intake.write_graph(ents, edges, str(tmp_path / "out")) == 2
     s = tmp_path / "s.json"
