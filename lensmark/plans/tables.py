@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lensmark.sources.scratch import importable
+
 #: Sectors by nation or brand number, modulo 10.
 SECTORS = ["tech", "fin", "gov", "tank", "intel", "media", "academia", "legal", "civil", "other"]
 #: What an order's priority says of a career edge; 4 says nothing.
@@ -12,6 +14,7 @@ RELATIONS = {"1": "employed-by", "2": "moved-to", "3": "member-of", "5": "funded
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
