@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lensmark.sources.scratch import importable
+
 #: Bytes of text that a numpy pass works on at once. A single longer text is one pass of its own.
 CHUNK_BYTES = 4 << 20
 
@@ -72,6 +74,7 @@ def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

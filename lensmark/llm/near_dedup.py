@@ -35,8 +35,8 @@ _B = np.random.default_rng(2003).integers(1, 2**63, BANDS, np.uint64) * np.uint6
 BROADCAST_IDS = 2_000_000
 #: Buckets of so many members at most are compared member by member; blocks of others hold about so many shingles.
 SMALL, BLOCK_SHINGLES = 16, 250_000
-#: Pairs with their full sets in one Arrow batch.
-PAIRS_AT_ONCE = 500
+#: Pairs with their full sets, and whole texts, in one Arrow batch.
+PAIRS_AT_ONCE, TEXTS_AT_ONCE = 500, 1000
 
 
 def _minima(s: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     spark = docs.sparkSession
     scratch = Scratch(spark)
     ids = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    signed = scratch.save(ids.mapInArrow(lambda it: _signed(it, k), "id long, d1 long, d2 long, n_shingles long, signature binary"), "signed")
+    with arrow_rows(spark, TEXTS_AT_ONCE):
+        signed = scratch.save(ids.mapInArrow(lambda it: _signed(it, k), "id long, d1 long, d2 long, n_shingles long, signature binary"), "signed")
     real = signed.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = real.groupBy("d1", "d2").agg(F.min("id").alias("class"))
     members = scratch.save(real.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "class").distinct(), "members")
@@ -195,7 +196,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     needed = met.select("id").distinct()
     few = needed.count() <= BROADCAST_IDS
     texts = ids.join(F.broadcast(needed) if few else needed, "id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(lambda it: _sets(it, k), "id long, shingles array<long>, signature binary"), "sets")
+    with arrow_rows(spark, TEXTS_AT_ONCE):
+        sets = scratch.save(texts.mapInArrow(lambda it: _sets(it, k), "id long, shingles array<long>, signature binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("x", "tx", "sx"), "x").join(sets.toDF("y", "ty", "sy"), "y")

@@ -1,12 +1,51 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express on whole tables."""
 
-EXACT = r"""
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+from lensmark.llm.licences import LEAST, SHINGLE, TEMPLATES
+
+LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+EXACT = f"""
+WITH d AS (SELECT doc_id, {LOWER.format("text")} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
 FROM d JOIN g USING (norm)
 """
 
 
+def _grams(table: str, key: str, words: str, k: int) -> str:
+    """Rows (key, i, gram) of the k-word shingles of table's lists of words."""
+    parts = ", ".join(f"{words}[i + {j}]" for j in range(k))
+    return f"SELECT {key}, i, concat_ws(' ', {parts}) AS gram FROM (SELECT {key}, {words}, unnest(range(1, len({words}) - {k - 2})) AS i FROM {table})"
+
+
+def _licences() -> str:
+    rows = ", ".join("('{}', '{}')".format(k.replace("'", "''"), t.replace("'", "''")) for k, t in sorted(TEMPLATES.items()))
+    cut = r"regexp_extract_all({0}, '[^\s[:punct:]]+')"
+    return f"""
+WITH t AS (SELECT license, {cut.format(LOWER.format("body"))} AS w FROM (VALUES {rows}) v(license, body)),
+tg AS (SELECT license, gram, min(i) AS ord FROM ({_grams("t", "license", "w", SHINGLE)}) GROUP BY ALL),
+size AS (SELECT license, count(*) AS n FROM tg GROUP BY license),
+d AS (SELECT doc_id, {cut.format(LOWER.format("text"))} AS w FROM documents),
+dg AS (SELECT doc_id, gram, min(i) AS place FROM ({_grams("d", "doc_id", "w", SHINGLE)}) WHERE gram IN (SELECT gram FROM tg) GROUP BY ALL),
+m AS (SELECT doc_id, license, count(*) AS n_matched, arg_min(place, ord) AS position FROM dg JOIN tg USING (gram) GROUP BY ALL)
+SELECT doc_id, license, n_matched, n_matched / n::DOUBLE AS containment, position FROM m JOIN size USING (license) WHERE n_matched / n::DOUBLE >= {LEAST}
+"""
+
+
+NEAR = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, gram FROM ({_grams("d", "doc_id", "w", 4)})
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL) p
+  JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ties AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM ties UNION SELECT r.a, k.b FROM reach r JOIN ties k ON k.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(coalesce(m, d.doc_id), d.doc_id) AS component_id, least(coalesce(m, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT}
+    return {"op3_exact_dedup": EXACT, "op6_license_scan": _licences(), "op10_near_dedup": NEAR}
