@@ -188,7 +188,11 @@ def q_betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_network_hits(spark: SparkSession, d: str) -> DataFrame:
-    return G.network_hits(G.metrics(*tables.trade_graph(spark, d))).select("doc_id", "detection_id", "confidence", "span")
+    return cut(G.network_hits(G.metrics(*tables.trade_graph(spark, d))), "confidence").select("doc_id", "detection_id", "confidence")
+
+
+def q_network_receipts(spark: SparkSession, d: str) -> DataFrame:
+    return G.network_hits(G.metrics(*tables.trade_graph(spark, d))).select("doc_id", "detection_id", "span")
 
 
 def q_network_grades(spark: SparkSession, d: str) -> DataFrame:

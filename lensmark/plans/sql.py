@@ -187,6 +187,7 @@ def all_queries() -> dict[str, str]:
         "decile_cut": f"WITH {GRAPH} SELECT round({_cut_of('deg', 'degree_centrality')} + 1e-9, 6) AS cut",
         "percentile_rank": f"WITH {GRAPH} SELECT id, round(cume_dist() OVER (ORDER BY degree_centrality) + 1e-9, 6) AS p FROM deg",
         "betweenness": f"WITH {GRAPH},\n{between()} SELECT id, round(betweenness + 1e-9, 6) AS betweenness FROM bc",
+        "network_hits": f"WITH {net} SELECT doc_id, detection_id, round(round(confidence::DOUBLE, 3) + 1e-9, 6) AS confidence FROM nhits",
         "network_grades": f"WITH {dims({'network_brokerage': every['network_brokerage']})},\n{net},\ndoc AS (SELECT id AS doc_id, 0 AS token_count FROM ent),\nhits AS (SELECT doc_id, 'network_brokerage' AS lens_id, detection_id, round(confidence::DOUBLE, 3) AS confidence FROM nhits),\n{GRADE} {summed}",
         "two_lane_profile": f"WITH {dims({**text, 'revolving_door': every['revolving_door']})},\n{careers(49)},\n{CAREER_HITS},\nquoted AS (SELECT doc_id, detection_id, confidence FROM chits),\n"
         + f"tdoc AS (SELECT doc_id, source, text, {TOKENS.format('text')} AS token_count FROM documents WHERE trim(text) <> ''),\n"
