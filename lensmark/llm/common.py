@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from lensmark.sources.scratch import importable
 
 #: Bytes of text that a numpy pass works on at once. A single longer text is one pass of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows that go to Python at once. Texts are long: Spark's default of 10,000 would hold hundreds of MB in each worker.
+ROWS_AT_ONCE = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +33,7 @@ class Scratch:
     """Intermediate tables, written as Parquet to the shared folder so that a lost executor costs a reread only."""
 
     def __init__(self, spark: SparkSession):
+        modest_batches(spark)
         self.spark = spark
         self.paths: dict[int, str] = {}
 
@@ -58,23 +62,29 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ROWS_AT_ONCE, if they are more. Results are lazy, so the setting stays."""
+    if not 0 < int(spark.conf.get(_ROWS, "10000")) <= ROWS_AT_ONCE:
+        spark.conf.set(_ROWS, str(ROWS_AT_ONCE))
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """Jobs started within send so many rows at most to Python at once: for rows that hold whole sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(most))
+    before = spark.conf.get(_ROWS, None)
+    spark.conf.set(_ROWS, str(most))
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(key)
+            spark.conf.unset(_ROWS)
         else:
-            spark.conf.set(key, before)
+            spark.conf.set(_ROWS, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -34,7 +34,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
                 step = min(filled, size - filled)
                 have[filled : filled + step] = have[:step] * (have[filled - 1] * base)
                 filled += step
-        if n <= 1 << 24:
+        if n <= 1 << 21:
             _powers[name] = have
     return have[:n]
 

@@ -165,7 +165,7 @@ def _cut(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBa
     """Pieces of each text, with a number among the task's own pieces of the length."""
     # Ids need no method of their own here: the library's merges make those of a pre-token that the cache lacks.
     encode = tiktoken.Encoding("own", pat_str=".+|\\s+", mergeable_ranks=bpe.tokenizers_ranks(path), special_tokens={})._encode_single_piece
-    merged = bpe.Merged(lambda piece: array("I", encode(piece)).tobytes(), 700_000)
+    merged = bpe.Merged(lambda piece: array("I", encode(piece)).tobytes(), 500_000)
     end_bytes = np.array([end_id], "<u4").tobytes()
     part = TaskContext.get().partitionId()
     seen = [0] * (capacity + 1)

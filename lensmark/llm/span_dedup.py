@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmark.llm import hashes
-from lensmark.llm.common import pieces
+from lensmark.llm.common import modest_batches, pieces
 
 #: Sentences in a run, and the fewest words that a run of so many must have. Runs of a few very short
 #: sentences repeat by chance in any large corpus and say nothing.
@@ -136,6 +136,7 @@ def drop_repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column:
     span that occurs under this id only stays in each. Rows of a null id take no part in the comparison across
     documents. Should docs have columns n_sentences or n_removed, those of the result replace them.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.drop("n_sentences", "n_removed")
     ids = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL")
     found = ids.mapInArrow(_emitted, "id long, at int, size tinyint, span long")
