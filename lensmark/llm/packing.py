@@ -18,6 +18,7 @@ Tasks number their pieces of a length from the task's own place among all tasks,
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from array import array
 from collections import defaultdict
@@ -161,11 +162,18 @@ def _plan(histogram: dict[int, int], capacity: int, most_groups: int) -> Plan:
     return rows, sequences
 
 
+@functools.lru_cache(1)
+def _merged(path: str) -> bpe.Merged:
+    """Packed ids of pre-tokens, kept for all tasks of a worker: tables and cache are not made anew for each.
+
+    Ids need no method of their own here: the library's merges make those of a pre-token that the cache lacks."""
+    encode = tiktoken.Encoding("own", pat_str=".+|\\s+", mergeable_ranks=bpe.tokenizers_ranks(path), special_tokens={})._encode_single_piece
+    return bpe.Merged(lambda piece: array("I", encode(piece)).tobytes(), 300_000)
+
+
 def _cut(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each text, with a number among the task's own pieces of the length."""
-    # Ids need no method of their own here: the library's merges make those of a pre-token that the cache lacks.
-    encode = tiktoken.Encoding("own", pat_str=".+|\\s+", mergeable_ranks=bpe.tokenizers_ranks(path), special_tokens={})._encode_single_piece
-    merged = bpe.Merged(lambda piece: array("I", encode(piece)).tobytes(), 500_000)
+    merged = _merged(path)
     end_bytes = np.array([end_id], "<u4").tobytes()
     part = TaskContext.get().partitionId()
     seen = [0] * (capacity + 1)
