@@ -82,6 +82,15 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
         return mix(out + np.uint64(k))
 
 
+def runs_at(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """The hashes that runs() gives to the runs of k items from these places."""
+    with np.errstate(over="ignore"):
+        out = h[first] * _MULT[0]
+        for i in range(1, k):
+            out = (out ^ (out >> np.uint64(29))) * _MULT[i] + h[first + i]
+        return mix(out + np.uint64(k))
+
+
 def sequence(h: np.ndarray) -> int:
     """One hash of a whole run of any length."""
     with np.errstate(over="ignore"):

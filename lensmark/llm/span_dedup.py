@@ -1,10 +1,13 @@
 """Substring dedup over sliding sentence spans.
 
-A sentence ends after a word that ends in ``.``, ``!`` or ``?``, and at a line break; one of over
-LONG words is cut at its commas, semicolons and colons too, and its parts count as sentences, so that a passage
-that starts or ends inside long sentences still holds several whole ones. Every run of three consecutive
-sentences is hashed over its words; so is a run of two, or one alone, if that has the words of a
-passage (LEAST_WORDS). Hashes meet in a
+A sentence ends after a word that ends in a stop (closing quotes and brackets may follow it), and at a
+line break; one of over LONG words is cut at its commas, semicolons and colons too, and what is still
+longer at the smallest word hashes of its windows of LONG words, so that no part has more than LONG. All
+three look at a passage's own words only, up to LONG from its edges. Parts count as sentences. Every run of
+three consecutive sentences is hashed over its words; so is a run of two, or one alone, if that has the
+words of a passage (LEAST_WORDS), and where three are too short for that, the shortest longer run from or
+to there. A passage loses at most LONG words at either edge, so one of 51 words keeps 21 in whole
+sentences, which is always a run that counts: 20 in two, 15 in more. Hashes meet in a
 global aggregate that keeps a span's smallest and largest document id, partial sums first; a span of
 several documents, or one met before within its document, is repeated, and all sentences that its
 non-first occurrences cover go.
@@ -26,11 +29,49 @@ from lensmark.llm.common import modest_batches, pieces
 #: Sentences in a run, and the fewest words that a run of so many must have. Runs of a few very short
 #: sentences repeat by chance in any large corpus and say nothing.
 LEAST_WORDS = {3: 15, 2: 20, 1: 30}
-LONG = 16
-_END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?"]] = True
-_PAUSE = np.zeros(256, bool)
-_PAUSE[[ord(c) for c in ",;:"]] = True
+#: Words in a sentence's part at most. A long run needs that many parts at most: they have LEAST_WORDS[3] words.
+LONG = 15
+_SIZES = 16
+_STOPS = tuple(c.encode() for c in ".!?…。！？．｡؟۔।॥።։။")
+_PAUSES = tuple(c.encode() for c in ",;:，、；：､،؛")
+_CLOSERS = tuple(c.encode() for c in "\"')]}*_`’”»›」』）】〉》")
+
+
+def _ends_in(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: tuple[bytes, ...]) -> np.ndarray:
+    """The length of the mark that data[start:end] ends in, 0 where in none."""
+    found = np.zeros(len(ends), np.int64)
+    for size in sorted({len(m) for m in marks}):
+        at = np.flatnonzero(ends - starts >= size)
+        code = np.zeros(len(at), np.int64)
+        for i in range(size):
+            code = code * 256 + data[ends[at] - size + i]
+        found[at[np.isin(code, [int.from_bytes(m, "big") for m in marks if len(m) == size])]] = size
+    return found
+
+
+def _bare_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where words end without the quotes and brackets that close after them."""
+    ends = ends.copy()
+    open_ = np.arange(len(ends))
+    while len(open_):
+        size = _ends_in(data, starts[open_], ends[open_], _CLOSERS)
+        open_ = open_[size > 0]
+        ends[open_] -= size[size > 0]
+    return ends
+
+
+def _least_of_windows(h: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Places of the smallest, and of these the last, of each LONG neighbours of h in one piece."""
+    n = len(h) - LONG + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    least, at = h[:n].copy(), np.zeros(n, np.int64)
+    for i in range(1, LONG):
+        lower = h[i : i + n] <= least
+        least[lower] = h[i : i + n][lower]
+        at[lower] = i
+    whole = piece[:n] == piece[LONG - 1 :]
+    return (np.arange(n) + at)[whole]
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,12 +80,15 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(starts):
         return starts, h, starts, np.zeros(len(offsets), np.int64)
     lines = np.concatenate(([0], np.cumsum((data == 0x0A) | (data == 0x0D))))
+    bare = _bare_ends(data, starts[:-1], ends[:-1])
     new = np.ones(len(starts), bool)
-    new[1:] = _END[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
+    new[1:] = (_ends_in(data, starts[:-1], bare, _STOPS) > 0) | (lines[starts[1:]] > lines[ends[:-1]])
     new[of[:-1][np.diff(of) > 0]] = True
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(starts)))
-    new[1:] |= np.repeat(count > LONG, count)[:-1] & _PAUSE[data[ends[:-1] - 1]]
+    count = np.diff(np.append(np.flatnonzero(new), len(starts)))
+    new[1:] |= np.repeat(count > LONG, count)[:-1] & (_ends_in(data, starts[:-1], bare, _PAUSES) > 0)
+    count = np.diff(np.append(np.flatnonzero(new), len(starts)))
+    long = np.flatnonzero(np.repeat(count > LONG, count))
+    new[long[_least_of_windows(h[long], (np.cumsum(new) - 1)[long])]] = True
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(starts)))
     place = (np.arange(len(starts)) - np.repeat(at, count)).astype(np.uint64)
@@ -53,6 +97,19 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts[at], hashes.mix(total + count.astype(np.uint64)), count, np.searchsorted(at, of)
 
 
+def _longer(total: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and size of the shortest runs of over three that have a run of three's words, from and to each sentence."""
+    n, least = len(total) - 1, LEAST_WORDS[3]
+    last, first = np.repeat(of[1:], np.diff(of)), np.repeat(of[:-1], np.diff(of))
+    i = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + least, "left")
+    ok = (end <= last) & (end - i > 3)
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    back = (start >= first) & (i + 1 - start > 3)
+    both = np.unique(np.concatenate((i[ok] * _SIZES + (end - i)[ok], start[back] * _SIZES + (i + 1 - start)[back])))
+    return both // _SIZES, both % _SIZES
+
+
 def spans(h: np.ndarray, count: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of sentences: text, first sentence (within all), sentences, hash; by text, then first sentence, long runs first."""
     last = np.repeat(of[1:], np.diff(of))  # the end of a sentence's text
@@ -65,6 +122,11 @@ def spans(h: np.ndarray, count: np.ndarray, of: np.ndarray) -> tuple[np.ndarray,
             at.append(first[ok])
             size.append(np.full(ok.sum(), k))
             value.append(hashes.runs(h, k)[ok])
+    first, n = _longer(total, of)
+    for k in np.unique(n):
+        at.append(first[n == k])
+        size.append(np.full(len(at[-1]), k))
+        value.append(hashes.runs_at(h, at[-1], int(k)))
     if not at:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     at, size, value = np.concatenate(at), np.concatenate(size), np.concatenate(value)
@@ -103,9 +165,9 @@ def _cleaned(batches, names: list[str]) -> Iterator[pa.RecordBatch]:
                 gone[at[i] + size[i]] -= 1
             for i in range(first, end):
                 for m in marks[i] or ():
-                    j = of[i - first] + (m >> 2)
+                    j = of[i - first] + m // _SIZES
                     gone[j] += 1
-                    gone[j + (m & 3)] -= 1
+                    gone[j + m % _SIZES] -= 1
             drop = np.cumsum(gone)[:-1] > 0
             buffer = data.tobytes()
             for i in range(end - first):
@@ -142,7 +204,7 @@ def drop_repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column:
     found = ids.mapInArrow(_emitted, "id long, at int, size tinyint, span long")
     seen = found.groupBy("span").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     covered = found.join(seen, "span").filter("id > first")
-    marks = covered.groupBy("id").agg(F.collect_list((F.col("at") * 4 + F.col("size")).cast("int")).alias("marks"))
+    marks = covered.groupBy("id").agg(F.collect_list((F.col("at") * _SIZES + F.col("size")).cast("int")).alias("marks"))
     marks = marks.withColumnsRenamed({"id": "__id", "marks": "__marks"})
     joined = docs.join(marks, docs[id_column].cast("long") == marks["__id"], "left").drop("__id")
     joined = joined.withColumnRenamed(text_column, "__text")

@@ -41,6 +41,52 @@ def test_long_sentences_are_cut_at_pauses(spark):
     assert left <= 16
 
 
+def test_passages_of_51_words_share_a_run_wherever_they_are_set():
+    rng = random.Random(3)
+
+    def passage(style):
+        w = [f"p{rng.randrange(10**6)}" for _ in range(51)]
+        for i in range(51):
+            if style == "short" and i % 3 == 2 or style == "mixed" and rng.random() < 0.1:
+                w[i] += "."
+            elif style == "quoted" and i % 6 == 5:
+                w[i] += ".”"
+            elif style == "other" and i % 6 == 5:
+                w[i] += "。"
+            elif style in ("pauses", "mixed") and rng.random() < 0.1:
+                w[i] += ","
+        return " ".join(w)
+
+    def host(n):
+        return " ".join(f"h{rng.randrange(10**6)}" + rng.choice(["", "", "", "", ",", "."]) for _ in range(n))
+
+    def runs(text):
+        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        _, h, count, of = span_dedup.sentences(data, offsets)
+        assert count.max() <= span_dedup.LONG
+        return set(span_dedup.spans(h, count, of)[3].tolist())
+
+    for style in ["plain", "short", "mixed", "quoted", "other", "pauses"]:
+        for _ in range(100):
+            p = passage(style)
+            one, two = (f"{host(rng.randrange(30))} {p} {host(rng.randrange(30))}" for _ in range(2))
+            assert runs(one) & runs(two), (style, one, two)
+        assert not runs(host(60)) & runs(host(60))
+
+
+def test_mark_free_passages_go(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(51)
+    short = " ".join(f"{w}{'.' if i % 3 == 2 else ''}" for i, w in enumerate(words(51).split()))
+    rows = [(i, f"{words(7)} {p} {words(9)}") for i, p in enumerate([passage, passage, short, short])]
+    got = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and got[2] == rows[2][1]
+    for i, p, least in ((1, passage, 21), (3, short, 45)):
+        left = got[i].split()
+        assert sum(w in set(p.split()) for w in left) <= 51 - least and sum(w in rows[i][1].split()[:7] + rows[i][1].split()[-9:] for w in left) == 16
+
+
 def test_license_scan(spark):
     apache, mit = licences.TEMPLATES["Apache-2.0 header"], licences.TEMPLATES["MIT"]
     words = mit.split()
