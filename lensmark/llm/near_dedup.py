@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     return out
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the rows that near_duplicates() does not keep."""
     lost = near_duplicates(docs, k, percent, id_column=id_column, text_column=text_column).filter("NOT kept").select(id_column).distinct()
     return docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, id_column, "left_anti").select(docs.columns)

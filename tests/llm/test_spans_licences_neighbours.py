@@ -175,3 +175,12 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
             assert o == at
             at += n
         assert at <= 2048
+
+
+def test_near_stage_takes_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"n{i}" for i in range(42)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]])), (3, " ".join([*words, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 2}  # 0.81 by four words, 0.77 by five
