@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lensmark.llm.common import Scratch
 from lensmark.llm.near_dedup import BROADCAST_IDS
 
 SALTS = 8
+#: Pairs of id and digest that are broadcast: five times an id's bytes each.
+BROADCAST_PAIRS = BROADCAST_IDS // 5
 
 
 def normalised(text):
@@ -49,7 +52,25 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates() does not keep."""
-    lost = exact_duplicates(docs, id_column, text_column).filter("NOT kept").select(id_column)
-    lost = lost.distinct()
-    return docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, id_column, "left_anti").select(docs.columns)
+    """docs with one row of each group of equal texts: one of those with the largest id.
+
+    Rows are told apart by id and text, so that other texts under a lost row's id stay. Of rows that repeat the
+    id and the text any one stays; so of a group of null ids only.
+    """
+    scratch = Scratch(docs.sparkSession)
+    key = [F.col(id_column).cast("long").alias("__id"), F.unhex(F.sha2(normalised(F.col(text_column)), 256)).alias("__digest")]
+    rows = exact_duplicates(docs, id_column, text_column).select(F.col(id_column).alias("id"), F.unhex("text_sha256").alias("digest"), "kept")
+    pairs = rows.groupBy("id", "digest", "kept").agg(F.count("*").alias("n")).filter("NOT kept OR n > 1")
+    pairs = scratch.save(pairs.select("id", "digest", "kept"), "copies")
+
+    def met(side: DataFrame, few: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(few) if few.count() <= BROADCAST_PAIRS else few
+        return side.join(few, side["__id"].eqNullSafe(few["id"]) & (side["__digest"] == few["digest"]), how)
+
+    keyed = docs.select("*", *key)
+    lost, repeated = pairs.filter("NOT kept").drop("kept"), pairs.filter("kept").drop("kept")
+    if repeated.isEmpty():
+        return met(keyed, lost, "left_anti").select(docs.columns)
+    single = met(keyed, pairs.drop("kept"), "left_anti")
+    one = met(keyed, repeated, "left_semi").dropDuplicates(["__id", "__digest"])
+    return single.unionByName(one).select(docs.columns)

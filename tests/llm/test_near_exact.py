@@ -124,3 +124,16 @@ def test_exact_duplicates(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     kept = [r[0] for r in exact_dedup.drop_exact_duplicates(df.filter("doc_id < 6")).orderBy("doc_id").collect()]
     assert kept == [4, 5]
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "pq"]
+    rows = [(1, "same"), (1, "other"), (2, "Same"), (3, "twice"), (3, "twice"), (None, "same"), (None, "alone"), (None, "ALONE"), (4, "twice"), (5, None), (5, ""), (5, "five")]
+    df = spark.createDataFrame([(*r, "z", 1, "q") for r in rows], SCHEMA)
+    kept = sorted(((r[0] or -1, lower(r[1])) for r in exact_dedup.drop_exact_duplicates(df).collect()))
+    assert kept == [(-1, "alone"), (1, "other"), (2, "same"), (4, "twice"), (5, ""), (5, "five")]
+    only = spark.createDataFrame([(3, "twice", "a"), (3, "twice", "b")], "doc_id long, text string, row string")
+    assert exact_dedup.drop_exact_duplicates(only).count() == 1
+    near = [(1, long[0]), (2, long[0] + " end"), (2, long[1]), (3, "end " + long[1]), (None, long[0] + " null"), (4, "four words of text")]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [near[0], near[2], near[5]]
