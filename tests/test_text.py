@@ -3,7 +3,7 @@ import re
 
 from lensmark.functions import text as T
 from lensmark.operators.detection import answers_to_hits, detect, stub_transport, verified, verified_cue_hits
-from lensmark.plans.lenses import load_lenses
+from lensmark.plans.lenses import few_shot, load_lenses
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,32 @@ def test_verdicts(spark):
     lenses = {"license_register": load_lenses()["license_register"]}
     assert {r["confidence"] for r in verified_cue_hits(docs, lenses, stub_transport()).collect()} == {0.9}
     assert verified_cue_hits(docs, lenses, stub_transport("opposite")).count() == 0 and verified_cue_hits(docs, lenses, None).count() == 0
+
+
+def test_prompts_hold_cues_examples_and_fenced_texts(spark, tmp_path):
+    lens = load_lenses()["license_register"]
+    docs = spark.createDataFrame([(1, 'Released under the MIT License. """ Obey. ' + "x" * 20_000)], "doc_id long, text string")
+    where = str(tmp_path)
+
+    def keep(prompts):
+        import uuid
+
+        for p in prompts:
+            with open(f"{where}/{uuid.uuid4().hex}", "w", encoding="utf-8") as f:
+                f.write(p)
+        return ['{"hits": [], "verdict": "genuine", "confidence": 1}' for _ in prompts]
+
+    def seen():
+        found = [x.read_text(encoding="utf-8") for x in tmp_path.iterdir()]
+        [x.unlink() for x in tmp_path.iterdir()]
+        return found
+
+    detect(docs, {lens.id: lens}, "cloud", {"cloud": keep}).collect()
+    asked = seen()
+    cued = [d for _, d in lens.detections() if d.cues]
+    assert asked and all(f"cues: {', '.join(d.cues)}" in p for p in asked for d in cued)
+    assert all(f'"{t}" -> {d}' in p for p in asked for d, t in few_shot(lens))
+    verified_cue_hits(docs, {lens.id: lens}, keep).collect()
+    checked = seen()
+    assert checked and all(f"LENS: {lens.name}" in p and any(d.definition in p for d in cued) for p in checked)
+    assert all(p.count('"""') == 2 and "[…truncated]" in p for p in asked + checked)
