@@ -13,6 +13,7 @@ import base64
 import functools
 import heapq
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -237,3 +238,33 @@ def merged_texts(data: np.ndarray, offsets: np.ndarray, merged: Merged) -> list[
     values = list(map(merged.__getitem__, map(buffer.__getitem__, map(slice, at, at[1:]))))
     cut = np.searchsorted(starts, offsets).tolist()
     return [values[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+
+class AddedTokens:
+    """The tokens that the tokenizers library cuts out of a text before all else."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f).get("added_tokens") or []
+        if any(t.get(k) for t in known for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.ids = {t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in known}
+        self.pattern = re.compile(b"|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) or b"(?!)")
+
+    def merged_texts(self, data: np.ndarray, offsets: np.ndarray, merged: Merged) -> list[list]:
+        """merged_texts() with these tokens' packed ids in their places."""
+        buffer = data.tobytes()
+        if not self.pattern.search(buffer):
+            return merged_texts(data, offsets, merged)
+        cuts, tokens, owner = [0], {}, []  # ends of parts, ids by part, text by part
+        for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+            for m in self.pattern.finditer(buffer, a, b):
+                tokens[len(cuts)] = self.ids[m.group()]
+                cuts += m.span()
+                owner += (i, i)
+            cuts.append(b)
+            owner.append(i)
+        out: list[list] = [[] for _ in offsets[1:]]
+        for j, (i, parts) in enumerate(zip(owner, merged_texts(data, np.array(cuts), merged), strict=True)):
+            out[i] += [tokens[j]] if j in tokens else parts
+        return out

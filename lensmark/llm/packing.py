@@ -8,7 +8,7 @@ plan is made on the driver from at most ``capacity`` counts, however many docume
 2. Configurations of these few sizes are optimised: the cutting-stock linear programme is solved by
    column generation and rounded down.
 3. Actual lengths take the slots, in runs of equal lengths: the longest that fits a slot and the room
-   that rounding has left in the sequence so far.
+   that rounding has left in the sequence so far; the last two slots take the pair that fills it best.
 4. What is left, small ones mostly, goes longest first to the fullest sequences that still fit.
 
 The plan says, for ranges of ranks within a length, which sequences they fill and at which offset.
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from lensmark.llm import bpe
 from lensmark.llm.common import Scratch, pieces
 
-GROUPS = 80
-ROUNDS = 400
+GROUPS, ROUNDS = 80, 600
+#: Lengths over capacity // SMALL are large.
+SMALL = 8
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -44,25 +45,28 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     if not k:
         return []
     patterns = np.diag(capacity // sizes).astype(float)
+    every = np.arange(capacity + 1)
     for _ in range(ROUNDS):
         inverse = np.linalg.inv(patterns)
         use = inverse @ demand
         worth = inverse.sum(0)  # dual prices: every pattern costs one sequence
-        best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(sizes.min()), capacity + 1):
-            fits = np.flatnonzero(sizes <= c)
-            value = best[c - sizes[fits]] + worth[fits]
-            i = int(np.argmax(value))
-            best[c], last[c] = (value[i], fits[i]) if value[i] > best[c - 1] else (best[c - 1], -1)
-        if best[capacity] <= 1 + 1e-6:
+        # The most worth in each room, a slot at a time, and which size the slot takes (-1: none).
+        value, slots = np.zeros(capacity + 1), []
+        for _ in range(capacity // int(sizes.min())):
+            options = np.full((k, capacity + 1), -np.inf)
+            for i, s in enumerate(sizes):
+                options[i, s:] = value[: capacity + 1 - s] + worth[i]
+            taken = options.argmax(0)
+            best = options[taken, every]
+            slots.append(np.where(best > value, taken, -1))
+            value = np.maximum(best, value)
+        if value[capacity] <= 1 + 1e-6:
             break
-        new, c = np.zeros(k), capacity
-        while c > 0:
-            if last[c] < 0:
-                c -= 1
-            else:
-                new[last[c]] += 1
-                c -= sizes[last[c]]
+        new, room = np.zeros(k), capacity
+        for taken in reversed(slots):
+            if taken[room] >= 0:
+                new[taken[room]] += 1
+                room -= sizes[taken[room]]
         direction = inverse @ new
         ratio = np.full(k, np.inf)
         np.divide(use, direction, out=ratio, where=direction > 1e-9)
@@ -74,18 +78,44 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return [(patterns[:, j].astype(int), int(use[j] + 1e-9)) for j in range(k) if use[j] >= 1]
 
 
-Plan = tuple[list[tuple[int, int, int, int, int, int]], int]
+def substitutes(slots: list[int], capacity: int, rising: list[int], left: dict[int, int]) -> list[int]:
+    """Actual lengths for a configuration's slots (sizes, longest first): each takes the longest that fits it and the
+    room that earlier ones left; the last two take the pair that fills this room best, of such pairs one with a long first."""
+    heads: list[int] = []
+    room = capacity - sum(slots)
+    known = np.array(rising)
 
+    def take(n: int) -> bool:
+        free = left[n] > heads.count(n)
+        if free:
+            heads.append(n)
+        return free
 
-def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Rows (length, first rank, end rank, first sequence, pieces of it a sequence, offset), and the number of sequences.
+    for i, size in enumerate(slots):
+        room += size
+        end = bisect.bisect_right(rising, room)
+        if i == len(slots) - 2 and end:
+            first = known[:end][::-1]
+            second = np.searchsorted(known, room + slots[-1] - first, "right") - 1
+            first, second = first[second >= 0], second[second >= 0]
+            gap = room + slots[-1] - first - known[second]
+            for j in np.argsort(gap, kind="stable")[:8]:
+                if take(int(first[j])):
+                    if take(int(known[second[j]])):
+                        return heads
+                    heads.pop()
+        while end and not take(rising[end - 1]):
+            end -= 1
+        if end:
+            room -= rising[end - 1]
+    return heads
 
-    With few pieces rounding can cost more than it gains: best fit alone is tried too, the fewer sequences win.
-    """
-    return min((_plan(histogram, capacity, k) for k in (GROUPS, 0)), key=lambda x: x[1])
+
+Plan = tuple[list[tuple[int, int, int, int, int, int]], int]
 
 
-def _plan(histogram: dict[int, int], capacity: int, most_groups: int) -> Plan:
+def plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Rows (length, first rank, end rank, first sequence, pieces of it a sequence, offset), and the number of sequences."""
     rows: list[tuple[int, int, int, int, int, int]] = []
     left = {n: c for n, c in histogram.items() if n < capacity}
     taken: dict[int, int] = defaultdict(int)
@@ -94,34 +124,22 @@ def _plan(histogram: dict[int, int], capacity: int, most_groups: int) -> Plan:
         rows.append((capacity, 0, sequences, 0, 1, 0))
     free: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by free room: first sequence and count
 
-    large = sorted((n for n in left if n > capacity // 8), reverse=True)
+    large = sorted((n for n in left if n > capacity // SMALL), reverse=True)
     total = sum(left[n] for n in large)
     groups: list[list[int]] = []
-    if total and most_groups:
-        seen = 0
-        for n in large:  # a length stays whole, so groups are of equal cardinality up to one length
-            if not groups or seen * most_groups >= total * len(groups):
-                groups.append([])
-            groups[-1].append(n)
-            seen += left[n]
+    seen = 0
+    for n in large:  # a length stays whole, so groups are of equal cardinality up to one length
+        if not groups or seen * GROUPS >= total * len(groups):
+            groups.append([])
+        groups[-1].append(n)
+        seen += left[n]
     sizes = np.array([g[0] for g in groups], int)
     demand = np.array([sum(left[n] for n in g) for g in groups], float)
     rising = sorted(large)
     for pattern, times in configurations(sizes, demand, capacity):
-        slots = [g for g in range(len(groups)) for _ in range(pattern[g])]
+        slots = np.repeat(sizes, pattern).tolist()
         done = 0
-        while done < times:
-            heads, slack = [], capacity - sum(int(sizes[g]) for g in slots)
-            for g in slots:  # a slot takes the longest that fits it and the room that earlier ones left
-                slack += int(sizes[g])
-                i = bisect.bisect_right(rising, slack) - 1
-                while i >= 0 and left[rising[i]] <= heads.count(rising[i]):
-                    i -= 1
-                if i >= 0:
-                    heads.append(rising[i])
-                    slack -= rising[i]
-            if not heads:
-                break
+        while done < times and (heads := substitutes(slots, capacity, rising, left)):
             run = min([times - done, *(left[n] // heads.count(n) for n in heads)])
             offset = 0
             for n in heads:
@@ -174,6 +192,7 @@ def _merged(path: str) -> bpe.Merged:
 def _cut(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each text, with a number among the task's own pieces of the length."""
     merged = _merged(path)
+    added = bpe.AddedTokens(path)
     end_bytes = np.array([end_id], "<u4").tobytes()
     part = TaskContext.get().partitionId()
     seen = [0] * (capacity + 1)
@@ -181,7 +200,7 @@ def _cut(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBa
         ids = batch.column(0)
         for first, _, data, offsets in pieces(batch.column(1)):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, parts in enumerate(bpe.merged_texts(data, offsets, merged)):
+            for i, parts in enumerate(added.merged_texts(data, offsets, merged)):
                 parts.append(end_bytes)
                 whole = b"".join(parts)
                 n = len(whole) // 4
@@ -204,10 +223,11 @@ def _cut(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBa
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    path: a byte-level BPE in the tokenizers library's JSON that executors can read. A document is its text's ids and
-    end_id; only longer ones than ``capacity`` are cut, the first piece being the odd one. A null text counts as
-    empty: one piece, end_id alone. Null and repeated ids pass through, one document a row; other columns are ignored;
-    an empty table gives an empty result.
+    path: a byte-level BPE in the tokenizers library's JSON that executors can read; its added tokens are one id each, as
+    the library has them. A document is its text's ids and end_id; only longer ones than ``capacity`` are cut, the first piece
+    being the odd one: a very long text gives as many pieces as it needs. A null text counts as empty: one piece, end_id alone.
+    Null and repeated ids pass through, one document a row. Pieces of equal length are alike to the packer: which of them
+    takes which place follows from the order of rows. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

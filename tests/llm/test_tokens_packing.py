@@ -53,9 +53,13 @@ def test_encode_and_decode(spark, library):
     want = []
     for i, t, _ in rows:
         ids = library.encode_ordinary(t or "")
-        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), ids))
+        at = np.cumsum([0, *(len(library.decode_single_token_bytes(x)) for x in ids)])[:-1].tolist()
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), ids, at))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert sorted((r[1] for r in tokens.decode(got, RANKS).collect())) == sorted(t or "" for _, t, _ in rows)
+    part = got.filter("doc_id IS NOT NULL").selectExpr("doc_id", "slice(ids, 2, 5) ids", "slice(offsets, 2, 5) offsets")
+    by = {(i, t): library.decode_bytes(library.encode_ordinary(t or "")[1:6]).decode("utf-8", "replace") for i, t, _ in rows if i is not None}
+    assert sorted(map(tuple, tokens.decode(part, RANKS).collect())) == sorted((i, x) for (i, _), x in by.items())
     assert tokens.encode(df.limit(0), RANKS).count() == 0
 
 
@@ -82,9 +86,24 @@ def whole(histogram, capacity=2048):
     return n
 
 
+def best_fit_alone(histogram, capacity=2048):
+    """Sequences of best fit, longest first."""
+    rooms, n = Counter(), 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            room = min((r for r in rooms if r >= length), default=None)
+            if room is None:
+                room, n = capacity, n + 1
+            else:
+                rooms[room] -= 1
+                rooms += Counter()
+            rooms[room - length] += 1
+    return n
+
+
 def test_plan_places_all_and_wastes_little():
     rng = np.random.default_rng(0)
-    for n, slack in ((1, 1), (30, 1.2), (3000, 1.01), (40000, 1.005)):
+    for n, slack in ((1, 1), (30, 1.2), (3000, 1.002), (40000, 1.0005)):
         lengths = (np.clip(rng.lognormal(6.5, 0.9, n).astype(int), 1, None) - 1) % 2048 + 1
         least = -(-int(lengths.sum()) // 2048)
         assert whole(Counter(lengths.tolist())) <= max(least + 1, slack * least)
@@ -92,13 +111,20 @@ def test_plan_places_all_and_wastes_little():
     assert packing.plan({}, 2048) == ([], 0)
 
 
+def test_plan_needs_no_more_sequences_than_best_fit():
+    rng = np.random.default_rng(1)
+    for n, low, high in ((200, 1, 2048), (1500, 300, 1400), (1500, 600, 1100), (800, 1, 300)):
+        lengths = Counter(rng.integers(low, high, n).tolist())
+        assert whole(lengths) <= best_fit_alone(lengths)
+
+
 def test_pack_against_the_library(spark):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice("abcdef gh\n é") for _ in range(rng.choice((3, 90, 900, 9000)))), "c") for i in range(60)] + [(None, None, "c"), (3, "", "c"), (9, "same", "c"), (10, "same", "c")]
+    rows += [(20 + i, t, "c") for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|", "x\n<|endoftext|>  c d" * 700])]
     df = spark.createDataFrame(rows, "doc_id long, text string, part string")
     got = packing.pack(df, JSON)
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     want, total = [], 0
     for i, t, _ in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
