@@ -101,6 +101,15 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def numbered(docs: DataFrame, id_column: str, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with a long column that tells rows apart in the order of ids, and its name: the ids themselves where they are
+    unique longs; where they repeat or are null, numbers of a written table's rows, null ids last."""
+    if docs.groupBy(id_column).count().filter(F.col(id_column).isNull() | (F.col("count") > 1)).isEmpty():
+        return docs, id_column
+    row = free_name(docs, "row")
+    return scratch.save(docs.orderBy(F.col(id_column).cast("long").asc_nulls_last()).withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

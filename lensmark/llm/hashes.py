@@ -11,6 +11,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 _VALUES = np.random.default_rng(20250101).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_VALUES = np.random.default_rng(20250202).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = np.random.default_rng(7).integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
@@ -46,12 +47,12 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for each span."""
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """Hashes of data[start:end] for each span. other: by a second function, independent of the first."""
     n = len(data)
     with np.errstate(over="ignore"):
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[data] * _power("up", BASE, n), out=prefix[1:])
+        np.cumsum((_OTHER_VALUES if other else _VALUES)[data] * _power("up", BASE, n), out=prefix[1:])
         return mix((prefix[ends] - prefix[starts]) * _power("down", INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -82,15 +83,6 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
         return mix(out + np.uint64(k))
 
 
-def runs_at(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """The hashes that runs() gives to the runs of k items from these places."""
-    with np.errstate(over="ignore"):
-        out = h[first] * _MULT[0]
-        for i in range(1, k):
-            out = (out ^ (out >> np.uint64(29))) * _MULT[i] + h[first + i]
-        return mix(out + np.uint64(k))
-
-
 def sequence(h: np.ndarray) -> int:
     """One hash of a whole run of any length."""
     with np.errstate(over="ignore"):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmark.llm import hashes
-from lensmark.llm.common import Scratch, arrow_rows, free_name, pieces
+from lensmark.llm.common import Scratch, arrow_rows, numbered, pieces
 from lensmark.llm.components import components
 
 BANDS, ROWS, STEP = 32, 4, 16
@@ -232,9 +232,6 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_colu
     Where ids repeat or are null, rows are compared by numbers of their own in the order of ids, nulls last: each row is a
     document, and of a group one row of the smallest id stays.
     """
-    own, row = docs, id_column
-    if not docs.groupBy(id_column).count().filter(F.col(id_column).isNull() | (F.col("count") > 1)).isEmpty():
-        row = free_name(docs, "row")
-        own = Scratch(docs.sparkSession).save(docs.orderBy(F.col(id_column).cast("long").asc_nulls_last()).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    own, row = numbered(docs, id_column, Scratch(docs.sparkSession))
     lost = near_duplicates(own, k, percent, id_column=row, text_column=text_column).filter("NOT kept").select(row).distinct()
     return own.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, row, "left_anti").select(docs.columns)

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from lensmark.llm import licences, neighbours, span_dedup
+from lensmark.llm import hashes, licences, neighbours, span_dedup
 
 
 def prose(rng, n):
@@ -18,18 +18,86 @@ def test_repeated_passages_go_and_clean_texts_stay(spark):
     rows = [(i, prose(rng, 6)) for i in range(20)]
     rows += [(100, f"{prose(rng, 2)} {passage} {prose(rng, 2)}"), (101, f"{prose(rng, 2)}\n{passage}\n{prose(rng, 2)}"), (102, passage), (103, long), (104, None), (105, ""), (106, "One. Two. One. Two."), (107, "One. Two. One. Two."), (None, passage)]
     rows += [(108, f"start. {passage} {passage} end.")]
-    df = spark.createDataFrame([(*r, 1, "m") for r in rows], "doc_id long, text string, n_removed int, id string")
-    got = {r["doc_id"]: r for r in span_dedup.drop_repeated_spans(df).collect()}
-    assert len(got) == len(rows) and span_dedup.drop_repeated_spans(df).columns == ["doc_id", "text", "id", "n_sentences", "n_removed"]
+    df = spark.createDataFrame([(*r, 1, "m", "n") for r in rows], "doc_id long, text string, n_removed int, id string, MARKS string")
+    out = span_dedup.drop_repeated_spans(df)
+    assert out.columns == ["doc_id", "text", "n_removed", "id", "MARKS", "n_sentences", "n_removed_"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(rows) and all(r["n_removed"] == 1 and r["MARKS"] == "n" for r in got.values())
     before = dict(rows)
-    for i in [*range(20), 100, 103, 104, 105, 106, 107, None]:
-        assert got[i]["text"] == before[i] and got[i]["n_removed"] == 0
+    for i in [*range(20), 100, 103, 104, 105, 106]:
+        assert got[i]["text"] == before[i] and got[i]["n_removed_"] == 0
     flat = lambda s: re.sub(r"\s+", " ", s).strip()
-    assert flat(got[101]["text"]) == flat(before[101].replace(passage, "")) and got[102]["text"] == ""
-    assert flat(got[108]["text"]) == "start. end." and got[102]["n_removed"] == got[101]["n_removed"] == 8
+    assert flat(got[101]["text"]) == flat(before[101].replace(passage, "")) and got[102]["text"] == got[None]["text"] == got[107]["text"] == ""
+    assert flat(got[108]["text"]) == "start. end." and got[102]["n_removed_"] == got[101]["n_removed_"] == 8 and got[104]["n_sentences"] == 0
     assert span_dedup.drop_repeated_spans(df.limit(0)).count() == 0
 
 
+def slow_parts(text):
+    """Sentences of a text by the rules, word by word: start and words of each."""
+    found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    data = text.encode()
+    order = np.argsort(hashes.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=False)[2], kind="stable")
+    rank = {int(w): r for r, w in enumerate(order)}  # the smallest word hash of a window has the smallest rank
+    closers = "\"')]}*_`’”»›」』）】〉》"
+
+    def groups(breaks):
+        cuts = [0, *(i for i in range(1, len(found)) if i in breaks), len(found)]
+        return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+    bare = [w.rstrip(closers) for _, _, w in found]
+    breaks = {i for i in range(1, len(found)) if bare[i - 1].endswith(tuple(".!?…。！？．｡؟۔।॥։")) or re.search("[\r\n]", text[found[i - 1][1] : found[i][0]])}
+    for a, b in groups(set(breaks)):
+        if b - a > 15:
+            breaks |= {i for i in range(a + 1, b) if bare[i - 1].endswith(tuple(",;:，、；：､،؛"))}
+    for a, b in groups(set(breaks)):
+        for i in range(a, b - 14) if b - a > 15 else ():
+            least = min(range(i, i + 15), key=lambda j: (rank[j], -j))
+            same = [j for j in range(i, i + 15) if found[j][2] == found[least][2]]
+            breaks.add(max(same))
+    return [(found[a][0], tuple(w for _, _, w in found[a:b])) for a, b in groups(breaks)]
+
+
+def slow_dedup(rows):
+    """Texts by id: every run is looked up among all runs."""
+    parts = {i: slow_parts(t) for i, t in rows}
+    seen, gone = {}, {i: set() for i, _ in rows}
+    for i, _ in sorted(rows):
+        for a in range(len(parts[i])):
+            for k in (2, 3):
+                run = [w for _, w in parts[i][a : a + k]]
+                if len(run) == k and (k == 3 or sum(map(len, run)) >= 20):
+                    if (key := tuple(run)) in seen:
+                        gone[i] |= set(range(a, a + k))
+                    seen[key] = True
+    out = {}
+    for i, t in rows:
+        starts = [s for s, _ in parts[i]] + [len(t)]
+        out[i] = t[: starts[0]] + "".join(t[starts[j] : starts[j + 1]] for j in range(len(parts[i])) if j not in gone[i]) if gone[i] else t
+    return out
+
+
+def test_span_dedup_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    few = [f"s{i}" for i in range(12)]
+
+    def sentence():
+        n = rng.choice((1, 2, 3, 8, 14, 22, 40))
+        w = [rng.choice(few) if rng.random() < 0.2 else f"r{rng.randrange(10**6)}" for _ in range(n)]
+        return " ".join(x + rng.choice(["", "", "", "", "", ",", ";"]) for x in w) + rng.choice([".", "!", ".”", "。", "\n", " —"])
+
+    pool = [sentence() for _ in range(60)]
+    pool += ["Yes.", "No.", "And so on."]
+    rows = [(i * 7 % 401, rng.choice(["", " ", "\n"]) + " ".join(rng.choice(pool) if rng.random() < 0.7 else sentence() for _ in range(rng.randrange(12)))) for i in range(150)]
+    rows += [(500 + i, rows[3][1]) for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = slow_dedup(rows)
+    assert got == want and sum(want[i] != t for i, t in rows) > 30
+
+
 def test_long_sentences_are_cut_at_pauses(spark):
     rng = random.Random(2)
     clause = lambda: " ".join(f"v{rng.randrange(9000)}" for _ in range(8))
@@ -64,7 +132,7 @@ def test_passages_of_51_words_share_a_run_wherever_they_are_set():
         data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
         _, h, count, of = span_dedup.sentences(data, offsets)
         assert count.max() <= span_dedup.LONG
-        return set(span_dedup.spans(h, count, of)[3].tolist())
+        return set(map(tuple, span_dedup.spans(h, count, of)[3].T.tolist()))
 
     for style in ["plain", "short", "mixed", "quoted", "other", "pauses"]:
         for _ in range(100):
