@@ -1,15 +1,17 @@
 """License scans by MinHash bands over overlapping text windows, in DataFrame functions only.
 
-Texts are cut into lower-cased words and these into shingles of five. Templates of more than WINDOW
-shingles are met by windows of WINDOW shingles at every half window of the text: each window's
-minima under HASHES permutations are its bands (one row a band, so windows of similarity 0.8 to one
-of the template's windows, taken at every offset, share a band with probability 0.998, and equal windows
-always). Shorter templates are met by windows of one shingle, whose minimum is the shingle itself. Documents that share a band with
-a template are then compared on full shingle sets: a match holds LEAST of the template's shingles.
+Texts are cut into lower-cased words and these into shingles of five. Windows of shingles overlap by half or more;
+a window's minima under some permutations are its bands, one row a band. A template is banded at every offset, in windows
+of the widest kind of BANDS of which a text's window lies within any unbroken LEAST of the template, wherever that is set in
+the text. Such a window is equal in both, so the two share its bands for certain: all matches of which only the ends are
+changed are retrieved. With changes inside, a window of similarity s shares one of h bands with probability 1 - (1 - s)^h, and a
+match has many windows. Documents that share a band with a template are then compared on full shingle sets: a match holds LEAST of
+the template's shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +19,13 @@ from pyspark.sql import functions as F
 
 from lensmark.llm.common import Scratch
 
-SHINGLE, WINDOW, HASHES = 5, 12, 4
-STRIDE = WINDOW // 2
-LEAST = 0.8
+SHINGLE, LEAST = 5, 0.8
+#: Kinds of windows: width in shingles, step in a text (half the width), and permutations. Short templates can't be changed
+#: inside and match, so one permutation does.
+BANDS = [(1, 1, 1), (2, 1, 1), (4, 2, 1), (8, 4, 4)]
 #: Permutations of 64-bit hashes: exclusive or with these.
 _PERMUTE = [0x1B873593CC9E2D51, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x6C8E9CF570932BD5]
-#: Above so many candidates, they are joined by shuffle rather than broadcast.
+#: Above so many documents with candidates, these are joined by shuffle rather than broadcast (about 100 bytes each).
 BROADCAST_CANDIDATES = 500_000
 
 # Notices by which texts declare public licenses, as their stewards word them.
@@ -85,61 +88,59 @@ def shingles(text: Column) -> Column:
     return let(words(text), of)
 
 
-def bands(s: Column, step: int) -> Column:
-    """The minima of all windows that start at every ``step`` shingles of s, under each permutation. At a step of STRIDE a window is
-    two blocks of which the last may be short; short texts have one window."""
-    n, width = F.size(s), STRIDE if step == STRIDE else WINDOW
+def kind_for(n: int) -> int:
+    """The widest kind of BANDS for a template of n shingles."""
+    whole = math.ceil(LEAST * n - 1e-9)
+    return max(i for i, (width, step, _) in enumerate(BANDS) if whole >= width + step - 1)
+
+
+def bands(s: Column, kind: int, every: bool = False) -> Column:
+    """Minima of a kind's windows over shingles s (not null, not empty) under all its permutations, marked by kind, in one array. A
+    window is two blocks of ``step`` shingles, so windows overlap by half; every: windows at every offset instead. The last windows,
+    and that of a short text, hold what there is."""
+    width, step, permutations = BANDS[kind]
+    n, block = F.size(s), width if every else step
 
     def minima(c: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(n - (0 if step == STRIDE else WINDOW - 1), F.lit(1)), F.lit(step))
-        least = F.transform(starts, lambda i: F.array_min(F.transform(F.slice(s, i, width), lambda x: x.bitwiseXOR(F.lit(c)))))
-        if step != STRIDE:
+        c ^= kind * 0x1000193
+        if block == 1:
+            least = F.transform(s, lambda x: x.bitwiseXOR(F.lit(c)))
+        else:
+            starts = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)) if every else n, F.lit(1 if every else step))
+            least = F.transform(starts, lambda i: F.array_min(F.transform(F.slice(s, i, block), lambda x: x.bitwiseXOR(F.lit(c)))))
+        if block == width:
             return least
-        return let(least, lambda m: F.zip_with(m, F.slice(F.concat(m, F.array(F.lit(None).cast("bigint"))), F.lit(2), F.size(m)), lambda x, y: F.least(x, y)))
+        return let(least, lambda m: F.zip_with(m, F.slice(m, F.lit(2), F.size(m)), lambda x, y: F.least(x, y)))
 
-    return F.concat(*map(minima, _PERMUTE[:HASHES]))
+    return F.concat(*map(minima, _PERMUTE[:permutations]))
 
 
 def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    own = spark.createDataFrame(sorted(templates.items()), "id string, text string")
-    s = F.col("s")
-    own = own.select(F.col("id").alias("license"), shingles(F.col("text")).alias("s")).filter(F.size("s") > 0)
-    return own.select("license", F.array_distinct("s").alias("template"), F.when(F.size("s") <= WINDOW, s).otherwise(bands(s, 1)).alias("keys"))
+    own = spark.createDataFrame([(i, *t) for i, t in enumerate(sorted(templates.items()))], "n int, id string, text string")
+    own = own.select("n", F.col("id").alias("license"), shingles(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    sizes = {r[0] for r in own.select(F.size("s")).distinct().collect()}
+    keys = F.coalesce(*(F.when(F.size("s") == n, bands(F.col("s"), kind_for(n), True)) for n in sorted(sizes)), F.array().cast("array<bigint>"))
+    return own.select("n", "license", F.array_distinct("s").alias("template"), keys.alias("keys"))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document and license whose template it holds: id, license, n_matched (distinct shingles of the template found),
     containment, and position (of the word, from 1, at which the template's first found shingle first starts).
 
-    Null, empty and short texts hold nothing; rows that repeat an id are matched on their own, each giving a row; rows of a null id
-    are left out. Templates of fewer than five words never match. An empty table gives an empty result.
+    Null, empty and short texts hold nothing, very long ones are scanned whole; rows that repeat an id are matched on their own, each
+    giving a row; rows of a null id are left out. Templates of fewer than five words never match, of equal ones each does. An empty
+    table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    known = _templates(spark, TEMPLATES if templates is None else templates)
+    known = _templates(docs.sparkSession, TEMPLATES if templates is None else templates)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL")
-    keys = F.broadcast(known.select("license", F.explode("keys").alias("key")).distinct())  # as many as the templates have windows
-    cut = let(shingles(F.col("text")), lambda s: F.when(F.size(s) > 0, F.concat(s, bands(s, STRIDE))))
+    keys = F.broadcast(known.select("n", F.explode("keys").alias("key")).distinct())  # as many as the templates have windows
+    cut = let(shingles(F.col("text")), lambda s: F.when(F.size(s) > 0, F.concat(*(bands(s, k) for k in range(len(BANDS))))))
     met = rows.select("id", F.explode(cut).alias("key")).join(keys, "key")
-    candidates = met.select("id", "license").distinct()
-    scratch = Scratch(spark)
-    candidates = scratch.save(candidates, "licences")
-    few = candidates.count() <= BROADCAST_CANDIDATES
-    wanted = candidates.join(F.broadcast(known.select("license", "template")), "license").groupBy("id").agg(F.collect_list(F.struct("license", "template")).alias("wanted"))
+    wanted = Scratch(docs.sparkSession).save(met.groupBy("id").agg(F.collect_set("n").alias("wanted")), "licences")
+    few = wanted.count() <= BROADCAST_CANDIDATES
     texts = rows.join(F.broadcast(wanted) if few else wanted, "id")
-
-    def held(s: Column) -> Column:
-        def one(w: Column) -> Column:
-            return let(
-                F.array_intersect(w["template"], s),
-                lambda f: F.struct(
-                    w["license"].alias("license"),
-                    F.size(f).cast("long").alias("n_matched"),
-                    (F.size(f) / F.size(w["template"]).cast("double")).alias("containment"),
-                    F.array_position(s, F.get(f, F.lit(0))).alias("position"),
-                ),
-            )
-
-        return F.transform("wanted", one)
-
-    found = texts.select("id", F.explode(let(shingles(F.col("text")), held)).alias("m"))
-    return found.filter(F.col("m.containment") >= LEAST).select(F.col("id").alias(id_column), "m.license", "m.n_matched", "m.containment", "m.position")
+    each = texts.select("id", shingles(F.col("text")).alias("s"), "wanted").select("id", "s", F.explode("wanted").alias("n"))
+    found = each.join(F.broadcast(known.select("n", "license", "template")), "n").withColumn("f", F.array_intersect("template", "s"))
+    held = F.size("f") / F.size("template").cast("double")
+    out = found.select(F.col("id").alias(id_column), "license", F.size("f").cast("long").alias("n_matched"), held.alias("containment"), F.array_position("s", F.get("f", F.lit(0))).alias("position"))
+    return out.filter(F.col("containment") >= LEAST)

@@ -252,3 +252,24 @@ def test_near_stage_takes_five_words(spark):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]])), (3, " ".join([*words, "end"]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 2}  # 0.81 by four words, 0.77 by five
+
+
+def test_licenses_changed_inside_are_found(spark):
+    rng = random.Random(8)
+    cut = lambda s: [w for w in re.split(r"[^0-9A-Za-z]+", s.lower()) if w]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, want = [], set()
+    for i in range(400):
+        name, text = rng.choice(sorted(licences.TEMPLATES.items()))
+        w = cut(text)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice((0, 1, 1))] = [f"z{rng.randrange(9999)}"]
+        own = cut(prose(rng, rng.randrange(4))) + w[rng.randrange(2) :] + cut(prose(rng, rng.randrange(4)))
+        rows.append((i, " ".join(own)))
+        for k, t in licences.TEMPLATES.items():
+            a = grams(cut(t))
+            if len(a & grams(own)) >= 0.8 * len(a):
+                want.add((i, k))
+    got = {(r[0], r[1]) for r in licences.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len({k for _, k in got}) == len(licences.TEMPLATES)
