@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensmark.sources.scratch import importable
@@ -101,6 +101,20 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+#: Groups that are split in salted_join(), and into how many parts. No other group has more than one HOT-th of all rows.
+HOT, SPLIT = 1000, 32
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: Column) -> DataFrame:
+    """rows joined with groups, a written table of one row a key. The HOT groups of the largest ``size`` (a column of groups) are
+    copied SPLIT times, and their rows dealt to the copies by ``spread``, so that no task gets a group with a large share of all rows."""
+    hot = groups.orderBy(F.desc(size), *keys).limit(HOT).select(*keys, F.lit(SPLIT).alias("parts"))
+    dealt = rows.withColumn("spread", spread).join(F.broadcast(hot), keys, "left")
+    dealt = dealt.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod("spread", F.lit(SPLIT)).cast("int"))).drop("spread", "parts")
+    copies = groups.join(F.broadcast(hot), keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [*keys, "part"]).drop("part")
+
+
 def numbered(docs: DataFrame, id_column: str, scratch: Scratch) -> tuple[DataFrame, str]:
     """docs with a long column that tells rows apart in the order of ids, and its name: the ids themselves where they are
     unique longs; where they repeat or are null, numbers of a written table's rows, null ids last."""
