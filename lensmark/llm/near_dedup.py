@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmark.llm import hashes
-from lensmark.llm.common import Scratch, arrow_rows, numbered, pieces
+from lensmark.llm.common import Scratch, arrow_rows, numbered, pieces, salted_join
 from lensmark.llm.components import components
 
 BANDS, ROWS, STEP = 32, 4, 16
@@ -89,15 +89,21 @@ def fewest_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
+def _surviving(x: np.ndarray, y: np.ndarray, alive: np.ndarray, least: list[int]) -> np.ndarray:
+    """Of the rows ``alive`` of signatures x those that no batch of positions rules out against y (a row each, or one for all)."""
+    matches = np.zeros(len(x), np.int64)
+    for i, m in enumerate(least):
+        part = slice(i * STEP, (i + 1) * STEP)
+        matches[alive] += (x[alive, part] == (y[alive, part] if y.ndim > 1 else y[part])).sum(1)
+        alive = alive[matches[alive] >= m]
+    return alive
+
+
 def _verified(batches, least: list[int], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures survive all batches of positions and whose full sets are similar enough."""
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SIZE) for c in ("sx", "sy"))
-        alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for i, m in enumerate(least):
-            part = slice(i * STEP, (i + 1) * STEP)
-            matches[alive] += (x[alive, part] == y[alive, part]).sum(1)
-            alive = alive[matches[alive] >= m]
+        alive = _surviving(x, y, np.arange(len(x)), least)
         tx, ty = batch.column("tx"), batch.column("ty")
         linked = []
         for i in alive:
@@ -120,7 +126,7 @@ def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values), pa.array(_minima(s, at), pa.binary())], ["id", "shingles", "signature"])
 
 
-def _compared(batches, percent: int, fewest: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches, percent: int, least: list[int]) -> Iterator[pa.RecordBatch]:
     """Of each pair of blocks, links between different components: one for each member and component at most."""
     for batch in batches:
         for pair in batch.to_pylist():
@@ -133,23 +139,22 @@ def _compared(batches, percent: int, fewest: int) -> Iterator[pa.RecordBatch]:
             signatures = np.frombuffer(b"".join([m["signature"] for m in wide]), np.uint32).reshape(-1, SIZE)
             component = np.array([m["component"] for m in wide])
             for m in pair["outside"]:
-                near = (signatures == np.frombuffer(m["signature"], np.uint32)).sum(1) >= fewest
-                near &= component != m["component"]
-                if not near.any():
+                near = _surviving(signatures, np.frombuffer(m["signature"], np.uint32), np.flatnonzero(component != m["component"]), least)
+                if not len(near):
                     continue
                 own = np.array(m["shingles"], np.int64)
                 low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
                 n = high - low
                 at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(wide))
-                hit = np.flatnonzero(near & (100 * common >= percent * (size + len(own) - common)))
+                hit = near[100 * common[near] >= percent * (size[near] + len(own) - common[near])]
                 for i in hit[np.unique(component[hit], return_index=True)[1]]:
                     us.append(m["id"])
                     vs.append(wide[i]["id"])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
-def _between(rows: DataFrame, sets: DataFrame, percent: int, fewest: int, scratch: Scratch) -> DataFrame:
+def _between(rows: DataFrame, sets: DataFrame, percent: int, least: list[int], scratch: Scratch) -> DataFrame:
     """Links between members of different components in clusters of large buckets. rows: bucket, id, component."""
     first = rows.groupBy("bucket").agg(F.min("id").alias("v"))
     cluster = components(scratch.save(rows.join(first, "bucket").filter("id <> v").select(F.col("id").alias("u"), "v").distinct(), "star"), scratch).toDF("id", "cluster")
@@ -164,7 +169,7 @@ def _between(rows: DataFrame, sets: DataFrame, percent: int, fewest: int, scratc
     placed = scratch.save(placed, "blocks")
     outside = placed.filter("NOT inner").select("cluster", F.col("block").alias("o"), F.col("members").alias("outside"))
     pairs = outside.join(placed.select("cluster", "inner", "block", F.col("members").alias("wide")), "cluster").filter("inner OR block >= o").select("outside", "wide")
-    return pairs.mapInArrow(lambda it: _compared(it, percent, fewest), "u long, v long")
+    return pairs.mapInArrow(lambda it: _compared(it, percent, least), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float = 1e-7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -176,20 +181,21 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
 
     Null and blank texts: empty set, linked with nothing. Fewer than k words: one shingle. Rows that
     repeat an id count as one document in links and each give a row. A row whose id is null is
-    linked with nothing, has a null component_id and is kept. An empty table gives an empty result.
+    linked with nothing, has a null component_id and is kept. Texts of any length are compared whole; equal texts are one class, whose
+    rows differ in component_id from none of it. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     ids = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = scratch.save(ids.mapInArrow(lambda it: _signed(it, k), "id long, d1 long, d2 long, n_shingles long, signature binary"), "signed")
     real = signed.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = real.groupBy("d1", "d2").agg(F.min("id").alias("class"))
-    members = scratch.save(real.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "class").distinct(), "members")
+    classes = scratch.save(real.groupBy("d1", "d2").agg(F.min("id").alias("class"), F.count("*").alias("n")), "classes")
+    members = scratch.save(salted_join(real.select("id", "d1", "d2"), classes, ["d1", "d2"], "n", F.xxhash64("id")).select("id", "class").distinct(), "members")
     heads = scratch.save(real.select("id", "signature").join(members.filter("id = class").select("id"), "id", "left_semi").select("id", "signature"), "heads")
 
     banded = heads.mapInArrow(_banded, "id long, bucket long")
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").drop("last")
-    met = scratch.save(banded.join(shared, "bucket"), "met")
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last")
+    met = scratch.save(salted_join(banded, scratch.save(shared, "buckets"), ["bucket"], "n", F.xxhash64("id")).drop("n"), "met")
     least = fewest_matches(percent / 100, miss)
 
     needed = met.select("id").distinct()
@@ -211,7 +217,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
         few_rows = unsettled.filter(F.col("n") <= SMALL)
         other = few_rows.toDF("bucket", "y", "other", "n").drop("n")
         pairs = few_rows.join(other, "bucket").filter("id > y AND component <> other").select(F.col("id").alias("x"), "y").distinct()
-        more = _between(unsettled.filter(F.col("n") > SMALL), sets, percent, least[-1], scratch)
+        more = _between(unsettled.filter(F.col("n") > SMALL), sets, percent, least, scratch)
         with arrow_rows(spark, PAIRS_AT_ONCE):
             links = links.union(scratch.save(linked(pairs), "links"))
         with arrow_rows(spark, 2):
@@ -230,7 +236,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_colu
     """docs without the rows that near_duplicates() does not keep.
 
     Where ids repeat or are null, rows are compared by numbers of their own in the order of ids, nulls last: each row is a
-    document, and of a group one row of the smallest id stays.
+    document, and of a group one row of the smallest id stays. Null, blank and long texts as in near_duplicates(); other columns
+    pass through, whatever their names; an empty table gives an empty one.
     """
     own, row = numbered(docs, id_column, Scratch(docs.sparkSession))
     lost = near_duplicates(own, k, percent, id_column=row, text_column=text_column).filter("NOT kept").select(row).distinct()
