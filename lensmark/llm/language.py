@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmark.llm.common import in_fold
 
-#: Bounds of what is fitted: learned texts of a language, characters of each, and bytes of a dictionary.
-MOST_TEXTS, MOST_CHARS, DICTIONARY = 1000, 200, 96 << 10
+#: Bounds of what is fitted: windows of a language, characters of each, and bytes of a dictionary, which takes whole windows
+#: in the order of their hashes while they fit.
+MOST_TEXTS, MOST_CHARS, DICTIONARY = 500, 200, 96 << 10
 LEVEL = 9
 #: A choice whose saving over the runner-up is a smaller share than this is marked as rejected.
 LEAST_MARGIN = 0.01
@@ -31,8 +32,8 @@ def letters(text):
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", folds: int = 3, held_out: int = 1) -> dict[str, bytes]:
-    """Language to dictionary content, most frequent language first. A window of each of MOST_TEXTS texts of a language
-    makes its dictionary; which texts and windows is decided by hashes, and how many there are to choose from is counted over all documents."""
+    """Language to dictionary content, most frequent language first. Windows of MOST_TEXTS texts of a language, no two alike,
+    make its dictionary; which texts and windows is decided by hashes, and how many there are to choose from is counted over all documents."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), letters(F.col(text_column)).alias("text"), F.col(lang_column).alias("lang"))
     rows = rows.filter(~in_fold(F.col("id"), folds, held_out)).filter("lang IS NOT NULL AND text <> ''")
     counts = sorted(((r[1], r[0]) for r in rows.groupBy("lang").count().collect()), key=lambda x: (-x[0], x[1]))
@@ -42,12 +43,16 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     near = rows.join(F.broadcast(limits), "lang").withColumn("spread", spread).filter("spread < share")
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - MOST_CHARS + 1, F.lit(1))).cast("int") + 1
-    found = near.select("lang", "spread", F.substr("text", start, F.lit(MOST_CHARS)).alias("window")).collect()  # about 2 * MOST_TEXTS windows a language
+    windows = near.select("lang", "spread", F.substr("text", start, F.lit(MOST_CHARS)).alias("window")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "window"))
+    found = windows.withColumn("r", first).filter(F.col("r") <= MOST_TEXTS).orderBy("lang", "r").collect()  # MOST_TEXTS windows a language at most
     out = {}
     for _, y in counts:
-        own = sorted({(r[1], r[2]) for r in found if r[0] == y})[:MOST_TEXTS]
-        content = " ".join(w for _, w in own).encode()
-        out[y] = content[:DICTIONARY]
+        content = b""
+        for r in found:
+            if r["lang"] == y and len(content) + len(window := r["window"].encode() + b" ") <= DICTIONARY:
+                content += window
+        out[y] = content
     return out
 
 
@@ -84,7 +89,8 @@ def languages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     Learns where crc32(id) mod 3 is not 1 and lang is not null. lang_pred is a learned language, the more
     frequent one in ties, or ``und`` where the text is null or has no letter, and everywhere if nothing was learned.
     rejected: the margin over the runner-up is narrow (or lang_pred is ``und``); a caller that wants no guesses takes these as undetermined.
-    A row of a null id is not learned from and not held out. An empty table gives an empty result.
+    A row of a null id is not learned from and not held out; rows that repeat an id are each judged by their own text. Texts of any
+    length are encoded whole. Other columns are ignored; an empty table gives an empty result.
     """
     content = fit(docs, id_column, text_column, lang_column)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), letters(F.col(text_column)).alias("text"))
