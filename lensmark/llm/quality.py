@@ -12,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmark.llm import hashes
 from lensmark.llm.common import in_fold, pieces
 
-#: Bounds of what is fitted: labelled documents of each label, and lines of one (documents of more are not learned from).
-MOST_EACH, MOST_LINES = 1500, 2000
+#: Bounds of what is fitted: labelled documents of each label, lines of one (documents of more are not learned from), and lines
+#: of each label in all (documents are taken in the order of their ids' hashes until they are reached).
+MOST_EACH, MOST_LINES, MOST_IN_ALL = 1500, 2000, 100_000
 ROUNDS = 250
 
 _CLASSES = ["upper", "lower", "digit", "exclaim", "bar", "symbol", "stop", "blank", "wide", "control"]
@@ -197,21 +198,22 @@ def train(x: np.ndarray, size: np.ndarray, by: np.ndarray, label: np.ndarray, we
 
 
 def _learned(batches) -> Iterator[pa.RecordBatch]:
-    """Features of each labelled text's lines, as one binary a text."""
+    """Features of each labelled text's lines, as one binary a text, and how many there are."""
     for batch in batches:
-        out = []
+        out, n = [], []
         for first, end, data, offsets in pieces(batch.column("text")):
             x, size, by = features(data, offsets)
             for i in range(end - first):
                 part = slice(by[i], by[i + 1])
                 ok = 0 < by[i + 1] - by[i] <= MOST_LINES
                 out.append(np.concatenate((x[part], size[part, None]), 1).astype(np.float32).tobytes() if ok else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.binary())], ["id", "label", "lines"])
+                n.append(int(by[i + 1] - by[i]))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.binary()), pa.array(n, pa.int64())], ["id", "label", "lines", "n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", folds: int = 3, held_out: int = 1) -> Model | None:
     """Learns from documents whose label is 0 or 1 and whose crc32(id) mod folds is not held_out; None without both labels.
-    Of several labels of one id the smallest counts."""
+    Of several labels of one id the smallest counts, of several texts the one of the least hash."""
     own = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     own = own.filter(~in_fold(F.col("id"), folds, held_out)).groupBy("id").agg(F.min("label").alias("label"))
     true = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
@@ -220,7 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_co
     picked = [r for y in (0, 1) for r in own.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(MOST_EACH).collect()]
     chosen = docs.sparkSession.createDataFrame(picked, "id long, label int")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
-    found = sorted((r for r in rows.mapInArrow(_learned, "id long, label int, lines binary").collect() if r[2] is not None), key=lambda r: (r[0], r[2]))
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    lines = rows.mapInArrow(_learned, "id long, label int, lines binary, n long").filter("lines IS NOT NULL")
+    so_far = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))  # MOST_EACH rows a label at most
+    found = sorted(lines.withColumn("so_far", so_far).filter(F.col("so_far") <= MOST_IN_ALL).select("id", "label", "lines").collect(), key=lambda r: r[0])
     if len({r[1] for r in found}) < 2:
         return None
     parts = [np.frombuffer(r[2], np.float32).reshape(-1, 3 * OWN + 4).astype(float) for r in found]
@@ -235,7 +240,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     """Per row of docs: id, held_out, score, predicted, n_lines.
 
     Null, empty and blank texts have no lines and score 0, as do all texts if there are not labelled
-    documents of both kinds. A null id is never held out. An empty table gives an empty result.
+    documents of both kinds. A score of exactly 0.5 predicts 1. A null id is never held out; rows that repeat an id are each scored by
+    their own text. Texts of any length and number of lines are scored whole. Other columns are ignored; an empty table gives an empty
+    result.
     """
     model = fit(docs, labels, id_column=id_column, text_column=text_column)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
