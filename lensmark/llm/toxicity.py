@@ -194,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_colu
         chosen = part if chosen is None else chosen.union(part)
     chosen = spark.createDataFrame(chosen.collect(), "id long, label int")  # MOST_TOXIC + MOST_CLEAN rows at most
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id's repeated rows count once
     per_term = rows.mapInArrow(_used, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
     sampled = {1: min(true[1], MOST_TOXIC), 0: min(true[0], MOST_CLEAN)}
     pa_, pb = F.col("a") / sampled[1], (F.col("n") - F.col("a")) / sampled[0]
