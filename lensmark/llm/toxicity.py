@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
-Terms are lower-cased words and the beginnings of longer words. Which terms count is chosen on a
-bounded sample of labelled rows (those whose use differs between the classes beyond chance); their document
-frequencies are counted over all documents. The sample's vectors make the index: for each term and each block of
-BLOCK examples its postings and their largest weight. A query adds up the blocks' bounds, scores whole blocks
-exactly from the most promising on, and stops where no other block can reach the k-th similarity.
+Terms are the lower-cased words of a bounded sample of labelled rows, all of them. A term weighs in a text by its count, its
+rarity over all documents and how unevenly the sample's classes use it. The sample's vectors make the index: rare
+terms' postings, common terms' weights by blocks of BLOCK examples, and their largest weight in each block. A query adds up its
+rare terms' postings and the blocks' bounds, scores the most promising blocks exactly, and stops where no other block can
+reach the k-th similarity.
 Neighbours vote with their similarity; an isotonic fit to the sample's own leave-one-out votes
 calibrates the score. The neighbours are the evidence.
 """
@@ -12,107 +12,117 @@ calibrates the score. The neighbours are the evidence.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lensmark.llm.common import free_name, in_fold
-
-#: Bounds of what is fitted: labelled rows of each class, terms, and examples in the leave-one-out fit.
-MOST_TOXIC, MOST_CLEAN, MOST_TERMS, MOST_FITTED = 2500, 5000, 4000, 3000
-BLOCK, GROUP, NEIGHBOURS, STEM = 64, 6, 15, 5
-#: A term's two-sided z for the difference of its rates between the classes.
-LEAST_Z = 4.5
-_WORD = re.compile(r"\w+")
-
-
-def terms(text: str) -> Counter:
-    """Words; for longer words their first letters with ``*``, and such a stem's frequent use as terms of its own:
-    ``*2``, ``*4`` for so many uses at least, ``*%`` and ``*%%`` for a share of 1/256 or 1/64 of all words at least."""
-    found = _WORD.findall(text.lower())
-    words = Counter(found)
-    stems: Counter = Counter()
-    for w, n in words.items():
-        if len(w) >= STEM:
-            stems[w[:STEM] + "*"] += n
-    words.update(stems)
-    for s, n in stems.items():
-        if n > 1:
-            words[s + "2"] = 1
-            if n > 3:
-                words[s + "4"] = 1
-            if n * 256 >= len(found):
-                words[s + "%"] = 1
-                if n * 64 >= len(found):
-                    words[s + "%%"] = 1
-    return words
+from lensmark.llm import hashes
+from lensmark.llm.common import free_name, in_fold, pieces
+
+#: Bounds of what is fitted: labelled rows of each class, distinct terms of each class's rows added up (rows are taken in the order
+#: of their ids' hashes until they are reached), and examples in the leave-one-out fit.
+MOST_TOXIC, MOST_CLEAN, MOST_IN_ALL, MOST_FITTED = 2500, 5000, 750_000, 3000
+BLOCK, GROUP, NEIGHBOURS = 128, 8, 15
+#: Terms in more than one of so many examples are common.
+COMMON = 32
+#: What a term weighs that both classes use alike; the two-sided z of the difference of its rates is added.
+LEAST_WEIGHT = 0.1
+#: A vote's prior counts as a neighbour of this similarity.
+FAINT = 0.05
+
+#: ASCII letters and digits in lower case, what is not ASCII as it is, all else as a space.
+_WORD = np.array([b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256)], np.uint8)
+
+
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text, as hashes: text, term, count; by text, then term."""
+    data = _WORD[data]
+    quotes = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))  # U+2000 to U+203F: dashes, quotes, dots, spaces
+    for i in range(3):
+        data[quotes + i] = 0x20
+    _, _, h, of = hashes.words(data, offsets, lower=False)
+    text = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(new)
+    return text[at], h[at], np.diff(np.append(at, len(h)))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, ``size`` numbers each, one after the other."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples. A block of BLOCK examples has a row of postings, zeros included, for each of its terms,
-    and every term has its largest weight in each block."""
-
-    def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, weights: np.ndarray, ids: list[int], n_terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (labels[i], max(vectors[i], key=vectors[i].get, default=-1), i))
-        self.labels, self.weights = labels[order], weights[order]
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.blocks = -(-len(order) // BLOCK)
-        self.largest = np.zeros((n_terms, self.blocks))
-        self.terms: list[np.ndarray] = []
-        self.postings: list[np.ndarray] = []
-        for b in range(self.blocks):
-            own = [vectors[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
-            terms = sorted({t for v in own for t in v})
-            row = {t: r for r, t in enumerate(terms)}
-            weight = np.zeros((len(terms), BLOCK))
-            for j, v in enumerate(own):
-                for t, w in v.items():
-                    weight[row[t], j] = w
-            self.terms.append(np.array(terms, int))
-            self.postings.append(weight)
-            self.largest[self.terms[b], b] = weight.max(1, initial=0)
-        self.dense = np.zeros(n_terms)
-
-    def search(self, query: dict[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of examples. Rare terms have postings; the common ones have a row of weights, zeros included, in each block of
+    BLOCK examples, and their largest weight there."""
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, weights: np.ndarray, ids: np.ndarray, n_terms: int):
+        """owner, term, weight: postings; labels, weights, ids: of the examples."""
+        n = len(labels)
+        leading = np.full(n, -1)
+        order = np.lexsort((term, weight, owner))
+        leading[owner[order]] = term[order]  # the term of the largest weight: like examples come to one block
+        place = np.lexsort((np.arange(n), leading, labels))
+        self.position = np.empty(n, np.int64)
+        self.position[place] = np.arange(n)
+        self.labels, self.weights, self.ids = labels[place], weights[place], ids[place]
+        self.blocks, self.prior = -(-n // BLOCK), 0.0
+        owner, weight = self.position[owner], weight.astype(np.float32)
+
+        common = np.flatnonzero(np.bincount(term, minlength=n_terms) * COMMON > n)
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        own = self.row[term] >= 0
+        self.dense[owner[own] // BLOCK, self.row[term[own]], owner[own] % BLOCK] = weight[own]
+        self.largest = self.dense.max(2).T.copy()
+
+        owner, term, weight = owner[~own], term[~own], weight[~own]
+        order = np.lexsort((owner, term))
+        self.example, self.weight = owner[order], weight[order]
+        self.at = np.searchsorted(term[order], np.arange(n_terms + 1))
+
+    def search(self, t: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and similarities of the k nearest with a similarity over 0; ties to the smaller position."""
-        at, score = np.empty(0, int), np.empty(0)
-        if not query:
-            return at, score
-        t, w = np.fromiter(query, int), np.fromiter(query.values(), float)
-        bound = w @ self.largest[t] * (1 + 1e-12)
+        at, score = np.empty(0, np.int64), np.empty(0)
+        rare = t[self.row[t] < 0]
+        size = self.at[rare + 1] - self.at[rare]
+        p = _ranges(self.at[rare], size)
+        sums = np.bincount(self.example[p], np.repeat(w[self.row[t] < 0], size) * self.weight[p], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        rows, share = self.row[t][self.row[t] >= 0], w[self.row[t] >= 0].astype(np.float32)
+        bound = (share @ self.largest[rows] + sums.max(1)) * (1 + 1e-5)  # sums are rounded to 24 bits
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        self.dense[t] = w
-        least = 0.0
-        for i in range(0, len(order), GROUP):
-            group = [b for b in order[i : i + GROUP] if bound[b] >= least]
-            if not group:
-                break
-            new = np.concatenate([self.dense[self.terms[b]] @ self.postings[b] for b in group])
-            place = (np.array(group)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            ok = np.flatnonzero((new > 0) & (new >= least) & (place != but))
-            score, at = np.concatenate((score, new[ok])), np.concatenate((at, place[ok]))
+        done, step, least = 0, GROUP, 0.0
+        while done < len(order) and bound[order[done]] >= least:
+            group = order[done : done + step]
+            group = group[bound[group] >= least]
+            found = (sums[group] + share @ self.dense[group[:, None], rows]).ravel()
+            place = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            new = np.flatnonzero((found > 0) & (found >= least) & (place != but))
+            score, at = np.concatenate((score, found[new])), np.concatenate((at, place[new]))
+            if len(score) > 8 * k:
+                some = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                score, at = score[some], at[some]
             best = np.lexsort((at, -score))[:k]
             score, at = score[best], at[best]
             if len(score) == k:
                 least = score[-1]
-        self.dense[t] = 0
+            done, step = done + step, step * 2
         return at, score
 
-    def vote(self, query: dict[int, float], but: int = -1, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, t: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of label 1 among the neighbours' weights, the prior counting as a faint neighbour."""
-        at, s = self.search(query, k, but)
-        w = s * self.weights[at]
-        prior = self.prior
-        return float((w @ self.labels[at] + 0.05 * prior) / (w.sum() + 0.05)), at, s
-
-    prior = 0.0
+        at, s = self.search(t, w, NEIGHBOURS, but)
+        x = s * self.weights[at]
+        return float((x @ self.labels[at] + FAINT * self.prior) / (x.sum() + FAINT)), at, s
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,104 +140,115 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, index: BlockMaxIndex | None, knots: tuple[np.ndarray, np.ndarray] | None):
-        self.vocabulary, self.idf, self.index, self.knots = vocabulary, idf, index, knots
-
-    def vector(self, text: str) -> dict[int, float]:
-        known = self.vocabulary
-        raw = {known[t]: (1 + math.log(n)) for t, n in terms(text).items() if t in known}
-        raw = {t: v * self.idf[t] for t, v in sorted(raw.items())}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        return {t: v / norm for t, v in raw.items()} if norm else {}
-
-    def score(self, text: str) -> tuple[float, list[dict]]:
+    """vocabulary: the terms' hashes, sorted; weight: what each weighs beside its count."""
+
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, index: BlockMaxIndex | None, knots: tuple[np.ndarray, np.ndarray] | None):
+        self.vocabulary, self.weight, self.index, self.knots = vocabulary, weight, index, knots
+
+    def vectors(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of n texts from what terms() found: text, place in the vocabulary, weight; other terms left out."""
+        at, known = _places(self.vocabulary, term)
+        text, at = text[known], at[known]
+        x = (1 + np.log(count[known])) * self.weight[at]
+        norm = np.sqrt(np.bincount(text, x * x, n))
+        return text, at, x / np.where(norm > 0, norm, 1)[text]
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Scores of texts, and each one's neighbours: positions and similarities."""
+        n = len(offsets) - 1
         if self.index is None:
-            return 0.0, []
-        vote, at, s = self.index.vote(self.vector(text))
-        found = [{"example": int(self.index.ids[p]), "label": int(self.index.labels[p]), "similarity": float(v)} for p, v in zip(at[:3], s[:3], strict=True)]
-        return min(1.0, max(0.0, float(np.interp(vote, *self.knots)))), found
+            return np.zeros(n), [(np.empty(0, np.int64), np.empty(0))] * n
+        text, at, x = self.vectors(*terms(data, offsets), n)
+        cut = np.searchsorted(text, np.arange(n + 1))
+        votes, found = np.empty(n), []
+        for i in range(n):
+            own = slice(cut[i], cut[i + 1])
+            votes[i], where, s = self.index.vote(at[own], x[own])
+            found.append((where, s))
+        return np.clip(np.interp(votes, *self.knots), 0, 1), found
 
 
-def _used(batches) -> Iterator[pa.RecordBatch]:
-    """A row for each term of each text: the term and the label."""
-    for batch in batches:
-        found = [(t, y) for x, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True) for t in terms(x or "")]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["term", "label"])
+def _places(vocabulary: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where terms are in the vocabulary, and whether they are."""
+    at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
+    return at, vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
 
 
 def _counted(batches, vocabulary) -> Iterator[pa.RecordBatch]:
     """How many of the task's texts hold each term, and at -1 how many texts there are."""
     known, n = vocabulary.value, 0
-    counts: Counter = Counter()
+    counts = np.zeros(len(known), np.int64)
     for batch in batches:
-        for x in batch.column(0):
-            n += 1
-            if text := x.as_py():
-                counts.update(known.keys() & terms(text).keys())
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *(known[t] for t in counts)], pa.int32()), pa.array([n, *counts.values()], pa.int64())], ["term", "texts"])
+        n += len(batch)
+        for _, _, data, offsets in pieces(batch.column(0)):
+            at, ok = _places(known, terms(data, offsets)[1])
+            counts += np.bincount(at[ok], minlength=len(known))
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(counts[some], n))], ["term", "texts"])
 
 
-def _vectors(batches, vocabulary) -> Iterator[pa.RecordBatch]:
-    known = vocabulary.value
+def _learned(batches) -> Iterator[pa.RecordBatch]:
+    """Each example's terms and counts, and how many terms it has."""
     for batch in batches:
-        rows = []
-        for x in batch.column("text").to_pylist():
-            rows.append([{"term": known[t], "n": n} for t, n in terms(x or "").items() if t in known])
-        kind = pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, kind)], ["id", "label", "counts"])
+        for first, end, data, offsets in pieces(batch.column("text")):
+            text, term, count = terms(data, offsets)
+            cut = np.searchsorted(text, np.arange(end - first + 1))
+            lists = pa.array(cut, pa.int32())
+            columns = [batch.column("id").slice(first, end - first), batch.column("label").slice(first, end - first), pa.array(np.diff(cut)), pa.ListArray.from_arrays(lists, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(count))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "n", "terms", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", folds: int = 5, held_out: int = 0) -> Model:
     """Learns from documents whose label is 0 or 1 and whose crc32(id) mod folds is not held_out.
 
-    Of several labels of one id the largest counts. Without any example of both classes the model scores all texts 0.
+    Of several labels of one id the largest counts, of several texts the one of the least hash. Without any example of both
+    classes the model scores all texts 0.
     """
     spark: SparkSession = docs.sparkSession
+    none = Model(np.empty(0, np.uint64), np.empty(0), None, None)
     own = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     own = own.filter(~in_fold(F.col("id"), folds, held_out)).groupBy("id").agg(F.max("label").alias("label"))
     true = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
     if len(true) < 2:
-        return Model({}, np.empty(0), None, None)
-    chosen = None
-    for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
-        part = own.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most)
-        chosen = part if chosen is None else chosen.union(part)
-    chosen = spark.createDataFrame(chosen.collect(), "id long, label int")  # MOST_TOXIC + MOST_CLEAN rows at most
+        return none
+    picked = [r for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)) for r in own.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
+    chosen = spark.createDataFrame(picked, "id long, label int")  # MOST_TOXIC + MOST_CLEAN rows at most
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
-    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id's repeated rows count once
-    per_term = rows.mapInArrow(_used, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    sampled = {1: min(true[1], MOST_TOXIC), 0: min(true[0], MOST_CLEAN)}
-    pa_, pb = F.col("a") / sampled[1], (F.col("n") - F.col("a")) / sampled[0]
-    mean = F.col("n") / (sampled[0] + sampled[1])
-    z = F.abs(pa_ - pb) / F.sqrt(mean * (1 - F.least(mean, F.lit(0.999))) * (1 / sampled[1] + 1 / sampled[0]))
-    best = per_term.filter("n >= 3").select("term", z.alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
-    vocabulary = {r[0]: i for i, r in enumerate(best)}
-    shared = spark.sparkContext.broadcast(vocabulary)
-    counts = docs.select(text_column).mapInArrow(lambda it: _counted(it, shared), "term int, texts long").groupBy("term").agg(F.sum("texts")).collect()
-    frequency = dict(map(tuple, counts))
-    n = frequency.pop(-1, 0)
-    idf = np.array([math.log((1 + n) / (1 + frequency.get(i, 0))) + 1e-6 for i in range(len(vocabulary))])
-    model = Model(vocabulary, idf, None, None)
-    ids, ys, vectors = [], [], []
-    for r in sorted(rows.mapInArrow(lambda it: _vectors(it, shared), "id long, label int, counts array<struct<term:int,n:int>>").collect(), key=lambda r: r[0]):
-        raw = {c[0]: (1 + math.log(c[1])) * idf[c[0]] for c in sorted(r[2])}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        ids.append(r[0])
-        ys.append(r[1])
-        vectors.append({t: v / norm for t, v in raw.items()} if norm else {})
-    y = np.array(ys, float)
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    examples = rows.mapInArrow(_learned, "id long, label int, n long, terms array<bigint>, counts array<bigint>")
+    so_far = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))  # a bounded sample
+    found = examples.withColumn("so_far", so_far).filter(F.col("so_far") <= MOST_IN_ALL).drop("so_far").orderBy("id").toArrow()
+    y = found.column("label").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
-        return model
-    weights = np.where(y > 0, true[1] / y.sum(), true[0] / (len(y) - y.sum()))
+        return none
+    term, count = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
+    owner = np.repeat(np.arange(len(y)), found.column("n").to_numpy())
+    vocabulary, at = np.unique(term.view(np.uint64), return_inverse=True)
+
+    shared = spark.sparkContext.broadcast(vocabulary)
+    counts = docs.select(text_column).mapInArrow(lambda it: _counted(it, shared), "term int, texts long").groupBy("term").agg(F.sum("texts").alias("texts")).toArrow()
+    where, texts = counts.column("term").to_numpy(), counts.column("texts").to_numpy()
+    frequency = np.zeros(len(vocabulary))
+    frequency[where[where >= 0]] = texts[where >= 0]
+    idf = np.log((1 + texts[where < 0].sum()) / (1 + frequency)) + 1e-6
+
+    toxic, both = np.bincount(at, y[owner], len(vocabulary)), np.bincount(at, minlength=len(vocabulary))
+    n = np.array([len(y) - y.sum(), y.sum()])
+    rate = np.minimum(both / len(y), 0.999)
+    z = np.abs(toxic / n[1] - (both - toxic) / n[0]) / np.sqrt(rate * (1 - rate) * (1 / n).sum())
+    z[both < 2] = 0
+
+    model = Model(vocabulary, idf * (LEAST_WEIGHT + z), None, None)
+    weights = np.where(y > 0, true[1] / n[1], true[0] / n[0])
     weights /= weights.min()
-    index = BlockMaxIndex(vectors, y, weights, ids, len(vocabulary))
+    owner, at, x = model.vectors(owner, term.view(np.uint64), count, len(y))
+    index = BlockMaxIndex(owner, at, x, y, weights, found.column("id").to_numpy(), len(vocabulary))
     index.prior = true[1] / (true[0] + true[1])
-    back = {int(i): p for p, i in enumerate(index.ids)}
-    step = max(1, len(ids) // MOST_FITTED)
-    picked = range(0, len(ids), step)
-    votes = np.array([index.vote(vectors[i], back[ids[i]])[0] for i in picked])
+    cut = np.searchsorted(owner, np.arange(len(y) + 1))
+    fitted = np.arange(0, len(y), max(1, math.ceil(len(y) / MOST_FITTED)))
+    votes = np.array([index.vote(at[cut[i] : cut[i + 1]], x[cut[i] : cut[i + 1]], index.position[i])[0] for i in fitted])
     model.index = index
-    model.knots = isotonic(votes, y[::step], weights[[back[ids[i]] for i in picked]])
+    model.knots = isotonic(votes, y[fitted], weights[fitted])
     return model
 
 
@@ -245,13 +266,17 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", only_clean:
     def run(batches) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            out = [m.score(x.as_py() or "") for x in batch.column(position)]
-            scores = np.array([x[0] for x in out], float)
-            if only_clean:
-                yield batch.filter(pa.array(scores < 0.5))
-                continue
-            kind = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([x[1] for x in out], kind)], [*names, *added])
+            for first, end, data, offsets in pieces(batch.column(position)):
+                own = batch.slice(first, end - first)
+                scores, found = m.score(data, offsets)
+                if only_clean:
+                    yield own.filter(pa.array(scores < 0.5))
+                    continue
+                at, s = (np.concatenate([x[i][:3] for x in found]) for i in (0, 1))
+                cut = pa.array(np.cumsum([0, *(min(3, len(x[0])) for x in found)]), pa.int32())
+                ids, labels = (m.index.ids[at], m.index.labels[at]) if m.index else (at, at)
+                shown = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(labels.astype(np.int32)), pa.array(s)], ["example", "label", "similarity"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(cut, shown)], [*names, *added])
 
     schema = T.StructType(docs.schema.fields[:])
     if not only_clean:
@@ -262,7 +287,12 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", only_clean:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row of docs: id, held_out, score, predicted, evidence. A null id is never held out. An empty table gives an empty result."""
+    """Per row of docs: id, held_out, score, predicted, evidence (the nearest three examples).
+
+    Null, empty and wordless texts have no neighbours and score the calibrated prior. Of equally near examples those before in the
+    index count; a score of exactly 0.5 predicts 1. A null id is never held out; rows that repeat an id are each scored by their
+    own text. Texts of any length are scored whole. Other columns are ignored; an empty table gives an empty result.
+    """
     model = fit(docs, labels, id_column=id_column, text_column=text_column)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     held = F.coalesce(in_fold(F.col("id"), 5, 0), F.lit(False))
@@ -270,5 +300,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that score 0.5 or more."""
+    """docs without the rows that score 0.5 or more; each row is judged by its own text, as toxicity() does. Other columns pass through,
+    whatever their names; an empty table gives an empty one."""
     return score(docs, fit(docs, labels, id_column=id_column, text_column=text_column), text_column, only_clean=True)

@@ -1,9 +1,13 @@
 """Toxicity, language and quality: exactness, held-out accuracy, odd rows."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from lensmark.llm import language, quality, toxicity
 
@@ -61,27 +65,67 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common", [1, 32, 10**6])
+def test_block_max_search_is_exact(common, monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(0)
-    vectors = []
-    for _ in range(500):
-        t = rng.choice(60, rng.integers(0, 6), replace=False)
-        w = rng.random(len(t))
-        vectors.append({int(a): float(b) for a, b in zip(t, w / (np.linalg.norm(w) or 1), strict=True)})
-    vectors += vectors[:40]  # ties
-    index = toxicity.BlockMaxIndex(vectors, rng.integers(0, 2, 540).astype(float), np.ones(540), list(range(540)), 60)
     full = np.zeros((540, 60))
-    for b, (t, p) in enumerate(zip(index.terms, index.postings, strict=True)):
-        n = min(64, 540 - b * 64)
-        full[b * 64 : b * 64 + n, t] = p.T[:n]
-    for q in vectors[:200]:
-        dense = np.zeros(60)
-        dense[list(q)] = list(q.values())
-        want = full @ dense
-        order = np.lexsort((np.arange(540), -np.round(want, 12)))[:15]
-        order = order[want[order] > 0]
-        at, s = index.search(q, 15)
-        assert np.allclose(s, want[order]) and len(at) == len(order)
+    for row in full[:500]:
+        t = rng.choice(60, rng.integers(0, 6), replace=False)
+        row[t] = rng.random(len(t))
+    full[500:] = full[:40]  # ties
+    full /= np.maximum(np.linalg.norm(full, axis=1), 1e-12)[:, None]
+    full = full.astype(np.float32).astype(float)
+    owner, term = np.nonzero(full)
+    index = toxicity.BlockMaxIndex(owner, term, full[owner, term], rng.integers(0, 2, 540).astype(float), np.ones(540), np.arange(540), 60)
+    placed = np.zeros_like(full)
+    placed[index.position] = full
+    assert np.array_equal(index.ids[index.position], np.arange(540))
+    for i in range(200):
+        t = np.flatnonzero(full[i])
+        for but in (-1, int(index.position[i])):
+            want = placed @ full[i]
+            want[but if but >= 0 else []] = 0
+            order = np.lexsort((np.arange(540), -np.round(want, 12)))[:15]
+            order = order[want[order] > 0]
+            at, s = index.search(t, full[i, t], 15, but)
+            assert np.allclose(s, want[order], atol=1e-6) and len(at) == len(order) and np.allclose(placed[at] @ full[i], s, atol=1e-6)
+
+
+def test_scores_against_brute_force(spark):
+    """The whole query: vectors, votes and calibration by plain loops."""
+    docs, labels, truth = frames(spark)
+    got = {x["doc_id"]: x["score"] for x in toxicity.toxicity(docs, labels).collect() if x["doc_id"] is not None and x["doc_id"] < 9000}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+    known = {i: t for i, _, t in truth if not held(i, 5, 0)} | {9002: 0}
+    n1 = sum(known.values())
+    n0 = len(known) - n1
+    rows = [split(r["text"] or "") for r in docs.collect()]
+    vocabulary = {w for i in known for w in split(texts[i])}
+    weight = {}
+    for w in vocabulary:
+        a, b = (sum(w in split(texts[i]) for i, y in known.items() if y == want) for want in (1, 0))
+        rate = min((a + b) / len(known), 0.999)
+        z = abs(a / n1 - b / n0) / math.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0)) if a + b > 1 else 0
+        weight[w] = (math.log((1 + len(rows)) / (1 + sum(w in r for r in rows))) + 1e-6) * (0.1 + z)
+
+    def vector(text):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in Counter(split(text)).items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(texts[i]) for i in known}
+
+    def vote(v, but=None):
+        s = sorted(((sum(x * u.get(w, 0) for w, x in v.items()), known[i]) for i, u in vectors.items() if i != but), reverse=True)[:15]
+        s = [x for x in s if x[0] > 0]
+        return (sum(x * y for x, y in s) + 0.05 * n1 / len(known)) / (sum(x for x, _ in s) + 0.05)
+
+    own = [(vote(vectors[i], i), y) for i, y in sorted(known.items())]
+    knots = toxicity.isotonic(np.array([v for v, _ in own]), np.array([float(y) for _, y in own]), np.ones(len(own)))
+    near = [abs(float(np.interp(vote(vector(texts[i])), *knots)) - got[i]) < 1e-3 for i in got]
+    assert len(near) == 300 and sum(near) >= 0.99 * len(near)  # weights of examples are 32 bits wide: a step of the fit may be missed
 
 
 def test_isotonic():
