@@ -156,8 +156,9 @@ def _compared(batches, percent: int, least: list[int]) -> Iterator[pa.RecordBatc
 
 def _between(rows: DataFrame, sets: DataFrame, percent: int, least: list[int], scratch: Scratch) -> DataFrame:
     """Links between members of different components in clusters of large buckets. rows: bucket, id, component."""
-    first = rows.groupBy("bucket").agg(F.min("id").alias("v"))
-    cluster = components(scratch.save(rows.join(first, "bucket").filter("id <> v").select(F.col("id").alias("u"), "v").distinct(), "star"), scratch).toDF("id", "cluster")
+    first = scratch.save(rows.groupBy("bucket").agg(F.min("id").alias("v"), F.count("*").alias("size")), "first")
+    star = salted_join(rows, first, ["bucket"], "size", F.xxhash64("id"))
+    cluster = components(scratch.save(star.filter("id <> v").select(F.col("id").alias("u"), "v").distinct(), "star"), scratch).toDF("id", "cluster")
     own = rows.select("id", "component").distinct().join(cluster, "id", "left").select("id", "component", F.coalesce("cluster", "id").alias("cluster"))
     own = scratch.save(own.join(sets, "id"), "clustered")
     sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("volume"))
@@ -212,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     joined = components(links, scratch)
     rest = met.filter("id <> pivot").join(joined.toDF("id", "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a < b").select("bucket", "n")
-    unsettled = scratch.save(rest.join(mixed, "bucket"), "unsettled")
+    unsettled = scratch.save(salted_join(rest, scratch.save(mixed, "mixed"), ["bucket"], "n", F.xxhash64("id")), "unsettled")
     if not unsettled.isEmpty():
         few_rows = unsettled.filter(F.col("n") <= SMALL)
         other = few_rows.toDF("bucket", "y", "other", "n").drop("n")
