@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         warnings = validate(records, lenses).collect()
         for w in warnings:
             print(w["message"])
-        print(render(board(records)))
+        print(render(board(records), records))
         return int(any(w["kind"] == "no-receipt" for w in warnings))
     return 0
 

@@ -98,18 +98,19 @@ def trend(values: Column, n: Column, rank: Column) -> Column:
 def subject_summary(grades: DataFrame, rounded: bool = True) -> DataFrame:
     """grades: subject, lens_id, index, markers_present, date, ord. Per subject and lens: max, mean, n_documents,
     n_documents_with_signal, trend. Undated documents (null or empty date) take no part in the trend."""
-    dated = F.col("date").isNotNull() & (F.col("date").cast("string") != "")
-    marked = grades.withColumn("dated", dated)
-    w = Window.partitionBy("subject", "lens_id", "dated")
-    marked = marked.withColumns({"rank": F.when(F.col("dated"), F.row_number().over(w.orderBy("date", "ord"))), "n": F.when(F.col("dated"), F.count("*").over(w))})
+    dated = grades.filter(F.col("date").isNotNull() & (F.col("date").cast("string") != ""))
+    w = Window.partitionBy("subject", "lens_id")
+    placed = dated.select("subject", "lens_id", "index", F.row_number().over(w.orderBy("date", "ord")).alias("rank"), F.count("*").over(w).alias("n"))
+    moved = placed.groupBy("subject", "lens_id").agg(trend(F.col("index"), F.col("n"), F.col("rank")).alias("trend"))
     shown = (lambda c: F.round(c, 2)) if rounded else (lambda c: c)
-    return marked.groupBy("subject", "lens_id").agg(
+    own = grades.groupBy("subject", "lens_id").agg(
         shown(F.max("index")).alias("max_index"),
         shown(F.avg("index")).alias("mean_index"),
         F.count("*").alias("n_documents"),
         F.count_if(F.size("markers_present") > 0).alias("n_documents_with_signal"),
-        trend(F.col("index"), F.col("n"), F.col("rank")).alias("trend"),
     )
+    same = own["subject"].eqNullSafe(moved["subject"]) & (own["lens_id"] == moved["lens_id"])
+    return own.join(moved, same, "left").select(own["*"], F.coalesce("trend", F.lit("insufficient-data")).alias("trend"))
 
 
 def timeline(grades: DataFrame, lens_ids: list[str]) -> DataFrame:

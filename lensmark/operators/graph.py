@@ -23,7 +23,7 @@ LENS = "network_brokerage"
 # The roles in order; all but the first are across groups.
 ROLES = ["coordinator", "gatekeeper", "representative", "consultant", "liaison"]
 TOP = 0.10
-#: Up to so many directed ties the neighbours travel to every task (16 bytes each); beyond, paths are counted by joins.
+#: Up to so many directed ties the neighbours travel to the driver and every task (16 bytes each); beyond, paths are counted by joins.
 BROADCAST_TIES = 4_000_000
 
 
@@ -73,14 +73,15 @@ def betweenness_by_level(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """By joins only: one round a level."""
     adj = written(adj, "adjacency")
     seen = written(adj.select(F.col("src").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")), "level")
-    frontier, level = seen, 0
+    frontier, last, level = seen, seen.limit(0), 0
     while True:
         level += 1
         step = frontier.join(adj, frontier["v"] == adj["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        step = written(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(level).alias("d"), "paths"), "level")
+        near = frontier.union(last).select("s", "v")  # a neighbour of a level lies in it, in the one before, or in a new one
+        step = written(step.join(near, ["s", "v"], "left_anti").select("s", "v", F.lit(level).alias("d"), "paths"), "level")
         if step.isEmpty():
             break
-        seen, frontier = seen.union(step), step
+        seen, last, frontier = seen.union(step), frontier, step
     seen = written(seen, "paths")
     back = seen.filter(F.col("d") == level - 1).select("s", "v", F.lit(0.0).alias("dependency"))
     total = back
@@ -94,24 +95,26 @@ def betweenness_by_level(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
 
 
 def betweenness_by_source(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """Sources in parallel, each search in a task over the neighbours (BROADCAST_TIES at most); node sums are partial by task."""
-    rows = adj.toPandas().sort_values(["src", "dst"])
-    ids = np.unique(rows["src"].to_numpy(dtype=object)) if len(rows) else np.empty(0, object)
-    dst = np.searchsorted(ids, rows["dst"].to_numpy(dtype=object))
-    cut = np.searchsorted(rows["src"].to_numpy(dtype=object), ids) if len(ids) else np.empty(0, int)
-    shared = adj.sparkSession.sparkContext.broadcast((ids, dst, np.append(cut, len(rows))))
+    """Sources in parallel, each search in a task over the neighbours (BROADCAST_TIES at most), which travel as numbers; node
+    sums are partial by task."""
+    known = written(adj.select(F.col("src").alias("id")).distinct().withColumn("at", F.monotonically_increasing_id()), "numbers")
+    ties = adj.join(known.toDF("src", "s"), "src").join(known.toDF("dst", "d"), "dst").select("s", "d").toArrow()
+    s, d = ties.column("s").to_numpy(), ties.column("d").to_numpy()
+    numbers = np.unique(s)
+    order = np.lexsort((d, s))
+    cut = np.searchsorted(s[order], numbers)
+    shared = adj.sparkSession.sparkContext.broadcast((numbers, np.searchsorted(numbers, d[order]), np.append(cut, len(s))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, dst, cut = shared.value
-        total = np.zeros(len(ids))
+        numbers, dst, cut = shared.value
+        total = np.zeros(len(numbers))
         for batch in batches:
-            for s in np.searchsorted(ids, batch["id"].to_numpy(dtype=object)):
-                total += _dependencies(int(s), dst, cut)
-        yield pd.DataFrame({"id": ids, "total": total})
+            for source in np.searchsorted(numbers, batch["at"].to_numpy()):
+                total += _dependencies(int(source), dst, cut)
+        yield pd.DataFrame({"at": numbers, "total": total})
 
-    sources = adj.select(F.col("src").alias("id")).distinct().repartition("id")
-    sums = sources.mapInPandas(run, f"id {dict(adj.dtypes)['src']}, total double").groupBy("id").agg(F.sum("total").alias("total"))
-    return _scaled(all_nodes, sums)
+    sums = known.select("at").repartition("at").mapInPandas(run, "at long, total double").groupBy("at").agg(F.sum("total").alias("total"))
+    return _scaled(all_nodes, known.join(sums, "at").select("id", "total"))
 
 
 def _dependencies(s: int, dst: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -140,15 +143,29 @@ def role(a: Column, b: Column, c: Column) -> Column:
 
 
 def brokerage_roles(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """id and a count a role: ordered open triads a - id - c whose three sectors are known."""
+    """id and a count a role: ordered open triads a - id - c whose three sectors are known.
+
+    All pairs of a node's neighbours are counted from its neighbours' numbers by sector, and those that are tied themselves are taken off.
+    These are found as triangles of ties that point to the end of more ties, so a hub's pairs are never rows.
+    """
     sectors = all_nodes.filter("sector IS NOT NULL").select("id", "sector")
-    known = adj.join(sectors.toDF("src", "gb"), "src").join(sectors.toDF("dst", "g"), "dst")
-    left, right = known.toDF("a", "b", "gb", "ga"), known.select("src", "dst", "g").toDF("b", "c", "gc")
-    triads = left.join(right, "b").filter("a <> c")
-    open_triads = triads.join(adj.toDF("a", "c"), ["a", "c"], "left_anti")
-    counted = open_triads.groupBy(F.col("b").alias("id"), role(F.col("ga"), F.col("gb"), F.col("gc")).alias("role")).count()
-    wide = counted.groupBy("id").pivot("role", ROLES).agg(F.first("count"))
-    return all_nodes.select("id").join(wide, "id", "left").fillna(0, ROLES)
+    known = written(adj.join(sectors.toDF("src", "gs"), "src").join(sectors.toDF("dst", "gd"), "dst").select("src", "dst", "gs", "gd"), "known")
+    by_sector = known.groupBy(F.col("src").alias("id"), "gs", "gd").agg(F.count("*").alias("n"))
+    own, other = F.when(F.col("gd") == F.col("gs"), F.col("n")).otherwise(0), F.when(F.col("gd") != F.col("gs"), F.col("n")).otherwise(0)
+    sums = by_sector.groupBy("id").agg(F.sum(own).alias("own"), F.sum(other).alias("other"), F.sum(other * other).alias("squares"))
+    across = F.col("own") * F.col("other")
+    pairs = dict(zip(ROLES, (F.col("own") * (F.col("own") - 1), across, across, F.col("squares") - F.col("other"), F.col("other") * F.col("other") - F.col("squares")), strict=True))
+    every = sums.select("id", *(c.alias(r) for r, c in pairs.items()))
+
+    ties = known.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    ends = known.join(ties.toDF("src", "ds"), "src").join(ties.toDF("dst", "dd"), "dst")
+    up = written(ends.filter(F.struct("ds", "src") < F.struct("dd", "dst")).select("src", "dst", "gs", "gd"), "oriented")
+    wedges = up.toDF("x", "y", "gx", "gy").join(up.select(F.col("src").alias("x"), F.col("dst").alias("z"), F.col("gd").alias("gz")), "x")
+    triangles = wedges.join(up.select(F.col("src").alias("y"), F.col("dst").alias("z")), ["y", "z"])
+    middle = [F.struct(F.col(b).alias("id"), role(F.col("g" + a), F.col("g" + b), F.col("g" + c)).alias("role")) for b, a, c in ("xyz", "xzy", "yxz", "yzx", "zxy", "zyx")]
+    closed = triangles.select(F.explode(F.array(*middle)).alias("m")).groupBy("m.id").agg(*(F.count_if(F.col("m.role") == r).alias(f"closed_{r}") for r in ROLES))
+    found = every.join(closed, "id", "left")
+    return all_nodes.select("id").join(found, "id", "left").select("id", *(F.coalesce(F.col(r) - F.coalesce(f"closed_{r}", F.lit(0)), F.lit(0)).alias(r) for r in ROLES))
 
 
 def bridged_sectors(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
@@ -159,15 +176,33 @@ def bridged_sectors(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
     return out.select("id", F.array_sort(F.array_except(F.coalesce("s", F.array().cast("array<string>")), own)).alias("bridged"))
 
 
+def cumulative(values: DataFrame, column: str) -> DataFrame:
+    """Per distinct value of a column: upto (how many values are not greater) and n (all). Values are sorted over all tasks; within
+    a sorted partition they are summed up, and what earlier partitions hold is added."""
+    sorted_ = values.groupBy(column).agg(F.count("*").alias("c")).orderBy(column).withColumn("at", F.monotonically_increasing_id())
+    sorted_ = written(sorted_.withColumn("part", F.shiftright("at", 33)), "sorted")
+    sums = sorted_.groupBy("part").agg(F.sum("c").alias("s"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sums = sums.select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("n"))
+    within = F.sum("c").over(Window.partitionBy("part").orderBy("at"))
+    return sorted_.withColumn("within", within).join(F.broadcast(sums), "part").select(column, (F.col("before") + F.col("within")).alias("upto"), "n")
+
+
+def _cut(upto: DataFrame, column: str, top: float) -> DataFrame:
+    reached = upto.filter(F.col("upto") > F.bround((1.0 - top) * (F.col("n") - 1), 0))
+    return reached.agg(F.coalesce(F.min(column), F.lit(float("inf"))).alias("cut"))
+
+
 def decile_cut(values: DataFrame, column: str, top: float = TOP) -> DataFrame:
     """cut: the value at nearest rank round((1 - top) * (n - 1)), ties to even; infinity for no values."""
-    ranked = values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    hit = ranked.filter(F.col("r") == F.bround((1.0 - top) * (F.col("n") - 1), 0))
-    return hit.agg(F.coalesce(F.max(column), F.lit(float("inf"))).alias("cut"))
+    return _cut(cumulative(values, column), column, top)
 
 
-def percentile(column: str) -> Column:
-    return F.cume_dist().over(Window.orderBy(column))
+def percentiles(values: DataFrame, column: str, name: str = "percentile", cut: str | None = None, top: float = TOP) -> DataFrame:
+    """values with the share of values that are not greater than the row's own and, if named, the decile cut."""
+    upto = cumulative(values, column)
+    out = values.join(upto.select(column, (F.col("upto") / F.col("n")).alias(name)), column)
+    return out.join(F.broadcast(_cut(upto, column, top).withColumnRenamed("cut", cut))) if cut else out
 
 
 def _steep(p: Column, base: float) -> Column:
@@ -181,16 +216,14 @@ def metrics(entities: DataFrame, edges: DataFrame) -> DataFrame:
     out = every.join(degree(every, adj), "id").join(betweenness(every, adj), "id").join(brokerage_roles(every, adj), "id").join(bridged_sectors(every, adj), "id")
     out = written(out, "metrics")
     for c in ("betweenness", "degree_centrality"):
-        # one row a node: ranks need their order, and the cut its place in it
-        out = out.withColumn(f"{c}_percentile", percentile(c)).join(F.broadcast(decile_cut(out, c).withColumnRenamed("cut", f"{c}_cut")))
+        out = percentiles(out, c, f"{c}_percentile", f"{c}_cut")
     return out
 
 
 def network_hits(measured: DataFrame) -> DataFrame:
     """Hits of the graph-position lens for every node: doc_id (the node) and the columns of a hit."""
     b, d = F.col("betweenness"), F.col("degree_centrality")
-    n = F.count("*").over(Window.partitionBy())
-    rows = measured.withColumn("n", n)
+    rows = measured.join(F.broadcast(measured.agg(F.count("*").alias("n"))))
     across = F.col(ROLES[1]) + F.col(ROLES[2]) + F.col(ROLES[3]) + F.col(ROLES[4])
     names = F.array_join("bridged", ", ")
     mix = F.concat_ws(", ", *(F.when(F.col(r) > 0, F.concat(F.lit(f"{r}:"), F.col(r))) for r in ROLES))

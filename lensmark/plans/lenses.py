@@ -106,17 +106,6 @@ def literal(value: object, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), schema)
 
 
-def detection_literal(lenses: dict[str, Lens]) -> Column:
-    """Detections with cues that are not blank: lens, marker, id, order, and cues with their searched form."""
-    rows = []
-    for lens in lenses.values():
-        for i, (m, d) in enumerate(lens.detections()):
-            cues = [{"cue": c, "norm": c.strip().lower()} for c in d.cues if c.strip()]
-            if cues:
-                rows.append({"lens_id": lens.id, "marker_id": m.id, "detection_id": d.id, "det_ord": i, "cues": cues})
-    return literal(rows, "array<struct<lens_id:string,marker_id:string,detection_id:string,det_ord:int,cues:array<struct<cue:string,norm:string>>>>")
-
-
 def lens_literal(lenses: dict[str, Lens]) -> Column:
     """What grading needs of each lens."""
     rows = []

@@ -14,7 +14,7 @@ from lensmark.operators import careers as C
 from lensmark.operators import evaluation as E
 from lensmark.operators import graph as G
 from lensmark.operators import grading, subjects
-from lensmark.operators.detection import cue_hits, stub_transport, verified_cue_hits
+from lensmark.operators.detection import cue_hits, prompts, rule_transport, verified_cue_hits
 from lensmark.plans import sql, tables
 from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, text_lenses
 from lensmark.sources.intake import from_html
@@ -22,6 +22,8 @@ from lensmark.streaming.events import windowed_events
 
 #: A day between the two cuts of the scoreboard.
 CUTS = ("1996-01-01", "1997-01-01")
+#: What the stand-in verifier looks for.
+REFUSED = sql.REFUSED
 
 
 def lenses():
@@ -62,7 +64,7 @@ def q_html_to_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    s = tables.table(spark, d, "documents").select("doc_id", T.sanitize(F.col("text"), 500).alias("s"))
+    s = tables.table(spark, d, "documents").select("doc_id", T.sanitize(F.col("text")).alias("s"))
     return s.select("doc_id", "s.clean", "s.flagged")
 
 
@@ -126,11 +128,28 @@ def q_board_validate(spark: SparkSession, d: str) -> DataFrame:
     return B.validate(tables.records(spark, d), load_lenses()).groupBy("institution", "kind").agg(F.count("*").alias("n"))
 
 
-def q_snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
+def _drift(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.records(spark, d)
     before, now = (B.board(rows.filter(F.col("day") < day), rounded=False) for day in CUTS)
-    drift = B.delta(before, now)
-    return cut(drift, "fact_before", "fact_now").select("institution", "change", "fact_before", "fact_now", F.col("markers_before").cast("long"), F.col("markers_now").cast("long"))
+    return cut(B.delta(before, now), "fact_before", "fact_now")
+
+
+def q_snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d).select("institution", "change", "fact_before", "fact_now", F.col("markers_before").cast("long"), F.col("markers_now").cast("long"))
+
+
+def q_delta_lines(spark: SparkSession, d: str) -> DataFrame:
+    return B.delta_lines(_drift(spark, d)).select("line")
+
+
+def q_board_receipts(spark: SparkSession, d: str) -> DataFrame:
+    found = cut(B.receipts(tables.records(spark, d), rounded=False), "score")
+    return found.select("institution", F.col("place").cast("long").alias("place"), "marker", "actor", "assurance", "score", F.array_join("receipts", " ").alias("receipts"))
+
+
+def q_board_credits(spark: SparkSession, d: str) -> DataFrame:
+    own = B.nested(tables.records(spark, d), rounded=False)
+    return cut(own.select("institution", F.size("records").cast("long").alias("n_records"), F.size("sc_credits").cast("long").alias("n_credits"), F.aggregate("sc_credits", F.lit(0.0), lambda a, x: a + x).alias("credits")), "credits")
 
 
 def q_board_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +199,7 @@ def q_decile_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_percentile_rank(spark: SparkSession, d: str) -> DataFrame:
-    return cut(G.degree(*_graph(spark, d)).select("id", G.percentile("degree_centrality").alias("p")), "p")
+    return cut(G.percentiles(G.degree(*_graph(spark, d)), "degree_centrality", "p").select("id", "p"), "p")
 
 
 def q_betweenness(spark: SparkSession, d: str) -> DataFrame:
@@ -228,9 +247,14 @@ def q_eval_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_verify_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in verifier that finds hits incidental where the text holds REFUSED."""
     docs = tables.documents(spark, d).select("doc_id", "text")
-    own = {k: v for k, v in text_only().items() if k in ("license_register", "contact_register")}
-    return verified_cue_hits(docs, own, stub_transport()).select("doc_id", "lens_id", "detection_id", "confidence", "span", F.col("char_start").cast("long"))
+    return verified_cue_hits(docs, text_only(), rule_transport(REFUSED)).select("doc_id", "lens_id", "detection_id", "confidence", "span", F.col("char_start").cast("long"))
+
+
+def q_prompts(spark: SparkSession, d: str) -> DataFrame:
+    p = prompts(tables.documents(spark, d), text_only())
+    return p.select("doc_id", "lens_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 def q_lens_summary(spark: SparkSession, d: str) -> DataFrame:

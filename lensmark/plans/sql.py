@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from lensmark.functions.text import INJECTION
+from lensmark.operators.detection import CLOSING, OPENING, prompt_for
 from lensmark.plans.lenses import Lens, cue_snapshot, load_lenses, text_lenses
 from lensmark.plans.tables import RELATIONS, SECTORS
 
 
+#: What the stand-in verifier of verify_receipts looks for.
+REFUSED = "Apache"
+
+
 def _q(x: object) -> str:
     return "'" + str(x).replace("'", "''") + "'"
 
@@ -149,6 +154,18 @@ def all_queries() -> dict[str, str]:
     by_day = f"WITH {dims(days)},\n{DAYS},\n{GRADE}"
     net = f"{GRAPH},\n{between()},\n{BRIDGED},\n{ROLES},\n{NETWORK}"
     few = {k: text[k] for k in ("license_register", "contact_register")}
+    clean = "(CASE WHEN length(c) > 20000 THEN left(c, 20000) || ' […truncated]' ELSE c END)"
+    fenced = "replace(text, '\"\"\"', '\"​\"​\"')"
+    heads = _values("head", "lens_id, head", [(x.id, prompt_for(x)) for x in text.values()])
+    drift = f"""WITH {RECORDS},\n{_board('p', "day < '1996-01-01'")},\n{_board('c', "day < '1997-01-01'")},
+both_ AS (SELECT coalesce(p.institution, c.institution) AS i, p.institution IS NULL AS added, c.institution IS NULL AS removed, round(p.fact + 1e-9, 6) AS f0, round(c.fact + 1e-9, 6) AS f1, p.n_markers AS m0, c.n_markers AS m1 FROM p FULL JOIN c USING (institution)),
+moved AS (SELECT i, round(f1 - f0, 2) AS up, abs(f1 - f0) >= 0.01 AS f, m0 <> m1 AS m, f0, f1, m0, m1 FROM both_ WHERE NOT added AND NOT removed AND (abs(f1 - f0) >= 0.01 OR m0 <> m1))"""
+    receipt = """high AS (SELECT id AS doc_id, 'high-betweenness' AS detection_id, name || printf(': betweenness %.3f (top %d%% of %d nodes); bridges sectors ', betweenness, greatest(1, round_even((1 - pb) * 100, 0)::INT), n) || CASE WHEN len(bridged) > 0 THEN array_to_string(bridged, ', ') ELSE coalesce(sector, '?') END AS span FROM met, bar WHERE betweenness > 0 AND betweenness >= cb - 1e-12),
+hub AS (SELECT id, 'hub-degree', name || printf(': degree %d (centrality %.3f, top %d%% of %d nodes)', degree, degree_centrality, greatest(1, round_even((1 - pd) * 100, 0)::INT), n) FROM met, bar WHERE degree > 0 AND degree_centrality >= cd),
+mix AS (SELECT *, concat_ws(', ', CASE WHEN coordinator > 0 THEN 'coordinator:' || coordinator END, CASE WHEN gatekeeper > 0 THEN 'gatekeeper:' || gatekeeper END, CASE WHEN representative > 0 THEN 'representative:' || representative END,
+  CASE WHEN consultant > 0 THEN 'consultant:' || consultant END, CASE WHEN liaison > 0 THEN 'liaison:' || liaison END) AS roles_ FROM met WHERE gatekeeper + representative + consultant + liaison > 0 AND len(bridged) >= 2),
+across AS (SELECT id, 'cross-group-broker', name || ' (' || coalesce(sector, '?') || ') brokers across ' || len(bridged) || ' sectors [' || array_to_string(bridged, ', ') || ']; roles {' || roles_ || '}' FROM mix)
+SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
     shown = "round(idx + 1e-9, 6) AS index, tier, round(breadth + 1e-9, 6) AS breadth, round(intensity + 1e-9, 6) AS intensity, round(density + 1e-9, 6) AS density"
     injection = INJECTION.replace("'", "''").replace(r"\{", "[{]")
     lens_rows = [(x.id, ",".join(m.id for m in x.markers), len(x.detections()), sum(len(d.cues) for _, d in x.detections())) for x in every.values()]
@@ -160,7 +177,7 @@ def all_queries() -> dict[str, str]:
         "grade_documents": f"{graded} SELECT doc_id, lens_id, token_count, {shown} FROM graded",
         "token_estimate": f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents",
         "html_to_text": f"SELECT page_id, {HTML} AS text FROM pages",
-        "sanitize": f"WITH c AS (SELECT doc_id, text, replace(text, '\"\"\"', '\"​\"​\"') AS c FROM documents) SELECT doc_id, CASE WHEN length(c) > 500 THEN left(c, 500) || ' […truncated]' ELSE c END AS clean, regexp_matches(text, '{injection}') AS flagged FROM c",
+        "sanitize": f"WITH c AS (SELECT doc_id, text, replace(text, '\"\"\"', '\"​\"​\"') AS c FROM documents) SELECT doc_id, CASE WHEN length(c) > 20000 THEN left(c, 20000) || ' […truncated]' ELSE c END AS clean, regexp_matches(text, '{injection}') AS flagged FROM c",
         "span_locate": "SELECT doc_id, CASE WHEN strpos(text, 'tion') > 0 THEN strpos(text, 'tion') - 1 END AS at, NULL::BIGINT AS empty FROM documents",
         "grade_event_days": f"{by_day} SELECT doc_id, {shown} FROM graded",
         "marker_scores_long": f"{by_day} SELECT doc_id, marker_id, round(s + 1e-9, 6) AS score FROM m",
@@ -200,7 +217,13 @@ def all_queries() -> dict[str, str]:
         "eval_floor": f"{graded},\nfx AS (SELECT l.doc_id, quality = 0 AS fire, toxic = 1 AS skip, coalesce(present, 0) > 0 AS fired, coalesce(s, 0) >= 0.3 AS hit FROM labels l LEFT JOIN (SELECT doc_id, present FROM graded WHERE lens_id = 'morpheme_register') USING (doc_id) LEFT JOIN (SELECT doc_id, s FROM m WHERE marker_id = 'latinate') USING (doc_id)) "
         "SELECT count(*) FILTER (NOT skip AND fire AND fired) AS pos_hit, count(*) FILTER (NOT skip AND fire) AS pos_total, count(*) FILTER (NOT skip AND NOT fire AND NOT fired) AS neg_quiet, count(*) FILTER (NOT skip AND NOT fire) AS neg_total, count(*) FILTER (NOT skip AND fire AND hit) AS cover_hit, count(*) FILTER (NOT skip AND fire) AS cover_total, count(*) FILTER (skip) AS skipped, count(*) FILTER (NOT skip AND ((fire AND (NOT fired OR NOT hit)) OR (NOT fire AND fired))) AS failures FROM fx",
         "eval_confusion": "SELECT *, fp = 0 AND fn = 0 AS passed FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 0) AS tn FROM labels)",
-        "verify_receipts": f"WITH {dims(few)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, 0.9::DOUBLE AS confidence, span, char_start FROM hits",
+        "verify_receipts": f"WITH {dims(text)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, 0.9::DOUBLE AS confidence, span, char_start FROM hits JOIN (SELECT doc_id, {fenced} AS c FROM doc) USING (doc_id) WHERE NOT contains({clean}, {_q(REFUSED)})",
+        "prompts": f"WITH {heads},\nd AS (SELECT doc_id, lens_id, head || {_q(OPENING)} || {clean} || {_q(CLOSING)} AS prompt FROM (SELECT doc_id, {fenced} AS c FROM documents) CROSS JOIN head) SELECT doc_id, lens_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM d",
+        "network_receipts": f"WITH {net},\n{receipt}",
+        "delta_lines": f"{drift} SELECT '- **New on the board:** ' || string_agg(i, ', ' ORDER BY i) AS line FROM both_ WHERE added HAVING count(*) > 0 UNION ALL SELECT '- **Dropped:** ' || string_agg(i, ', ' ORDER BY i) FROM both_ WHERE removed HAVING count(*) > 0 "
+        "UNION ALL SELECT '- **' || i || ':** ' || concat_ws('; ', CASE WHEN f THEN 'FACT ' || f0 || '->' || f1 || ' (' || CASE WHEN up >= 0 THEN '+' ELSE '' END || up || ')' END, CASE WHEN m THEN 'markers ' || m0 || '->' || m1 END) FROM moved",
+        "board_receipts": f"WITH {RECORDS} SELECT institution, row_number() OVER (PARTITION BY institution ORDER BY score DESC, ord) AS place, marker, actor, assurance, round(score + 1e-9, 6) AS score, CASE WHEN l_linenumber = 7 THEN '' ELSE 'order/' || (ord // 10) END AS receipts FROM rec",
+        "board_credits": f"WITH {RECORDS} SELECT institution, count(*) AS n_records, count(*) FILTER (sc > 0) AS n_credits, round(coalesce(sum(sc) FILTER (sc > 0), 0) + 1e-9, 6) AS credits FROM rec GROUP BY institution",
         "lens_summary": f"WITH {_values('x', 'lens_id, markers, n_detections, n_cues', lens_rows)} SELECT lens_id, markers, n_detections::BIGINT AS n_detections, n_cues::BIGINT AS n_cues FROM x",
         "cue_snapshot": f"WITH {_values('x', 'lens_id, marker_id, detection_id, n_cues', cue_rows)} SELECT lens_id, marker_id, detection_id, n_cues::BIGINT AS n_cues FROM x",
         "detect_api": f"WITH {dims(few)},\n{DOC},\n{HITS},\n{GRADE} SELECT doc_id, lens_id, round(idx + 1e-9, 6) AS index FROM graded",

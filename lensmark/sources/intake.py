@@ -5,7 +5,11 @@ Documents: doc_id, text, subject, url, date, ord (input order, for stable ties).
 
 from __future__ import annotations
 
+import contextlib
+import importlib
+import io
 import json
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,12 +43,27 @@ def from_dir(spark: SparkSession, path: str, pattern: str = "*.txt", subject: st
     """The folder's own files that match, by name."""
     none = F.lit(None).cast("string")
     rows = _files(spark, path, pattern).select(F.url_decode("doc_id").alias("doc_id"), "text", F.lit(subject).cast("string").alias("subject"), none.alias("url"), none.alias("date"))
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1).orderBy("ord")
+    places = rows.select("doc_id").withColumn("ord", F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1)  # names only: the driver lists as many
+    return rows.join(places, "doc_id").orderBy("ord")
+
+
+def _offset(rows: DataFrame, name: str, within: Column, count: Column) -> DataFrame:
+    """rows with ``name``: their number within their block of a file, from 0, and what the blocks before hold together."""
+    blocks = rows.groupBy("file", "block").agg(count.alias("c"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    return rows.withColumn("within", within).join(F.broadcast(blocks), ["file", "block"]).withColumn(name, F.col("before") + F.col("within")).drop("before", "within")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, n (from 0). Line numbers need a file's order: the partitions' sizes are counted, then lines are numbered."""
-    return spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().toDF("line string, n long")
+    """file, block, line, n (from 0). A block of a file is read by one task in order, so its lines' ids rise by one; how many lines the blocks
+    before it have is counted first."""
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"))
+    first = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("c"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    starts = first.select("file", "block", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    return rows.join(F.broadcast(starts), ["file", "block"]).select("file", "block", "line", (F.col("id") + F.col("start")).alias("n"))
 
 
 def from_jsonl(spark: SparkSession, path: str, subject: str | None = None, text_key: str = "text") -> DataFrame:
@@ -65,14 +84,14 @@ def of_subject(records: DataFrame, subject: str, keep_unnamed: bool = False) ->
 
 
 def from_x_export(spark: SparkSession, path: str, subject: str | None = None) -> DataFrame:
-    """Posts: text or full_text, the day of created_at; of the subject's handle, with or without ``@``."""
+    """Posts: text or full_text, the day of created_at; of the subject's handle, with or without ``@``. A post's subject is its own handle."""
     get = lambda k: _blank(F.get_json_object("line", f"$.{k}"))
-    rows = _lines(spark, path).filter(strip(F.col("line")) != "").select("n", F.coalesce(get("text"), get("full_text")).alias("text"), get("handle").alias("handle"), get("id").alias("id"), get("url").alias("url"), iso_day(get("created_at")).alias("date"))
+    rows = _lines(spark, path).filter(strip(F.col("line")) != "").select("file", "block", "n", F.coalesce(get("text"), get("full_text")).alias("text"), get("handle").alias("handle"), get("id").alias("id"), get("url").alias("url"), iso_day(get("created_at")).alias("date"))
     if subject is not None:
-        rows = rows.filter(F.col("handle").isin(subject, subject.removeprefix("@")))
+        rows = rows.filter(F.col("handle").isin(subject, subject.lstrip("@")))
     rows = rows.filter(F.coalesce(strip(F.col("text")), F.lit("")) != "")
-    k = F.row_number().over(Window.orderBy("n")) - 1
-    return rows.withColumn("k", k).select(F.coalesce("id", F.concat(F.lit("x#"), "k")).alias("doc_id"), "text", F.coalesce(F.lit(subject).cast("string"), "handle").alias("subject"), "url", "date", F.col("n").alias("ord"))
+    kept = _offset(rows, "k", F.row_number().over(Window.partitionBy("file", "block").orderBy("n")) - 1, F.count("*"))
+    return kept.select(F.coalesce("id", F.concat(F.lit("x#"), "k")).alias("doc_id"), "text", F.col("handle").alias("subject"), "url", "date", F.col("n").alias("ord"))
 
 
 def from_html(pages: DataFrame) -> DataFrame:
@@ -80,8 +99,15 @@ def from_html(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("url").alias("doc_id"), html_to_text(F.col("html")).alias("text"), F.lit(None).cast("string").alias("subject"), "url", F.lit(None).cast("string").alias("date"))
 
 
-def from_urls(urls: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
-    """urls: url. Pages by ``fetch``, in tasks; a page that fails has an error and no text."""
+def fetch_url(url: str) -> str:
+    """A page's text, within 30 seconds; used only where a caller passes it to from_urls()."""
+    asked = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0 (compatible; lensmark)"})
+    with urllib.request.urlopen(asked, timeout=30) as page:
+        return page.read().decode(page.headers.get_content_charset() or "utf-8", "replace")
+
+
+def from_urls(urls: DataFrame, fetch: Callable[[str], str] = fetch_url, subject: str | None = None, date: str | None = None) -> DataFrame:
+    """urls: url. Documents of pages by ``fetch``, in tasks, with ``error``; a page that fails has an error and no text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,7 +122,7 @@ def from_urls(urls: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
             yield pd.DataFrame({"url": batch["url"], "html": html, "error": errors})
 
     pages = urls.select("url").mapInPandas(run, "url string, html string, error string")
-    return pages.select(F.col("url").alias("doc_id"), html_to_text(F.col("html")).alias("text"), "url", "error")
+    return pages.select(F.col("url").alias("doc_id"), html_to_text(F.col("html")).alias("text"), F.lit(subject).cast("string").alias("subject"), "url", F.lit(date).cast("string").alias("date"), "error")
 
 
 def from_pdf(spark: SparkSession, path: str) -> DataFrame:
@@ -111,20 +137,19 @@ def from_pdf(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("text", strip(F.regexp_replace("text", r"\s+\n", "\n")))
 
 
-def _pdf_reader() -> Callable[[bytes], str]:
-    import io
-
-    try:
-        from pypdf import PdfReader
+#: Libraries that read PDF, best first, and how each makes a text of a file's bytes.
+PDF_READERS: dict[str, Callable] = {
+    "pypdf": lambda module, data: "\n".join(page.extract_text() or "" for page in module.PdfReader(data).pages),
+    "pdfminer.high_level": lambda module, data: module.extract_text(data),
+}
 
-        return lambda data: "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
-    except ImportError:
-        try:
-            from pdfminer.high_level import extract_text
 
-            return lambda data: extract_text(io.BytesIO(data))
-        except ImportError as e:
-            raise ImportError("reading PDF needs pypdf or pdfminer.six") from e
+def _pdf_reader() -> Callable[[bytes], str]:
+    for name, read in PDF_READERS.items():
+        with contextlib.suppress(ImportError):
+            module = importlib.import_module(name)
+            return lambda data, module=module, read=read: read(module, io.BytesIO(data))
+    raise ImportError(f"none of these is installed to read PDF: {', '.join(PDF_READERS)}")
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

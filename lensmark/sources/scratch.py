@@ -18,10 +18,19 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own in local mode; elsewhere an error, as
+    no folder of one machine would do."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df by way of a Parquet table under ``spark.checkpoint.dir`` (the warehouse, where that is unset): lineage ends, a lost executor costs a reread."""
+    """df by way of a Parquet table in the shared folder: lineage ends, a lost executor costs a reread. The table stays, as lazy results read it."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    path = f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

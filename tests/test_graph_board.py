@@ -123,10 +123,60 @@ def test_board(spark, tmp_path):
     prior = board.prior_cut(spark, path, "2024-02-01")
     assert prior.count() == 3 and board.prior_cut(spark, path, "2024-01-01", only_earlier=True) is None
     assert board.prior_cut(spark, path, "2024-01-01").count() == 3
-    assert board.delta_lines(board.delta(ranked, ranked)) == ["- No change since the prior cut."]
-    lines = board.delta_lines(board.delta(board.board(r.filter("ord < 3")), ranked.filter("institution <> 'J'")))
-    assert lines == ["- **New on the board:** K", "- **Dropped:** J", "- **I:** FACT 0.5->0.65 (+0.15)"]
-    assert board.render(ranked).count("\n") == 4 and tuple(board.totals(ranked).first()) == (3, 5)
+    shown = lambda before, now: [x["line"] for x in board.delta_lines(board.delta(before, now)).collect()]
+    assert shown(ranked, ranked) == ["- No change since the prior cut."]
+    assert shown(board.board(r.filter("ord < 3")), ranked.filter("institution <> 'J'")) == ["- **New on the board:** K", "- **Dropped:** J", "- **I:** FACT 0.5->0.65 (+0.15)"]
+    assert tuple(board.totals(ranked).first()) == (3, 5)
+    best = [(x["institution"], x["place"], x["score"], x["actor"]) for x in board.receipts(r).orderBy("institution", "place").collect()]
+    assert best == [("I", 1, 0.5, "x"), ("I", 2, 0.15, "y"), ("J", 1, 0.3, "y"), ("J", 2, 0.25, "y"), ("K", 1, 0.5, "z")]
+    inside = {x["institution"]: x for x in board.nested(r).collect()}
+    assert [x["score"] for x in inside["I"]["records"]] == [0.5, 0.15] and inside["I"]["sc_credits"] == [0.5, 0.25] and inside["J"]["sc_credits"] == []
+    text = board.render(ranked, r).split("\n")
+    assert text[0].startswith("| # | Institution |") and text[2] == "| 1 | I | 0.65 | 0.0 | 1 | x:0.5, y:0.15 | 0.38 |" and len(text) == 5 + 3 * 2 + 5
+    assert "### J (FACT 0.0, unverified 0.55)" in text and text[7].endswith('score 0.5: "s" [src](u)')
+    board.write_board(r, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "board.json")).count() == 3
+    assert [x[0] for x in spark.read.text(str(tmp_path / "out" / "board.md")).collect()] == text
+
+
+def test_roles_against_brute_force(spark):
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(26)]
+    sector = {i: rng.choice(["a", "b", "c", None]) for i in ids}
+    ties = {tuple(sorted(rng.sample(ids, 2))) for _ in range(110)} | {tuple(sorted(("n0", i))) for i in ids[1:]}
+    near = {i: {a if b == i else b for a, b in ties if i in (a, b)} for i in ids}
+    want = {i: dict.fromkeys(G.ROLES, 0) for i in ids}
+    for b in ids:
+        for x in near[b]:
+            for y in near[b] - near[x] - {x}:
+                if None not in (g := (sector[x], sector[b], sector[y])):
+                    kind = "coordinator" if g[0] == g[1] == g[2] else "representative" if g[0] == g[1] else "gatekeeper" if g[1] == g[2] else "consultant" if g[0] == g[2] else "liaison"
+                    want[b][kind] += 1
+    adj = G.neighbours(spark.createDataFrame(sorted(ties), "source string, target string"))
+    every = G.nodes(spark.createDataFrame([(i, i, sector[i]) for i in ids] + [("alone", "alone", "a")], E), adj)
+    got = {r["id"]: r.asDict() for r in G.brokerage_roles(every, adj).collect()}
+    assert got.pop("alone")["liaison"] == 0 and {i: {k: r[k] for k in G.ROLES} for i, r in got.items()} == want
+
+
+def test_a_hub_with_many_neighbours(spark):
+    n = 100_000
+    edges = spark.range(n).selectExpr("'hub' AS source", "concat('x', id) AS target").union(spark.range(5).selectExpr("'x0' AS source", "concat('x', id + 1) AS target"))
+    entities = spark.range(n).selectExpr("concat('x', id) AS id", "concat('x', id) AS name", "if(id % 2 = 0, 'a', 'b') AS sector").union(spark.createDataFrame([("hub", "hub", "a")], E))
+    adj = G.neighbours(edges)
+    r = G.brokerage_roles(G.nodes(entities, adj), adj).filter("id = 'hub'").first()
+    half = n // 2
+    assert (r["coordinator"], r["gatekeeper"], r["representative"], r["consultant"], r["liaison"]) == (half * (half - 1) - 4, half * half - 3, half * half - 3, half * (half - 1), 0)
+
+
+def test_cuts_and_percentiles_against_sorting(spark):
+    rng = random.Random(2)
+    for n in (1, 6, 7, 400):
+        v = [rng.choice((0.0, 0.5, rng.random())) for _ in range(n)]
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id int, v double").repartition(5)
+        assert G.decile_cut(df, "v").first()["cut"] == sorted(v)[round(0.9 * (n - 1))]
+        got = {r["id"]: r["p"] for r in G.percentiles(df, "v", "p").collect()}
+        assert got == {i: sum(y <= x for y in v) / n for i, x in enumerate(v)}
+    assert G.decile_cut(df.limit(0), "v").first()["cut"] == float("inf")
 
 
 def test_evaluation(spark):
