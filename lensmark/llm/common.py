@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmark.sources.scratch import importable
+from lensmark.sources.scratch import importable, shared_dir
 
 #: Bytes of text that a numpy pass works on at once. A single longer text is one pass of its own.
 CHUNK_BYTES = 1 << 20
@@ -21,27 +21,19 @@ ROWS_AT_ONCE = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return where.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder so that a lost executor costs a reread only."""
 
     def __init__(self, spark: SparkSession):
         modest_batches(spark)
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.tables: dict[int, tuple[str, DataFrame]] = {}  # the frames are held, so that their ids stay theirs
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables[id(out)] = (path, out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -49,17 +41,13 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            if path := self.paths.pop(id(df), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
+            if id(df) in self.tables:
+                p = jvm.org.apache.hadoop.fs.Path(self.tables.pop(id(df))[0])
                 p.getFileSystem(conf).delete(p, True)
 
     def drop_all_but(self, *keep: DataFrame) -> None:
         held = {id(x) for x in keep}
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for k in [k for k in self.paths if k not in held]:
-            p = jvm.org.apache.hadoop.fs.Path(self.paths.pop(k))
-            p.getFileSystem(conf).delete(p, True)
+        self.drop(*(df for k, (_, df) in list(self.tables.items()) if k not in held))
 
 
 def modest_batches(spark: SparkSession) -> None:
