@@ -29,10 +29,11 @@ MOST_TOXIC, MOST_CLEAN, MOST_IN_ALL, MOST_FITTED = 2500, 5000, 750_000, 3000
 BLOCK, GROUP, NEIGHBOURS = 128, 8, 15
 #: Terms in more than one of so many examples are common.
 COMMON = 32
-#: What a term weighs that both classes use alike; the two-sided z of the difference of its rates is added.
-LEAST_WEIGHT = 0.1
+#: What a term weighs that both classes use alike. What the two-sided z of the difference of its rates has over CHANCE is added; RARE
+#: more examples of both classes' kind are taken to use the term, so that few uses say little.
+LEAST_WEIGHT, CHANCE, RARE = 0.1, 1.0, 4
 #: A vote's prior counts as a neighbour of this similarity.
-FAINT = 0.05
+FAINT = 1.0
 
 #: ASCII letters and digits in lower case, what is not ASCII as it is, all else as a space.
 _WORD = np.array([b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256)], np.uint8)
@@ -234,11 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_colu
 
     toxic, both = np.bincount(at, y[owner], len(vocabulary)), np.bincount(at, minlength=len(vocabulary))
     n = np.array([len(y) - y.sum(), y.sum()])
-    rate = np.minimum(both / len(y), 0.999)
+    rate = np.minimum((both + RARE) / len(y), 0.999)
     z = np.abs(toxic / n[1] - (both - toxic) / n[0]) / np.sqrt(rate * (1 - rate) * (1 / n).sum())
-    z[both < 2] = 0
 
-    model = Model(vocabulary, idf * (LEAST_WEIGHT + z), None, None)
+    model = Model(vocabulary, idf * (LEAST_WEIGHT + np.maximum(z - CHANCE, 0)), None, None)
     weights = np.where(y > 0, true[1] / n[1], true[0] / n[0])
     weights /= weights.min()
     owner, at, x = model.vectors(owner, term.view(np.uint64), count, len(y))

@@ -106,9 +106,9 @@ def test_scores_against_brute_force(spark):
     weight = {}
     for w in vocabulary:
         a, b = (sum(w in split(texts[i]) for i, y in known.items() if y == want) for want in (1, 0))
-        rate = min((a + b) / len(known), 0.999)
-        z = abs(a / n1 - b / n0) / math.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0)) if a + b > 1 else 0
-        weight[w] = (math.log((1 + len(rows)) / (1 + sum(w in r for r in rows))) + 1e-6) * (0.1 + z)
+        rate = min((a + b + 4) / len(known), 0.999)
+        z = abs(a / n1 - b / n0) / math.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
+        weight[w] = (math.log((1 + len(rows)) / (1 + sum(w in r for r in rows))) + 1e-6) * (0.1 + max(z - 1, 0))
 
     def vector(text):
         v = {w: (1 + math.log(n)) * weight[w] for w, n in Counter(split(text)).items() if w in weight}
@@ -120,7 +120,7 @@ def test_scores_against_brute_force(spark):
     def vote(v, but=None):
         s = sorted(((sum(x * u.get(w, 0) for w, x in v.items()), known[i]) for i, u in vectors.items() if i != but), reverse=True)[:15]
         s = [x for x in s if x[0] > 0]
-        return (sum(x * y for x, y in s) + 0.05 * n1 / len(known)) / (sum(x for x, _ in s) + 0.05)
+        return (sum(x * y for x, y in s) + 1.0 * n1 / len(known)) / (sum(x for x, _ in s) + 1.0)
 
     own = [(vote(vectors[i], i), y) for i, y in sorted(known.items())]
     knots = toxicity.isotonic(np.array([v for v, _ in own]), np.array([float(y) for _, y in own]), np.ones(len(own)))
