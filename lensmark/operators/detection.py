@@ -92,11 +92,15 @@ def _tried(transport: Transport, prompts: list[str]) -> tuple[list[str | None],
 
 def asked(df: DataFrame, prompt: str, transport: Transport) -> DataFrame:
     """df with columns answer and error: a failing call is data, never a failed task."""
+    return _answered(df, prompt, lambda prompts: _tried(transport, prompts))
+
+
+def _answered(df: DataFrame, prompt: str, ask: Callable[[list[str]], tuple[list[str | None], list[str | None]]]) -> DataFrame:
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers, errors = _tried(transport, batch[prompt].tolist())
+            answers, errors = ask(batch[prompt].tolist())
             yield batch.assign(answer=answers, error=errors)[[*names, "answer", "error"]]
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
@@ -127,18 +131,51 @@ def prompts(docs: DataFrame, lenses: dict[str, Lens]) -> DataFrame:
     return both.select("doc_id", "text", "lens_id", F.concat("head", fenced(F.col("text"))).alias("prompt"))
 
 
+def complete(df: DataFrame, prompt: str, backend: str = "auto", transports: dict[str, Transport] | None = None) -> DataFrame:
+    """df with answer and error of any prompts, by a model: ``cloud``, ``local``, or ``auto`` (cloud, and local for what fails)."""
+    kind = BACKENDS.get(backend)
+    if kind in (None, "cues"):
+        raise ValueError(f"unknown backend: {backend}")
+    order = ["cloud", "local"] if kind == "auto" else [kind]
+    if lacking := [k for k in order if k not in (transports or {})]:
+        raise ValueError(f"backend {backend} needs transports: {', '.join(lacking)}")
+
+    def run(asked_of: list[str]) -> tuple[list[str | None], list[str | None]]:
+        answers, errors = _tried(transports[order[0]], asked_of)
+        again = [i for i, e in enumerate(errors) if e is not None] if len(order) > 1 else []
+        if again:
+            for i, a, e in zip(again, *_tried(transports[order[1]], [asked_of[i] for i in again]), strict=True):
+                answers[i], errors[i] = a, e
+        return answers, errors
+
+    return _answered(df, prompt, run)
+
+
+def model_state(names: Callable[[], list[str]]) -> dict:
+    """Whether a model server answers and which models it has; names asks it. Never raises."""
+    try:
+        return {"ok": True, "models": list(names()), "error": None}
+    except Exception as e:  # noqa: BLE001  whatever the call raises is the state's error
+        return {"ok": False, "models": [], "error": f"{type(e).__name__}: {e}"[:200]}
+
+
+def require_model(names: Callable[[], list[str]], model: str) -> dict:
+    """The state of a server that has the model; otherwise an error that says what to do. For the driver, before a job starts."""
+    state = model_state(names)
+    if not state["ok"]:
+        raise RuntimeError(f"the model server does not answer ({state['error']}): start it, or choose another backend")
+    if model not in state["models"]:
+        raise RuntimeError(f"the model server lacks {model!r}: load it, or choose one of {', '.join(state['models']) or 'none that it has'}")
+    return state
+
+
 def detect(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None) -> DataFrame:
-    """Hits by cues, or by a model: ``cloud``, ``local``, or ``auto`` (cloud, and local for what fails)."""
-    if (kind := BACKENDS.get(backend)) is None:
+    """Hits by cues, or by a model as complete() asks it."""
+    if backend not in BACKENDS:
         raise ValueError(f"unknown backend: {backend}")
-    if kind == "cues":
+    if BACKENDS[backend] == "cues":
         return cue_hits(docs, lenses)
-    transports = transports or {}
-    first = asked(prompts(docs, lenses), "prompt", transports["cloud" if kind == "auto" else kind])
-    if kind == "auto":
-        second = asked(first.filter("error IS NOT NULL").select("doc_id", "text", "lens_id", "prompt"), "prompt", transports["local"])
-        first = first.filter("error IS NULL").unionByName(second)
-    return answers_to_hits(first.select("doc_id", "text", "lens_id", "answer"), lenses)
+    return answers_to_hits(complete(prompts(docs, lenses), "prompt", backend, transports).select("doc_id", "text", "lens_id", "answer"), lenses)
 
 
 def verified(answers: DataFrame) -> DataFrame:
@@ -183,6 +220,11 @@ def rule_transport(phrase: str, confidence: float = 0.9) -> Transport:
     return lambda prompts: [answer(p) for p in prompts]
 
 
+def no_hits(prompts: list[str]) -> list[str]:
+    """A stand-in that finds nothing."""
+    return ['{"hits": []}'] * len(prompts)
+
+
 def stub_transport(verdict: str = "genuine", confidence: float = 0.9) -> Transport:
     """A deterministic stand-in: every prompt gets the same verdict."""
     return lambda prompts: [json.dumps({"verdict": verdict, "confidence": confidence, "rationale": "stub"}) for _ in prompts]

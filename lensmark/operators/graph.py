@@ -198,6 +198,11 @@ def decile_cut(values: DataFrame, column: str, top: float = TOP) -> DataFrame:
     return _cut(cumulative(values, column), column, top)
 
 
+def top(values: DataFrame, column: str, k: int = 1) -> DataFrame:
+    """The k rows with the largest values, ties to the smaller id."""
+    return values.orderBy(F.desc(column), "id").limit(k)
+
+
 def percentiles(values: DataFrame, column: str, name: str = "percentile", cut: str | None = None, top: float = TOP) -> DataFrame:
     """values with the share of values that are not greater than the row's own and, if named, the decile cut."""
     upto = cumulative(values, column)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lensmark.functions.text import strip
 from lensmark.operators.careers import LENS as CAREERS
 from lensmark.operators.careers import career_grades
 from lensmark.operators.detection import Transport, detect
 from lensmark.operators.grading import grade, prepared, subject_summary, timeline
 from lensmark.operators.graph import LENS as NETWORK
 from lensmark.operators.graph import metrics, network_grades
-from lensmark.plans.lenses import Lens, text_lenses
-from lensmark.sources.intake import from_text
+from lensmark.plans.lenses import Lens, requested, text_lenses
+from lensmark.sources.intake import fetch_url, from_subject, from_text, from_urls
+from lensmark.sources.scratch import written
 
 #: The most characters of a text that the detection API takes.
 API_CHARS = 40_000
+#: The most characters of a fetched source that count.
+SOURCE_CHARS = 8_000
 #: Lenses that are scored over a graph, and how.
 GRAPH_SCORERS = {
     CAREERS: career_grades,
@@ -44,13 +50,43 @@ def grade_person(docs: DataFrame, lenses: dict[str, Lens], person: str | None =
     return subject_summary(graded, rounded), timeline(graded, sorted(text_lenses(lenses)))
 
 
-def profile(entities: DataFrame, edges: DataFrame, docs: DataFrame | None, lenses: dict[str, Lens], subject: str, rounded: bool = True) -> dict[str, DataFrame | None]:
+def grade_sources(spark: SparkSession, graph: str, subject: str, lens: str, lenses: dict[str, Lens], fetch: Callable[[str], str] = fetch_url, max_docs: int = 3, **how) -> tuple[DataFrame, DataFrame]:
+    """The first max_docs sources that a JSON graph names for a subject, fetched once and graded: a row a source (url, error, index, tier,
+    markers_present; a source that fails or is blank has an error and no grade) and the subject's summary, empty if no source could be graded."""
+    wanted = requested(lenses, [lens], strict=True)
+    found = from_subject(spark, graph, subject)
+    urls = found["sources"][:max_docs]
+    if not urls:
+        raise ValueError(f"{found['label'] or subject} has no sources to fetch")
+    who = found["label"] or found["subject"]
+    pages = from_urls(spark.createDataFrame([(u,) for u in dict.fromkeys(urls)], "url string"), fetch, who)
+    pages = written(pages.withColumn("text", F.substring("text", 1, SOURCE_CHARS)).withColumn("ord", F.monotonically_increasing_id()), "sources")
+    graded = grade_documents(pages.drop("error"), wanted, **how)
+    each = pages.select("url", "error").join(graded.select("url", "index", "tier", "markers_present"), "url", "left")
+    return each.withColumn("error", F.when(F.col("error").isNull() & F.col("index").isNull(), EMPTY).otherwise(F.col("error"))), subject_summary(graded)
+
+
+def profile(entities: DataFrame, edges: DataFrame, docs: DataFrame | None, lenses: dict[str, Lens], subject: str, rounded: bool = True, **how) -> dict[str, DataFrame | None]:
     """The graph lane and the text lane of a subject, never blended; unknown graph lenses are skipped."""
     graph = {k: f(entities, edges, lenses, rounded).filter(F.col("doc_id") == subject) for k, f in GRAPH_SCORERS.items() if k in lenses}
-    text = grade_person(docs.filter(F.col("subject") == subject), lenses, rounded=rounded)[0] if docs is not None else None
+    text = grade_person(docs.filter(F.col("subject") == subject), lenses, rounded=rounded, **how)[0] if docs is not None else None
     return {**graph, "text": text}
 
 
+# Fixed value: what the detection service says of a text without content.
+EMPTY = "empty text"
+
+
+def api_errors(docs: DataFrame) -> DataFrame:
+    """doc_id and error of documents that the detection service refuses: those with nothing but white space up to API_CHARS."""
+    blank = strip(F.coalesce(F.substring("text", 1, API_CHARS), F.lit(""))) == ""
+    return docs.filter(blank).select("doc_id", F.lit(EMPTY).alias("error"))
+
+
+def service_health(lenses: dict[str, Lens]) -> dict:
+    return {"ok": True, "lenses": sorted(lenses)}
+
+
 def detect_api(docs: DataFrame, lenses: dict[str, Lens], ids: list[str] | None = None, rounded: bool = True) -> DataFrame:
     """What the detection service answers: documents cut at API_CHARS, every lens asked for, best index first."""
     cut = prepared(docs.withColumn("text", F.substring("text", 1, API_CHARS)))

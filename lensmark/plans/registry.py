@@ -14,10 +14,11 @@ from lensmark.operators import careers as C
 from lensmark.operators import evaluation as E
 from lensmark.operators import graph as G
 from lensmark.operators import grading, subjects
-from lensmark.operators.detection import cue_hits, prompts, rule_transport, verified_cue_hits
+from lensmark.operators.detection import answers_to_hits, cue_hits, prompts, rule_transport, verified_cue_hits
 from lensmark.plans import sql, tables
 from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, text_lenses
-from lensmark.sources.intake import from_html
+from lensmark.sources.intake import from_html, from_jsonl, from_x_export
+from lensmark.sources.scratch import written_text
 from lensmark.streaming.events import windowed_events
 
 #: A day between the two cuts of the scoreboard.
@@ -198,6 +199,10 @@ def q_decile_cut(spark: SparkSession, d: str) -> DataFrame:
     return cut(G.decile_cut(G.degree(*_graph(spark, d)), "degree_centrality"), "cut")
 
 
+def q_top_node(spark: SparkSession, d: str) -> DataFrame:
+    return cut(G.top(G.degree(*_graph(spark, d)), "degree_centrality").select("id", "degree_centrality"), "degree_centrality")
+
+
 def q_percentile_rank(spark: SparkSession, d: str) -> DataFrame:
     return cut(G.percentiles(G.degree(*_graph(spark, d)), "degree_centrality", "p").select("id", "p"), "p")
 
@@ -252,6 +257,32 @@ def q_verify_receipts(spark: SparkSession, d: str) -> DataFrame:
     return verified_cue_hits(docs, text_only(), rule_transport(REFUSED)).select("doc_id", "lens_id", "detection_id", "confidence", "span", F.col("char_start").cast("long"))
 
 
+def q_model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers in a code fence, of a detection that the lens has and of one that it lacks, with a part of the text as span."""
+    docs = tables.table(spark, d, "documents").select("doc_id", "text", F.lit("license_register").alias("lens_id"))
+    one = lambda k: F.struct(F.lit(k).alias("detection_id"), (F.pmod("doc_id", F.lit(10)) / 10).alias("confidence"), F.substring("text", 3, 12).alias("span"), F.lit("as told").alias("rationale"))
+    said = F.to_json(F.struct(F.array(one("copyleft"), one("nonsense")).alias("hits")))
+    hits = answers_to_hits(docs.withColumn("answer", F.concat(F.lit("```json\n"), said, F.lit("\n```"))), lenses())
+    return cut(hits, "confidence").select("doc_id", "lens_id", "detection_id", "confidence", "span", F.col("char_start").cast("long"), F.col("char_end").cast("long"), "rationale")
+
+
+def q_jsonl_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by way of JSON lines, where odd ids are named otherwise than even ones."""
+    odd = F.pmod("doc_id", F.lit(2)) == 1
+    rows = tables.table(spark, d, "documents").select(F.when(odd, F.col("source")).alias("subject"), F.when(~odd, F.col("source")).alias("person_id"), F.col("doc_id").alias("id"), "text")
+    path = written_text(rows.select(F.to_json(F.struct(*rows.columns))), "documents")
+    return from_jsonl(spark, path).select("doc_id", "subject", F.length("text").cast("long").alias("n_chars"))
+
+
+def q_exported_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as posts of an export, odd ones with full_text, a stamp of days from the id."""
+    odd = F.pmod("doc_id", F.lit(2)) == 1
+    stamp = F.concat(F.date_add(F.lit("2020-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")).cast("string"), F.lit("T10:00:00Z"))
+    rows = tables.table(spark, d, "documents").select(F.when(odd, F.col("text")).alias("full_text"), F.when(~odd, F.col("text")).alias("text"), F.col("source").alias("handle"), F.col("doc_id").alias("id"), stamp.alias("created_at"))
+    path = written_text(rows.select(F.to_json(F.struct(*rows.columns))), "posts")
+    return from_x_export(spark, path).select("doc_id", "subject", "date", F.length("text").cast("long").alias("n_chars"))
+
+
 def q_prompts(spark: SparkSession, d: str) -> DataFrame:
     p = prompts(tables.documents(spark, d), text_only())
     return p.select("doc_id", "lens_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))

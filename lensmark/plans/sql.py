@@ -202,6 +202,11 @@ SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
         "graph_roles": f"WITH {GRAPH},\n{ROLES} SELECT * FROM roles",
         "bridged_sectors": f"WITH {GRAPH},\n{BRIDGED} SELECT id, array_to_string(bridged, ',') AS bridged FROM bridged",
         "decile_cut": f"WITH {GRAPH} SELECT round({_cut_of('deg', 'degree_centrality')} + 1e-9, 6) AS cut",
+        "top_node": f"WITH {GRAPH} SELECT id, round(degree_centrality + 1e-9, 6) AS degree_centrality FROM deg ORDER BY deg.degree_centrality DESC, id LIMIT 1",
+        "model_answers": "SELECT doc_id, 'license_register' AS lens_id, 'copyleft' AS detection_id, round((doc_id % 10) / 10.0::DOUBLE + 1e-9, 6) AS confidence, coalesce(substr(text, 3, 12), '') AS span,\n"
+        + "  CASE WHEN length(text) > 2 THEN strpos(text, substr(text, 3, 12)) - 1 END AS char_start, CASE WHEN length(text) > 2 THEN strpos(text, substr(text, 3, 12)) - 1 + length(substr(text, 3, 12)) END AS char_end, 'as told' AS rationale FROM documents",
+        "jsonl_documents": "SELECT doc_id::VARCHAR AS doc_id, source AS subject, length(text) AS n_chars FROM documents WHERE trim(text) <> ''",
+        "exported_posts": "SELECT doc_id::VARCHAR AS doc_id, source AS subject, (DATE '2020-01-01' + (doc_id % 365)::INT)::VARCHAR AS date, length(text) AS n_chars FROM documents WHERE trim(text) <> ''",
         "percentile_rank": f"WITH {GRAPH} SELECT id, round(cume_dist() OVER (ORDER BY degree_centrality) + 1e-9, 6) AS p FROM deg",
         "betweenness": f"WITH {GRAPH},\n{between()} SELECT id, round(betweenness + 1e-9, 6) AS betweenness FROM bc",
         "network_hits": f"WITH {net} SELECT doc_id, detection_id, round(round(confidence::DOUBLE, 3) + 1e-9, 6) AS confidence FROM nhits",

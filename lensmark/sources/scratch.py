@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
+def written_text(df: DataFrame, tag: str) -> str:
+    """The folder of text files of a column of lines in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df by way of a Parquet table in the shared folder: lineage ends, a lost executor costs a reread. The table stays, as lazy results read it."""
     spark = df.sparkSession

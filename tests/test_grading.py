@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lensmark.operators import grading
 from lensmark.operators.detection import cue_hits
-from lensmark.operators.subjects import detect_api, grade_documents, grade_person, grade_text
+from lensmark.operators.subjects import api_errors, detect_api, grade_documents, grade_person, grade_text, service_health
 from lensmark.plans.lenses import Config, Detection, Lens, Marker, cue_snapshot, few_shot, load_lens, load_lenses, requested, text_lenses
 
 SMALL = Lens(
@@ -108,6 +108,9 @@ def test_person_text_and_api(spark):
     assert set(one) == set(text_lenses(lenses)) and one["license_register"]["markers_present"] == ["permissive"]
     api = detect_api(spark.createDataFrame([(1, "x" * 50000 + " mit license")], "doc_id long, text string"), lenses).collect()
     assert len(api) == len(lenses) and api[0]["index"] == 0
+    odd = spark.createDataFrame([(1, None), (2, " \n"), (3, " " * 50_000 + "x"), (4, "x")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in api_errors(odd).collect()) == [1, 2, 3]
+    assert service_health(lenses) == {"ok": True, "lenses": sorted(lenses)}
 
 
 def test_lens_files(tmp_path):

@@ -77,6 +77,11 @@ def test_measures(spark):
     assert G.network_grades(measured, load_lenses()).count() == len(adj)
 
 
+def test_top_node(spark):
+    values = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", 1.0)], "id string, v double")
+    assert [r["id"] for r in G.top(values, "v").collect()] == ["a"] and [r["id"] for r in G.top(values, "v", 5).collect()] == ["a", "b", "c"]
+
+
 def test_decile_of_nothing(spark):
     assert G.decile_cut(spark.createDataFrame([], "x double"), "x").first()[0] == float("inf")
 

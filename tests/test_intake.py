@@ -3,6 +3,7 @@ import json
 import pytest
 
 from lensmark import cli
+from lensmark.operators import subjects
 from lensmark.plans.lenses import load_lenses
 from lensmark.sources import intake
 from lensmark.streaming.events import stream_jsonl, windowed_hits
@@ -60,6 +61,27 @@ def test_pages(spark):
     assert rows["good"]["text"] == "hi" and "ZeroDivisionError" in rows["bad"]["error"]
 
 
+def test_graded_sources(spark, tmp_path):
+    g = tmp_path / "g.json"
+    sources = ["http://a", json.dumps({"url": "http://bad"}), "ftp://no", "http://blank", "http://late"]
+    g.write_text(json.dumps({"entities": [{"id": "p", "label": "P", "sources": sources}, {"id": "q", "label": "Q", "sources": []}]}))
+
+    def fetch(url):
+        if url == "http://bad":
+            raise OSError("gone")
+        return " " if url == "http://blank" else "<p>Released under the MIT License.</p>" + "x" * 9000 + " copyleft"
+
+    each, summary = subjects.grade_sources(spark, str(g), "P", "license_register", load_lenses(), fetch)
+    rows = {r["url"]: r for r in each.collect()}
+    assert set(rows) == {"http://a", "http://bad", "http://blank"} and rows["http://blank"]["error"] == "empty text"
+    assert rows["http://a"]["markers_present"] == ["permissive"] and rows["http://a"]["error"] is None and "gone" in rows["http://bad"]["error"]
+    assert [(r["subject"], r["n_documents"]) for r in summary.collect()] == [("P", 1)]
+    assert subjects.grade_sources(spark, str(g), "p", "license_register", load_lenses(), lambda u: 1 / 0)[1].count() == 0
+    for who, lens, error in (("q", "license_register", ValueError), ("nobody", "license_register", KeyError), ("p", "nope", KeyError)):
+        with pytest.raises(error):
+            subjects.grade_sources(spark, str(g), who, lens, load_lenses(), fetch)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     lines(tmp_path / "1.json", [{"doc_id": "a", "text": "mit license", "ts": "2024-01-01T00:10:00"}, {"doc_id": "b", "text": "licensed under", "ts": "2024-01-01T02:10:00"}])
     lenses = load_lenses()
@@ -74,6 +96,11 @@ def test_cli(spark, tmp_path, capsys):
     text.write_text("Released under the MIT License.")
     assert cli.main(["lenses"]) == 0 and cli.main(["demo", "mit license"]) == 0
     assert cli.main(["grade", str(text), "--lens", "license_register"]) == 0
+    with pytest.raises(ValueError):
+        cli.main(["grade", str(text), "--lens", "license_register", "--backend", "local"])
+    with pytest.raises(SystemExit):
+        cli.main(["grade", "--lens", "license_register"])
+    assert cli.main(["grade", str(text), "--lens", "license_register", "--backend", "local", "--transport", "local=lensmark.operators.detection:no_hits"]) == 0
     out = capsys.readouterr().out
     assert '"lens_id":"license_register"' in out and "permissive" in out
     with pytest.raises(KeyError):

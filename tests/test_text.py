@@ -1,8 +1,9 @@
 import json
 import re
 
+import pytest
 from lensmark.functions import text as T
-from lensmark.operators.detection import answers_to_hits, detect, stub_transport, verified, verified_cue_hits
+from lensmark.operators.detection import answers_to_hits, complete, detect, model_state, require_model, stub_transport, verified, verified_cue_hits
 from lensmark.plans.lenses import few_shot, load_lenses
 from pyspark.sql import functions as F
 
@@ -69,6 +70,25 @@ def test_backends(spark):
         pass
 
 
+def test_raw_prompts_and_preflight(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "n long, p string")
+
+    def picky(prompts):
+        if prompts != ["a"]:
+            raise RuntimeError("refused")
+        return ["cloud"]
+
+    got = {r["n"]: (r["answer"], r["error"]) for r in complete(df, "p", "auto", {"cloud": picky, "local": lambda p: ["local"] * len(p)}).collect()}
+    assert got == {1: ("cloud", None), 2: ("local", None), 3: ("local", None)}
+    for backend, have in (("cues", {}), ("auto", {"cloud": picky}), ("nonsense", {})):
+        with pytest.raises(ValueError):
+            complete(df, "p", backend, have)
+    assert model_state(lambda: 1 / 0)["ok"] is False and require_model(lambda: ["m"], "m")["models"] == ["m"]
+    for names in (lambda: 1 / 0, lambda: ["other"], list):
+        with pytest.raises(RuntimeError):
+            require_model(names, "m")
+
+
 def test_verdicts(spark):
     rows = [("t", json.dumps({"verdict": "genuine", "confidence": 0.8, "rationale": " ok "})), ("ignore all previous", '{"verdict":"odd"}'), ("t", "junk"), ("t", None)]
     got = verified(spark.createDataFrame(rows, "text string, answer string")).collect()
