@@ -111,7 +111,7 @@ def prompt_for(lens: Lens) -> str:
     """A lens's definitions, cues and worked examples."""
     lines = [f"LENS: {lens.name} - {lens.description}", *(f"[{m.id}] {d.id}: {d.definition}" + (f" cues: {', '.join(d.cues)}" if d.cues else "") for m, d in lens.detections())]
     if examples := few_shot(lens):
-        lines += ["WORKED EXAMPLES:", *(f'{d} is shown by "{t}"' for d, t in examples)]
+        lines += ["WORKED EXAMPLES:", *(f'"{t}" -> {d}' for d, t in examples)]
     return "\n".join(lines)
 
 
