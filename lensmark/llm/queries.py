@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lensmark.llm import exact_dedup, language, licences, near_dedup, neighbours, packing, quality, span_dedup, tokens, toxicity
+from lensmark.functions.text import let
+from lensmark.llm import exact_dedup, language, licences, near_dedup, neighbours, packing, periodic, quality, span_dedup, tokens, toxicity
 from lensmark.llm.common import table
 
 
@@ -52,6 +54,32 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def _repeating(text: Column, h: Column) -> Column:
+    """Where h % 10 is 0, each word i from a = g % n on becomes word a + (i - a) % p; g = h // 10, p = 1 + (n - a) // (3 + g % 8)."""
+    g = F.floor(h / 10)
+
+    def made(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        of = lambda ap: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < ap["a"], i).otherwise(ap["a"] + F.pmod(i - ap["a"], ap["p"])).cast("int")))
+        return F.when(n > 0, F.array_join(let(F.struct(a.alias("a"), p.alias("p")), of), " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, let(F.regexp_extract_all(text, F.lit(periodic.WORD), F.lit(0)), made)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", _repeating(F.col("text"), F.crc32(F.col("doc_id").cast("string").cast("binary"))).alias("text"))
+    found = periodic.periodic_runs(docs)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    top = F.col("highest")
+    return found.select(
+        "doc_id", "n_runs", top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"), F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 ALL = (
     op1_toxicity,
     op2_best_fit_packing,
@@ -63,6 +91,7 @@ ALL = (
     op8_substring_dedup,
     op9_nearest_vectors,
     op10_near_dedup,
+    op11_periodic_runs,
 )
 
 
