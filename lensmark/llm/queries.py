@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensmark.functions.text import let
-from lensmark.llm import exact_dedup, language, licences, near_dedup, neighbours, packing, periodic, quality, span_dedup, tokens, toxicity
-from lensmark.llm.common import table
+from lensmark.llm import exact_dedup, language, licences, near_dedup, neighbours, packing, periodic, prefix_trie, quality, span_dedup, tokens, toxicity
+from lensmark.llm.common import Scratch, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations start with the first turns of the one whose id is the next lower multiple of five."""
+    scratch = Scratch(spark)
+    own = scratch.save(prefix_trie.sequences(table(spark, sf_dir, "conversations"), scratch), "conversations")
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    heads = own.select(F.col("conv_id").alias("of"), F.slice("path", 1, 8).alias("head"))
+    both = own.withColumn("of", F.col("conv_id") - F.pmod("conv_id", F.lit(5))).join(heads, "of", "left")
+    path = F.concat(F.slice(F.coalesce("head", F.slice("path", 1, 0)), F.lit(1), h), F.slice("path", h + 1, F.greatest(F.size("path") - h, F.lit(0))))
+    return prefix_trie.prefix_trie(both.select("conv_id", path.alias("path")), scratch)
+
+
 ALL = (
     op1_toxicity,
     op2_best_fit_packing,
@@ -92,6 +103,7 @@ ALL = (
     op9_nearest_vectors,
     op10_near_dedup,
     op11_periodic_runs,
+    op13_prefix_trie,
 )
 
 
