@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensmark.functions.text import let
-from lensmark.llm import exact_dedup, language, licences, near_dedup, neighbours, packing, periodic, prefix_trie, quality, span_dedup, tokens, toxicity
-from lensmark.llm.common import Scratch, table
+from lensmark.llm import exact_dedup, kneser_ney, language, licences, near_dedup, neighbours, packing, periodic, prefix_trie, quality, span_dedup, tokens, toxicity
+from lensmark.llm.common import Scratch, in_fold, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id is null are in no fold that is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(in_fold(F.col("doc_id"), 7, 2), F.lit(False)).alias("held_out"), "text")
+    model = kneser_ney.train(docs.filter("NOT held_out").select("text"))
+    return kneser_ney.score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations start with the first turns of the one whose id is the next lower multiple of five."""
     scratch = Scratch(spark)
@@ -103,6 +110,7 @@ ALL = (
     op9_nearest_vectors,
     op10_near_dedup,
     op11_periodic_runs,
+    op12_kneser_ney,
     op13_prefix_trie,
 )
 
