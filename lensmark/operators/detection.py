@@ -1,7 +1,8 @@
 """Hits of a lens in a text: literal cues, model answers, and their verification.
 
-Cues are matched inside the row: each detection is one CASE over its cues in list order, so the first that the
-lower-cased text contains counts, and the hits are exploded. No join, no shuffle, all of it in generated code.
+Cues are matched inside the row, with no join and no shuffle. Few cues are a CASE a detection over its cues in list order, in generated code; more than
+CASES are sought by an automaton (functions/automaton.py), whose cost does not grow with their number. Either way the first cue of a
+detection that the lower-cased text contains counts, and the hits are an array of the row.
 """
 
 from __future__ import annotations
@@ -9,12 +10,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensmark.functions.text import injection_flag, sanitize, span_start, strip_fences
-from lensmark.plans.lenses import Lens, detection_weights, few_shot
+from lensmark.functions.automaton import Automaton, places
+from lensmark.functions.text import injection_flag, let, sanitize, span_start, strip_fences
+from lensmark.plans.lenses import Lens, few_shot, literal
 
 # A cue's confidence and its hit's rationale; the verdicts that a verifier may give, of which the second is the default.
 CUE_CONFIDENCE, CUE_RATIONALE = 0.55, "deterministic cue match: '"
@@ -22,53 +26,134 @@ VERDICTS = ("genuine", "incidental", "opposite")
 BACKENDS = {"cues": "cues", "cloud": "cloud", "anthropic": "cloud", "openrouter": "cloud", "local": "local", "auto": "auto"}
 
 HIT_COLUMNS = ["doc_id", "lens_id", "detection_id", "confidence", "span", "char_start", "char_end", "rationale", "hit_ord"]
+#: A hit as an element of a row's array.
+HIT = "struct<hit_ord:int,lens_id:string,detection_id:string,confidence:double,span:string,char_start:int,char_end:int,rationale:string>"
+#: Cues up to which each is looked for on its own.
+CASES = 64
+_CUE = "struct<lens_id:string,detection_id:string,det_ord:int,cue:string,at:int>"
 
 
-def cue_hits(docs: DataFrame, lenses: dict[str, Lens], confidence: float = CUE_CONFIDENCE, also: tuple[str, ...] = ()) -> DataFrame:
-    """docs: doc_id, text. One hit for each detection with a cue in the text, with the span as the text has it; also: columns of docs to keep."""
-    known = [(lens.id, i, d.id, [c for c in d.cues if c.strip()]) for lens in lenses.values() for i, (_, d) in enumerate(lens.detections())]
-    low = F.col("low")
+def _cues(lenses: dict[str, Lens]) -> list[tuple[str, str, int, list[str]]]:
+    """lens, detection, its place in the lens and its cues that are not blank."""
+    found = [(lens.id, d.id, i, [c for c in d.cues if c.strip()]) for lens in lenses.values() for i, (_, d) in enumerate(lens.detections())]
+    return [x for x in found if x[3]]
 
-    def found(lens_id: str, order: int, detection_id: str, cues: list[str]) -> Column:
+
+def _by_cases(low: Column, cues: list[tuple[str, str, int, list[str]]]) -> Column:
+    def found(lens_id: str, detection_id: str, order: int, own: list[str]) -> Column:
         first = None
-        for cue in cues:
+        for cue in own:
             sought = cue.strip().lower()
             hit = F.struct(F.lit(lens_id).alias("lens_id"), F.lit(detection_id).alias("detection_id"), F.lit(order).alias("det_ord"), F.lit(cue).alias("cue"), F.instr(low, F.lit(sought)).alias("at"))
             first = (F if first is None else first).when(F.contains(low, F.lit(sought)), hit)
         return first
 
-    cases = [found(*x) for x in known if x[3]]
-    kind = "array<struct<lens_id:string,detection_id:string,det_ord:int,cue:string,at:int>>"
-    made = F.array_compact(F.array(*cases)).cast(kind) if cases else F.array().cast(kind)
+    return F.array_compact(F.array(*(found(*x) for x in cues)))
+
+
+class CueFinder:
+    """Of each detection the first cue in list order that a text has, as its number among all cues, and where it is."""
+
+    def __init__(self, cues: list[tuple[str, str, int, list[str]]]):
+        own = [(k, cue.strip().lower()) for k, x in enumerate(cues) for cue in x[3]]
+        phrases = list(dict.fromkeys(p for _, p in own))
+        number = {p: i for i, p in enumerate(phrases)}
+        self.automaton = Automaton(phrases)
+        of = np.array([number[p] for _, p in own])
+        #: Cues by phrase, and each cue's detection.
+        self.cue = np.argsort(of, kind="stable")
+        self.cut = np.searchsorted(of[self.cue], np.arange(len(phrases) + 1))
+        self.detection = np.array([k for k, _ in own])
+
+    def __call__(self, low: pa.Array) -> pa.Array:
+        found = places(self.automaton, low)
+        lists, phrase, at = found.offsets.to_numpy(), found.values.field("phrase").to_numpy(), found.values.field("at").to_numpy()
+        n = (self.cut[1:] - self.cut[:-1])[phrase]
+        index = np.repeat(self.cut[phrase] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cue, at, text = self.cue[index], np.repeat(at, n), np.repeat(np.repeat(np.arange(len(lists) - 1), np.diff(lists)), n)
+        order = np.lexsort((cue, self.detection[cue], text))
+        cue, at, text = cue[order], at[order], text[order]
+        first = np.ones(len(cue), bool)
+        first[1:] = (text[1:] != text[:-1]) | (self.detection[cue[1:]] != self.detection[cue[:-1]])
+        values = pa.StructArray.from_arrays([pa.array(cue[first].astype(np.int32)), pa.array(at[first].astype(np.int32))], ["cue", "at"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(len(lists))).astype(np.int32)), values)
+
+
+def _by_automaton(low: Column, cues: list[tuple[str, str, int, list[str]]]) -> Column:
+    finder = CueFinder(cues)
+
+    def find(texts: pa.Array) -> pa.Array:
+        return finder(texts)
+
+    known = literal([{"lens_id": a, "detection_id": b, "det_ord": i, "cue": c} for a, b, i, own in cues for c in own], "array<struct<lens_id:string,detection_id:string,det_ord:int,cue:string>>")
+    found = F.arrow_udf(find, "array<struct<cue:int,at:int>>")(low)
+    return F.transform(found, lambda f: let(F.get(known, f["cue"]), lambda c: F.struct(c["lens_id"].alias("lens_id"), c["detection_id"].alias("detection_id"), c["det_ord"].alias("det_ord"), c["cue"].alias("cue"), f["at"].alias("at"))))
+
+
+def with_cue_hits(docs: DataFrame, lenses: dict[str, Lens], name: str = "hits", confidence: float = CUE_CONFIDENCE) -> DataFrame:
+    """docs (text and more) with the hits of each row's text in a column ``name``, by lens and detection: at most one a detection. A null text has none."""
+    cues = _cues(lenses)
+    if not cues:
+        return docs.withColumn(name, F.array().cast(f"array<{HIT}>"))
+    find = _by_cases if sum(len(x[3]) for x in cues) <= CASES else _by_automaton
+    low, found = f"{name} low", f"{name} found"
+    marked = docs.withColumn(low, F.lower("text")).withColumn(found, find(F.col(low), cues).cast(f"array<{_CUE}>")).drop(low)
+
+    def hit(c: Column) -> Column:
+        size = F.length(c["cue"])
+        fields = {
+            "hit_ord": c["det_ord"],
+            "lens_id": c["lens_id"],
+            "detection_id": c["detection_id"],
+            "confidence": F.lit(confidence),
+            "span": F.substr("text", c["at"], size),
+            "char_start": (c["at"] - 1).cast("int"),
+            "char_end": (c["at"] - 1 + size).cast("int"),
+            "rationale": F.concat(F.lit(CUE_RATIONALE), c["cue"], F.lit("'")),
+        }
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    return marked.withColumn(name, F.coalesce(F.transform(found, hit), F.array().cast(f"array<{HIT}>"))).drop(found)
+
+
+def cue_hits(docs: DataFrame, lenses: dict[str, Lens], confidence: float = CUE_CONFIDENCE, also: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, text. One hit for each detection with a cue in the text, with the span as the text has it; also: columns of docs to keep."""
     columns = list(dict.fromkeys(["doc_id", "text", *also]))
-    hits = docs.select(*columns, F.lower("text").alias("low")).select(*columns, F.explode(made).alias("h"))
-    size = F.length("h.cue")
-    return hits.select(
-        "doc_id",
-        "h.lens_id",
-        "h.detection_id",
-        F.lit(confidence).alias("confidence"),
-        F.substr("text", F.col("h.at"), size).alias("span"),
-        (F.col("h.at") - 1).cast("int").alias("char_start"),
-        (F.col("h.at") - 1 + size).cast("int").alias("char_end"),
-        F.concat(F.lit(CUE_RATIONALE), F.col("h.cue"), F.lit("'")).alias("rationale"),
-        F.col("h.det_ord").alias("hit_ord"),
-        *also,
-    )
+    hits = with_cue_hits(docs.select(*columns), lenses, "h", confidence).withColumn("h", F.explode("h"))
+    return hits.select("doc_id", *(F.col(f"h.{c}").alias(c) for c in HIT_COLUMNS[1:]), *also)
 
 
-def answers_to_hits(answers: DataFrame, lenses: dict[str, Lens]) -> DataFrame:
-    """answers: doc_id, text, lens_id, answer (a model's JSON). Hits of detections that the lens does not have are dropped;
-    spans are located in the text; what is not JSON has no hits."""
+def hits_of_answer(text: Column, lens_id: Column, answer: Column, lenses: dict[str, Lens]) -> Column:
+    """The hits of a model's answer (JSON, in a code fence or not), in order: those of detections that the lens has, with spans located in the
+    text. What is not JSON has none."""
     kind = "struct<hits:array<struct<detection_id:string,confidence:double,span:string,rationale:string>>>"
-    parsed = answers.withColumn("h", F.from_json(strip_fences(F.col("answer")), kind, {"mode": "PERMISSIVE"})).select("doc_id", "text", "lens_id", F.posexplode("h.hits").alias("hit_ord", "h"))
-    known = F.broadcast(detection_weights(answers.sparkSession, lenses).select("lens_id", "detection_id"))
-    span = F.coalesce(F.col("h.span"), F.lit(""))
-    at = span_start(F.col("text"), span)
-    hits = parsed.filter("h IS NOT NULL").withColumn("detection_id", F.col("h.detection_id")).join(known, ["lens_id", "detection_id"], "left_semi")
-    return hits.select(
-        "doc_id", "lens_id", "detection_id", F.coalesce("h.confidence", F.lit(0.0)).alias("confidence"), span.alias("span"), at.alias("char_start"), (at + F.length(span)).cast("int").alias("char_end"), F.coalesce("h.rationale", F.lit("")).alias("rationale"), "hit_ord"
-    )
+    told = F.coalesce(F.from_json(strip_fences(answer), kind, {"mode": "PERMISSIVE"})["hits"], F.array().cast("array<struct<detection_id:string,confidence:double,span:string,rationale:string>>"))
+    known = literal({x.id: [d.id for _, d in x.detections()] for x in lenses.values()}, "map<string,array<string>>")
+    numbered = F.transform(told, lambda h, i: F.struct(i.alias("i"), h.alias("h")))
+    kept = F.filter(numbered, lambda x: F.coalesce(F.array_contains(F.try_element_at(known, lens_id), x["h"]["detection_id"]), F.lit(False)))
+
+    def hit(x: Column) -> Column:
+        span = F.coalesce(x["h"]["span"], F.lit(""))
+        at = span_start(text, span)
+        fields = {
+            "hit_ord": x["i"],
+            "lens_id": lens_id,
+            "detection_id": x["h"]["detection_id"],
+            "confidence": F.coalesce(x["h"]["confidence"], F.lit(0.0)),
+            "span": span,
+            "char_start": at,
+            "char_end": (at + F.length(span)).cast("int"),
+            "rationale": F.coalesce(x["h"]["rationale"], F.lit("")),
+        }
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    return F.transform(kept, hit)
+
+
+def answers_to_hits(answers: DataFrame, lenses: dict[str, Lens]) -> DataFrame:
+    """answers: doc_id, text, lens_id, answer. A row a hit of hits_of_answer()."""
+    hits = answers.select("doc_id", F.explode(hits_of_answer(F.col("text"), F.col("lens_id"), F.col("answer"), lenses)).alias("h"))
+    return hits.select("doc_id", *(F.col(f"h.{c}").alias(c) for c in HIT_COLUMNS[1:]))
 
 
 #: (prompts) -> answers; may raise.
@@ -107,9 +192,25 @@ def _answered(df: DataFrame, prompt: str, ask: Callable[[list[str]], tuple[list[
     return df.mapInPandas(run, f"{kinds}, answer string, error string")
 
 
+#: What a model is told to answer. Fixed values in it: the names of the fields that answers are read by.
+HITS_FORM = '{"hits": [{"detection_id": "<id>", "confidence": <0 to 1>, "span": "<words of the text>", "rationale": "<why>"}]}'
+ASK_HITS = (
+    "\nReport each detection that the text plainly shows, by its id as it is written above, and quote the words that show it exactly as the text has them. "
+    f"A text may show several, or none. Answer with nothing but JSON of this form: {HITS_FORM}"
+)
+VERDICT_FORM = '{"verdict": "genuine" or "incidental" or "opposite", "confidence": <0 to 1>, "rationale": "<why>"}'
+ASK_VERDICT = (
+    "\nRead the whole text and judge the span in it: genuine, if the author uses the method there; opposite, if the text speaks against the method or says that others use it; "
+    f"incidental, if the words mean something else, and wherever you doubt. Answer with nothing but JSON of this form: {VERDICT_FORM}"
+)
+
+
 def prompt_for(lens: Lens) -> str:
-    """A lens's definitions, cues and worked examples."""
-    lines = [f"LENS: {lens.name} - {lens.description}", *(f"[{m.id}] {d.id}: {d.definition}" + (f" cues: {', '.join(d.cues)}" if d.cues else "") for m, d in lens.detections())]
+    """A lens's markers with their names, definitions, cues and worked examples."""
+    lines = [f"LENS: {lens.name} - {lens.description}"]
+    for m in lens.markers:
+        lines.append(f"[{m.id}] {m.name}")
+        lines += [f"  {d.id}: {d.definition}" + (f" cues: {', '.join(d.cues)}" if d.cues else "") for d in m.detections]
     if examples := few_shot(lens):
         lines += ["WORKED EXAMPLES:", *(f'"{t}" -> {d}' for d, t in examples)]
     return "\n".join(lines)
@@ -124,31 +225,80 @@ def fenced(text: Column) -> Column:
     return F.concat(F.lit(OPENING), sanitize(text)["clean"], F.lit(CLOSING))
 
 
+def prompted(docs: DataFrame, lenses: dict[str, Lens]) -> DataFrame:
+    """docs (text and more) with lens_id and prompt, a row a document and lens: what a model is asked of it."""
+    heads = literal([{"lens_id": x.id, "head": prompt_for(x)} for x in lenses.values()], "array<struct<lens_id:string,head:string>>")
+    both = docs.withColumn("asked", F.explode(heads))
+    return both.withColumns({"lens_id": F.col("asked.lens_id"), "prompt": F.concat("asked.head", fenced(F.col("text")), F.lit(ASK_HITS))}).drop("asked")
+
+
 def prompts(docs: DataFrame, lenses: dict[str, Lens]) -> DataFrame:
-    """doc_id, text, lens_id, prompt: what a model is asked of each document for each lens."""
-    heads = docs.sparkSession.createDataFrame([(x.id, prompt_for(x)) for x in lenses.values()], "lens_id string, head string")
-    both = docs.select("doc_id", "text", F.explode(F.array(*(F.lit(x) for x in lenses))).alias("lens_id")).join(F.broadcast(heads), "lens_id")
-    return both.select("doc_id", "text", "lens_id", F.concat("head", fenced(F.col("text"))).alias("prompt"))
+    """doc_id, text, lens_id, prompt."""
+    return prompted(docs.select("doc_id", "text"), lenses).select("doc_id", "text", "lens_id", "prompt")
 
 
-def complete(df: DataFrame, prompt: str, backend: str = "auto", transports: dict[str, Transport] | None = None) -> DataFrame:
-    """df with answer and error of any prompts, by a model: ``cloud``, ``local``, or ``auto`` (cloud, and local for what fails)."""
+def _refusals(answers: list[str | None], errors: list[str | None]) -> tuple[list[str | None], list[str | None]]:
+    """An answer that is no JSON object, empty ones too, is taken for a refusal: an error that keeps what was said."""
+    for i, (answer, error) in enumerate(zip(answers, errors, strict=True)):
+        if error is None and not _is_object(answer):
+            errors[i] = f"Refused: {(answer or 'nothing').strip()[:200]}"
+    return answers, errors
+
+
+def _is_object(answer: str | None) -> bool:
+    body = (answer or "").strip()
+    if body.startswith("```"):
+        body = body.split("\n", 1)[1] if "\n" in body else body[3:]
+        body = body.rstrip().removesuffix("```")
+    try:
+        return isinstance(json.loads(body), dict)
+    except ValueError:
+        return False
+
+
+def _asker(backend: str, transports: dict[str, Transport] | None, as_json: bool, preflight: Callable[[], object] | None) -> Callable[[list[str]], tuple[list[str | None], list[str | None]]]:
     kind = BACKENDS.get(backend)
     if kind in (None, "cues"):
         raise ValueError(f"unknown backend: {backend}")
     order = ["cloud", "local"] if kind == "auto" else [kind]
     if lacking := [k for k in order if k not in (transports or {})]:
         raise ValueError(f"backend {backend} needs transports: {', '.join(lacking)}")
-
-    def run(asked_of: list[str]) -> tuple[list[str | None], list[str | None]]:
-        answers, errors = _tried(transports[order[0]], asked_of)
+    if kind == "local" and preflight is not None:
+        preflight()
+    ready: list[str | None] = []
+
+    def tried(name: str, asked_of: list[str]) -> tuple[list[str | None], list[str | None]]:
+        if name == "local" and preflight is not None:
+            if not ready:  # once a task, and only where something falls back to it
+                try:
+                    preflight()
+                    ready.append(None)
+                except Exception as e:  # noqa: BLE001  an unready server is an answer's error
+                    ready.append(f"{type(e).__name__}: {e}")
+            if ready[0] is not None:
+                return [None] * len(asked_of), [ready[0]] * len(asked_of)
+        answers, errors = _tried(transports[name], asked_of)
+        return _refusals(answers, errors) if as_json else (answers, errors)
+
+    def ask(asked_of: list[str]) -> tuple[list[str | None], list[str | None]]:
+        answers, errors = tried(order[0], asked_of)
         again = [i for i, e in enumerate(errors) if e is not None] if len(order) > 1 else []
         if again:
-            for i, a, e in zip(again, *_tried(transports[order[1]], [asked_of[i] for i in again]), strict=True):
+            for i, a, e in zip(again, *tried(order[1], [asked_of[i] for i in again]), strict=True):
                 answers[i], errors[i] = a, e
         return answers, errors
 
-    return _answered(df, prompt, run)
+    return ask
+
+
+def complete(df: DataFrame, prompt: str, backend: str = "auto", transports: dict[str, Transport] | None = None, as_json: bool = False, preflight: Callable[[], object] | None = None) -> DataFrame:
+    """df with answer and error of any prompts, by a model: ``cloud``, ``local``, or ``auto`` (cloud, and local for what fails).
+
+    as_json: an answer that is no JSON object (in a code fence or not) is an error, as models refuse in prose; with ``auto`` it goes to the
+    local model. preflight: called before the local model is asked, and raises if that is not ready (see require_model()); for ``local`` here on the
+    driver, before any job starts, for ``auto`` in tasks, where its error becomes the answers'.
+    """
+    return _answered(df, prompt, _asker(backend, transports, as_json, preflight))
 
 
 def model_state(names: Callable[[], list[str]]) -> dict:
@@ -169,13 +319,21 @@ def require_model(names: Callable[[], list[str]], model: str) -> dict:
     return state
 
 
-def detect(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None) -> DataFrame:
-    """Hits by cues, or by a model as complete() asks it."""
+def detected(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, preflight: Callable[[], object] | None = None) -> DataFrame:
+    """docs (text and more) with hits in a column ``hits``. By cues a row a document; by a model, as complete() asks it, a row a document and lens, with lens_id."""
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend: {backend}")
     if BACKENDS[backend] == "cues":
-        return cue_hits(docs, lenses)
-    return answers_to_hits(complete(prompts(docs, lenses), "prompt", backend, transports).select("doc_id", "text", "lens_id", "answer"), lenses)
+        return with_cue_hits(docs, lenses)
+    told = complete(prompted(docs, lenses), "prompt", backend, transports, True, preflight)
+    hits = F.when(F.col("error").isNull(), hits_of_answer(F.col("text"), F.col("lens_id"), F.col("answer"), lenses))
+    return told.withColumn("hits", F.coalesce(hits, F.array().cast(f"array<{HIT}>"))).drop("prompt", "answer", "error")
+
+
+def detect(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, preflight: Callable[[], object] | None = None) -> DataFrame:
+    """A row a hit: doc_id and the columns of a hit."""
+    hits = detected(docs.select("doc_id", "text"), lenses, backend, transports, preflight).select("doc_id", F.explode("hits").alias("h"))
+    return hits.select("doc_id", *(F.col(f"h.{c}").alias(c) for c in HIT_COLUMNS[1:]))
 
 
 def verified(answers: DataFrame) -> DataFrame:
@@ -199,9 +357,9 @@ def verified_cue_hits(docs: DataFrame, lenses: dict[str, Lens], transport: Trans
     hits = cue_hits(docs, lenses, also=("text",))
     if transport is None:
         return hits.filter("false").select(HIT_COLUMNS)
-    heads = [(x.id, d.id, f"LENS: {x.name} - {x.description}\nMETHOD MARKER: [{m.id}] {d.id} - {d.definition}") for x in lenses.values() for m, d in x.detections()]
+    heads = [(x.id, d.id, f"LENS: {x.name} - {x.description}\nMETHOD: {d.id} (of {m.name}): {d.definition}") for x in lenses.values() for m, d in x.detections()]
     known = docs.sparkSession.createDataFrame(heads, "lens_id string, detection_id string, head string")
-    prompt = F.concat(F.lit("Is this use genuine? "), F.col("detection_id"), F.lit("\n"), F.col("head"), F.lit("\nSPAN: "), F.col("span"), fenced(F.col("text")))
+    prompt = F.concat(F.col("head"), F.lit("\nSPAN: "), F.col("span"), fenced(F.col("text")), F.lit(ASK_VERDICT))
     both = hits.join(F.broadcast(known), ["lens_id", "detection_id"])
     rows = asked(both.withColumn("prompt", prompt), "prompt", transport)
     kept = verified(rows).filter(F.col("verdict") == VERDICTS[0])
@@ -211,7 +369,7 @@ def verified_cue_hits(docs: DataFrame, lenses: dict[str, Lens], transport: Trans
 
 
 def rule_transport(phrase: str, confidence: float = 0.9) -> Transport:
-    """A deterministic stand-in that reads: a prompt whose text (the part between the marks) holds the phrase is incidental, others are genuine."""
+    """A deterministic stand-in that reads: a prompt whose text (what follows its opening mark) holds the phrase is incidental, others are genuine."""
 
     def answer(prompt: str) -> str:
         found = phrase in prompt[prompt.rindex(OPENING) + len(OPENING) :]

@@ -1,8 +1,8 @@
 """Grades: breadth x intensity x density of a lens's markers in a document, and their summary by subject.
 
-Hits are summed once by (document, lens, marker) and once by document; the cells of a document, at
-most one a marker, travel as one array, and every lens is graded from it within the row. Indices are
-kept for each lens and never blended.
+A document's hits are an array of its row where they were found there: every lens is then graded within the row, whatever the ids are,
+with no shuffle (grade_rows). Hits that come as a table of their own are summed once by (document, lens, marker) and once by document and joined
+to documents by id (grade). Indices are kept for each lens and never blended.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmark.functions.text import let, strip, token_estimate
-from lensmark.plans.lenses import Lens, detection_weights, lens_literal
+from lensmark.plans.lenses import Lens, detection_weights, lens_literal, literal
 
 #: A trend's least difference of means.
 TREND = 5.0
@@ -24,9 +24,9 @@ def contributions(hits: DataFrame, lenses: dict[str, Lens]) -> DataFrame:
 
 
 def marker_scores(hits: DataFrame, lenses: dict[str, Lens]) -> DataFrame:
-    """doc_id, lens_id, marker_id, score (capped at 1), weighted (uncapped)."""
+    """doc_id, lens_id, marker_id, score (capped at 1), added (uncapped)."""
     total = F.sum("contribution")
-    return contributions(hits, lenses).groupBy("doc_id", "lens_id", "marker_id").agg(F.least(F.lit(1.0), total).alias("score"), total.alias("weighted"))
+    return contributions(hits, lenses).groupBy("doc_id", "lens_id", "marker_id").agg(F.least(F.lit(1.0), total).alias("score"), total.alias("added"))
 
 
 def tier_of(lens: Column, index: Column) -> Column:
@@ -34,12 +34,19 @@ def tier_of(lens: Column, index: Column) -> Column:
     return F.coalesce(F.try_element_at(reached, F.lit(-1))["label"], lens["first"])
 
 
-def _graded(lens: Column, cells: Column, tokens: Column, rounded: bool) -> Column:
-    scored = F.transform(
-        lens["markers"],
-        lambda m: F.struct(m["id"].alias("id"), m["base"].alias("base"), F.coalesce(F.get(F.filter(cells, lambda c: (c["lens_id"] == lens["lens_id"]) & (c["marker_id"] == m["id"])), F.lit(0))["score"], F.lit(0.0)).alias("score")),
-    )
-    weighted = F.aggregate(F.filter(cells, lambda c: c["lens_id"] == lens["lens_id"]), F.lit(0.0), lambda a, c: a + c["weighted"])
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, c: a + c["added"])
+
+
+def _graded(lens: Column, every: Column, tokens: Column, rounded: bool) -> Column:
+    """every: array of lens_id, marker_id, added; several of one marker are summed."""
+    return let(F.filter(every, lambda c: c["lens_id"] == lens["lens_id"]), lambda own: _graded_by(lens, own, tokens, rounded))
+
+
+def _graded_by(lens: Column, own: Column, tokens: Column, rounded: bool) -> Column:
+    score = lambda m: F.least(F.lit(1.0), _sum(F.filter(own, lambda c: c["marker_id"] == m["id"])))
+    scored = F.transform(lens["markers"], lambda m: F.struct(m["id"].alias("id"), m["base"].alias("base"), score(m).alias("score")))
+    weighted = _sum(own)
 
     def grade(s: Column) -> Column:
         n = F.greatest(F.size(lens["markers"]), F.lit(1))
@@ -65,15 +72,18 @@ def _graded(lens: Column, cells: Column, tokens: Column, rounded: bool) -> Colum
     return let(scored, grade)
 
 
+_ADDED = "array<struct<lens_id:string,marker_id:string,added:double>>"
+
+
 def grade(docs: DataFrame, hits: DataFrame, lenses: dict[str, Lens], rounded: bool = True, receipts: bool = False) -> DataFrame:
-    """docs: doc_id, token_count, and what else to keep. A row for each document and lens, without hits too.
+    """docs: doc_id (unique, not null), token_count, and what else to keep; hits by doc_id. A row for each document and lens, without hits too.
 
     receipts: all hits of the document and lens in order, those of unknown detections included.
     """
-    cells = marker_scores(hits, lenses).groupBy("doc_id").agg(F.collect_list(F.struct("lens_id", "marker_id", "score", "weighted")).alias("cells"))
-    joined = docs.join(cells, "doc_id", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<lens_id:string,marker_id:string,score:double,weighted:double>>")))
-    cells_of, tokens = F.col("cells"), F.col("token_count").cast("double")
-    graded = joined.withColumn("g", F.explode(F.transform(lens_literal(lenses), lambda x: _graded(x, cells_of, tokens, rounded))))
+    cells = marker_scores(hits, lenses).groupBy("doc_id").agg(F.collect_list(F.struct("lens_id", "marker_id", "added")).alias("cells"))
+    joined = docs.join(cells, "doc_id", "left").withColumn("cells", F.coalesce("cells", F.array().cast(_ADDED)))
+    every, tokens = F.col("cells"), F.col("token_count").cast("double")
+    graded = joined.withColumn("g", F.explode(F.transform(lens_literal(lenses), lambda x: _graded(x, every, tokens, rounded))))
     out = graded.select(*docs.columns, "g.*")
     if receipts:
         shown = [c for c in ("hit_ord", "detection_id", "confidence", "span", "char_start", "char_end", "rationale") if c in hits.columns]
@@ -82,6 +92,31 @@ def grade(docs: DataFrame, hits: DataFrame, lenses: dict[str, Lens], rounded: bo
     return out
 
 
+def grade_rows(rows: DataFrame, lenses: dict[str, Lens], rounded: bool = True, receipts: bool = False) -> DataFrame:
+    """rows: token_count, hits (an array, as detection.detected() makes it), and what else to keep but hits and text. As grade(), with no ids and no shuffle: a
+    row stands for itself. Rows with a lens_id are graded for that lens alone."""
+    weights = {x.id: [{"detection_id": d.id, "marker_id": m.id, "weight": d.weight} for m, d in x.detections()] for x in lenses.values()}
+    known = literal(weights, "map<string,array<struct<detection_id:string,marker_id:string,weight:double>>>")
+
+    def of(h: Column) -> Column:
+        return let(
+            F.get(F.filter(F.coalesce(F.try_element_at(known, h["lens_id"]), F.array().cast("array<struct<detection_id:string,marker_id:string,weight:double>>")), lambda w: w["detection_id"] == h["detection_id"]), F.lit(0)),
+            lambda w: F.struct(h["lens_id"].alias("lens_id"), w["marker_id"].alias("marker_id"), (F.greatest(F.lit(0.0), F.least(F.lit(1.0), h["confidence"])) * w["weight"]).alias("added")),
+        )
+
+    added = F.filter(F.transform("hits", of), lambda c: c["marker_id"].isNotNull()).cast(_ADDED)
+    own = F.filter(lens_literal(lenses), lambda x: x["lens_id"] == F.col("lens_id")) if "lens_id" in rows.columns else lens_literal(lenses)
+    tokens = F.col("token_count").cast("double")
+    kept = [c for c in rows.columns if c not in ("hits", "text", "lens_id")]
+    # the sums are a column of their own, so that they are made once a row and not once a lens
+    graded = rows.withColumn("added", added).withColumn("g", F.explode(F.transform(own, lambda x: _graded(x, F.col("added"), tokens, rounded))))
+    out = graded.select(*kept, "hits", "g.*")
+    if receipts:
+        mine = F.transform(F.array_sort(F.filter("hits", lambda h: h["lens_id"] == F.col("lens_id"))), lambda h: h.dropFields("lens_id"))
+        out = out.withColumn("receipts", F.when(F.size(mine) > 0, mine))
+    return out.drop("hits")
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     """Documents whose text is not blank, stripped, with token_count."""
     return docs.withColumn("text", strip(F.col("text"))).filter("text <> ''").withColumn("token_count", token_estimate(F.col("text")))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lensmark.functions.text import strip
 from lensmark.operators.careers import LENS as CAREERS
 from lensmark.operators.careers import career_grades
-from lensmark.operators.detection import Transport, detect
-from lensmark.operators.grading import grade, prepared, subject_summary, timeline
+from lensmark.operators.detection import Transport, detected
+from lensmark.operators.grading import grade_rows, prepared, subject_summary, timeline
 from lensmark.operators.graph import LENS as NETWORK
 from lensmark.operators.graph import metrics, network_grades
 from lensmark.plans.lenses import Lens, requested, text_lenses
@@ -29,12 +29,10 @@ GRAPH_SCORERS = {
 }
 
 
-def grade_documents(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, rounded: bool = True, receipts: bool = False) -> DataFrame:
-    """docs: doc_id, text and more. Blank texts are left out; a row a document and text lens."""
+def grade_documents(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, rounded: bool = True, receipts: bool = False, preflight: Callable[[], object] | None = None) -> DataFrame:
+    """docs: text and more. Blank texts are left out; a row a document and text lens, graded within the document's row: ids may repeat or be null."""
     lenses = text_lenses(lenses)
-    ready = prepared(docs)
-    hits = detect(ready.select("doc_id", "text"), lenses, backend, transports)
-    return grade(ready.drop("text"), hits, lenses, rounded, receipts)
+    return grade_rows(detected(prepared(docs), lenses, backend, transports, preflight), lenses, rounded, receipts)
 
 
 def grade_text(spark: SparkSession, text: str, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None) -> DataFrame:
@@ -91,8 +89,7 @@ def detect_api(docs: DataFrame, lenses: dict[str, Lens], ids: list[str] | None =
     """What the detection service answers: documents cut at API_CHARS, every lens asked for, best index first."""
     cut = prepared(docs.withColumn("text", F.substring("text", 1, API_CHARS)))
     wanted = {k: v for k, v in lenses.items() if ids is None or k in ids}
-    hits = detect(cut.select("doc_id", "text"), wanted)
-    return grade(cut.drop("text"), hits, wanted, rounded).orderBy("doc_id", F.desc("index"), "lens_ord")
+    return grade_rows(detected(cut, wanted), wanted, rounded).orderBy("doc_id", F.desc("index"), "lens_ord")
 
 
 def lookup(entities: DataFrame, query: str) -> DataFrame:

@@ -88,6 +88,18 @@ def load_lenses(folder: str | Path = OWN) -> dict[str, Lens]:
     return {lens.id: lens for lens in map(load_lens, sorted(Path(folder).glob("*/taxonomy.yaml")))}
 
 
+def pair_lenses(words: list[str], cues: int = 2) -> dict[str, Lens]:
+    """A lens a word: which words follow it. Each detection has ``cues`` of the pairs, in the order of words, and counts for one of two markers."""
+    out = {}
+    for first in words:
+        pairs = [f"{first} {second}" for second in words]
+        found = [Detection(f"{first}-{i // cues}", 0.25, "", tuple(pairs[i : i + cues])) for i in range(0, len(pairs), cues)]
+        half = (len(found) + 1) // 2
+        markers = (Marker("early", "Earlier words", 1.0, tuple(found[:half])), Marker("late", "Later words", 0.5, tuple(found[half:])))
+        out[f"after_{first}"] = Lens(f"after_{first}", f"After {first}", markers)
+    return out
+
+
 def text_lenses(lenses: dict[str, Lens]) -> dict[str, Lens]:
     return {k: v for k, v in lenses.items() if k not in GRAPH_LENSES}
 

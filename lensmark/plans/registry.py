@@ -16,7 +16,7 @@ from lensmark.operators import graph as G
 from lensmark.operators import grading, subjects
 from lensmark.operators.detection import answers_to_hits, cue_hits, prompts, rule_transport, verified_cue_hits
 from lensmark.plans import sql, tables
-from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, text_lenses
+from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, pair_lenses, text_lenses
 from lensmark.sources.intake import from_html, from_jsonl, from_x_export
 from lensmark.sources.scratch import written_text
 from lensmark.streaming.events import windowed_events
@@ -43,6 +43,17 @@ def q_cue_hits(spark: SparkSession, d: str) -> DataFrame:
     return cue_hits(tables.documents(spark, d).select("doc_id", "text"), text_only()).select("doc_id", "lens_id", "detection_id", "span", F.col("char_start").cast("long"), F.col("char_end").cast("long"), "rationale")
 
 
+def q_cue_hits_wide(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of common words as cues: 484."""
+    docs = tables.table(spark, d, "documents").select("doc_id", "text")
+    return cue_hits(docs, pair_lenses(sql.COMMON)).select("doc_id", "lens_id", "detection_id", "span", F.col("char_start").cast("long"), F.col("char_end").cast("long"), "rationale")
+
+
+def q_grade_wide(spark: SparkSession, d: str) -> DataFrame:
+    graded = subjects.grade_documents(tables.documents(spark, d), pair_lenses(sql.COMMON), rounded=False)
+    return cut(graded.filter("index > 0"), "index", "breadth", "intensity", "density").select("doc_id", "lens_id", "index", "tier", "breadth", "intensity", "density")
+
+
 def q_page_hits(spark: SparkSession, d: str) -> DataFrame:
     pages = from_html(tables.table(spark, d, "pages")).select("doc_id", "text").distinct()
     return cue_hits(pages, text_only()).select("doc_id", "lens_id", "detection_id", F.col("char_start").cast("long"))

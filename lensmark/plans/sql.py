@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from lensmark.functions.text import INJECTION
 from lensmark.operators.detection import CLOSING, OPENING, prompt_for
-from lensmark.plans.lenses import Lens, cue_snapshot, load_lenses, text_lenses
+from lensmark.plans.lenses import Lens, cue_snapshot, load_lenses, pair_lenses, text_lenses
 from lensmark.plans.tables import RELATIONS, SECTORS
 
 
+#: Words of the pairs that cue_hits_wide and grade_wide look for.
+COMMON = "of the to and in is der die und das de la le les et que en el los un une des".split()
 #: What the stand-in verifier of verify_receipts looks for.
 REFUSED = "Apache"
 
@@ -153,6 +155,7 @@ def all_queries() -> dict[str, str]:
     graded = f"WITH {dims(text)},\n{DOC},\n{HITS},\n{GRADE}"
     by_day = f"WITH {dims(days)},\n{DAYS},\n{GRADE}"
     net = f"{GRAPH},\n{between()},\n{BRIDGED},\n{ROLES},\n{NETWORK}"
+    wide = pair_lenses(COMMON)
     few = {k: text[k] for k in ("license_register", "contact_register")}
     clean = "(CASE WHEN length(c) > 20000 THEN left(c, 20000) || ' […truncated]' ELSE c END)"
     fenced = "replace(text, '\"\"\"', '\"​\"​\"')"
@@ -173,6 +176,8 @@ SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
     summed = "SELECT doc_id, round(idx + 1e-9, 6) AS index, tier FROM graded"
     return {
         "cue_hits": f"WITH {dims(text)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, span, char_start, char_end, rationale FROM hits",
+        "cue_hits_wide": f"WITH {dims(wide)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, span, char_start, char_end, rationale FROM hits",
+        "grade_wide": f"WITH {dims(wide)},\n{DOC},\n{HITS},\n{GRADE} SELECT doc_id, lens_id, {shown} FROM graded WHERE idx > 0",
         "page_hits": f"WITH {dims(text)},\ndoc AS (SELECT DISTINCT url AS doc_id, {HTML} AS text FROM pages),\n{HITS} SELECT doc_id, lens_id, detection_id, char_start FROM hits",
         "grade_documents": f"{graded} SELECT doc_id, lens_id, token_count, {shown} FROM graded",
         "token_estimate": f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents",
