@@ -1,7 +1,8 @@
 """Periodic runs of words: stretches that repeat a block of q words at least LEAST_EXPONENT times.
 
 A text's words become numbers, and these are compared with themselves at every lag q up to words // LEAST_EXPONENT. Words that equal
-the one q further on form stretches; one of (exponent - 1) * q matches and more is a run of period q, q words longer than its matches. A lag is
+the one q further on form stretches; one of (exponent - 1) * q matches and more is a run of period q, q words longer than its matches. Texts of up to
+WIDE words are compared at many lags at once, a row of a matrix a lag. In longer ones a lag is
 first compared at every t-th word, t small enough that a stretch long enough has PROBES of these in a row; lags without
 such a row need no full comparison, and no run is lost. A stretch that lags of several sizes find alike has the smallest as its period: were a smaller one
 its period, that lag would find the same stretch (Fine and Wilf), as all have two periods in it at least.
@@ -28,6 +29,8 @@ LEAST_LENGTH, LEAST_EXPONENT = 6, 4
 #: Lags that a task takes of one text at once.
 LAGS = 1 << 14
 PROBES = 8
+#: Words of the longest text that is compared at many lags at once, and how many words in all at once.
+WIDE, CELLS = 1200, 1 << 14
 #: What parts words.
 WORD = r"[^\x20\x09-\x0D]+"
 RUNS = "array<struct<start:long,length:long,period:long>>"
@@ -52,6 +55,12 @@ def lags(n: int, exponent: int = LEAST_EXPONENT) -> int:
 def stretches(a: np.ndarray, first: int, last: int, length: int = LEAST_LENGTH, exponent: int = LEAST_EXPONENT) -> dict[tuple[int, int], int]:
     """(start, length) of the stretches that lags first to last find, and the smallest lag that finds each."""
     n, found = len(a), {}
+    if n <= WIDE:
+        step = max(1, CELLS // (n + 1))
+        for lo in range(first, last + 1, step):
+            for place, q in _at_once(a, lo, min(lo + step - 1, last), length, exponent).items():
+                found.setdefault(place, q)
+        return found
     for q in range(first, last + 1):
         need = max(length - q, (exponent - 1) * q)
         if need > n - q:
@@ -71,6 +80,25 @@ def stretches(a: np.ndarray, first: int, last: int, length: int = LEAST_LENGTH,
     return found
 
 
+def _at_once(a: np.ndarray, first: int, last: int, length: int, exponent: int) -> dict[tuple[int, int], int]:
+    """As stretches(), by one comparison of all lags: row i of the matrix is the text against itself from word first + i on, and ends unlike."""
+    n = len(a)
+    longer = np.concatenate((a, np.full(last + 1, -1, a.dtype)))
+    against = np.lib.stride_tricks.as_strided(longer[first:], (last - first + 1, n + 1), (a.itemsize, a.itemsize))
+    padded = longer[: n + 1]  # its last word is like none but the padding
+    other = against != padded
+    other[:, n] = True
+    other = np.flatnonzero(other)
+    same = np.diff(other, prepend=-1) - 1
+    some = np.flatnonzero(same >= max(1, min(length - 1, (exponent - 1) * first)))
+    found: dict[tuple[int, int], int] = {}
+    q = first + other[some] // (n + 1)
+    fit = same[some] >= np.maximum(length - q, (exponent - 1) * q)
+    for end, m, lag in zip(other[some][fit] % (n + 1), same[some][fit], q[fit], strict=True):
+        found.setdefault((int(end - m), int(m + lag)), int(lag))
+    return found
+
+
 def _gap(other: np.ndarray, n: int, least: int) -> bool:
     """Whether ``least`` of n places in a row are not in other (sorted)."""
     if not len(other):

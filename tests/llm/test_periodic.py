@@ -46,11 +46,13 @@ def plain_row(doc_id, text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 2), max_size=80), st.integers(2, 5), st.integers(1, 8))
-def test_stretches_equal_the_definition(word_ids, exponent, length):
+@given(st.lists(st.integers(0, 2), max_size=80), st.integers(2, 5), st.integers(1, 8), st.sampled_from([0, 1200]))
+def test_stretches_equal_the_definition(word_ids, exponent, length, wide):
+    periodic.WIDE = wide
     own = [str(x).encode() for x in word_ids]
     a, top = periodic.numbers(own), periodic.lags(len(own), exponent)
     parts = [periodic.stretches(a, lo, min(lo + 2, top), length, exponent) for lo in range(1, top + 1, 3)]
+    periodic.WIDE = 1200
     assert periodic.joined(parts) == plain(own, length, exponent)
 
 
