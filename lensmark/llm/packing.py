@@ -10,6 +10,8 @@ plan is made on the driver from at most ``capacity`` counts, however many docume
 3. Actual lengths take the slots, in runs of equal lengths: the longest that fits a slot and the room
    that rounding has left in the sequence so far; the last two slots take the pair that fills it best.
 4. What is left, small ones mostly, goes longest first to the fullest sequences that still fit.
+5. Where that takes more sequences than the sum of lengths allows, those that are not full are taken apart and grouped anew, as
+   a smaller problem whose groups are finer.
 
 The plan says, for ranges of ranks within a length, which sequences they fill and at which offset.
 Tasks number their pieces of a length from the task's own place among all tasks, and look that up.
@@ -35,18 +37,20 @@ from lensmark.llm import bpe
 from lensmark.llm.common import Scratch, pieces
 
 GROUPS, ROUNDS = 80, 600
+#: How often what is not full is grouped anew, and the rounds of column generation then.
+REPAIRS, REPAIR_ROUNDS = 4, 150
 #: Lengths over capacity // SMALL are large.
 SMALL = 8
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Patterns (how many of each size) and how often each is used, from the cutting-stock linear programme rounded down."""
     k = len(sizes)
     if not k:
         return []
     patterns = np.diag(capacity // sizes).astype(float)
     every = np.arange(capacity + 1)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         inverse = np.linalg.inv(patterns)
         use = inverse @ demand
         worth = inverse.sum(0)  # dual prices: every pattern costs one sequence
@@ -111,18 +115,25 @@ def substitutes(slots: list[int], capacity: int, rising: list[int], left: dict[i
     return heads
 
 
+#: What a run of equal sequences holds, as (length, how often), and how many such sequences there are.
+Run = tuple[tuple[tuple[int, int], ...], int]
 Plan = tuple[list[tuple[int, int, int, int, int, int]], int]
 
 
-def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Rows (length, first rank, end rank, first sequence, pieces of it a sequence, offset), and the number of sequences."""
-    rows: list[tuple[int, int, int, int, int, int]] = []
-    left = {n: c for n, c in histogram.items() if n < capacity}
-    taken: dict[int, int] = defaultdict(int)
-    sequences = histogram.get(capacity, 0)
-    if sequences:
-        rows.append((capacity, 0, sequences, 0, 1, 0))
-    free: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by free room: first sequence and count
+def room_of(run: Run, capacity: int) -> int:
+    return capacity - sum(n * m for n, m in run[0])
+
+
+def _with(held: tuple[tuple[int, int], ...], n: int, m: int) -> tuple[tuple[int, int], ...]:
+    return (*held, (n, m))
+
+
+def grouped(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[Run]:
+    """Linear grouping, configurations, substitution, and best fit of what is left."""
+    left = {n: c for n, c in histogram.items() if c and n < capacity}
+    free: list[list[Run]] = [[] for _ in range(capacity + 1)]  # by free room
+    if histogram.get(capacity):
+        free[0].append((((capacity, 1),), histogram[capacity]))
 
     large = sorted((n for n in left if n > capacity // SMALL), reverse=True)
     total = sum(left[n] for n in large)
@@ -136,20 +147,15 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
     sizes = np.array([g[0] for g in groups], int)
     demand = np.array([sum(left[n] for n in g) for g in groups], float)
     rising = sorted(large)
-    for pattern, times in configurations(sizes, demand, capacity):
+    for pattern, times in configurations(sizes, demand, capacity, rounds):
         slots = np.repeat(sizes, pattern).tolist()
         done = 0
         while done < times and (heads := substitutes(slots, capacity, rising, left)):
             run = min([times - done, *(left[n] // heads.count(n) for n in heads)])
-            offset = 0
             for n in heads:
-                rows.append((n, taken[n], taken[n] + run, sequences, 1, offset))
-                taken[n] += run
                 left[n] -= run
-                offset += n
             rising = [n for n in rising if left[n]]
-            free[capacity - offset].append((sequences, run))
-            sequences += run
+            free[capacity - sum(heads)].append((tuple((n, heads.count(n)) for n in dict.fromkeys(heads)), run))
             done += run
 
     for n in sorted((n for n in left if left[n]), reverse=True):
@@ -159,24 +165,57 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
                 room += 1
             each = (room if room <= capacity else capacity) // n
             if room <= capacity:
-                first, count = free[room].pop()
+                held, count = free[room].pop()
             else:
-                first, count, room = sequences, -(-left[n] // each), capacity
-                sequences += count
+                held, count, room = (), -(-left[n] // each), capacity
             used = min(count, left[n] // each)
             if used:
-                rows.append((n, taken[n], taken[n] + used * each, first, each, capacity - room))
-                taken[n] += used * each
                 left[n] -= used * each
-                free[room - each * n].append((first, used))
+                free[room - each * n].append((_with(held, n, each), used))
             if used < count and 0 < left[n] < each:
-                rows.append((n, taken[n], taken[n] + left[n], first + used, left[n], capacity - room))
-                free[room - left[n] * n].append((first + used, 1))
-                taken[n] += left[n]
+                free[room - left[n] * n].append((_with(held, n, left[n]), 1))
                 left[n] = 0
                 used += 1
             if used < count:
-                free[room].append((first + used, count - used))
+                free[room].append((held, count - used))
+    return [run for rooms in free for run in rooms if run[0]]
+
+
+def repaired(runs: list[Run], capacity: int) -> list[Run]:
+    """The runs, or a packing of fewer sequences: those with room are taken apart, with as many full ones of the shortest runs, and
+    grouped anew as a smaller problem of its own, with finer groups; REPAIRS times at most, and no more once the sum of lengths allows no fewer."""
+    least = -(-sum((capacity - room_of(r, capacity)) * r[1] for r in runs) // capacity)
+    for attempt in range(REPAIRS):
+        if sum(r[1] for r in runs) <= least:
+            break
+        apart = [r for r in runs if room_of(r, capacity)]
+        full = sorted((r for r in runs if not room_of(r, capacity)), key=lambda r: r[1])
+        most, with_these = sum(r[1] for r in apart) * attempt, 0
+        while full and with_these + full[0][1] <= most:
+            with_these += full[0][1]
+            apart.append(full.pop(0))
+        histogram: dict[int, int] = defaultdict(int)
+        for held, count in apart:
+            for n, m in held:
+                histogram[n] += m * count
+        again = grouped(histogram, capacity, REPAIR_ROUNDS)
+        if sum(r[1] for r in again) < sum(r[1] for r in apart):
+            runs = full + again
+    return runs
+
+
+def plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Rows (length, first rank, end rank, first sequence, pieces of it a sequence, offset), and the number of sequences."""
+    rows: list[tuple[int, int, int, int, int, int]] = []
+    taken: dict[int, int] = defaultdict(int)
+    sequences = 0
+    for held, count in repaired(grouped(histogram, capacity), capacity):
+        offset = 0
+        for n, m in held:
+            rows.append((n, taken[n], taken[n] + m * count, sequences, m, offset))
+            taken[n] += m * count
+            offset += m * n
+        sequences += count
     return rows, sequences
 
 
