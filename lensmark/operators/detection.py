@@ -352,17 +352,21 @@ def verified(answers: DataFrame) -> DataFrame:
     ).drop("v")
 
 
+def with_verdicts(hits: DataFrame, lenses: dict[str, Lens], transport: Transport) -> DataFrame:
+    """hits: text and the columns of a hit, and more. A context read of each: verdict, verdict_confidence, verdict_rationale as verified() adds them."""
+    heads = [{"of": f"{x.id}\x01{d.id}", "head": f"LENS: {x.name} - {x.description}\nMETHOD: {d.id} (of {m.name}): {d.definition}"} for x in lenses.values() for m, d in x.detections()]
+    known = literal({h["of"]: h["head"] for h in heads}, "map<string,string>")
+    head = F.try_element_at(known, F.concat_ws("\x01", "lens_id", "detection_id"))
+    prompt = F.concat(head, F.lit("\nSPAN: "), F.col("span"), fenced(F.col("text")), F.lit(ASK_VERDICT))
+    return verified(asked(hits.withColumn("prompt", prompt), "prompt", transport)).drop("prompt", "answer", "error")
+
+
 def verified_cue_hits(docs: DataFrame, lenses: dict[str, Lens], transport: Transport | None) -> DataFrame:
     """Cue hits that a context read finds genuine; without a transport, or for failures, none."""
     hits = cue_hits(docs, lenses, also=("text",))
     if transport is None:
         return hits.filter("false").select(HIT_COLUMNS)
-    heads = [(x.id, d.id, f"LENS: {x.name} - {x.description}\nMETHOD: {d.id} (of {m.name}): {d.definition}") for x in lenses.values() for m, d in x.detections()]
-    known = docs.sparkSession.createDataFrame(heads, "lens_id string, detection_id string, head string")
-    prompt = F.concat(F.col("head"), F.lit("\nSPAN: "), F.col("span"), fenced(F.col("text")), F.lit(ASK_VERDICT))
-    both = hits.join(F.broadcast(known), ["lens_id", "detection_id"])
-    rows = asked(both.withColumn("prompt", prompt), "prompt", transport)
-    kept = verified(rows).filter(F.col("verdict") == VERDICTS[0])
+    kept = with_verdicts(hits, lenses, transport).filter(F.col("verdict") == VERDICTS[0])
     confidence = F.greatest("confidence", "verdict_confidence")
     rationale = F.concat(F.lit("read in context, '"), F.col("span"), F.lit("' is genuine: "), F.col("verdict_rationale"))
     return kept.withColumns({"confidence": confidence, "rationale": rationale}).select(HIT_COLUMNS)

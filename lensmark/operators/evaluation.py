@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lensmark.operators.detection import Transport, with_cue_hits, with_verdicts
+from lensmark.plans.lenses import Lens
+from lensmark.sources.scratch import written
+
 
 def floor_counts(fixtures: DataFrame, grades: DataFrame, backend: str = "cues") -> DataFrame:
     """fixtures: id, lens, should_fire, min_backend, expect_any; grades: doc_id, lens_id, markers_present.
@@ -39,3 +43,13 @@ def confusion(rows: DataFrame, expected: str = "expected", kept: str = "kept") -
     """tp, fp, fn, tn of two booleans, and whether neither error occurs."""
     e, k = F.col(expected), F.col(kept)
     return rows.agg(F.count_if(e & k).alias("tp"), F.count_if(~e & k).alias("fp"), F.count_if(e & ~k).alias("fn"), F.count_if(~e & ~k).alias("tn")).withColumn("passed", (F.col("fp") == 0) & (F.col("fn") == 0))
+
+
+def verified_cases(cases: DataFrame, lenses: dict[str, Lens], transport: Transport) -> DataFrame:
+    """cases: text, expected, and more; one row with ``kept`` each: whether the verifier finds any of its cue hits genuine. A case without a hit is not kept; cases
+    are told apart by row, so that their ids may repeat."""
+    marked = with_cue_hits(cases, lenses).withColumn("case", F.monotonically_increasing_id())
+    marked = written(marked, "cases")
+    hits = marked.select("case", "text", F.explode("hits").alias("h")).select("case", "text", "h.*")
+    kept = with_verdicts(hits, lenses, transport).filter("verdict = 'genuine'").select("case").distinct().withColumn("kept", F.lit(True))
+    return marked.join(kept, "case", "left").withColumn("kept", F.coalesce("kept", F.lit(False))).drop("case", "hits")

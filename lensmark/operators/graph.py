@@ -203,10 +203,22 @@ def top(values: DataFrame, column: str, k: int = 1) -> DataFrame:
     return values.orderBy(F.desc(column), "id").limit(k)
 
 
+#: Up to so many distinct values their shares travel to every task (some 32 bytes each).
+BROADCAST_VALUES = 1_000_000
+#: In how many parts rows of one value are dealt where values are more.
+PARTS = 32
+
+
 def percentiles(values: DataFrame, column: str, name: str = "percentile", cut: str | None = None, top: float = TOP) -> DataFrame:
-    """values with the share of values that are not greater than the row's own and, if named, the decile cut."""
+    """values with the share of values that are not greater than the row's own and, if named, the decile cut. Most rows may share one value, as zeros do: distinct
+    values are broadcast where they are few, else copied for PARTS parts of the rows."""
     upto = cumulative(values, column)
-    out = values.join(upto.select(column, (F.col("upto") / F.col("n")).alias(name)), column)
+    shares = upto.select(column, (F.col("upto") / F.col("n")).alias(name))
+    if upto.count() <= BROADCAST_VALUES:
+        out = values.join(F.broadcast(shares), column)
+    else:
+        copies = shares.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        out = values.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(copies, [column, "part"]).drop("part")
     return out.join(F.broadcast(_cut(upto, column, top).withColumnRenamed("cut", cut))) if cut else out
 
 

@@ -8,17 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lensmark.functions import catalog
 from lensmark.functions import text as T
 from lensmark.operators import board as B
 from lensmark.operators import careers as C
 from lensmark.operators import evaluation as E
 from lensmark.operators import graph as G
 from lensmark.operators import grading, subjects
+from lensmark.operators.lookup import lookup_many
 from lensmark.operators.detection import answers_to_hits, cue_hits, prompts, rule_transport, verified_cue_hits
 from lensmark.plans import sql, tables
 from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, pair_lenses, text_lenses
-from lensmark.sources.intake import from_html, from_jsonl, from_x_export
-from lensmark.sources.scratch import written_text
+from lensmark.sources.intake import from_html, from_jsonl, from_x_export, graph_lines, subject_sources
+from lensmark.sources.scratch import written, written_text
 from lensmark.streaming.events import windowed_events
 
 #: A day between the two cuts of the scoreboard.
@@ -54,6 +56,23 @@ def q_grade_wide(spark: SparkSession, d: str) -> DataFrame:
     return cut(graded.filter("index > 0"), "index", "breadth", "intensity", "density").select("doc_id", "lens_id", "index", "tier", "breadth", "intensity", "density")
 
 
+def q_sql_cue_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The table function of the SQL catalog, joined laterally."""
+    catalog.register(spark, text_only())
+    return spark.sql("SELECT doc_id, h.lens_id, h.detection_id, h.confidence, h.span, CAST(h.char_start AS LONG) AS char_start, h.rationale FROM {docs}, LATERAL cue_hits(text, 'license_register') h", docs=tables.table(spark, d, "documents"))
+
+
+def q_sql_marker_sums(spark: SparkSession, d: str) -> DataFrame:
+    catalog.register(spark, text_only())
+    sums = spark.sql("SELECT doc_id, s.lens_id, s.marker_id, s.score FROM {docs}, LATERAL marker_sums(text) s WHERE NOT blank(text)", docs=tables.table(spark, d, "documents"))
+    return cut(sums, "score")
+
+
+def q_sql_text_functions(spark: SparkSession, d: str) -> DataFrame:
+    catalog.register(spark, text_only())
+    return spark.sql("SELECT page_id, html_to_text(html) AS text, CAST(token_estimate(html_to_text(html)) AS LONG) AS tokens, injection_flag(html) AS flagged FROM {pages}", pages=tables.table(spark, d, "pages"))
+
+
 def q_page_hits(spark: SparkSession, d: str) -> DataFrame:
     pages = from_html(tables.table(spark, d, "pages")).select("doc_id", "text").distinct()
     return cue_hits(pages, text_only()).select("doc_id", "lens_id", "detection_id", F.col("char_start").cast("long"))
@@ -177,7 +196,7 @@ def q_career_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_career_hits(spark: SparkSession, d: str) -> DataFrame:
-    return cut(C.career_hits(*tables.careers(spark, d, 49)), "confidence").select("doc_id", "detection_id", "confidence")
+    return cut(C.career_hits(*tables.careers(spark, d, 49)), "confidence").select("doc_id", "detection_id", "confidence", "rationale")
 
 
 def q_career_grades(spark: SparkSession, d: str) -> DataFrame:
@@ -189,9 +208,10 @@ def q_funder_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and neighbours, both written: what is measured on them reads no base table again."""
     entities, edges = tables.trade_graph(spark, d)
-    adj = G.neighbours(edges)
-    return G.nodes(entities, adj), adj
+    adj = written(G.neighbours(edges), "adjacency")
+    return written(G.nodes(entities, adj), "nodes"), adj
 
 
 def q_graph_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -250,6 +270,44 @@ def q_entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     return subjects.lookup(s, "SUPPLIER").select("id", "name")
 
 
+def q_entity_lookup_many(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers by the last digits of all customers' names."""
+    s = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
+    asked = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.right("c_name", F.lit(4)).alias("query"))
+    return lookup_many(s, asked).select("query_id", "id", "name")
+
+
+def _order_lines(spark: SparkSession, d: str) -> str:
+    """Orders as JSON lines of a graph: customers as entities, time and again, with sources as strings and objects; orders as edges, objects and arrays."""
+    o = tables.table(spark, d, "orders").withColumn("c", F.concat(F.lit("C"), "o_custkey"))
+    even, url = F.pmod("o_orderkey", F.lit(2)) == 0, F.concat(F.lit("://orders/"), "o_orderkey")
+    source = F.when(even, F.concat(F.lit('"http'), url, F.lit('"'))).otherwise(F.concat(F.lit('{"url":"https'), url, F.lit('"}')))
+    entity = F.concat(F.lit('{"id":"'), "c", F.lit('","name":"'), F.concat_ws("-", "o_orderstatus", "o_orderkey"), F.lit('","sources":[null,7,'), source, F.lit("]}"))
+    target = F.left("o_orderpriority", F.lit(1))
+    rel = F.pmod("o_orderkey", F.lit(3)) == 0
+    as_object = F.concat(F.lit('{"source":"'), "c", F.lit('","target":"'), target, F.when(rel, F.concat(F.lit('","rel":"'), "o_orderstatus")).otherwise(F.lit("")), F.lit('"}'))
+    as_array = F.concat(F.lit('["'), "c", F.lit('","'), target, F.when(rel, F.concat(F.lit('","'), "o_orderstatus")).otherwise(F.lit("")), F.lit('"]'))
+    lines = F.array(F.struct(F.lit(0).alias("i"), entity.alias("line")), F.struct(F.lit(1).alias("i"), F.when(even, as_object).otherwise(as_array).alias("line")))
+    rows = o.select("o_orderkey", F.explode(lines).alias("l")).orderBy("o_orderkey", "l.i").select(F.col("l.line").alias("value"))
+    return written_text(rows, "graph")
+
+
+def q_graph_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Entities (id, name, source) and edges (source, target, relation) read back."""
+    entities, edges = graph_lines(spark, _order_lines(spark, d))
+    e = entities.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), F.get("sources", F.lit(0)).alias("c"))
+    return e.union(edges.select(F.lit("edge"), "source", "target", "rel"))
+
+
+def q_graph_subject_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of all subjects of JSON graphs, one a customer: a pool of the customer's orders, each fifth with a source that is no address."""
+    o = tables.table(spark, d, "orders")
+    url = F.concat(F.when(F.pmod("o_orderkey", F.lit(5)) == 0, F.lit("order/")).otherwise(F.lit("http://")), "o_orderkey")
+    member = F.struct(F.concat(F.lit("C"), "o_custkey").alias("id"), F.array(url).alias("sources"))
+    graphs = o.groupBy(F.col("o_custkey").alias("file")).agg(F.collect_list(member).alias("people")).select("file", F.to_json(F.struct("people")).alias("value"))
+    return subject_sources(graphs).groupBy("id").agg(F.count("*").alias("n_sources"))
+
+
 def q_eval_floor(spark: SparkSession, d: str) -> DataFrame:
     """Labels as fixtures: low quality should fire the morpheme lens, and expects the latinate marker."""
     labels = tables.table(spark, d, "labels")
@@ -258,8 +316,11 @@ def q_eval_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_eval_confusion(spark: SparkSession, d: str) -> DataFrame:
-    labels = tables.table(spark, d, "labels")
-    return E.confusion(labels.select((F.col("quality") == 1).alias("expected"), (F.col("toxic") == 0).alias("kept")))
+    """Labels as cases of the verifier: texts of quality are expected to keep a receipt of the morpheme lens; a case is kept if the stand-in verifier keeps any."""
+    docs = tables.documents(spark, d).select("doc_id", "text")
+    lens = {"morpheme_register": lenses()["morpheme_register"]}
+    cases = docs.join(tables.table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("expected")), "doc_id")
+    return E.confusion(E.verified_cases(cases, lens, rule_transport(REFUSED)))
 
 
 def q_verify_receipts(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lensmark.functions.text import INJECTION
-from lensmark.operators.detection import CLOSING, OPENING, prompt_for
+from lensmark.operators.detection import ASK_HITS, CLOSING, OPENING, prompt_for
 from lensmark.plans.lenses import Lens, cue_snapshot, load_lenses, pair_lenses, text_lenses
 from lensmark.plans.tables import RELATIONS, SECTORS
 
@@ -178,6 +178,9 @@ SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
         "cue_hits": f"WITH {dims(text)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, span, char_start, char_end, rationale FROM hits",
         "cue_hits_wide": f"WITH {dims(wide)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, span, char_start, char_end, rationale FROM hits",
         "grade_wide": f"WITH {dims(wide)},\n{DOC},\n{HITS},\n{GRADE} SELECT doc_id, lens_id, {shown} FROM graded WHERE idx > 0",
+        "sql_cue_hits": f"WITH {dims({'license_register': text['license_register']})},\n{DOC.replace("WHERE trim(text) <> ''", '')},\n{HITS} SELECT doc_id, lens_id, detection_id, confidence, span, char_start, rationale FROM hits",
+        "sql_marker_sums": f"{graded} SELECT doc_id, lens_id, marker_id, round(s + 1e-9, 6) AS score FROM m WHERE s > 0",
+        "sql_text_functions": f"SELECT page_id, text, {TOKENS.format('text')} AS tokens, regexp_matches(html, '{injection}') AS flagged FROM (SELECT page_id, html, {HTML} AS text FROM pages)",
         "page_hits": f"WITH {dims(text)},\ndoc AS (SELECT DISTINCT url AS doc_id, {HTML} AS text FROM pages),\n{HITS} SELECT doc_id, lens_id, detection_id, char_start FROM hits",
         "grade_documents": f"{graded} SELECT doc_id, lens_id, token_count, {shown} FROM graded",
         "token_estimate": f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents",
@@ -200,7 +203,11 @@ SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
         "board_totals": f"WITH {RECORDS} SELECT count(DISTINCT institution) AS institutions, count(*) AS records FROM rec",
         "career_moves": f"WITH {careers(46)} SELECT id, n_moves, array_to_string(coalesce(s, []), ',') AS sectors, untyped FROM car",
         "career_chain": f"WITH {careers(46)} SELECT id, chain FROM car",
-        "career_hits": f"WITH {careers(49)},\n{CAREER_HITS} SELECT doc_id, detection_id, round(confidence::DOUBLE + 1e-9, 6) AS confidence FROM chits",
+        "career_hits": f"""WITH {careers(49)},\n{CAREER_HITS},
+note AS (SELECT al.id, n, k, f, CASE WHEN coalesce(untyped, FALSE) THEN ' (untyped affiliations; order is not known)' ELSE '' END AS note FROM al LEFT JOIN car USING (id))
+SELECT doc_id, detection_id, round(confidence::DOUBLE + 1e-9, 6) AS confidence, CASE WHEN detection_id LIKE 'spans-%' THEN 'moves across ' || k || ' sectors' WHEN detection_id LIKE '%-moves' THEN n || ' moves'
+  WHEN detection_id = 'watchdog-then-join' THEN 'a monitoring and an industry sector' WHEN detection_id = 'crosses-gov-industry' THEN 'government and industry'
+  WHEN detection_id = 'funds-three-plus' THEN 'funds ' || f || ' recipients' ELSE 'recipient and evaluator' END || note AS rationale FROM chits JOIN note ON id = doc_id""",
         "career_grades": f"WITH {dims({'revolving_door': every['revolving_door']})},\n{careers(49)},\n{CAREER_HITS},\ndoc AS (SELECT id AS doc_id, 0 AS token_count FROM ent),\nhits AS (SELECT doc_id, 'revolving_door' AS lens_id, detection_id, confidence::DOUBLE AS confidence FROM chits),\n{GRADE} {summed}",
         "funder_hits": f"WITH {careers(49)} SELECT id, n_recipients, array_to_string(coalesce(r, []), ',') AS sectors FROM fund",
         "graph_degree": f"WITH {GRAPH} SELECT id, degree, round(degree_centrality + 1e-9, 6) AS degree_centrality FROM deg",
@@ -223,12 +230,21 @@ SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
         + ",\nhits AS (SELECT doc_id, lens_id, detection_id, confidence FROM thits UNION ALL SELECT doc_id, 'revolving_door', detection_id, confidence::DOUBLE FROM quoted),\n"
         + f"{GRADE} SELECT lane, subject, lens_id, round(max(idx) + 1e-9, 6) AS index FROM graded WHERE (lane = 'graph') = (lens_id = 'revolving_door') GROUP BY ALL",
         "affiliations": f"WITH {GRAPH},\nends AS (SELECT source AS id, target AS other FROM edge UNION ALL SELECT target, source FROM edge) SELECT e.id, array_to_string(list_sort(list(DISTINCT n.name)), '|') AS affiliations, count(DISTINCT n.name) AS n_affiliations FROM ends e JOIN ent n ON n.id = e.other GROUP BY e.id",
+        "entity_lookup_many": "WITH q AS (SELECT DISTINCT lower(trim(right(c_name, 4))) AS q FROM customer), m AS (SELECT q, s_suppkey AS id, s_name AS name, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN lower(s_name) = q OR s_suppkey::VARCHAR = q THEN 0 ELSE 1 END, s_suppkey) AS r FROM q JOIN supplier ON contains(lower(s_name), q) OR contains(s_suppkey::VARCHAR, q))\n"
+        "SELECT c_custkey AS query_id, m.id, m.name FROM customer JOIN m ON m.q = lower(trim(right(c_name, 4))) AND r = 1",
+        "graph_documents": """WITH last AS (SELECT o_custkey, max_by(o_orderstatus || '-' || o_orderkey, o_orderkey) AS clerk, max_by(o_orderkey, o_orderkey) AS k FROM orders GROUP BY o_custkey)
+SELECT 'entity' AS kind, 'C' || o_custkey AS a, clerk AS b, CASE WHEN k % 2 = 0 THEN 'http://orders/' || k ELSE 'https://orders/' || k END AS c FROM last
+UNION ALL SELECT 'edge', 'C' || o_custkey, left(o_orderpriority, 1), CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END FROM orders""",
+        "graph_subject_sources": "SELECT 'C' || o_custkey AS id, count(*) AS n_sources FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL",
         "entity_lookup": "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE contains(lower(s_name), 'supplier') ORDER BY CASE WHEN lower(s_name) = 'supplier' THEN 0 ELSE 1 END, s_suppkey LIMIT 1",
         "eval_floor": f"{graded},\nfx AS (SELECT l.doc_id, quality = 0 AS fire, toxic = 1 AS skip, coalesce(present, 0) > 0 AS fired, coalesce(s, 0) >= 0.3 AS hit FROM labels l LEFT JOIN (SELECT doc_id, present FROM graded WHERE lens_id = 'morpheme_register') USING (doc_id) LEFT JOIN (SELECT doc_id, s FROM m WHERE marker_id = 'latinate') USING (doc_id)) "
         "SELECT count(*) FILTER (NOT skip AND fire AND fired) AS pos_hit, count(*) FILTER (NOT skip AND fire) AS pos_total, count(*) FILTER (NOT skip AND NOT fire AND NOT fired) AS neg_quiet, count(*) FILTER (NOT skip AND NOT fire) AS neg_total, count(*) FILTER (NOT skip AND fire AND hit) AS cover_hit, count(*) FILTER (NOT skip AND fire) AS cover_total, count(*) FILTER (skip) AS skipped, count(*) FILTER (NOT skip AND ((fire AND (NOT fired OR NOT hit)) OR (NOT fire AND fired))) AS failures FROM fx",
-        "eval_confusion": "SELECT *, fp = 0 AND fn = 0 AS passed FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 0) AS tn FROM labels)",
+        "eval_confusion": f"""WITH {dims({"morpheme_register": text["morpheme_register"]})},\n{DOC.replace("WHERE trim(text) <> ''", "")},\n{HITS},
+kept AS (SELECT DISTINCT doc_id FROM hits JOIN (SELECT doc_id, {fenced} AS c FROM documents) USING (doc_id) WHERE NOT contains({clean}, {_q(REFUSED)})),
+cs AS (SELECT quality = 1 AS e, k.doc_id IS NOT NULL AS k FROM documents d JOIN labels USING (doc_id) LEFT JOIN kept k USING (doc_id))
+SELECT *, fp = 0 AND fn = 0 AS passed FROM (SELECT count(*) FILTER (e AND k) AS tp, count(*) FILTER (NOT e AND k) AS fp, count(*) FILTER (e AND NOT k) AS fn, count(*) FILTER (NOT e AND NOT k) AS tn FROM cs)""",
         "verify_receipts": f"WITH {dims(text)},\n{DOC},\n{HITS} SELECT doc_id, lens_id, detection_id, 0.9::DOUBLE AS confidence, span, char_start FROM hits JOIN (SELECT doc_id, {fenced} AS c FROM doc) USING (doc_id) WHERE NOT contains({clean}, {_q(REFUSED)})",
-        "prompts": f"WITH {heads},\nd AS (SELECT doc_id, lens_id, head || {_q(OPENING)} || {clean} || {_q(CLOSING)} AS prompt FROM (SELECT doc_id, {fenced} AS c FROM documents) CROSS JOIN head) SELECT doc_id, lens_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM d",
+        "prompts": f"WITH {heads},\nd AS (SELECT doc_id, lens_id, head || {_q(OPENING)} || {clean} || {_q(CLOSING + ASK_HITS)} AS prompt FROM (SELECT doc_id, {fenced} AS c FROM documents) CROSS JOIN head) SELECT doc_id, lens_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM d",
         "network_receipts": f"WITH {net},\n{receipt}",
         "delta_lines": f"{drift} SELECT '- **New on the board:** ' || string_agg(i, ', ' ORDER BY i) AS line FROM both_ WHERE added HAVING count(*) > 0 UNION ALL SELECT '- **Dropped:** ' || string_agg(i, ', ' ORDER BY i) FROM both_ WHERE removed HAVING count(*) > 0 "
         "UNION ALL SELECT '- **' || i || ':** ' || concat_ws('; ', CASE WHEN f THEN 'FACT ' || f0 || '->' || f1 || ' (' || CASE WHEN up >= 0 THEN '+' ELSE '' END || up || ')' END, CASE WHEN m THEN 'markers ' || m0 || '->' || m1 END) FROM moved",

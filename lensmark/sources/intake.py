@@ -8,7 +8,6 @@ from __future__ import annotations
 import contextlib
 import importlib
 import io
-import json
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -152,38 +151,92 @@ def _pdf_reader() -> Callable[[bytes], str]:
     raise ImportError(f"none of these is installed to read PDF: {', '.join(PDF_READERS)}")
 
 
+#: Pools of a JSON graph that hold entities, in the order in which a subject is sought.
+POOLS = ("people", "institutions", "entities", "nodes")
+
+
+def _said(value: Column, *paths: str) -> Column:
+    """The first string that a variant has at any of the paths; empty ones count as none."""
+    return F.coalesce(*(_blank(F.try_variant_get(value, p, "string")) for p in paths))
+
+
+def _entity(value: Column) -> Column:
+    """An entity of a variant: sources may be strings, objects with a url, or such objects as text; others are left out."""
+    sources = F.try_variant_get(value, "$.sources", "array<variant>")
+    said = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.variant_get(x, "$", "string"))
+    url = lambda x: F.when(said(x).startswith("{"), F.try_variant_get(F.try_parse_json(said(x)), "$.url", "string")).otherwise(F.coalesce(said(x), F.try_variant_get(x, "$.url", "string")))
+    urls = F.transform(F.coalesce(sources, F.array().cast("array<variant>")), url)
+    return F.struct(
+        _said(value, "$.id").alias("id"), _said(value, "$.name", "$.label").alias("name"), _said(value, "$.type").alias("type"), _said(value, "$.sector").alias("sector"), _said(value, "$.summary").alias("summary"),
+        F.filter(urls, lambda u: u.startswith("http")).alias("sources"),
+    )
+
+
+def _edge(value: Column) -> Column:
+    """An edge of a variant: an object, or an array of source, target and relation."""
+    return F.struct(_said(value, "$.source", "$[0]").alias("source"), _said(value, "$.target", "$[1]").alias("target"), _said(value, "$.rel", "$[2]").alias("rel"))
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, value: each file as one row."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def _graph_values(graphs: DataFrame) -> DataFrame:
+    """file, pool, ord, value of each member of the pools of JSON graphs (file, value). A graph is parsed once, and is one row: one of any size comes as lines (graph_lines)."""
+    files = graphs.select("file", F.try_parse_json("value").alias("graph"))
+    pools = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("pool"), F.try_variant_get("graph", f"$.{k}", "array<variant>").alias("members")) for k in (*POOLS, "edges"))), lambda p: p["members"].isNotNull()))
+    each = files.select("file", pools.alias("p"))
+    return each.select("file", "p.pool", F.posexplode("p.members").alias("ord", "value"))
+
+
+def last_of(entities: DataFrame) -> DataFrame:
+    """Of repeated ids the last entity by ``ord``; those without id are left out."""
+    kept = entities.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*(c for c in entities.columns if c not in ("id", "ord"))), "ord").alias("e"), F.max("ord").alias("ord"))
+    return kept.select("id", "e.*", "ord")
+
+
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """entities (the last of a repeated id counts) and edges (with edge_ord) of a JSON graph."""
-    kind = "entities array<struct<id:string,name:string,type:string,sector:string,summary:string>>, edges array<struct<source:string,target:string,rel:string>>"
-    raw = spark.read.schema(kind).option("multiLine", True).json(path)
-    rows = raw.select(F.posexplode("entities").alias("ord", "e")).groupBy("e.id").agg(F.max_by("e", "ord").alias("e"), F.max("ord").alias("ord"))
-    entities = rows.select("e.id", "e.name", "e.type", "e.sector", "e.summary", "ord")
-    return entities, raw.select(F.posexplode("edges").alias("edge_ord", "e")).select("e.*", "edge_ord")
+    """entities (the last of a repeated id counts) and edges (with edge_ord) of a JSON graph, whose edges are objects or arrays."""
+    values = _graph_values(whole_files(spark, path))
+    entities = last_of(values.filter("pool = 'entities'").select(_entity(F.col("value")).alias("e"), "ord").select("e.*", "ord"))
+    edges = values.filter("pool = 'edges'").select(_edge(F.col("value")).alias("e"), F.col("ord").alias("edge_ord")).select("e.*", "edge_ord")
+    return entities.select("id", "name", "type", "sector", "summary", "ord"), edges
+
+
+def graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """entities and edges of JSON lines: an object with an id is an entity, any other object and any array an edge. Each line is parsed once; lines that
+    are no JSON, and edges that lack an end, are left out; of repeated ids the last line counts."""
+    rows = _lines(spark, path).select(F.try_parse_json("line").alias("v"), "n").filter("v IS NOT NULL")
+    is_entity = _said(F.col("v"), "$.id").isNotNull()
+    entities = last_of(rows.filter(is_entity).select(_entity(F.col("v")).alias("e"), F.col("n").alias("ord")).select("e.*", "ord"))
+    edges = rows.filter(~is_entity).select(_edge(F.col("v")).alias("e"), F.col("n").alias("edge_ord")).select("e.*", "edge_ord")
+    return entities, edges.filter("source IS NOT NULL AND target IS NOT NULL")
+
+
+def subject_sources(graphs: DataFrame) -> DataFrame:
+    """Every subject of JSON graphs (file, value), from any pool, with its sources that start with http: file, pool, ord, id, name, place (from 0), url. One row a source."""
+    values = _graph_values(graphs).filter("pool <> 'edges'")
+    own = values.select("file", "pool", "ord", _entity(F.col("value")).alias("e"))
+    return own.select("file", "pool", "ord", "e.id", "e.name", F.posexplode("e.sources").alias("place", "url"))
 
 
 def from_subject(spark: SparkSession, path: str, subject: str) -> dict:
-    """An entity's id, label and sources that start with http, from any pool of a JSON graph."""
-    pool = "array<struct<id:string,label:string,sources:array<string>>>"
-    raw = spark.read.schema(", ".join(f"{k} {pool}" for k in ("people", "institutions", "entities", "nodes"))).option("multiLine", True).json(path)
-    every = None
-    for i, k in enumerate(("people", "institutions", "entities", "nodes")):
-        part = raw.select(F.lit(i).alias("p"), F.posexplode(k).alias("i", "e"))
-        every = part if every is None else every.union(part)
-    found = every.filter((F.col("e.id") == subject) | (F.col("e.label") == subject)).orderBy("p", "i").select("e.*").head()
+    """An entity's id, label and sources that start with http, from the first pool of a JSON graph that has it by id or label."""
+    values = _graph_values(whole_files(spark, path)).filter("pool <> 'edges'").select(F.array_position(F.array(*map(F.lit, POOLS)), F.col("pool")).alias("p"), "ord", _entity(F.col("value")).alias("e"))
+    found = values.filter((F.col("e.id") == subject) | (F.col("e.name") == subject)).orderBy("p", "ord").select("e.*").head()
     if found is None:
         raise KeyError(f"subject {subject!r} not found")
-    urls = [(json.loads(s).get("url") if s.startswith("{") else s) for s in found["sources"] or []]
-    return {"subject": found["id"] or subject, "label": found["label"], "sources": [u for u in urls if isinstance(u, str) and u.startswith("http")]}
+    return {"subject": found["id"] or subject, "label": found["name"], "sources": list(found["sources"])}
 
 
 def folder_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """entities and edges of a folder with people.jsonl, institutions.jsonl and edges.jsonl (objects or pairs).
+    """entities and edges of a folder with people.jsonl, institutions.jsonl and edges.jsonl (objects or arrays), each line parsed once.
     Relations are dropped, so are edges that lack an end."""
-    own = "id string, label string, sector string"
-    both = spark.read.schema(own).json(f"{folder}/people.jsonl").unionByName(spark.read.schema(own).json(f"{folder}/institutions.jsonl"))
-    entities = both.select("id", F.coalesce(_blank(F.col("label")), "id").alias("name"), "sector")
-    end = lambda key, i: _blank(F.coalesce(F.get_json_object("value", f"$.{key}"), F.get_json_object("value", f"$[{i}]")))
-    edges = spark.read.text(f"{folder}/edges.jsonl").filter(strip(F.col("value")) != "").select(end("source", 0).alias("source"), end("target", 1).alias("target"), F.lit(None).cast("string").alias("rel"), F.monotonically_increasing_id().alias("edge_ord"))
+    both = spark.read.text([f"{folder}/people.jsonl", f"{folder}/institutions.jsonl"]).select(F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
+    entities = both.select(_said(F.col("v"), "$.id").alias("id"), _said(F.col("v"), "$.label", "$.id").alias("name"), _said(F.col("v"), "$.sector").alias("sector"))
+    rows = spark.read.text(f"{folder}/edges.jsonl").select(F.try_parse_json("value").alias("v"), F.monotonically_increasing_id().alias("edge_ord")).filter("v IS NOT NULL")
+    edges = rows.select(_edge(F.col("v")).alias("e"), "edge_ord").select("e.source", "e.target", F.lit(None).cast("string").alias("rel"), "edge_ord")
     return entities, edges.filter("source IS NOT NULL AND target IS NOT NULL")
 
 

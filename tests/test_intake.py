@@ -109,3 +109,22 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["subject", "--id", "p", "--texts", texts]) == 0
     bad = lines(tmp_path / "r.jsonl", [{"institution": "I", "lens": "license_register", "marker": "permissive", "actor": "a", "assurance": "FACT", "severity": 1}])
     assert cli.main(["board", bad]) == 1 and "NO RECEIPT" in capsys.readouterr().out
+
+
+def test_graph_lines(spark, tmp_path):
+    path = lines(tmp_path / "g.jsonl", [{"id": "a", "name": "old", "sources": ["http://x"]}, ["a", "b", "founded"], {"id": "a", "label": "new", "sources": [{"url": "https://y"}, 3, None, "no"]}, {"source": "b", "target": "a"}, ["a"], {"source": "", "target": "a"}, {"id": 7, "sector": "gov"}])
+    with open(path, "a") as f:
+        f.write("\nno json\n\n")
+    entities, edges = intake.graph_lines(spark, path)
+    assert {r["id"]: (r["name"], r["sector"], r["sources"]) for r in entities.collect()} == {"a": ("new", None, ["https://y"]), "7": (None, "gov", [])}
+    assert [(r["source"], r["target"], r["rel"]) for r in edges.orderBy("edge_ord").collect()] == [("a", "b", "founded"), ("b", "a", None)]
+
+
+def test_pools_pairs_and_odd_graphs(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps({"entities": [{"id": "a"}], "edges": [["a", "b", "member-of"], {"source": "b", "target": "c"}, "odd", None]}))
+    entities, edges = intake.load_graph(spark, str(tmp_path / "g.json"))
+    assert entities.count() == 1
+    assert [(r["source"], r["target"], r["rel"]) for r in edges.filter("source IS NOT NULL").orderBy("edge_ord").collect()] == [("a", "b", "member-of"), ("b", "c", None)]
+    rows = spark.createDataFrame([(1, json.dumps({"nodes": [{"label": "N", "sources": ["http://n"]}], "people": [{"id": "p", "sources": None}, {"id": "q", "sources": ["http://1", "http://2"]}]})), (2, "not json"), (3, None)], "file int, value string")
+    found = intake.subject_sources(rows).orderBy("pool", "place").collect()
+    assert [(r["pool"], r["id"], r["name"], r["place"], r["url"]) for r in found] == [("nodes", None, "N", 0, "http://n"), ("people", "q", None, 0, "http://1"), ("people", "q", None, 1, "http://2")]
