@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lensmark.functions.automaton import Automaton, places
 from lensmark.functions.text import injection_flag, let, sanitize, span_start, strip_fences
 from lensmark.plans.lenses import Lens, few_shot, literal
+from lensmark.sources.answers import answered_once
 
 # A cue's confidence and its hit's rationale; the verdicts that a verifier may give, of which the second is the default.
 CUE_CONFIDENCE, CUE_RATIONALE = 0.55, "deterministic cue match: '"
@@ -291,14 +292,16 @@ def _asker(backend: str, transports: dict[str, Transport] | None, as_json: bool,
     return ask
 
 
-def complete(df: DataFrame, prompt: str, backend: str = "auto", transports: dict[str, Transport] | None = None, as_json: bool = False, preflight: Callable[[], object] | None = None) -> DataFrame:
+def complete(df: DataFrame, prompt: str, backend: str = "auto", transports: dict[str, Transport] | None = None, as_json: bool = False, preflight: Callable[[], object] | None = None, kept: str | None = None) -> DataFrame:
     """df with answer and error of any prompts, by a model: ``cloud``, ``local``, or ``auto`` (cloud, and local for what fails).
 
     as_json: an answer that is no JSON object (in a code fence or not) is an error, as models refuse in prose; with ``auto`` it goes to the
     local model. preflight: called before the local model is asked, and raises if that is not ready (see require_model()); for ``local`` here on the
-    driver, before any job starts, for ``auto`` in tasks, where its error becomes the answers'.
+    driver, before any job starts, for ``auto`` in tasks, where its error becomes the answers'. kept: a folder where answers are kept by back end and prompt
+    (sources/answers.py): what it has is not asked again, in this run or a later one.
     """
-    return _answered(df, prompt, _asker(backend, transports, as_json, preflight))
+    ask = _asker(backend, transports, as_json, preflight)
+    return _answered(df, prompt, ask) if kept is None else answered_once(df, prompt, BACKENDS[backend], ask, kept)
 
 
 def model_state(names: Callable[[], list[str]]) -> dict:
@@ -319,20 +322,20 @@ def require_model(names: Callable[[], list[str]], model: str) -> dict:
     return state
 
 
-def detected(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, preflight: Callable[[], object] | None = None) -> DataFrame:
+def detected(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, preflight: Callable[[], object] | None = None, kept: str | None = None) -> DataFrame:
     """docs (text and more) with hits in a column ``hits``. By cues a row a document; by a model, as complete() asks it, a row a document and lens, with lens_id."""
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend: {backend}")
     if BACKENDS[backend] == "cues":
         return with_cue_hits(docs, lenses)
-    told = complete(prompted(docs, lenses), "prompt", backend, transports, True, preflight)
+    told = complete(prompted(docs, lenses), "prompt", backend, transports, True, preflight, kept)
     hits = F.when(F.col("error").isNull(), hits_of_answer(F.col("text"), F.col("lens_id"), F.col("answer"), lenses))
     return told.withColumn("hits", F.coalesce(hits, F.array().cast(f"array<{HIT}>"))).drop("prompt", "answer", "error")
 
 
-def detect(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, preflight: Callable[[], object] | None = None) -> DataFrame:
+def detect(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, preflight: Callable[[], object] | None = None, kept: str | None = None) -> DataFrame:
     """A row a hit: doc_id and the columns of a hit."""
-    hits = detected(docs.select("doc_id", "text"), lenses, backend, transports, preflight).select("doc_id", F.explode("hits").alias("h"))
+    hits = detected(docs.select("doc_id", "text"), lenses, backend, transports, preflight, kept).select("doc_id", F.explode("hits").alias("h"))
     return hits.select("doc_id", *(F.col(f"h.{c}").alias(c) for c in HIT_COLUMNS[1:]))
 
 
@@ -382,6 +385,11 @@ def rule_transport(phrase: str, confidence: float = 0.9) -> Transport:
     return lambda prompts: [answer(p) for p in prompts]
 
 
+def echo(prompts: list[str]) -> list[str]:
+    """A stand-in that answers with the prompt."""
+    return list(prompts)
+
+
 def no_hits(prompts: list[str]) -> list[str]:
     """A stand-in that finds nothing."""
     return ['{"hits": []}'] * len(prompts)

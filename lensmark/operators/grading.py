@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lensmark.functions.text import let, strip, token_estimate
 from lensmark.plans.lenses import Lens, detection_weights, lens_literal, literal
+from lensmark.sources.scratch import written
 
 #: A trend's least difference of means.
 TREND = 5.0
@@ -122,6 +123,23 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", strip(F.col("text"))).filter("text <> ''").withColumn("token_count", token_estimate(F.col("text")))
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with ``rank`` (from 1, by order within keys) and ``n`` (rows of the keys), with no task that holds a group.
+
+    Rows are sorted over all tasks by keys and order, so that a large group is split by order, and numbered within their task. How many rows of a group each task has, a
+    row a group and task, gives what stands before it.
+    """
+    sorted_ = written(rows.orderBy(*keys, *order).withColumn("at", F.monotonically_increasing_id()), "ranked").withColumn("task", F.shiftright("at", 33))
+    parts = sorted_.groupBy(*keys, "task").agg(F.min("at").alias("first"), F.count("*").alias("c"))
+    group = Window.partitionBy(*keys)  # a row a task that has the group
+    before = F.coalesce(F.sum("c").over(group.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(k).alias(f"{k} of") for k in keys), F.col("task").alias("task of"), (before - F.col("first") + 1).alias("shift"), F.sum("c").over(group).alias("n"))
+    same = F.col("task") == F.col("task of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k} of"))
+    return sorted_.join(parts, same).select(*rows.columns, (F.col("at") + F.col("shift")).alias("rank"), "n")
+
+
 def trend(values: Column, n: Column, rank: Column) -> Column:
     """Of dated documents in order: the second half's mean against the first's; the middle one belongs to the second."""
     half = F.floor(n / 2)
@@ -132,17 +150,16 @@ def trend(values: Column, n: Column, rank: Column) -> Column:
 
 def subject_summary(grades: DataFrame, rounded: bool = True) -> DataFrame:
     """grades: subject, lens_id, index, markers_present, date, ord. Per subject and lens: max, mean, n_documents,
-    n_documents_with_signal, trend. Undated documents (null or empty date) take no part in the trend."""
-    dated = grades.filter(F.col("date").isNotNull() & (F.col("date").cast("string") != ""))
-    w = Window.partitionBy("subject", "lens_id")
-    placed = dated.select("subject", "lens_id", "index", F.row_number().over(w.orderBy("date", "ord")).alias("rank"), F.count("*").over(w).alias("n"))
-    moved = placed.groupBy("subject", "lens_id").agg(trend(F.col("index"), F.col("n"), F.col("rank")).alias("trend"))
+    n_documents_with_signal, trend. Undated documents (null or empty date) take no part in the trend. A subject may have any share of all documents."""
+    kept = written(grades.select("subject", "lens_id", "index", "date", "ord", (F.size("markers_present") > 0).alias("signal")), "grades")
+    dated = kept.filter(F.col("date").isNotNull() & (F.col("date").cast("string") != "")).select("subject", "lens_id", "index", "date", "ord")
+    moved = ranked(dated, ["subject", "lens_id"], ["date", "ord"]).groupBy("subject", "lens_id").agg(trend(F.col("index"), F.col("n"), F.col("rank")).alias("trend"))
     shown = (lambda c: F.round(c, 2)) if rounded else (lambda c: c)
-    own = grades.groupBy("subject", "lens_id").agg(
+    own = kept.groupBy("subject", "lens_id").agg(
         shown(F.max("index")).alias("max_index"),
         shown(F.avg("index")).alias("mean_index"),
         F.count("*").alias("n_documents"),
-        F.count_if(F.size("markers_present") > 0).alias("n_documents_with_signal"),
+        F.count_if("signal").alias("n_documents_with_signal"),
     )
     same = own["subject"].eqNullSafe(moved["subject"]) & (own["lens_id"] == moved["lens_id"])
     return own.join(moved, same, "left").select(own["*"], F.coalesce("trend", F.lit("insufficient-data")).alias("trend"))

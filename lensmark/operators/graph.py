@@ -7,6 +7,7 @@ dependencies are summed level by level on the way back. Both grow with reachable
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,16 +64,82 @@ def _scaled(all_nodes: DataFrame, sums: DataFrame) -> DataFrame:
     return all_nodes.select("id").join(sums, "id", "left").join(n).select("id", (F.coalesce("total", F.lit(0.0)) / 2 / pairs).alias("betweenness"))
 
 
-def betweenness(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """id, betweenness (unweighted, normalised)."""
-    ties = adj.count()
-    return betweenness_by_source(all_nodes, adj) if ties <= BROADCAST_TIES else betweenness_by_level(all_nodes, adj)
+def betweenness(all_nodes: DataFrame, adj: DataFrame, reduced: bool = False) -> DataFrame:
+    """id, betweenness (unweighted, normalised). Where neighbours are too many to travel, or if ``reduced``, what hangs on the graph by one tie is folded away first
+    (fold()), which changes no result; searches then run over the rest."""
+    if not reduced and adj.count() <= BROADCAST_TIES:
+        return betweenness_by_source(all_nodes, adj)
+    core, children = fold(adj)
+    sums = children.groupBy(F.col("parent").alias("id")).agg(F.sum("size").cast("double").alias("folded"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"))
+    every = all_nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("folded", F.lit(0.0)).alias("folded"), F.coalesce("squares", F.lit(0.0)).alias("squares"))
+    every = written(every, "folded")
+    weights = every.select("id", (1 + F.col("folded")).alias("w"))
+    search = _by_source if core.count() <= BROADCAST_TIES else _by_level
+    found = written(search(core, weights), "searched")  # id, total, reach
+    # How many nodes a node's component has: what the search of the rest reached, or all that hangs on a node without ties; those folded have their parents'.
+    kept = every.join(children.select(F.col("child").alias("id")), "id", "left_anti")
+    size = kept.join(found.select("id", "reach"), "id", "left").select("id", F.coalesce("reach", 1 + F.col("folded")).alias("c"))
+    rounds = children.agg(F.max("round")).first()[0] or 0
+    for r in range(rounds, 0, -1):
+        own = children.filter(F.col("round") == r).join(size, F.col("parent") == size["id"]).select(F.col("child").alias("id"), "c")
+        size = written(size.union(own), "sizes")
+    # Between two of a node's folded parts, and between these and all else, every path passes the node; each pair counts twice.
+    through = F.col("folded") * F.col("folded") - F.col("squares") + 2 * F.col("folded") * (F.col("c") - 1 - F.col("folded"))
+    total = every.join(size, "id").join(found.select("id", "total"), "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) + through).alias("total"))
+    return _scaled(all_nodes, total)
+
+
+#: Rounds in which nodes of one tie are folded into their neighbours: what hangs deeper stays, and is searched.
+FOLDS = 24
+
+
+def fold(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ties that are left when nodes of one tie are taken off, FOLDS times or until there are none, and what was taken off: child, parent, size (nodes of
+    the child's own folded part, itself included), round. Of two nodes tied to each other only, the larger id goes."""
+    left = written(adj, "ties")
+    children = adj.sparkSession.createDataFrame([], f"child {adj.schema['src'].dataType.simpleString()}, parent {adj.schema['src'].dataType.simpleString()}, size long, round int")
+    for r in range(1, FOLDS + 1):
+        leaves = left.groupBy(F.col("src").alias("child")).agg(F.count("*").alias("n"), F.min("dst").alias("parent")).filter("n = 1").select("child", "parent")
+        pair = leaves.select(F.col("child").alias("parent"), F.lit(True).alias("leaf"))
+        off = leaves.join(pair, "parent", "left").filter("leaf IS NULL OR child > parent").select("child", "parent")
+        sizes = children.groupBy(F.col("parent").alias("child")).agg(F.sum("size").alias("own"))
+        off = written(off.join(sizes, "child", "left").select("child", "parent", (1 + F.coalesce("own", F.lit(0))).cast("long").alias("size"), F.lit(r).alias("round")), "leaves")
+        if off.isEmpty():
+            break
+        children = children.union(off)
+        gone = off.select("child")
+        left = written(left.join(gone, left["src"] == gone["child"], "left_anti").join(gone, F.col("dst") == gone["child"], "left_anti"), "ties")
+    return left, written(children, "children")
+
+
+def betweenness_sampled(all_nodes: DataFrame, adj: DataFrame, error: float = 0.01, chance: float = 0.01) -> DataFrame:
+    """id, betweenness, estimated from searches of a sample of sources: with probability 1 - ``chance`` no node's value is further than ``error`` * n / (n - 1) from
+    the exact one (Hoeffding's bound over all n nodes, as a source gives a node between 0 and n - 2). Where that takes as many sources as there are, the result is exact.
+
+    An option beside betweenness(), for graphs whose pairs of nodes are too many."""
+    n = all_nodes.count()
+    k = min(n, max(1, math.ceil(math.log(2 * max(n, 1) / chance) / (2 * error * error))))
+    if k >= n:
+        return betweenness(all_nodes, adj)
+    drawn = all_nodes.orderBy(F.xxhash64(F.lit("source"), "id"), "id").limit(k).select("id")
+    weights = all_nodes.select("id", F.lit(1.0).alias("w"))
+    search = _by_source if adj.count() <= BROADCAST_TIES else _by_level
+    found = search(adj, weights, drawn)
+    return _scaled(all_nodes, found.select("id", (F.col("total") * (n / k)).alias("total")))
 
 
 def betweenness_by_level(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """By joins only: one round a level."""
+    return _scaled(all_nodes, _by_level(adj, all_nodes.select("id", F.lit(1.0).alias("w"))).select("id", "total"))
+
+
+def _by_level(adj: DataFrame, weights: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """id, total (what all sources give a node: its share of paths to each node, times both ends' weights), reach (the weight that a source's search meets)."""
     adj = written(adj, "adjacency")
-    seen = written(adj.select(F.col("src").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")), "level")
+    start = adj.select(F.col("src").alias("s")).distinct()
+    if sources is not None:
+        start = start.join(sources.toDF("s"), "s", "left_semi")
+    seen = written(start.select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")), "level")
     frontier, last, level = seen, seen.limit(0), 0
     while True:
         level += 1
@@ -82,42 +149,54 @@ def betweenness_by_level(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
         if step.isEmpty():
             break
         seen, last, frontier = seen.union(step), frontier, step
-    seen = written(seen, "paths")
+    seen = written(seen.join(weights.toDF("v", "w"), "v"), "paths")
+    reach = seen.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("reach"))
     back = seen.filter(F.col("d") == level - 1).select("s", "v", F.lit(0.0).alias("dependency"))
     total = back
     for d in range(level - 2, 0, -1):
-        below = seen.filter(F.col("d") == d + 1).join(back, ["s", "v"]).select("s", F.col("v").alias("w"), ((1 + F.col("dependency")) / F.col("paths")).alias("share"))
-        above = below.join(adj, below["w"] == adj["src"]).select("s", F.col("dst").alias("v"), "share").groupBy("s", "v").agg(F.sum("share").alias("share"))
+        below = seen.filter(F.col("d") == d + 1).join(back, ["s", "v"]).select("s", F.col("v").alias("to"), ((F.col("w") + F.col("dependency")) / F.col("paths")).alias("share"))
+        above = below.join(adj, below["to"] == adj["src"]).select("s", F.col("dst").alias("v"), "share").groupBy("s", "v").agg(F.sum("share").alias("share"))
         own = seen.filter(F.col("d") == d).join(above, ["s", "v"], "left")
         back = written(own.select("s", "v", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("dependency")), "back")
         total = total.union(back)
-    return _scaled(all_nodes, total.groupBy(F.col("v").alias("id")).agg(F.sum("dependency").alias("total")))
+    sums = total.join(weights.toDF("s", "w"), "s").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("dependency") * F.col("w")).alias("total"))
+    return sums.join(reach, "id", "full_outer").select("id", F.coalesce("total", F.lit(0.0)).alias("total"), "reach")
 
 
 def betweenness_by_source(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """Sources in parallel, each search in a task over the neighbours (BROADCAST_TIES at most), which travel as numbers; node
     sums are partial by task."""
-    known = written(adj.select(F.col("src").alias("id")).distinct().withColumn("at", F.monotonically_increasing_id()), "numbers")
-    ties = adj.join(known.toDF("src", "s"), "src").join(known.toDF("dst", "d"), "dst").select("s", "d").toArrow()
+    return _scaled(all_nodes, _by_source(adj, all_nodes.select("id", F.lit(1.0).alias("w"))).select("id", "total"))
+
+
+def _by_source(adj: DataFrame, weights: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """As _by_level()."""
+    known = written(adj.select(F.col("src").alias("id")).distinct().join(weights, "id").withColumn("at", F.monotonically_increasing_id()), "numbers")
+    number = known.select("id", "at")
+    ties = adj.join(number.toDF("src", "s"), "src").join(number.toDF("dst", "d"), "dst").select("s", "d").toArrow()
+    of = known.select("at", "w").toArrow()
     s, d = ties.column("s").to_numpy(), ties.column("d").to_numpy()
-    numbers = np.unique(s)
+    numbers = np.sort(of.column("at").to_numpy())
+    w = of.column("w").to_numpy()[np.argsort(of.column("at").to_numpy())]
     order = np.lexsort((d, s))
     cut = np.searchsorted(s[order], numbers)
-    shared = adj.sparkSession.sparkContext.broadcast((numbers, np.searchsorted(numbers, d[order]), np.append(cut, len(s))))
+    shared = adj.sparkSession.sparkContext.broadcast((numbers, np.searchsorted(numbers, d[order]), np.append(cut, len(s)), w))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, dst, cut = shared.value
-        total = np.zeros(len(numbers))
+        numbers, dst, cut, w = shared.value
+        total, reach = np.zeros(len(numbers)), np.full(len(numbers), np.nan)
         for batch in batches:
             for source in np.searchsorted(numbers, batch["at"].to_numpy()):
-                total += _dependencies(int(source), dst, cut)
-        yield pd.DataFrame({"at": numbers, "total": total})
+                share, reach[source] = _dependencies(int(source), dst, cut, w)
+                total += share * w[source]
+        yield pd.DataFrame({"at": numbers, "total": total, "reach": reach})
 
-    sums = known.select("at").repartition("at").mapInPandas(run, "at long, total double").groupBy("at").agg(F.sum("total").alias("total"))
-    return _scaled(all_nodes, known.join(sums, "at").select("id", "total"))
+    wanted = known.join(sources, "id", "left_semi") if sources is not None else known
+    sums = wanted.select("at").repartition("at").mapInPandas(run, "at long, total double, reach double").groupBy("at").agg(F.sum("total").alias("total"), F.max(F.when(~F.isnan("reach"), F.col("reach"))).alias("reach"))
+    return known.join(sums, "at").select("id", "total", "reach")
 
 
-def _dependencies(s: int, dst: np.ndarray, cut: np.ndarray) -> np.ndarray:
+def _dependencies(s: int, dst: np.ndarray, cut: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
     n = len(cut) - 1
     depth, paths, out = np.full(n, -1), np.zeros(n), np.zeros(n)
     depth[s], paths[s] = 0, 1.0
@@ -133,9 +212,9 @@ def _dependencies(s: int, dst: np.ndarray, cut: np.ndarray) -> np.ndarray:
         front = np.unique(b)
         depth[front] = len(levels)
     for a, b in reversed(levels):
-        np.add.at(out, a, paths[a] / paths[b] * (1 + out[b]))
+        np.add.at(out, a, paths[a] / paths[b] * (w[b] + out[b]))
     out[s] = 0
-    return out
+    return out, float(w[depth >= 0].sum())
 
 
 def role(a: Column, b: Column, c: Column) -> Column:

@@ -29,10 +29,10 @@ GRAPH_SCORERS = {
 }
 
 
-def grade_documents(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, rounded: bool = True, receipts: bool = False, preflight: Callable[[], object] | None = None) -> DataFrame:
+def grade_documents(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, rounded: bool = True, receipts: bool = False, preflight: Callable[[], object] | None = None, kept: str | None = None) -> DataFrame:
     """docs: text and more. Blank texts are left out; a row a document and text lens, graded within the document's row: ids may repeat or be null."""
     lenses = text_lenses(lenses)
-    return grade_rows(detected(prepared(docs), lenses, backend, transports, preflight), lenses, rounded, receipts)
+    return grade_rows(detected(prepared(docs), lenses, backend, transports, preflight, kept), lenses, rounded, receipts)
 
 
 def grade_text(spark: SparkSession, text: str, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None) -> DataFrame:

@@ -3,9 +3,10 @@ so that another engine's order of summation does not show; ties of the seventh d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lensmark.functions import catalog
@@ -16,11 +17,11 @@ from lensmark.operators import evaluation as E
 from lensmark.operators import graph as G
 from lensmark.operators import grading, subjects
 from lensmark.operators.lookup import lookup_many
-from lensmark.operators.detection import answers_to_hits, cue_hits, prompts, rule_transport, verified_cue_hits
+from lensmark.operators.detection import answers_to_hits, complete, cue_hits, echo, prompts, rule_transport, verified_cue_hits
 from lensmark.plans import sql, tables
 from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, pair_lenses, text_lenses
-from lensmark.sources.intake import from_html, from_jsonl, from_x_export, graph_lines, subject_sources
-from lensmark.sources.scratch import written, written_text
+from lensmark.sources.intake import from_html, from_jsonl, from_x_export, graph_lines, numbered_lines, subject_sources
+from lensmark.sources.scratch import shared_dir, written, written_text
 from lensmark.streaming.events import windowed_events
 
 #: A day between the two cuts of the scoreboard.
@@ -160,9 +161,7 @@ def q_board_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drift(spark: SparkSession, d: str) -> DataFrame:
-    rows = tables.records(spark, d)
-    before, now = (B.board(rows.filter(F.col("day") < day), rounded=False) for day in CUTS)
-    return cut(B.delta(before, now), "fact_before", "fact_now")
+    return cut(B.drift(tables.records(spark, d), *CUTS, rounded=False), "fact_before", "fact_now")
 
 
 def q_snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -173,6 +172,13 @@ def q_delta_lines(spark: SparkSession, d: str) -> DataFrame:
     return B.delta_lines(_drift(spark, d)).select("line")
 
 
+def q_board_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """A cut is published, and its Markdown read back, numbered by the files' order: the table and each institution's receipts."""
+    where = B.publish(tables.records(spark, d), f"{shared_dir(spark)}/boards-{uuid.uuid4().hex}", "1998-01-01")
+    lines = numbered_lines(spark, f"{where}/board.md")
+    return lines.select(F.when(F.col("line").startswith("- **"), "receipt").when(F.col("line").startswith("| ") & ~F.col("line").startswith("| #"), "row").when(F.col("line").startswith("###"), "institution").otherwise("other").alias("kind"), F.regexp_extract("line", "Supplier#[0-9]+", 0).alias("name"), "n").groupBy("kind", "name").agg(F.count("*").alias("n_lines"), F.rank().over(Window.partitionBy("kind").orderBy(F.min("n"))).cast("long").alias("place"))
+
+
 def q_board_receipts(spark: SparkSession, d: str) -> DataFrame:
     found = cut(B.receipts(tables.records(spark, d), rounded=False), "score")
     return found.select("institution", F.col("place").cast("long").alias("place"), "marker", "actor", "assurance", "score", F.array_join("receipts", " ").alias("receipts"))
@@ -242,6 +248,11 @@ def q_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return cut(G.betweenness(*_graph(spark, d)), "betweenness")
 
 
+def q_betweenness_reduced(spark: SparkSession, d: str) -> DataFrame:
+    """As betweenness, after what hangs by one tie is folded away."""
+    return cut(G.betweenness(*_graph(spark, d), reduced=True), "betweenness")
+
+
 def q_network_hits(spark: SparkSession, d: str) -> DataFrame:
     return cut(G.network_hits(G.metrics(*tables.trade_graph(spark, d))), "confidence").select("doc_id", "detection_id", "confidence")
 
@@ -338,6 +349,15 @@ def q_model_answers(spark: SparkSession, d: str) -> DataFrame:
     return cut(hits, "confidence").select("doc_id", "lens_id", "detection_id", "confidence", "span", F.col("char_start").cast("long"), F.col("char_end").cast("long"), "rationale")
 
 
+def q_model_answers_cached(spark: SparkSession, d: str) -> DataFrame:
+    """A question a word count: asked once each, kept, and read for all documents that put it."""
+    docs = tables.table(spark, d, "documents").select("doc_id", F.concat(F.lit("words: "), T.token_estimate(F.col("text"))).alias("prompt"))
+    folder = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    for _ in range(2):  # the second time nothing is asked
+        told = complete(docs, "prompt", "local", {"local": echo}, kept=folder)
+    return told.select("doc_id", "answer", F.coalesce("error", F.lit("")).alias("error"))
+
+
 def q_jsonl_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents by way of JSON lines, where odd ids are named otherwise than even ones."""
     odd = F.pmod("doc_id", F.lit(2)) == 1

@@ -196,10 +196,14 @@ SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
         "subject_timeline": f"{by_day} SELECT subject, date, round(idx + 1e-9, 6) AS event_register FROM graded",
         "conversation_trend": f"WITH {dims(text)},\n{TURN},\n{HITS},\n{GRADE},\n{SUMMARY}",
         "record_score": f"WITH {RECORDS} SELECT institution, ord, assurance, round(score + 1e-9, 6) AS score FROM rec",
-        "board": f"WITH {RECORDS},\n{_board('bd')} SELECT row_number() OVER (ORDER BY fact DESC, first_ord) AS rank, institution, round(fact + 1e-9, 6) AS fact, round(unverified + 1e-9, 6) AS unverified, n_markers, round(self_correction_mean + 1e-9, 6) AS self_correction_mean, n_records FROM bd",
+        "board": f"WITH {RECORDS},\n{_board('bd')} SELECT row_number() OVER (ORDER BY round(fact, 9) DESC, first_ord) AS rank, institution, round(fact + 1e-9, 6) AS fact, round(unverified + 1e-9, 6) AS unverified, n_markers, round(self_correction_mean + 1e-9, 6) AS self_correction_mean, n_records FROM bd",
         "board_by_actor": f"WITH {RECORDS} SELECT institution, actor, round(sum(score) + 1e-9, 6) AS score FROM rec GROUP BY ALL",
         "board_validate": f"WITH {RECORDS} SELECT institution, kind, count(*) AS n FROM (SELECT institution, CASE WHEN lens = 'license_register' THEN 'unknown-marker' ELSE 'unknown-lens' END AS kind FROM rec UNION ALL SELECT institution, 'no-receipt' FROM rec WHERE l_linenumber = 7) GROUP BY ALL",
         "snapshot_delta": f"WITH {RECORDS},\n{_board('p', "day < '1996-01-01'")},\n{_board('c', "day < '1997-01-01'")} SELECT institution, CASE WHEN p.institution IS NULL THEN 'added' WHEN c.institution IS NULL THEN 'removed' ELSE 'changed' END AS change, round(p.fact + 1e-9, 6) AS fact_before, round(c.fact + 1e-9, 6) AS fact_now, p.n_markers AS markers_before, c.n_markers AS markers_now FROM p FULL JOIN c USING (institution) WHERE p.institution IS NULL OR c.institution IS NULL OR abs(c.fact - p.fact) >= 0.01 OR p.n_markers <> c.n_markers",
+        "board_markdown": f"""WITH {RECORDS},\n{_board('bd')}, k AS (SELECT *, row_number() OVER (ORDER BY round(fact, 3) DESC, first_ord) AS r FROM bd)
+SELECT 'row' AS kind, institution AS name, 1 AS n_lines, r AS place FROM k UNION ALL SELECT 'institution', institution, 1, r FROM k UNION ALL SELECT 'other', '', 2 + count(*), 1 FROM k
+UNION ALL SELECT 'receipt', '', count(*), 1 FROM rec""",
+        "betweenness_reduced": f"WITH {GRAPH},\n{between()} SELECT id, round(betweenness + 1e-9, 6) AS betweenness FROM bc",
         "board_totals": f"WITH {RECORDS} SELECT count(DISTINCT institution) AS institutions, count(*) AS records FROM rec",
         "career_moves": f"WITH {careers(46)} SELECT id, n_moves, array_to_string(coalesce(s, []), ',') AS sectors, untyped FROM car",
         "career_chain": f"WITH {careers(46)} SELECT id, chain FROM car",
@@ -217,6 +221,7 @@ SELECT doc_id, detection_id, round(confidence::DOUBLE + 1e-9, 6) AS confidence,
         "top_node": f"WITH {GRAPH} SELECT id, round(degree_centrality + 1e-9, 6) AS degree_centrality FROM deg ORDER BY deg.degree_centrality DESC, id LIMIT 1",
         "model_answers": "SELECT doc_id, 'license_register' AS lens_id, 'copyleft' AS detection_id, round((doc_id % 10) / 10.0::DOUBLE + 1e-9, 6) AS confidence, coalesce(substr(text, 3, 12), '') AS span,\n"
         + "  CASE WHEN length(text) > 2 THEN strpos(text, substr(text, 3, 12)) - 1 END AS char_start, CASE WHEN length(text) > 2 THEN strpos(text, substr(text, 3, 12)) - 1 + length(substr(text, 3, 12)) END AS char_end, 'as told' AS rationale FROM documents",
+        "model_answers_cached": f"SELECT doc_id, 'words: ' || {TOKENS.format('text')} AS answer, '' AS error FROM documents",
         "jsonl_documents": "SELECT doc_id::VARCHAR AS doc_id, source AS subject, length(text) AS n_chars FROM documents WHERE trim(text) <> ''",
         "exported_posts": "SELECT doc_id::VARCHAR AS doc_id, source AS subject, (DATE '2020-01-01' + (doc_id % 365)::INT)::VARCHAR AS date, length(text) AS n_chars FROM documents WHERE trim(text) <> ''",
         "percentile_rank": f"WITH {GRAPH} SELECT id, round(cume_dist() OVER (ORDER BY degree_centrality) + 1e-9, 6) AS p FROM deg",

@@ -65,6 +65,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts), ["file", "block"]).select("file", "block", "line", (F.col("id") + F.col("start")).alias("n"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, n: the lines of text files, numbered from 0 in the order of files' names and places."""
+    return _lines(spark, path).select("line", "n")
+
+
 def from_jsonl(spark: SparkSession, path: str, subject: str | None = None, text_key: str = "text") -> DataFrame:
     """Records with text; their subject is ``subject`` or ``person_id``. Others' records, those without a subject too, are left out
     if one is asked for; so is blank text. Without id: the subject or ``doc``, ``#``, the line's number, blank lines counted."""
