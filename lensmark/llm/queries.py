@@ -81,10 +81,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose id is null are in no fold that is held out."""
+    """Documents whose id is null are in no fold that is held out. Sums of logarithms are rounded to six digits, as their last ones depend on the order of adding."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(in_fold(F.col("doc_id"), 7, 2), F.lit(False)).alias("held_out"), "text")
     model = kneser_ney.train(docs.filter("NOT held_out").select("text"))
-    return kneser_ney.score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return kneser_ney.score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

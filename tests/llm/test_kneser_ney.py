@@ -104,7 +104,7 @@ def test_query(spark, texts, tmp_path):
     want = sorted((str(i), held(i), *plain.score(t)) for i, t in rows)
     for g, w in zip(sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), want, strict=True):
         assert g[:4] == w[:4]
-        assert g[4:] == pytest.approx(w[4:], abs=1e-8)
+        assert g[4:] == pytest.approx(w[4:], abs=6e-7)  # the query rounds to six digits
     assert {r.train_tokens for r in got} == {sum(plain.c.values())}
 
 
