@@ -1,7 +1,7 @@
 """Careers and funding: hits for every subject of a typed edge list.
 
-entities: id, name, sector; edges: source, target, rel, edge_ord. Aggregates by subject; the lists
-behind a chain label are as long as one subject's own moves.
+entities: id, name, sector; edges: source, target, rel, edge_ord. Aggregates by subject; lists, as long as one subject's own moves, are
+made only where a chain is shown.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lensmark.functions.text import chain_label
-from lensmark.operators.grading import grade
+from lensmark.operators.grading import grade_rows
 from lensmark.plans.lenses import Lens
 
 LENS = "revolving_door"
@@ -34,34 +34,34 @@ def moves(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return _named(edges.filter(is_move(F.col("rel"))), entities, "target")
 
 
-def careers(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per source of moves: n_moves, sectors (sorted), untyped (all moves lack a relation), chain."""
-    grouped = moves(entities, edges).groupBy(F.col("source").alias("id")).agg(
-        F.count("*").alias("n_moves"),
-        F.array_sort(F.collect_set("sector")).alias("sectors"),
-        F.every(F.col("rel").isNull() | (F.col("rel") == "")).alias("untyped"),
-        F.array_sort(F.collect_list(F.struct("edge_ord", "name", "sector"))).alias("path"),
-    )
-    return grouped.withColumn("chain", chain_label(F.col("path"))).drop("path")
+def careers(entities: DataFrame, edges: DataFrame, chains: bool = True) -> DataFrame:
+    """Per source of moves: n_moves, sectors (sorted), untyped (all moves lack a relation) and, if wanted, chain. Without it nothing is kept of a source but counts
+    and sectors, so that one with any share of all moves is partial sums."""
+    known = [F.count("*").alias("n_moves"), F.array_sort(F.collect_set("sector")).alias("sectors"), F.every(F.col("rel").isNull() | (F.col("rel") == "")).alias("untyped")]
+    path = [F.array_sort(F.collect_list(F.struct("edge_ord", "name", "sector"))).alias("path")] if chains else []
+    grouped = moves(entities, edges).groupBy(F.col("source").alias("id")).agg(*known, *path)
+    return grouped.withColumn("chain", chain_label(F.col("path"))).drop("path") if chains else grouped
 
 
-def funding(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per funder (the target of ``funded-by``): n_recipients (repeats count), recipient_sectors, recipients."""
+def funding(entities: DataFrame, edges: DataFrame, lists: bool = True) -> DataFrame:
+    """Per funder (the target of ``funded-by``): n_recipients (repeats count), recipient_sectors and, if wanted, recipients."""
     named = _named(edges.filter("rel = 'funded-by'"), entities, "source")
-    grouped = named.groupBy(F.col("target").alias("id")).agg(
-        F.count("*").alias("n_recipients"), F.array_sort(F.collect_set("sector")).alias("recipient_sectors"), F.array_sort(F.collect_list(F.struct("edge_ord", "name", "sector"))).alias("path")
-    )
-    return grouped.withColumn("recipients", F.regexp_replace(chain_label(F.col("path")), " -> ", ", ")).drop("path")
+    known = [F.count("*").alias("n_recipients"), F.array_sort(F.collect_set("sector")).alias("recipient_sectors")]
+    path = [F.array_sort(F.collect_list(F.struct("edge_ord", "name", "sector"))).alias("path")] if lists else []
+    grouped = named.groupBy(F.col("target").alias("id")).agg(*known, *path)
+    return grouped.withColumn("recipients", F.regexp_replace(chain_label(F.col("path")), " -> ", ", ")).drop("path") if lists else grouped
 
 
 def _of(sectors: Column, wanted: list[str]) -> Column:
     return F.array_intersect(F.array(*map(F.lit, wanted)), sectors)
 
 
-def career_hits(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Hits for every entity, in the order of the rules: doc_id (the entity) and the columns of a hit."""
+def _career_rows(entities: DataFrame, edges: DataFrame, spans: bool) -> DataFrame:
+    """doc_id and hits, a row an entity. Without spans no chain and no list of recipients is made."""
     known = entities.select("id", F.coalesce("name", F.col("id").cast("string")).alias("name"))
-    rows = known.join(careers(entities, edges), "id", "left").join(funding(entities, edges), "id", "left")
+    rows = known.join(careers(entities, edges, spans), "id", "left").join(funding(entities, edges, spans), "id", "left")
+    if not spans:
+        rows = rows.withColumns({"chain": F.lit(None).cast("string"), "recipients": F.lit(None).cast("string")})
     none = F.array().cast("array<string>")
     s, r = F.coalesce("sectors", none), F.coalesce("recipient_sectors", none)
     n, k, f = F.coalesce("n_moves", F.lit(0)), F.size(s), F.coalesce("n_recipients", F.lit(0))
@@ -82,13 +82,18 @@ def career_hits(entities: DataFrame, edges: DataFrame) -> DataFrame:
     ]
     note = F.when(F.coalesce("untyped", F.lit(False)), F.lit(" (untyped affiliations; order is not known)")).otherwise(F.lit(""))
     made = [
-        F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(i).alias("hit_ord"), F.lit(d).alias("detection_id"), c.alias("confidence"), span.alias("span"), F.concat(why, note).alias("rationale")))
+        F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(i).alias("hit_ord"), F.lit(LENS).alias("lens_id"), F.lit(d).alias("detection_id"), c.alias("confidence"), span.alias("span"), F.concat(why, note).alias("rationale")))
         for i, (d, rule, c, span, why) in enumerate(rules)
     ]
-    hits = rows.select(F.col("id").alias("doc_id"), F.lit(LENS).alias("lens_id"), F.explode(F.filter(F.array(*made), lambda h: h.isNotNull())).alias("h"))
-    return hits.select("doc_id", "lens_id", "h.detection_id", "h.confidence", "h.span", "h.rationale", "h.hit_ord")
+    return rows.select(F.col("id").alias("doc_id"), F.filter(F.array(*made), lambda h: h.isNotNull()).alias("hits"))
 
 
-def career_grades(entities: DataFrame, edges: DataFrame, lenses: dict[str, Lens], rounded: bool = True) -> DataFrame:
-    docs = entities.select(F.col("id").alias("doc_id"), F.lit(0).alias("token_count"))
-    return grade(docs, career_hits(entities, edges), {LENS: lenses[LENS]}, rounded, receipts=True)
+def career_hits(entities: DataFrame, edges: DataFrame, spans: bool = True) -> DataFrame:
+    """Hits for every entity, in the order of the rules: doc_id (the entity) and the columns of a hit; spans are null if they are not wanted."""
+    hits = _career_rows(entities, edges, spans).select("doc_id", F.explode("hits").alias("h"))
+    return hits.select("doc_id", "h.lens_id", "h.detection_id", "h.confidence", "h.span", "h.rationale", "h.hit_ord")
+
+
+def career_grades(entities: DataFrame, edges: DataFrame, lenses: dict[str, Lens], rounded: bool = True, receipts: bool = True) -> DataFrame:
+    rows = _career_rows(entities, edges, receipts).withColumn("token_count", F.lit(0))
+    return grade_rows(rows, {LENS: lenses[LENS]}, rounded, receipts)

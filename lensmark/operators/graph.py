@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmark.functions.text import top_percent
-from lensmark.operators.grading import grade
+from lensmark.operators.grading import grade_rows
 from lensmark.plans.lenses import Lens
 from lensmark.sources.scratch import written
 
@@ -316,8 +316,8 @@ def metrics(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def network_hits(measured: DataFrame) -> DataFrame:
-    """Hits of the graph-position lens for every node: doc_id (the node) and the columns of a hit."""
+def _network_rows(measured: DataFrame) -> DataFrame:
+    """doc_id and hits, a row a node."""
     b, d = F.col("betweenness"), F.col("degree_centrality")
     rows = measured.join(F.broadcast(measured.agg(F.count("*").alias("n"))))
     across = F.col(ROLES[1]) + F.col(ROLES[2]) + F.col(ROLES[3]) + F.col(ROLES[4])
@@ -332,11 +332,15 @@ def network_hits(measured: DataFrame) -> DataFrame:
         ("cross-group-broker", (across > 0) & (F.size("bridged") >= 2), F.round(F.least(F.lit(1.0), 0.7 + 0.15 * (F.size("bridged") - 2)), 3),
          F.concat(F.col("name"), F.lit(" ("), sector, F.lit(") brokers across "), F.size("bridged"), F.lit(" sectors ["), names, F.lit("]; roles {"), mix, F.lit("}"))),
     ]
-    made = F.filter(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(i).alias("hit_ord"), F.lit(k).alias("detection_id"), c.alias("confidence"), span.alias("span"))) for i, (k, rule, c, span) in enumerate(rules))), lambda h: h.isNotNull())
-    hits = rows.select(F.col("id").alias("doc_id"), F.lit(LENS).alias("lens_id"), F.explode(made).alias("h"))
-    return hits.select("doc_id", "lens_id", "h.detection_id", "h.confidence", "h.span", F.lit("position only").alias("rationale"), "h.hit_ord")
+    found = (F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(i).alias("hit_ord"), F.lit(LENS).alias("lens_id"), F.lit(k).alias("detection_id"), c.alias("confidence"), span.alias("span"), F.lit("position only").alias("rationale"))) for i, (k, rule, c, span) in enumerate(rules))
+    return rows.select(F.col("id").alias("doc_id"), F.filter(F.array(*found), lambda h: h.isNotNull()).alias("hits"))
+
+
+def network_hits(measured: DataFrame) -> DataFrame:
+    """Hits of the graph-position lens for every node: doc_id (the node) and the columns of a hit."""
+    hits = _network_rows(measured).select("doc_id", F.explode("hits").alias("h"))
+    return hits.select("doc_id", "h.lens_id", "h.detection_id", "h.confidence", "h.span", "h.rationale", "h.hit_ord")
 
 
 def network_grades(measured: DataFrame, lenses: dict[str, Lens], rounded: bool = True) -> DataFrame:
-    docs = measured.select(F.col("id").alias("doc_id"), F.lit(0).alias("token_count"))
-    return grade(docs, network_hits(measured), {LENS: lenses[LENS]}, rounded, receipts=True)
+    return grade_rows(_network_rows(measured).withColumn("token_count", F.lit(0)), {LENS: lenses[LENS]}, rounded, receipts=True)

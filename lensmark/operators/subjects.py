@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensmark.functions.text import strip
 from lensmark.operators.careers import LENS as CAREERS
 from lensmark.operators.careers import career_grades
 from lensmark.operators.detection import Transport, detected
-from lensmark.operators.grading import grade_rows, prepared, subject_summary, timeline
+from lensmark.operators.grading import grade_rows, prepared, ranked, subject_summary, timeline
 from lensmark.operators.graph import LENS as NETWORK
 from lensmark.operators.graph import metrics, network_grades
 from lensmark.plans.lenses import Lens, requested, text_lenses
@@ -42,8 +42,8 @@ def grade_text(spark: SparkSession, text: str, lenses: dict[str, Lens], backend:
 def grade_person(docs: DataFrame, lenses: dict[str, Lens], person: str | None = None, rounded: bool = True, **how) -> tuple[DataFrame, DataFrame]:
     """The summary by lens and the timeline of a subject's documents (doc_id, text, date, ord; ids default to person#i)."""
     if person is not None:
-        i = F.row_number().over(Window.orderBy("ord")) - 1
-        docs = docs.withColumn("subject", F.lit(person)).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(f"{person}#"), i)))
+        placed = ranked(docs.withColumn("subject", F.lit(person)), [], ["ord"])
+        docs = placed.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(f"{person}#"), F.col("rank") - 1))).drop("rank", "n")
     graded = grade_documents(docs, lenses, rounded=rounded, **how)
     return subject_summary(graded, rounded), timeline(graded, sorted(text_lenses(lenses)))
 
@@ -100,10 +100,20 @@ def lookup(entities: DataFrame, query: str) -> DataFrame:
     return entities.withColumn("match", rank).filter("match IS NOT NULL").orderBy("match", "ord").limit(1)
 
 
-def affiliations(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per entity its neighbours' labels (with the relation), sorted and distinct, and their number."""
+def _labels(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, label: an entity's neighbours by name, with the relation."""
     names = entities.select(F.col("id").alias("other"), "name")
     ends = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "rel").union(edges.select(F.col("target").alias("id"), F.col("source").alias("other"), "rel"))
     label = F.concat(F.coalesce("name", F.col("other").cast("string")), F.when(F.coalesce("rel", F.lit("")) != "", F.concat(F.lit(" ("), "rel", F.lit(")"))).otherwise(F.lit("")))
-    found = ends.join(names, "other", "left").groupBy("id").agg(F.array_sort(F.collect_set(label)).alias("affiliations"))
+    return ends.join(names, "other", "left").select("id", label.alias("label"))
+
+
+def affiliation_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per entity how many distinct labels its neighbours have: labels are made distinct first, so a hub is a sum and no list."""
+    return _labels(entities, edges).distinct().groupBy("id").agg(F.count("label").alias("n_affiliations"))
+
+
+def affiliations(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per entity its neighbours' labels, sorted and distinct, and their number; a list is as long as an entity has neighbours, and affiliation_counts() makes none."""
+    found = _labels(entities, edges).groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("affiliations"))
     return found.withColumn("n_affiliations", F.size("affiliations"))

@@ -194,7 +194,7 @@ def q_board_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_career_moves(spark: SparkSession, d: str) -> DataFrame:
-    return C.careers(*tables.careers(spark, d)).select("id", "n_moves", F.array_join("sectors", ",").alias("sectors"), "untyped")
+    return C.careers(*tables.careers(spark, d), chains=False).select("id", "n_moves", F.array_join("sectors", ",").alias("sectors"), "untyped")
 
 
 def q_career_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -202,15 +202,15 @@ def q_career_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_career_hits(spark: SparkSession, d: str) -> DataFrame:
-    return cut(C.career_hits(*tables.careers(spark, d, 49)), "confidence").select("doc_id", "detection_id", "confidence", "rationale")
+    return cut(C.career_hits(*tables.careers(spark, d, 49), spans=False), "confidence").select("doc_id", "detection_id", "confidence", "rationale")
 
 
 def q_career_grades(spark: SparkSession, d: str) -> DataFrame:
-    return cut(C.career_grades(*tables.careers(spark, d, 49), load_lenses(), rounded=False), "index").select("doc_id", "index", "tier")
+    return cut(C.career_grades(*tables.careers(spark, d, 49), load_lenses(), rounded=False, receipts=False), "index").select("doc_id", "index", "tier")
 
 
 def q_funder_hits(spark: SparkSession, d: str) -> DataFrame:
-    return C.funding(*tables.careers(spark, d, 49)).select("id", "n_recipients", F.array_join("recipient_sectors", ",").alias("sectors"))
+    return C.funding(*tables.careers(spark, d, 49), lists=False).select("id", "n_recipients", F.array_join("recipient_sectors", ",").alias("sectors"))
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -267,7 +267,7 @@ def q_network_grades(spark: SparkSession, d: str) -> DataFrame:
 
 def q_two_lane_profile(spark: SparkSession, d: str) -> DataFrame:
     """The graph lane of all customers beside the text lane of all sources, in long form."""
-    graph = C.career_grades(*tables.careers(spark, d, 49), load_lenses(), rounded=False).select(F.lit("graph").alias("lane"), F.col("doc_id").alias("subject"), "lens_id", "index")
+    graph = C.career_grades(*tables.careers(spark, d, 49), load_lenses(), rounded=False, receipts=False).select(F.lit("graph").alias("lane"), F.col("doc_id").alias("subject"), "lens_id", "index")
     text = grading.subject_summary(_graded(spark, d), rounded=False).select(F.lit("text").alias("lane"), "subject", "lens_id", F.col("max_index").alias("index"))
     return cut(graph.unionByName(text), "index")
 
@@ -276,6 +276,15 @@ def q_affiliations(spark: SparkSession, d: str) -> DataFrame:
     return subjects.affiliations(*tables.trade_graph(spark, d)).select("id", F.array_join("affiliations", "|").alias("affiliations"), F.col("n_affiliations").cast("long"))
 
 
+def q_affiliation_counts(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.affiliation_counts(*tables.trade_graph(spark, d))
+
+
+def q_career_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of hits that show a chain or recipients."""
+    return C.career_hits(*tables.careers(spark, d, 49)).filter("detection_id IN ('three-plus-moves', 'crosses-gov-industry')").select("doc_id", "detection_id", "span")
+
+
 def q_entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     s = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
     return subjects.lookup(s, "SUPPLIER").select("id", "name")

@@ -235,6 +235,9 @@ SELECT doc_id, detection_id, round(confidence::DOUBLE + 1e-9, 6) AS confidence,
         + ",\nhits AS (SELECT doc_id, lens_id, detection_id, confidence FROM thits UNION ALL SELECT doc_id, 'revolving_door', detection_id, confidence::DOUBLE FROM quoted),\n"
         + f"{GRADE} SELECT lane, subject, lens_id, round(max(idx) + 1e-9, 6) AS index FROM graded WHERE (lane = 'graph') = (lens_id = 'revolving_door') GROUP BY ALL",
         "affiliations": f"WITH {GRAPH},\nends AS (SELECT source AS id, target AS other FROM edge UNION ALL SELECT target, source FROM edge) SELECT e.id, array_to_string(list_sort(list(DISTINCT n.name)), '|') AS affiliations, count(DISTINCT n.name) AS n_affiliations FROM ends e JOIN ent n ON n.id = e.other GROUP BY e.id",
+        "affiliation_counts": f"WITH {GRAPH},\nends AS (SELECT source AS id, target AS other FROM edge UNION ALL SELECT target, source FROM edge) SELECT e.id, count(DISTINCT n.name) AS n_affiliations FROM ends e JOIN ent n ON n.id = e.other GROUP BY e.id",
+        "career_spans": f"""WITH {careers(49)} SELECT id AS doc_id, 'three-plus-moves' AS detection_id, chain || ' [' || n_moves || ' moves]' AS span FROM car WHERE n_moves >= 3 AND id IN (SELECT id FROM ent)
+UNION ALL SELECT id, 'crosses-gov-industry', chain || ' [crosses gov <-> industry: ' || array_to_string(list_filter(['fin', 'tech'], lambda x: list_contains(s, x)), ', ') || ']' FROM car WHERE list_contains(s, 'gov') AND list_has_any(s, ['fin', 'tech']) AND id IN (SELECT id FROM ent)""",
         "entity_lookup_many": "WITH q AS (SELECT DISTINCT lower(trim(right(c_name, 4))) AS q FROM customer), m AS (SELECT q, s_suppkey AS id, s_name AS name, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN lower(s_name) = q OR s_suppkey::VARCHAR = q THEN 0 ELSE 1 END, s_suppkey) AS r FROM q JOIN supplier ON contains(lower(s_name), q) OR contains(s_suppkey::VARCHAR, q))\n"
         "SELECT c_custkey AS query_id, m.id, m.name FROM customer JOIN m ON m.q = lower(trim(right(c_name, 4))) AND r = 1",
         "graph_documents": """WITH last AS (SELECT o_custkey, max_by(o_orderstatus || '-' || o_orderkey, o_orderkey) AS clerk, max_by(o_orderkey, o_orderkey) AS k FROM orders GROUP BY o_custkey)
