@@ -181,3 +181,23 @@ def test_marginals_against_enumeration():
         pairs += trans / total
         z_all += np.log(total)
     assert np.allclose(p, want) and np.allclose(moved, pairs) and np.isclose(log_z, z_all)
+
+
+def test_languages_equal_a_plain_compression(spark):
+    """Each text under each dictionary by zstandard's own calls; the least wins, the more frequent language in ties."""
+    import zstandard
+    from pyspark.sql import functions as F
+
+    docs, _, _ = frames(spark)
+    docs = docs.union(spark.createDataFrame([(9100, "abab " * 400, None), (9101, "é", None), (9102, "x", None)], docs.select("doc_id", "text", "lang").schema)) if docs.columns == ["doc_id", "text", "lang"] else docs
+    content = language.fit(docs)
+    got = {(r["doc_id"], r["lang_pred"]) for r in language.languages(docs).collect()}
+    want = set()
+    for r in docs.select("doc_id", language.letters(F.col("text")).alias("t")).collect():
+        sizes = []
+        for name, c in content.items():
+            d = zstandard.ZstdCompressionDict(c.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append((len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(r["t"].encode())), name))
+        best = min(s for s, _ in sizes)
+        want.add((r["doc_id"], next(n for s, n in sizes if s == best) if r["t"] else "und"))
+    assert got == want
