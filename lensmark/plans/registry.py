@@ -21,8 +21,10 @@ from lensmark.operators.detection import answers_to_hits, complete, cue_hits, ec
 from lensmark.plans import sql, tables
 from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, pair_lenses, text_lenses
 from lensmark.sources.intake import from_html, from_jsonl, from_x_export, graph_lines, numbered_lines, subject_sources
+from lensmark.sources import pages
 from lensmark.sources.scratch import shared_dir, written, written_text
 from lensmark.streaming.events import windowed_events
+from lensmark.streaming.subjects import summaries
 
 #: A day between the two cuts of the scoreboard.
 CUTS = ("1996-01-01", "1997-01-01")
@@ -75,8 +77,8 @@ def q_sql_text_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_page_hits(spark: SparkSession, d: str) -> DataFrame:
-    pages = from_html(tables.table(spark, d, "pages")).select("doc_id", "text").distinct()
-    return cue_hits(pages, text_only()).select("doc_id", "lens_id", "detection_id", F.col("char_start").cast("long"))
+    texts = from_html(tables.table(spark, d, "pages")).select("doc_id", "text").distinct()
+    return cue_hits(texts, text_only()).select("doc_id", "lens_id", "detection_id", F.col("char_start").cast("long"))
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +97,12 @@ def q_html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
+def q_page_source(spark: SparkSession, d: str) -> DataFrame:
+    """The pages table's files as an archive, read by the data source."""
+    rows = spark.read.format(pages.register(spark)).option("path", f"{d}/pages.parquet").load()
+    return from_html(rows).select("url", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def q_sanitize(spark: SparkSession, d: str) -> DataFrame:
     s = tables.table(spark, d, "documents").select("doc_id", T.sanitize(F.col("text")).alias("s"))
     return s.select("doc_id", "s.clean", "s.flagged")
@@ -402,6 +410,23 @@ def q_detect_api(spark: SparkSession, d: str) -> DataFrame:
     return cut(subjects.detect_api(tables.documents(spark, d), text_only(), ["license_register", "contact_register", "nonsense"], rounded=False), "index").select("doc_id", "lens_id", "index")
 
 
+def q_stream_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as a stream of files, summed up as they arrive; the last word on each conversation and lens."""
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    tables.turns(spark, d).repartition(4, "ord").write.parquet(f"{where}/in")
+    docs = spark.readStream.schema(spark.read.parquet(f"{where}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    told = summaries(subjects.grade_documents(docs, text_only(), rounded=False))
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("at", F.lit(n)).write.mode("overwrite").parquet(f"{where}/out/batch={n}")
+
+    query = told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    columns = ["max_index", "mean_index", "n_documents", "n_documents_with_signal", "trend"]
+    last = spark.read.option("basePath", f"{where}/out").parquet(f"{where}/out/batch=*").drop("batch").withColumnRenamed("at", "batch").groupBy("subject", "lens_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
+    return cut(last.select("subject", "lens_id", "s.*"), "max_index", "mean_index")
+
+
 def q_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return cut(windowed_events(tables.table(spark, d, "events")), "total").select(F.col("start").cast("date").cast("string").alias("day"), "event_type", "n", "total")
 

@@ -185,6 +185,8 @@ SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
         "grade_documents": f"{graded} SELECT doc_id, lens_id, token_count, {shown} FROM graded",
         "token_estimate": f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents",
         "html_to_text": f"SELECT page_id, {HTML} AS text FROM pages",
+        "page_source": f"SELECT url, length(text) AS n_chars, sha256(text) AS text_sha256 FROM (SELECT url, {HTML} AS text FROM pages)",
+        "stream_summaries": f"WITH {dims(text)},\n{TURN},\n{HITS},\n{GRADE},\n{SUMMARY}",
         "sanitize": f"WITH c AS (SELECT doc_id, text, replace(text, '\"\"\"', '\"​\"​\"') AS c FROM documents) SELECT doc_id, CASE WHEN length(c) > 20000 THEN left(c, 20000) || ' […truncated]' ELSE c END AS clean, regexp_matches(text, '{injection}') AS flagged FROM c",
         "span_locate": "SELECT doc_id, CASE WHEN strpos(text, 'tion') > 0 THEN strpos(text, 'tion') - 1 END AS at, NULL::BIGINT AS empty FROM documents",
         "grade_event_days": f"{by_day} SELECT doc_id, {shown} FROM graded",
