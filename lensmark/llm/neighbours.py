@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by collision counting.
 
 Vectors are dealt once to blocks of bounded size; queries are sent to every block and stream past its index,
-which is built once. The index keeps each of PROJECTIONS random directions' projections of the block sorted, and every
-vector's rank in them. A query's windows are centred on its own projections; virtual rehashing widens them: at radius r
-they are W * r wide. A vector whose ranks lie in the windows of a share ALPHA of the directions collides often enough and is
+which is built once. The index keeps each of PROJECTIONS random directions' projections of the block sorted. A query's windows are
+centred on its own projections; virtual rehashing widens them: at radius r they are W * r wide. Pointers keep where they began and ended,
+so that only vectors that enter at their ends are counted, each once a direction. A vector whose ranks lie in the windows of a share ALPHA of the directions collides often enough and is
 verified by its distance. A query is done with a block once k verified vectors lie within the radius, or all are
 verified. The blocks' answers are merged.
 
@@ -34,8 +34,7 @@ class SortedProjections:
         p = (vectors @ self.directions).T
         order = np.argsort(p, axis=1, kind="stable")
         self.sorted = np.take_along_axis(p, order, 1)
-        self.rank = np.empty((PROJECTIONS, n), np.uint16)
-        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.uint16)[None], 1)
+        self.order = order.astype(np.uint16)
         probes = vectors[:: max(1, n // PROBES)][:PROBES]
         near = np.sort(((probes[:, None] - vectors[None]) ** 2).sum(2) if n * d < 1 << 16 else self.norms + self.norms[:: max(1, n // PROBES)][:PROBES, None] - 2 * probes @ vectors.T, 1)
         least = near[:, min(k, n - 1)]
@@ -50,23 +49,27 @@ class SortedProjections:
         seen = [self.ids == q for q in query_ids]
         found: list[list[np.ndarray]] = [[] for _ in open_]
         squares: list[list[np.ndarray]] = [[] for _ in open_]
+        # Where each query's windows began and ended so far, and how often each vector was in them: both start at the query's own place, with nothing in them.
+        begin = np.stack([np.searchsorted(self.sorted[i], at[:, i]) for i in range(PROJECTIONS)], 1)
+        end = begin.copy()
+        hits = np.zeros((len(queries), n), np.uint8)
         while open_:
             half = W * radius / 2
-            low, high = np.empty((2, PROJECTIONS, len(open_)), np.int64)
+            low, high = np.empty((2, len(open_), PROJECTIONS), np.int64)
             for i in range(PROJECTIONS):
-                low[i] = np.searchsorted(self.sorted[i], at[open_, i] - half, "left")
-                high[i] = np.searchsorted(self.sorted[i], at[open_, i] + half, "right")
+                low[:, i] = np.searchsorted(self.sorted[i], at[open_, i] - half, "left")
+                high[:, i] = np.searchsorted(self.sorted[i], at[open_, i] + half, "right")
             again = []
             for j, q in enumerate(open_):
-                hits = np.zeros(n, np.uint8)
-                a, width = low[:, j].astype(np.uint16), (high[:, j] - low[:, j]).astype(np.uint16)
-                for i in range(PROJECTIONS):
-                    hits += (self.rank[i] - a[i] < width[i]).view(np.uint8)
-                new = np.flatnonzero((hits >= least) & ~seen[q])
+                a, b = np.minimum(low[j], begin[q]), np.maximum(high[j], end[q])
+                entered = [own[x:y] for own, x, y in zip(self.order, a.tolist(), begin[q].tolist(), strict=True)] + [own[x:y] for own, x, y in zip(self.order, end[q].tolist(), b.tolist(), strict=True)]
+                begin[q], end[q] = a, b
+                hits[q] += np.bincount(np.concatenate(entered), minlength=n).astype(np.uint8)
+                new = np.flatnonzero((hits[q] >= least) & ~seen[q])
                 seen[q][new] = True
                 found[q].append(new)
                 squares[q].append(self.norms[new] + queries[q] @ queries[q] - 2 * self.vectors[new] @ queries[q])
-                if sum((x <= radius * radius).sum() for x in squares[q]) < k and (high[:, j] - low[:, j]).min() < n:
+                if sum((x <= radius * radius).sum() for x in squares[q]) < k and (b - a).min() < n:
                     again.append(q)
             open_, radius = again, radius * GROWTH
         for q, near in enumerate(found):
