@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -38,16 +39,21 @@ class TokenBytes:
         return self.data[np.repeat(self.start[ids] - at[:-1], size) + np.arange(at[-1])]
 
 
-def _encoded(batches, path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+@functools.lru_cache(1)
+def _tables(path: str) -> tuple[TokenBytes, bpe.Merged]:
+    """Tokens' bytes and kept pre-tokens, of all tasks of a worker: neither is made anew for each."""
     ranks = bpe.tiktoken_ranks(path)
-    known = TokenBytes(ranks)
 
     def make(piece: bytes) -> tuple[bytes, bytes]:
         """What is kept of a pre-token: its ids as decimals, each after a space, and packed."""
         ids = bpe.merge_pairs(piece, ranks)
         return b"".join([b" %d" % i for i in ids]), array("I", ids).tobytes()
 
-    merged = bpe.Merged(make, 500_000)
+    return TokenBytes(ranks), bpe.Merged(make, 500_000)
+
+
+def _encoded(batches, path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    known, merged = _tables(path)
     for batch in batches:
         for first, end, data, offsets in pieces(batch.column(1)):
             texts = bpe.merged_texts(data, offsets, merged)
@@ -83,7 +89,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, id_column: str =
 
 
 def _decoded(batches, path: str) -> Iterator[pa.RecordBatch]:
-    known = TokenBytes(bpe.tiktoken_ranks(path))
+    known, _ = _tables(path)
     for batch in batches:
         texts = []
         for ids, at in zip(batch.column(1), batch.column(2), strict=True):
