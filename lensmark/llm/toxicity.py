@@ -26,6 +26,8 @@ from lensmark.llm.common import free_name, in_fold, pieces
 #: Bounds of what is fitted: labelled rows of each class, distinct terms of each class's rows added up (rows are taken in the order
 #: of their ids' hashes until they are reached), and examples in the leave-one-out fit.
 MOST_TOXIC, MOST_CLEAN, MOST_IN_ALL, MOST_FITTED = 2500, 5000, 750_000, 3000
+#: A row of over this part of MOST_IN_ALL is passed over: it would leave no place for the rest.
+LARGEST = 10
 BLOCK, GROUP, NEIGHBOURS = 128, 8, 15
 #: Terms in more than one of so many examples are common.
 COMMON = 32
@@ -209,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_colu
     none = Model(np.empty(0, np.uint64), np.empty(0), None, None)
     own = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     own = own.filter(~in_fold(F.col("id"), folds, held_out)).groupBy("id").agg(F.max("label").alias("label"))
+    own = own.join(docs.select(F.col(id_column).cast("long").alias("id")), "id", "left_semi")  # labels of absent documents take no place in the sample
     true = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
     if len(true) < 2:
         return none
@@ -218,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_colu
     rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     examples = rows.mapInArrow(_learned, "id long, label int, n long, terms array<bigint>, counts array<bigint>")
     so_far = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))  # a bounded sample
-    found = examples.withColumn("so_far", so_far).filter(F.col("so_far") <= MOST_IN_ALL).drop("so_far").orderBy("id").toArrow()
+    found = examples.filter(F.col("n") <= MOST_IN_ALL // LARGEST).withColumn("so_far", so_far).filter(F.col("so_far") <= MOST_IN_ALL).drop("so_far").orderBy("id").toArrow()
     y = found.column("label").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return none

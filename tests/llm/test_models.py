@@ -201,3 +201,14 @@ def test_languages_equal_a_plain_compression(spark):
         best = min(s for s, _ in sizes)
         want.add((r["doc_id"], next(n for s, n in sizes if s == best) if r["t"] else "und"))
     assert got == want
+
+
+def test_a_row_too_large_for_the_sample_leaves_the_rest(spark, monkeypatch):
+    docs, labels, _ = frames(spark)
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
+    large = [(20_000 + i, " ".join(f"w{i}x{j}" for j in range(3000)), i % 2) for i in range(40)]
+    more = docs.union(spark.createDataFrame([r[:2] for r in large], docs.schema))
+    known = labels.union(spark.createDataFrame([(r[0], r[2]) for r in large] + [(90_000 + i, 1) for i in range(50)], labels.schema))
+    monkeypatch.setattr(toxicity, "MOST_IN_ALL", 20_000)
+    rows = [r for r in toxicity.toxicity(more, known).collect() if r["doc_id"] is not None and r["doc_id"] < 9000]
+    assert any(r["score"] >= 0.5 for r in rows) and any(0 < r["score"] < 0.5 for r in rows)
