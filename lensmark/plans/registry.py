@@ -20,7 +20,7 @@ from lensmark.operators.lookup import lookup_many
 from lensmark.operators.detection import answers_to_hits, complete, cue_hits, echo, prompts, rule_transport, verified_cue_hits
 from lensmark.plans import sql, tables
 from lensmark.plans.lenses import cue_snapshot, lens_table, load_lenses, pair_lenses, text_lenses
-from lensmark.sources.intake import from_html, from_jsonl, from_x_export, graph_lines, numbered_lines, subject_sources
+from lensmark.sources.intake import from_html, from_jsonl, from_x_export, graph_lines, load_records, numbered_lines, of_subject, subject_sources, write_graph
 from lensmark.sources import pages
 from lensmark.sources.scratch import shared_dir, written, written_text
 from lensmark.streaming.events import windowed_events
@@ -256,6 +256,11 @@ def q_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return cut(G.betweenness(*_graph(spark, d)), "betweenness")
 
 
+def q_betweenness_by_joins(spark: SparkSession, d: str) -> DataFrame:
+    """As betweenness, by the joins of a frontier with neighbours that graphs take whose ties are too many to travel."""
+    return cut(G.betweenness_by_level(*_graph(spark, d)), "betweenness")
+
+
 def q_betweenness_reduced(spark: SparkSession, d: str) -> DataFrame:
     """As betweenness, after what hangs by one tie is folded away."""
     return cut(G.betweenness(*_graph(spark, d), reduced=True), "betweenness")
@@ -383,6 +388,53 @@ def q_jsonl_documents(spark: SparkSession, d: str) -> DataFrame:
     return from_jsonl(spark, path).select("doc_id", "subject", F.length("text").cast("long").alias("n_chars"))
 
 
+def q_jsonl_of_subject(spark: SparkSession, d: str) -> DataFrame:
+    """Of documents by way of JSON lines, each fifth without a subject: those of one subject, and beside them those that name none."""
+    rows = tables.table(spark, d, "documents").select(F.when(F.pmod("doc_id", F.lit(5)) > 0, F.col("source")).alias("person_id"), F.col("doc_id").alias("id"), "text")
+    path = written_text(rows.select(F.to_json(F.struct(*rows.columns))), "documents")
+    one = rows.agg(F.min("person_id")).first()[0]
+    own = from_jsonl(spark, path, one).select("doc_id", F.lit("own").alias("lane"))
+    return own.union(of_subject(from_jsonl(spark, path), one, keep_unnamed=True).select("doc_id", F.lit("with unnamed")))
+
+
+def q_record_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as JSON lines and loaded again, blank lines among them; their number is their note."""
+    rows = tables.records(spark, d).withColumn("note", F.col("ord").cast("string")).orderBy("ord")
+    fields = ["institution", "lens", "marker", "move", "actor", "assurance", "severity", "self_correction", "span", "receipts", "note"]
+    lines = rows.select(F.explode(F.array(F.to_json(F.struct(*fields)), F.lit(" "))).alias("value"))
+    loaded = load_records(spark, written_text(lines, "records"))
+    return cut(B.record_score(loaded, rounded=False), "score").select("institution", "actor", "assurance", "score", F.size("receipts").cast("long").alias("n_receipts"), "note")
+
+
+def q_written_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The trade graph written as JSON lines and read again: degrees by sector."""
+    entities, edges = tables.trade_graph(spark, d)
+    where = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    write_graph(entities, edges, where)
+    e, ties = spark.read.schema("id string, name string, sector string").json(f"{where}/entities"), spark.read.schema("source string, target string").json(f"{where}/edges")
+    adj = written(G.neighbours(ties), "adjacency")
+    return G.degree(G.nodes(e, adj), adj).join(e.select("id", "sector"), "id").groupBy("sector").agg(F.count("*").alias("n_nodes"), F.sum("degree").alias("degrees"))
+
+
+def q_detect_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each lens in the detection service's answer: best index first, then the order of lenses."""
+    graded = subjects.detect_api(tables.documents(spark, d), text_only(), rounded=True)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("index"), "lens_ord"))
+    return graded.select("doc_id", "lens_id", place.cast("long").alias("place"))
+
+
+def q_timeline_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each dated turn in its conversation's timeline."""
+    graded = subjects.grade_documents(tables.turns(spark, d), {"license_register": lenses()["license_register"]}, rounded=False)
+    return grading.ranked(graded.select("subject", "doc_id", "date", "ord"), ["subject"], ["date", "ord"]).select("doc_id", F.col("rank").alias("place"), "n")
+
+
+def q_actor_order(spark: SparkSession, d: str) -> DataFrame:
+    """Each institution's actors, largest sum first."""
+    own = B.board(tables.records(spark, d), rounded=True).select("institution", F.transform(B.actors_in_order(F.col("by_actor")), lambda e: e["key"]).alias("actors"))
+    return own.select("institution", F.array_join("actors", ",").alias("actors"))
+
+
 def q_exported_posts(spark: SparkSession, d: str) -> DataFrame:
     """Documents as posts of an export, odd ones with full_text, a stamp of days from the id."""
     odd = F.pmod("doc_id", F.lit(2)) == 1

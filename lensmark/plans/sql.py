@@ -205,6 +205,14 @@ SELECT * FROM high UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM across"""
         "board_markdown": f"""WITH {RECORDS},\n{_board('bd')}, k AS (SELECT *, row_number() OVER (ORDER BY round(fact, 3) DESC, first_ord) AS r FROM bd)
 SELECT 'row' AS kind, institution AS name, 1 AS n_lines, r AS place FROM k UNION ALL SELECT 'institution', institution, 1, r FROM k UNION ALL SELECT 'other', '', 2 + count(*), 1 FROM k
 UNION ALL SELECT 'receipt', '', count(*), 1 FROM rec""",
+        "betweenness_by_joins": f"WITH {GRAPH},\n{between()} SELECT id, round(betweenness + 1e-9, 6) AS betweenness FROM bc",
+        "jsonl_of_subject": """WITH d AS (SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 > 0 THEN source END AS p FROM documents WHERE trim(text) <> ''), o AS (SELECT min(source) AS one FROM documents WHERE doc_id % 5 > 0)
+SELECT doc_id, 'own' AS lane FROM d, o WHERE p = one UNION ALL SELECT doc_id, 'with unnamed' FROM d, o WHERE p = one OR p IS NULL""",
+        "record_lines": f"WITH {RECORDS} SELECT institution, actor, assurance, round(score + 1e-9, 6) AS score, CASE WHEN l_linenumber = 7 THEN 0 ELSE 1 END AS n_receipts, ord::VARCHAR AS note FROM rec",
+        "written_graph": f"WITH {GRAPH} SELECT sector, count(*) AS n_nodes, sum(degree)::BIGINT AS degrees FROM deg JOIN ent USING (id) GROUP BY sector",
+        "detect_order": f"{graded} SELECT doc_id, lens_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(idx, 2) DESC, lens_ord) AS place FROM graded",
+        "timeline_order": f"WITH {TURN} SELECT doc_id, row_number() OVER (PARTITION BY subject ORDER BY date, ord) AS place, count(*) OVER (PARTITION BY subject) AS n FROM doc",
+        "actor_order": f"WITH {RECORDS}, s AS (SELECT institution, actor, round(sum(round(score, 4)), 4) AS s FROM rec GROUP BY ALL) SELECT institution, string_agg(actor, ',' ORDER BY s DESC, actor) AS actors FROM s GROUP BY institution",
         "betweenness_reduced": f"WITH {GRAPH},\n{between()} SELECT id, round(betweenness + 1e-9, 6) AS betweenness FROM bc",
         "board_totals": f"WITH {RECORDS} SELECT count(DISTINCT institution) AS institutions, count(*) AS records FROM rec",
         "career_moves": f"WITH {careers(46)} SELECT id, n_moves, array_to_string(coalesce(s, []), ',') AS sectors, untyped FROM car",
