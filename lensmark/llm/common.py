@@ -103,6 +103,17 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return dealt.join(copies, [*keys, "part"]).drop("part")
 
 
+def dealt_join(rows: DataFrame, groups: DataFrame, key: str, sizes: DataFrame, spread: Column) -> DataFrame:
+    """rows joined with groups (few rows a key). sizes: a written table of n, rows' number a key. A key of over one HOT-th of all rows has its groups' rows copied,
+    SPLIT times at most, and its rows dealt to the copies by ``spread``; there are at most HOT such keys, and small tables have none."""
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = sizes.filter(F.col("n") > max(total // HOT, SPLIT)).select(key, F.least(F.lit(SPLIT), F.ceil(F.col("n") / SPLIT)).cast("int").alias("parts"))
+    dealt = rows.withColumn("spread", spread).join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod("spread", F.col("parts")).cast("int"))).drop("spread", "parts")
+    copies = groups.join(F.broadcast(hot), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"]).drop("part")
+
+
 def numbered(docs: DataFrame, id_column: str, scratch: Scratch) -> tuple[DataFrame, str]:
     """docs with a long column that tells rows apart in the order of ids, and its name: the ids themselves where they are
     unique longs; where they repeat or are null, numbers of a written table's rows, null ids last."""

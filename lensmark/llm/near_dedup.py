@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmark.llm import hashes
-from lensmark.llm.common import Scratch, arrow_rows, numbered, pieces, salted_join
+from lensmark.llm.common import Scratch, arrow_rows, dealt_join, numbered, pieces, salted_join
 from lensmark.llm.components import components
 
 BANDS, ROWS, STEP = 32, 4, 16
@@ -165,11 +165,14 @@ def _between(rows: DataFrame, sets: DataFrame, percent: int, least: list[int], s
     largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     sided = sizes.join(largest, "cluster").groupBy("cluster", "largest", (F.col("component") == F.col("largest")).alias("inner")).agg(F.sum("volume").alias("volume"))
     blocks = sided.select("cluster", "largest", "inner", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = own.join(blocks, "cluster").filter((F.col("component") == F.col("largest")) == F.col("inner"))
+    members = scratch.save(own.groupBy("cluster").agg(F.count("*").alias("n")), "sized")
+    placed = dealt_join(own, blocks, "cluster", members, F.xxhash64("id")).filter((F.col("component") == F.col("largest")) == F.col("inner"))
     placed = placed.groupBy("cluster", "inner", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.collect_list(F.struct("id", "component", "signature", "shingles")).alias("members"))
     placed = scratch.save(placed, "blocks")
     outside = placed.filter("NOT inner").select("cluster", F.col("block").alias("o"), F.col("members").alias("outside"))
-    pairs = outside.join(placed.select("cluster", "inner", "block", F.col("members").alias("wide")), "cluster").filter("inner OR block >= o").select("outside", "wide")
+    counted = scratch.save(placed.groupBy("cluster").agg(F.count("*").alias("n")), "sized")
+    wide = placed.select("cluster", "inner", "block", F.col("members").alias("wide"))
+    pairs = dealt_join(wide, outside, "cluster", counted, F.xxhash64("inner", "block")).filter("inner OR block >= o").select("outside", "wide")
     return pairs.mapInArrow(lambda it: _compared(it, percent, least), "u long, v long")
 
 
@@ -205,7 +208,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     sets = scratch.save(texts.mapInArrow(lambda it: _sets(it, k), "id long, shingles array<long>, signature binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("x", "tx", "sx"), "x").join(sets.toDF("y", "ty", "sy"), "y")
+        """x meets few others, y (a bucket's pivot) may meet a third of all: its set is copied, and its pairs dealt to the copies."""
+        pairs = scratch.save(pairs, "pairs")
+        sized = scratch.save(pairs.groupBy("y").agg(F.count("*").alias("n")), "sized")
+        both = dealt_join(pairs.join(sets.toDF("x", "tx", "sx"), "x"), sets.toDF("y", "ty", "sy"), "y", sized, F.xxhash64("x"))
         return both.mapInArrow(lambda it: _verified(it, least, percent), "u long, v long")
 
     with arrow_rows(spark, PAIRS_AT_ONCE):

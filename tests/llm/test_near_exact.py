@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from lensmark.llm import exact_dedup, near_dedup
+from lensmark.llm import common, exact_dedup, near_dedup
 from lensmark.llm.common import Scratch
 from lensmark.llm.components import components
 
@@ -76,6 +76,16 @@ def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_hot_pivots_and_clusters_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPLIT", 2)
+    monkeypatch.setattr(common, "HOT", 50)
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 900)
+    rows = corpus(6, 30)
+    got = {r[0]: (r[1], r[2], r[3]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(30000))
     rows = [(7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (9, long), (8, long + " end")]
