@@ -1,6 +1,6 @@
 """The prefix trie of conversations: a node for each distinct sequence of first turns.
 
-1. Distinct turns (role and text) are a dictionary, numbered in their order; a conversation is a row of turn numbers, with no text.
+1. Distinct turns (role and text) are a dictionary, told by SHA-256 and numbered; a conversation is a row of turn numbers, with no text.
 2. Equal sequences become one: their conversations are counted, and their ids hashed in order, a row a batch and sequence, so that a sequence that a third of
    all conversations share meets as partial results.
 3. Most-significant-digit radix partitioning: a bucket holds the sequences of one prefix. A bucket of more than LOCAL turns goes
@@ -34,15 +34,19 @@ COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 def sequences(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     """conv_id, path: each conversation's turns in order (a null turn first, equal ones by role and text) as numbers of distinct turns with their texts' bytes.
 
-    conversations: conv_id, turn, role, text. Null roles and texts count as empty; rows without conv_id are no conversation's.
+    conversations: conv_id, turn, role, text. Null roles and texts count as empty; rows without conv_id are no conversation's. Texts are shuffled once, to their
+    conversation, which is a row as a document is; from there on a turn is its SHA-256, and then its number.
     """
-    turns = scratch.save(conversations.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "turns")
-    known = turns.groupBy("role", "text").agg(F.count("*").alias("n")).orderBy("role", "text").withColumn("id", F.monotonically_increasing_id())
-    known = scratch.save(known, "dictionary")
-    numbered = salted_join(turns, known, ["role", "text"], "n", F.xxhash64("conv_id", "turn"))
-    step = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "id", F.octet_length("text").cast("long").alias("bytes"))
-    own = numbered.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("own"))
-    return own.select("conv_id", F.transform("own", lambda s: F.struct(s["id"].alias("id"), s["bytes"].alias("bytes"))).alias("path"))
+    rows = conversations.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    step = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text")
+    digest = lambda s: F.unhex(F.sha2(F.concat(F.octet_length(s["role"]), F.lit(":"), s["role"], s["text"]), 256))
+    own = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("own"))
+    own = own.select("conv_id", F.transform("own", lambda s: F.struct(digest(s).alias("turn"), F.octet_length(s["text"]).cast("long").alias("bytes"))).alias("own"))
+    turns = scratch.save(own.select("conv_id", F.posexplode("own").alias("place", "t")).select("conv_id", "place", "t.turn", "t.bytes"), "turns")
+    known = turns.groupBy("turn").agg(F.count("*").alias("n")).orderBy("turn").withColumn("id", F.monotonically_increasing_id())
+    numbered = salted_join(turns, scratch.save(known, "dictionary"), ["turn"], "n", F.xxhash64("conv_id", "place"))
+    paths = numbered.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "bytes"))).alias("own"))
+    return paths.select("conv_id", F.transform("own", lambda s: F.struct(s["id"].alias("id"), s["bytes"].alias("bytes"))).alias("path"))
 
 
 def _gathered(batches) -> Iterator[pa.RecordBatch]:
