@@ -51,7 +51,8 @@ def _offset(rows: DataFrame, name: str, within: Column, count: Column) -> DataFr
     blocks = rows.groupBy("file", "block").agg(count.alias("c"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     blocks = blocks.select("file", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    return rows.withColumn("within", within).join(F.broadcast(blocks), ["file", "block"]).withColumn(name, F.col("before") + F.col("within")).drop("before", "within")
+    # No hint: blocks grow with the input, and adaptive execution broadcasts them where their measured size allows.
+    return rows.withColumn("within", within).join(blocks, ["file", "block"]).withColumn(name, F.col("before") + F.col("within")).drop("before", "within")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +63,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     first = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("c"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     starts = first.select("file", "block", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("start"))
-    return rows.join(F.broadcast(starts), ["file", "block"]).select("file", "block", "line", (F.col("id") + F.col("start")).alias("n"))
+    return rows.join(starts, ["file", "block"]).select("file", "block", "line", (F.col("id") + F.col("start")).alias("n"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from lensmark.operators.detection import cue_hits
 from lensmark.operators.lookup import lookup_many
 from lensmark.operators.subjects import lookup
 from lensmark.plans.lenses import Lens, load_lenses, pair_lenses, text_lenses
+from lensmark.sources import scratch
 
 
 def test_many_equal_one_at_a_time(spark):
@@ -63,3 +64,17 @@ def test_percentiles_of_mostly_equal_values(spark, monkeypatch):
     monkeypatch.setattr(graph, "BROADCAST_VALUES", 0)
     assert few == sorted(map(tuple, graph.percentiles(df, "v", "p", "c").select("id", "v", "p", "c").collect()))
     assert {r[2] for r in few if r[1] == 0} == {0.9} and len(few) == 500
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    df = spark.range(3)
+    with scratch.scratch_tables(spark) as outer:
+        a = scratch.written(df, "a")
+        with scratch.scratch_tables(spark) as inner:
+            b = scratch.written(a, "b")
+            scratch.written_text(df.select(F.col("id").cast("string")), "c")
+            assert b.count() == 3 and len(inner) == 2 and len(outer) == 3
+        assert not any(Path(p).exists() for p in inner) and Path(outer[0]).exists()
+    assert not Path(outer[0]).exists() and not scratch._watched
