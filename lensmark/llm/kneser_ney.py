@@ -36,7 +36,6 @@ END = np.uint64(0x1D8E4E27C47D124F)
 #: Numbers that no word has: what precedes a text, and a word that training texts lack.
 BEGIN, UNKNOWN = np.uint32(0xFFFFFFFE), np.uint32(0xFFFFFFFF)
 GRAM, CONTEXT, STATS = 0, 1, 2
-_CONTEXT = np.dtype([("key", "<u8"), ("v", "<u8", 4)])
 _STATS = np.dtype([("v", "<u8", 5)])
 _ROWS = "shard int, what int, data binary"
 
@@ -45,6 +44,11 @@ def _gram(level: int) -> np.dtype:
     return np.dtype([("ids", ">u4", level), ("c", "<u8")])
 
 
+def _context(level: int) -> np.dtype:
+    """Of a level's contexts: their numbers, how often they have a follower, and how many followers they have once, twice and more."""
+    return np.dtype([("ids", ">u4", level - 1), ("v", "<u8", 4)])
+
+
 def keys_of(ids: np.ndarray) -> np.ndarray:
     """Hashes of rows of words' numbers."""
     h = np.full(len(ids), ids.shape[1], np.uint64)
@@ -204,12 +208,18 @@ def _write_words(batches, files: Files) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["types", "tokens"])
 
 
+def _sent(what: int, kind: np.dtype, keys: np.ndarray, ids: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Records by shard and numbers: neighbours begin alike, which a shuffle's compression makes use of."""
+    shard = shard_of(keys, bits)
+    order = np.lexsort((*ids.T[::-1], shard))
+    data = np.empty(len(keys), kind)
+    data[kind.names[0]], data[kind.names[1]] = ids[order], values[order]
+    return _rows(what, shard[order], data)
+
+
 def _distinct(level: int, ids: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    keys = keys_of(ids)
-    keys, first, c = _sums(keys, counts)
-    data = np.empty(len(keys), _gram(level))
-    data["ids"], data["c"] = ids[first], c[:, 0]
-    return _rows(level * 4 + GRAM, shard_of(keys, bits), data)
+    keys, first, c = _sums(keys_of(ids), counts)
+    return _sent(level * 4 + GRAM, _gram(level), keys, ids[first], c[:, 0], bits)
 
 
 def _gram_counts(batches, files: Files, order: int, at_once: int) -> Iterator[pa.RecordBatch]:
@@ -232,8 +242,8 @@ def _write_level(batches, files: Files, level: int) -> Iterator[pa.RecordBatch]:
             total["v"] = rows["v"].sum(0)
             yield _rows(what, np.zeros(1, np.int32), total)
         elif kind == CONTEXT:
-            rows = np.frombuffer(data, _CONTEXT)
-            keys, _, v = _sums(rows["key"], *rows["v"].T)
+            rows = np.frombuffer(data, _context(of))
+            keys, _, v = _sums(keys_of(rows["ids"].astype(np.uint32).reshape(len(rows), of - 1)), *rows["v"].T)
             files.write(f"contexts{of}", shard, keys, _small(v))
         elif of < level:
             rows = np.frombuffer(data, _gram(of))
@@ -248,10 +258,8 @@ def _write_level(batches, files: Files, level: int) -> Iterator[pa.RecordBatch]:
             stats["v"] = [*((c == i).sum() for i in (1, 2, 3, 4)), c.sum()]
             yield _rows(level * 4 + STATS, np.zeros(1, np.int32), stats)
             if level > 1:
-                own, _, v = _sums(keys_of(ids[:, :-1]), c, c == 1, c == 2, c > 2)
-                context = np.empty(len(own), _CONTEXT)
-                context["key"], context["v"] = own, v
-                yield _rows(level * 4 + CONTEXT, shard_of(own, files.bits), context)
+                own, first, v = _sums(keys_of(ids[:, :-1]), c, c == 1, c == 2, c > 2)
+                yield _sent(level * 4 + CONTEXT, _context(level), own, ids[first, :-1], v, files.bits)
                 yield _distinct(level - 1, ids[:, 1:], np.ones(len(ids), np.int64), files.bits)
 
 
