@@ -2,13 +2,14 @@
 
 entities: id, name, sector; edges: source, target. Betweenness is a level-synchronous search from
 all sources: each level is a join of the frontier with the neighbours and a sum of path counts, and
-dependencies are summed level by level on the way back. Both grow with reachable pairs of nodes.
+dependencies are summed level by level on the way back. Nodes with the same neighbours are searched
+as one (merged()), so both grow with reachable pairs of different nodes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,17 +66,21 @@ def _scaled(all_nodes: DataFrame, sums: DataFrame) -> DataFrame:
 
 
 def betweenness(all_nodes: DataFrame, adj: DataFrame, reduced: bool = False) -> DataFrame:
-    """id, betweenness (unweighted, normalised). Where neighbours are too many to travel, or if ``reduced``, what hangs on the graph by one tie is folded away first
-    (fold()), which changes no result; searches then run over the rest."""
-    if not reduced and adj.count() <= BROADCAST_TIES:
-        return betweenness_by_source(all_nodes, adj)
+    """id, betweenness (unweighted, normalised). Nodes with the same neighbours are searched as one. Where neighbours are too many to travel then, or if ``reduced``,
+    what hangs on the graph by one tie is folded away first (fold()), which changes no result; searches then run over the rest."""
+    if not reduced:
+        one = all_nodes.select("id", F.lit(1.0).alias("w"))
+        same = merged(adj, one)
+        if same[0].count() <= BROADCAST_TIES:
+            return _scaled(all_nodes, _of_members(_by_source, *same).select("id", "total"))
     core, children = fold(adj)
     sums = children.groupBy(F.col("parent").alias("id")).agg(F.sum("size").cast("double").alias("folded"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"))
     every = all_nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("folded", F.lit(0.0)).alias("folded"), F.coalesce("squares", F.lit(0.0)).alias("squares"))
     every = written(every, "folded")
     weights = every.select("id", (1 + F.col("folded")).alias("w"))
-    search = _by_source if core.count() <= BROADCAST_TIES else _by_level
-    found = written(search(core, weights), "searched")  # id, total, reach
+    same = merged(core, weights)
+    search = _by_source if same[0].count() <= BROADCAST_TIES else _by_level
+    found = written(_of_members(search, *same), "searched")  # id, total, reach
     # How many nodes a node's component has: what the search of the rest reached, or all that hangs on a node without ties; those folded have their parents'.
     kept = every.join(children.select(F.col("child").alias("id")), "id", "left_anti")
     size = kept.join(found.select("id", "reach"), "id", "left").select("id", F.coalesce("reach", 1 + F.col("folded")).alias("c"))
@@ -112,6 +117,35 @@ def fold(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, written(children, "children")
 
 
+def merged(adj: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with the same neighbours (which are not tied to each other) as one, by the smallest id: the ties among those that stay; of each of them w (its members' weights),
+    m (their number) and squares (of their weights); and id, rep of all. Sets of neighbours are told by hashes that are summed over all tasks; then each tie of a
+    member is sought among its representative's, and who lacks one stands for itself. So a hub's neighbours are never a row."""
+    adj = written(adj, "adjacency")
+    marks = adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "dst")).alias(f"x{i}") for i in (1, 2)))
+    marks = written(marks, "marks")
+    first = marks.groupBy("n", "x1", "x2").agg(F.min("id").alias("rep"))
+    of = written(marks.join(first, ["n", "x1", "x2"]).select("id", "rep"), "merged")
+    claimed = adj.join(of.filter("id <> rep"), F.col("src") == F.col("id")).select("id", "rep", "dst")
+    other = written(claimed.join(adj.select(F.col("src").alias("rep"), "dst"), ["rep", "dst"], "left_anti").select("id").distinct().withColumn("other", F.lit(True)), "others")
+    of = written(of.join(other, "id", "left").select("id", F.when(F.col("other"), F.col("id")).otherwise(F.col("rep")).alias("rep")), "merged")
+    classes = of.join(weights, "id").groupBy(F.col("rep").alias("id")).agg(F.sum("w").alias("w"), F.count("*").cast("double").alias("m"), F.sum(F.col("w") * F.col("w")).alias("squares"))
+    classes = written(classes, "classes")
+    ends = classes.select(F.col("id").alias("end"))
+    core = adj.join(ends, F.col("src") == F.col("end"), "left_semi").join(ends, F.col("dst") == F.col("end"), "left_semi")
+    return written(core, "ties"), classes, of
+
+
+def _of_members(search: Callable[[DataFrame, DataFrame], DataFrame], core: DataFrame, classes: DataFrame, of: DataFrame) -> DataFrame:
+    """A search of merged() nodes: id, total, reach of all members. Two members of a class have all their neighbours between them, which share what the pair gives."""
+    found = search(core, classes.select("id", "w", "m"))
+    deg = core.join(classes.select(F.col("id").alias("dst"), "m"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("m").alias("deg"))
+    pairs = classes.filter("m > 1").join(deg, "id").select(F.col("id").alias("src"), ((F.col("w") * F.col("w") - F.col("squares")) / F.col("deg")).alias("g"))
+    given = core.join(pairs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("g").alias("g"))
+    sums = written(found.join(given, "id", "left").select(F.col("id").alias("rep"), (F.col("total") + F.coalesce("g", F.lit(0.0))).alias("total"), "reach"), "found")
+    return of.join(sums, "rep").select("id", "total", "reach")
+
+
 def betweenness_sampled(all_nodes: DataFrame, adj: DataFrame, error: float = 0.01, chance: float = 0.01) -> DataFrame:
     """id, betweenness, estimated from searches of a sample of sources: with probability 1 - ``chance`` no node's value is further than ``error`` * n / (n - 1) from
     the exact one (Hoeffding's bound over all n nodes, as a source gives a node between 0 and n - 2). Where that takes as many sources as there are, the result is exact.
@@ -122,7 +156,7 @@ def betweenness_sampled(all_nodes: DataFrame, adj: DataFrame, error: float = 0.0
     if k >= n:
         return betweenness(all_nodes, adj)
     drawn = all_nodes.orderBy(F.xxhash64(F.lit("source"), "id"), "id").limit(k).select("id")
-    weights = all_nodes.select("id", F.lit(1.0).alias("w"))
+    weights = all_nodes.select("id", F.lit(1.0).alias("w"), F.lit(1.0).alias("m"))
     search = _by_source if adj.count() <= BROADCAST_TIES else _by_level
     found = search(adj, weights, drawn)
     return _scaled(all_nodes, found.select("id", (F.col("total") * (n / k)).alias("total")))
@@ -130,43 +164,46 @@ def betweenness_sampled(all_nodes: DataFrame, adj: DataFrame, error: float = 0.0
 
 def betweenness_by_level(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """By joins only: one round a level."""
-    return _scaled(all_nodes, _by_level(adj, all_nodes.select("id", F.lit(1.0).alias("w"))).select("id", "total"))
+    return _scaled(all_nodes, _of_members(_by_level, *merged(adj, all_nodes.select("id", F.lit(1.0).alias("w")))).select("id", "total"))
 
 
 def _by_level(adj: DataFrame, weights: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """id, total (what all sources give a node: its share of paths to each node, times both ends' weights), reach (the weight that a source's search meets)."""
-    adj = written(adj, "adjacency")
+    """weights: id, w, m, where a node stands for m nodes with the same neighbours, whose weights make up w. id, total (what all sources give each of these: its share of
+    paths to each node, times both ends' weights), reach (the weight that a source's search meets). Paths from a source to others of its own class are not counted."""
+    adj = written(adj.join(weights.toDF("dst", "w", "m"), "dst").select("src", "dst", "w", "m"), "adjacency")
     start = adj.select(F.col("src").alias("s")).distinct()
     if sources is not None:
         start = start.join(sources.toDF("s"), "s", "left_semi")
-    seen = written(start.select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")), "level")
+    start = start.join(weights.select(F.col("id").alias("s"), "w"), "s")
+    seen = written(start.select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"), "w", F.lit(1.0).alias("m")), "level")
     frontier, last, level = seen, seen.limit(0), 0
     while True:
         level += 1
-        step = frontier.join(adj, frontier["v"] == adj["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        met = frontier.select("s", F.col("v").alias("src"), (F.col("paths") * F.col("m")).alias("paths")).join(adj, "src")
+        step = met.groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"), F.max("w").alias("w"), F.max("m").alias("m"))
         near = frontier.union(last).select("s", "v")  # a neighbour of a level lies in it, in the one before, or in a new one
-        step = written(step.join(near, ["s", "v"], "left_anti").select("s", "v", F.lit(level).alias("d"), "paths"), "level")
+        step = written(step.join(near, ["s", "v"], "left_anti").select("s", "v", F.lit(level).alias("d"), "paths", "w", "m"), "level")
         if step.isEmpty():
             break
         seen, last, frontier = seen.union(step), frontier, step
-    seen = written(seen.join(weights.toDF("v", "w"), "v"), "paths")
+    seen = written(seen, "paths")
     reach = seen.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("reach"))
     back = seen.filter(F.col("d") == level - 1).select("s", "v", F.lit(0.0).alias("dependency"))
     total = back
     for d in range(level - 2, 0, -1):
-        below = seen.filter(F.col("d") == d + 1).join(back, ["s", "v"]).select("s", F.col("v").alias("to"), ((F.col("w") + F.col("dependency")) / F.col("paths")).alias("share"))
-        above = below.join(adj, below["to"] == adj["src"]).select("s", F.col("dst").alias("v"), "share").groupBy("s", "v").agg(F.sum("share").alias("share"))
+        below = seen.filter(F.col("d") == d + 1).join(back, ["s", "v"]).select("s", F.col("v").alias("to"), ((F.col("w") + F.col("m") * F.col("dependency")) / F.col("paths")).alias("share"))
+        above = below.join(adj.select("src", "dst"), F.col("to") == F.col("src")).select("s", F.col("dst").alias("v"), "share").groupBy("s", "v").agg(F.sum("share").alias("share"))
         own = seen.filter(F.col("d") == d).join(above, ["s", "v"], "left")
         back = written(own.select("s", "v", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("dependency")), "back")
         total = total.union(back)
-    sums = total.join(weights.toDF("s", "w"), "s").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("dependency") * F.col("w")).alias("total"))
+    sums = total.join(weights.select(F.col("id").alias("s"), "w"), "s").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("dependency") * F.col("w")).alias("total"))
     return sums.join(reach, "id", "full_outer").select("id", F.coalesce("total", F.lit(0.0)).alias("total"), "reach")
 
 
 def betweenness_by_source(all_nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """Sources in parallel, each search in a task over the neighbours (BROADCAST_TIES at most), which travel as numbers; node
     sums are partial by task."""
-    return _scaled(all_nodes, _by_source(adj, all_nodes.select("id", F.lit(1.0).alias("w"))).select("id", "total"))
+    return _scaled(all_nodes, _of_members(_by_source, *merged(adj, all_nodes.select("id", F.lit(1.0).alias("w")))).select("id", "total"))
 
 
 def _by_source(adj: DataFrame, weights: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -174,20 +211,20 @@ def _by_source(adj: DataFrame, weights: DataFrame, sources: DataFrame | None = N
     known = written(adj.select(F.col("src").alias("id")).distinct().join(weights, "id").withColumn("at", F.monotonically_increasing_id()), "numbers")
     number = known.select("id", "at")
     ties = adj.join(number.toDF("src", "s"), "src").join(number.toDF("dst", "d"), "dst").select("s", "d").toArrow()
-    of = known.select("at", "w").toArrow()
+    of = known.select("at", "w", "m").toArrow()
     s, d = ties.column("s").to_numpy(), ties.column("d").to_numpy()
     numbers = np.sort(of.column("at").to_numpy())
-    w = of.column("w").to_numpy()[np.argsort(of.column("at").to_numpy())]
+    w, m = (of.column(c).to_numpy()[np.argsort(of.column("at").to_numpy())] for c in "wm")
     order = np.lexsort((d, s))
     cut = np.searchsorted(s[order], numbers)
-    shared = adj.sparkSession.sparkContext.broadcast((numbers, np.searchsorted(numbers, d[order]), np.append(cut, len(s)), w))
+    shared = adj.sparkSession.sparkContext.broadcast((numbers, np.searchsorted(numbers, d[order]), np.append(cut, len(s)), w, m))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, dst, cut, w = shared.value
+        numbers, dst, cut, w, m = shared.value
         total, reach = np.zeros(len(numbers)), np.full(len(numbers), np.nan)
         for batch in batches:
             for source in np.searchsorted(numbers, batch["at"].to_numpy()):
-                share, reach[source] = _dependencies(int(source), dst, cut, w)
+                share, reach[source] = _dependencies(int(source), dst, cut, w, m)
                 total += share * w[source]
         yield pd.DataFrame({"at": numbers, "total": total, "reach": reach})
 
@@ -196,7 +233,7 @@ def _by_source(adj: DataFrame, weights: DataFrame, sources: DataFrame | None = N
     return known.join(sums, "at").select("id", "total", "reach")
 
 
-def _dependencies(s: int, dst: np.ndarray, cut: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+def _dependencies(s: int, dst: np.ndarray, cut: np.ndarray, w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, float]:
     n = len(cut) - 1
     depth, paths, out = np.full(n, -1), np.zeros(n), np.zeros(n)
     depth[s], paths[s] = 0, 1.0
@@ -207,12 +244,12 @@ def _dependencies(s: int, dst: np.ndarray, cut: np.ndarray, w: np.ndarray) -> tu
         a, b = np.repeat(front, size), dst[at]
         ahead = depth[b] < 0
         a, b = a[ahead], b[ahead]
-        np.add.at(paths, b, paths[a])
+        np.add.at(paths, b, paths[a] * m[a] if levels else paths[a])  # the source is one node of its class
         levels.append((a, b))
         front = np.unique(b)
         depth[front] = len(levels)
     for a, b in reversed(levels):
-        np.add.at(out, a, paths[a] / paths[b] * (w[b] + out[b]))
+        np.add.at(out, a, paths[a] / paths[b] * (w[b] + m[b] * out[b]))
     out[s] = 0
     return out, float(w[depth >= 0].sum())
 
@@ -311,9 +348,10 @@ def metrics(entities: DataFrame, edges: DataFrame) -> DataFrame:
     every = written(nodes(entities, adj), "nodes")
     out = every.join(degree(every, adj), "id").join(betweenness(every, adj), "id").join(brokerage_roles(every, adj), "id").join(bridged_sectors(every, adj), "id")
     out = written(out, "metrics")
-    for c in ("betweenness", "degree_centrality"):
-        out = percentiles(out, c, f"{c}_percentile", f"{c}_cut")
-    return out
+    # values that differ by their order of adding alone are ties
+    out = percentiles(out.withColumn("near", F.round("betweenness", 12)), "near", "betweenness_percentile").drop("near")
+    out = out.join(F.broadcast(decile_cut(written(out.select("betweenness"), "values"), "betweenness").withColumnRenamed("cut", "betweenness_cut")))
+    return percentiles(out, "degree_centrality", "degree_centrality_percentile", "degree_centrality_cut")
 
 
 def _network_rows(measured: DataFrame) -> DataFrame:
@@ -325,7 +363,7 @@ def _network_rows(measured: DataFrame) -> DataFrame:
     mix = F.concat_ws(", ", *(F.when(F.col(r) > 0, F.concat(F.lit(f"{r}:"), F.col(r))) for r in ROLES))
     sector = F.coalesce("sector", F.lit("?"))
     rules = [
-        ("high-betweenness", (b > 0) & (b >= F.col("betweenness_cut")), _steep(F.col("betweenness_percentile"), 0.8),
+        ("high-betweenness", (b > 0) & (b >= F.col("betweenness_cut") - 1e-12), _steep(F.col("betweenness_percentile"), 0.8),
          F.concat(F.col("name"), F.format_string(": betweenness %.3f (top %d%% of %d nodes); bridges sectors ", b, top_percent(F.col("betweenness_percentile")), F.col("n")), F.when(F.size("bridged") > 0, names).otherwise(sector))),
         ("hub-degree", (F.col("degree") > 0) & (d >= F.col("degree_centrality_cut")), _steep(F.col("degree_centrality_percentile"), 0.75),
          F.concat(F.col("name"), F.format_string(": degree %d (centrality %.3f, top %d%% of %d nodes)", F.col("degree"), d, top_percent(F.col("degree_centrality_percentile")), F.col("n")))),
