@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensmark.functions.numbers import nearest
 from lensmark.functions.text import let, strip, token_estimate
 from lensmark.plans.lenses import Lens, detection_weights, lens_literal, literal
 from lensmark.sources.scratch import written
@@ -57,12 +58,12 @@ def _graded_by(lens: Column, own: Column, tokens: Column, rounded: bool) -> Colu
         intensity = F.aggregate(s, F.lit(0.0), lambda a, m: a + m["score"] * m["base"]) / F.when(base == 0, F.lit(1.0)).otherwise(base)
         density = F.when((tokens > 0) & (lens["cap"] != 0), F.least(F.lit(1.0), weighted / (tokens / F.lit(1000.0)) / F.when(lens["cap"] == 0, F.lit(1.0)).otherwise(lens["cap"]))).otherwise(F.lit(0.0))
         index = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (lens["wb"] * breadth + lens["wi"] * intensity + lens["wd"] * density)))
-        shown = (lambda c, n: F.round(c, n)) if rounded else (lambda c, n: c)
+        shown = nearest if rounded else (lambda c, n: c)
         return F.struct(
             lens["lens_id"].alias("lens_id"),
             lens["lens_ord"].alias("lens_ord"),
             shown(index, 2).alias("index"),
-            tier_of(lens, F.round(index, 2)).alias("tier"),
+            tier_of(lens, nearest(index, 2)).alias("tier"),
             shown(breadth, 4).alias("breadth"),
             shown(intensity, 4).alias("intensity"),
             shown(density, 4).alias("density"),
@@ -154,7 +155,7 @@ def subject_summary(grades: DataFrame, rounded: bool = True) -> DataFrame:
     kept = written(grades.select("subject", "lens_id", "index", "date", "ord", (F.size("markers_present") > 0).alias("signal")), "grades")
     dated = kept.filter(F.col("date").isNotNull() & (F.col("date").cast("string") != "")).select("subject", "lens_id", "index", "date", "ord")
     moved = ranked(dated, ["subject", "lens_id"], ["date", "ord"]).groupBy("subject", "lens_id").agg(trend(F.col("index"), F.col("n"), F.col("rank")).alias("trend"))
-    shown = (lambda c: F.round(c, 2)) if rounded else (lambda c: c)
+    shown = (lambda c: nearest(c, 2)) if rounded else (lambda c: c)
     own = kept.groupBy("subject", "lens_id").agg(
         shown(F.max("index")).alias("max_index"),
         shown(F.avg("index")).alias("mean_index"),

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensmark.functions.numbers import nearest
 from lensmark.functions.text import top_percent
 from lensmark.operators.grading import grade_rows
 from lensmark.plans.lenses import Lens
@@ -339,7 +340,7 @@ def percentiles(values: DataFrame, column: str, name: str = "percentile", cut: s
 
 
 def _steep(p: Column, base: float) -> Column:
-    return F.round(F.when(p > 0.9, F.least(F.lit(1.0), base + (1 - base) * (p - 0.9) / 0.1)).otherwise(F.lit(base)), 3)
+    return nearest(F.when(p > 0.9, F.least(F.lit(1.0), base + (1 - base) * (p - 0.9) / 0.1)).otherwise(F.lit(base)), 3)
 
 
 def metrics(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -349,7 +350,7 @@ def metrics(entities: DataFrame, edges: DataFrame) -> DataFrame:
     out = every.join(degree(every, adj), "id").join(betweenness(every, adj), "id").join(brokerage_roles(every, adj), "id").join(bridged_sectors(every, adj), "id")
     out = written(out, "metrics")
     # values that differ by their order of adding alone are ties
-    out = percentiles(out.withColumn("near", F.round("betweenness", 12)), "near", "betweenness_percentile").drop("near")
+    out = percentiles(out.withColumn("near", nearest("betweenness", 12)), "near", "betweenness_percentile").drop("near")
     out = out.join(F.broadcast(decile_cut(written(out.select("betweenness"), "values"), "betweenness").withColumnRenamed("cut", "betweenness_cut")))
     return percentiles(out, "degree_centrality", "degree_centrality_percentile", "degree_centrality_cut")
 
