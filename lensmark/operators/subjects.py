@@ -85,9 +85,9 @@ def service_health(lenses: dict[str, Lens]) -> dict:
     return {"ok": True, "lenses": sorted(lenses)}
 
 
-def detect_api(docs: DataFrame, lenses: dict[str, Lens], ids: list[str] | None = None, rounded: bool = True) -> DataFrame:
-    """What the detection service answers: documents cut at API_CHARS, every lens asked for, best index first."""
-    cut = prepared(docs.withColumn("text", F.substring("text", 1, API_CHARS)))
+def detect_api(docs: DataFrame, lenses: dict[str, Lens], ids: list[str] | None = None, rounded: bool = True, chars: int | None = API_CHARS) -> DataFrame:
+    """What the detection service answers: documents cut at ``chars`` (None: whole), every lens asked for, best index first."""
+    cut = prepared(docs if chars is None else docs.withColumn("text", F.substring("text", 1, chars)))
     wanted = {k: v for k, v in lenses.items() if ids is None or k in ids}
     return grade_rows(detected(cut, wanted), wanted, rounded).orderBy("doc_id", F.desc("index"), "lens_ord")
 
