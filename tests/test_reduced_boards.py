@@ -83,3 +83,12 @@ def test_a_cut_is_published_whole_or_not_at_all(spark, tmp_path):
     assert spark.read.parquet(f"{first}/cut").count() == 3 and spark.read.json(f"{first}/board.json").count() == 3 and spark.read.text(f"{first}/board.md").count() == 2 + 9 + rows.count()
     again = board.publish(rows, folder, "2024-01-01")
     assert again != first and board.published(spark, folder)["2024-01-01"] == again
+
+
+def test_a_published_cut_is_compressed_and_in_order(spark, tmp_path):
+    rows = records(spark)
+    where = board.publish(rows, f"file:{tmp_path}/boards", "2024-01-01")
+    files = [*(tmp_path / "boards").glob("versions/*/board.*/part-*")]
+    assert files and all(f.name.endswith(".gz") for f in files)
+    read = [r[0] for f in sorted((tmp_path / "boards").glob("versions/*/board.md/part-*")) for r in spark.read.text(str(f)).collect()]
+    assert read == board.render(board.board(rows), rows).split("\n") and where.endswith(files[0].parent.parent.name)
