@@ -11,7 +11,6 @@ import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from lensmark.functions.automaton import Automaton, places
 from lensmark.functions.text import injection_flag, let, sanitize, span_start, strip_fences
 from lensmark.plans.lenses import Lens, few_shot, literal
-from lensmark.sources.answers import answered_once
+from lensmark.sources.answers import AT_ONCE, answered_once
 
 # A cue's confidence and its hit's rationale; the verdicts that a verifier may give, of which the second is the default.
 CUE_CONFIDENCE, CUE_RATIONALE = 0.55, "deterministic cue match: '"
@@ -182,15 +181,21 @@ def asked(df: DataFrame, prompt: str, transport: Transport) -> DataFrame:
 
 
 def _answered(df: DataFrame, prompt: str, ask: Callable[[list[str]], tuple[list[str | None], list[str | None]]]) -> DataFrame:
-    names = df.columns
+    """Only prompts go to Python and only answers come back, AT_ONCE at a time; a row's other columns, whole texts among them, stay where they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            answers, errors = ask(batch[prompt].tolist())
-            yield batch.assign(answer=answers, error=errors)[[*names, "answer", "error"]]
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInPandas(run, f"{kinds}, answer string, error string")
+            answers: list[str | None] = []
+            errors: list[str | None] = []
+            for at in range(0, len(batch), AT_ONCE):
+                told, failed = ask(batch.slice(at, AT_ONCE).to_pylist())
+                answers += told
+                errors += failed
+            yield pa.StructArray.from_arrays([pa.array(answers, pa.string()), pa.array(errors, pa.string())], ["answer", "error"])
+
+    # not deterministic, so that no filter on an answer asks a second time
+    told = F.arrow_udf(run, "struct<answer:string,error:string>").asNondeterministic()
+    return df.withColumn("prompt told", told(prompt)).withColumns({"answer": F.col("prompt told.answer"), "error": F.col("prompt told.error")}).drop("prompt told")
 
 
 #: What a model is told to answer. Fixed values in it: the names of the fields that answers are read by.

@@ -129,3 +129,16 @@ def test_preflight_of_the_local_model(spark):
     assert detect(docs, {lens.id: lens}, "auto", transports, preflight=up).count() == 1
     told = complete(docs, "text", "auto", transports, as_json=True, preflight=down).first()
     assert told["answer"] is None and "does not answer" in told["error"]
+
+
+def test_few_prompts_are_asked_at_once_and_each_once(spark, tmp_path):
+    def noting(asked):
+        with open(tmp_path / "log", "a") as f:
+            f.write(json.dumps(asked) + "\n")
+        return [p.upper() for p in asked]
+
+    df = spark.range(300, numPartitions=1).selectExpr("id", "concat('p', id) AS p", "repeat('long text ', 100) AS text")
+    got = complete(df, "p", "cloud", {"cloud": noting}).filter("answer <> 'P7'").select("id", "answer").collect()
+    assert sorted(map(tuple, got)) == [(i, f"P{i}") for i in range(300) if i != 7]
+    calls = [json.loads(x) for x in (tmp_path / "log").read_text().splitlines()]
+    assert max(map(len, calls)) <= 64 and sorted(sum(calls, [])) == sorted(f"p{i}" for i in range(300))
