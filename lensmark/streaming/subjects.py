@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lensmark.functions.text import let
 from lensmark.operators.grading import TREND
 
-SUMMARY = "subject string, lens_id string, max_index double, mean_index double, n_documents long, n_documents_with_signal long, trend string"
-#: What is kept of a subject under a lens: sums of all its documents, and of dated ones the date, place and index, as the halves of a trend depend on each.
-STATE = "n long, signal long, total double, best double, dates array<string>, ords array<long>, indices array<double>"
-
 
 def trend_of(indices: list[float]) -> str:
     """The second half's mean against the first's, of indices in order; the middle one belongs to the second."""
@@ -26,23 +19,23 @@ def trend_of(indices: list[float]) -> str:
     return "rising" if moved > TREND else "falling" if moved < -TREND else "flat"
 
 
-def _updated(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, signal, total, best, dates, ords, indices = state.get if state.exists else (0, 0, 0.0, None, [], [], [])
-    dated = list(zip(dates, ords, indices, strict=True))
-    for batch in batches:
-        n += len(batch)
-        signal += int(batch["signal"].sum())
-        total += float(batch["index"].sum())
-        best = max([float(batch["index"].max()), *([] if best is None else [best])])
-        own = batch[batch["date"].notna() & (batch["date"] != "")]
-        dated += zip(own["date"], own["ord"].astype(int), own["index"].astype(float), strict=True)
-    dated.sort(key=lambda x: x[:2])
-    state.update((n, signal, total, best, [x[0] for x in dated], [x[1] for x in dated], [x[2] for x in dated]))
-    yield pd.DataFrame([(*key, best, total / n, n, signal, trend_of([x[2] for x in dated]))], columns=[c.split()[0] for c in SUMMARY.split(", ")])
+def _trend(indices: Column) -> Column:
+    """As trend_of() of an array."""
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    half = F.floor(F.size(indices) / 2).cast("int")
+    moved = mean(F.slice(indices, half + 1, F.size(indices))) - mean(F.slice(indices, 1, half))
+    return F.when(F.size(indices) < 2, "insufficient-data").otherwise(let(moved, lambda m: F.when(m > TREND, "rising").when(m < -TREND, "falling").otherwise("flat")))
 
 
 def summaries(grades: DataFrame) -> DataFrame:
     """grades: a stream of subject, lens_id, index, markers_present, date, ord, as grade_documents() makes it of a stream of documents. In update mode, a row for each subject and lens that a batch
-    has news of: what subject_summary() says of all its documents so far. Dates sort by themselves, so a late document takes its place among the earlier ones."""
-    rows = grades.select("subject", "lens_id", "index", (F.size("markers_present") > 0).alias("signal"), F.col("date").cast("string").alias("date"), F.col("ord").cast("long").alias("ord"))
-    return rows.groupBy("subject", "lens_id").applyInPandasWithState(_updated, SUMMARY, STATE, "update", GroupStateTimeout.NoTimeout)
+    has news of: what subject_summary() says of all its documents so far. Dates sort by themselves, so a late document takes its place among the earlier ones.
+
+    Spark's own aggregates keep the state: sums of all of a subject's documents under a lens, and of dated ones the date, place and index, as the halves of a trend depend on each."""
+    date = F.col("date").cast("string")
+    signal = F.size("markers_present") > 0
+    dated = F.when(date.isNotNull() & (date != ""), F.struct(date.alias("date"), F.col("ord").cast("long").alias("ord"), F.col("index").cast("double").alias("index")))
+    sums = grades.groupBy("subject", "lens_id").agg(
+        F.max("index").alias("max_index"), F.avg("index").alias("mean_index"), F.count("*").alias("n_documents"), F.count_if(signal).alias("n_documents_with_signal"), F.array_sort(F.collect_list(dated)).alias("dated")
+    )
+    return sums.withColumn("trend", let(F.transform("dated", lambda d: d["index"]), _trend)).drop("dated")

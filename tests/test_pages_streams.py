@@ -75,3 +75,16 @@ def test_a_stream_of_late_documents_equals_the_batch(spark, tmp_path):
 
 def test_trends():
     assert [trend_of(x) for x in ([], [1.0], [0.0, 0.0, 9.0], [9.0, 0.0], [0.0, 20.0])] == ["insufficient-data", "insufficient-data", "flat", "falling", "rising"]
+
+
+def test_a_stream_is_summed_by_sparks_own_aggregates(spark, tmp_path):
+    schema = "subject string, lens_id string, index double, markers_present array<string>, date string, ord long"
+    (tmp_path / "in").mkdir()
+    rows = [("s", "l", x, [], "d", 1) for x in (20.0, 1.0, 9.0)]  # equal dates and places: the index decides, not which came first
+    for i, r in enumerate(rows):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(dict(zip(("subject", "lens_id", "index", "markers_present", "date", "ord"), r, strict=True))))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    told, seen = summaries(stream), []
+    assert "Pandas" not in told._jdf.queryExecution().analyzed().toString()
+    told.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, n: seen.extend(b.collect())).trigger(availableNow=True).start().awaitTermination()
+    assert tuple(seen[-1]) == ("s", "l", 20.0, 10.0, 3, 0, "rising")
