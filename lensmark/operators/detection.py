@@ -116,10 +116,16 @@ def with_cue_hits(docs: DataFrame, lenses: dict[str, Lens], name: str = "hits",
     return marked.withColumn(name, F.coalesce(F.transform(found, hit), F.array().cast(f"array<{HIT}>"))).drop(found)
 
 
+def _each_hit(rows: DataFrame, name: str) -> DataFrame:
+    """A row for each hit of the array ``name``. Of a plain explode Spark infers a filter on the array's size and carries it below all that made the array, a
+    page's text and its lower case too, which are then computed again for every cue; of an outer one it infers none."""
+    return rows.withColumn(name, F.explode_outer(name)).filter(F.col(name).isNotNull())
+
+
 def cue_hits(docs: DataFrame, lenses: dict[str, Lens], confidence: float = CUE_CONFIDENCE, also: tuple[str, ...] = ()) -> DataFrame:
     """docs: doc_id, text. One hit for each detection with a cue in the text, with the span as the text has it; also: columns of docs to keep."""
     columns = list(dict.fromkeys(["doc_id", "text", *also]))
-    hits = with_cue_hits(docs.select(*columns), lenses, "h", confidence).withColumn("h", F.explode("h"))
+    hits = _each_hit(with_cue_hits(docs.select(*columns), lenses, "h", confidence), "h")
     return hits.select("doc_id", *(F.col(f"h.{c}").alias(c) for c in HIT_COLUMNS[1:]), *also)
 
 
@@ -340,7 +346,7 @@ def detected(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", tr
 
 def detect(docs: DataFrame, lenses: dict[str, Lens], backend: str = "cues", transports: dict[str, Transport] | None = None, preflight: Callable[[], object] | None = None, kept: str | None = None) -> DataFrame:
     """A row a hit: doc_id and the columns of a hit."""
-    hits = detected(docs.select("doc_id", "text"), lenses, backend, transports, preflight, kept).select("doc_id", F.explode("hits").alias("h"))
+    hits = _each_hit(detected(docs.select("doc_id", "text"), lenses, backend, transports, preflight, kept), "hits").withColumnRenamed("hits", "h")
     return hits.select("doc_id", *(F.col(f"h.{c}").alias(c) for c in HIT_COLUMNS[1:]))
 
 

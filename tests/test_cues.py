@@ -7,9 +7,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lensmark.functions import automaton
 from lensmark.functions.automaton import Automaton, places
+from lensmark.functions.text import html_to_text
 from lensmark.operators import detection
 from lensmark.operators.detection import complete, cue_hits, detect, prompts, require_model
 from lensmark.operators.subjects import detect_api, grade_documents
@@ -142,3 +144,12 @@ def test_few_prompts_are_asked_at_once_and_each_once(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(i, f"P{i}") for i in range(300) if i != 7]
     calls = [json.loads(x) for x in (tmp_path / "log").read_text().splitlines()]
     assert max(map(len, calls)) <= 64 and sorted(sum(calls, [])) == sorted(f"p{i}" for i in range(300))
+
+
+def test_texts_are_not_made_again_for_each_cue(spark):
+    pages = spark.range(3).selectExpr("id AS doc_id", "concat('<p>mit license ', id, '</p>') AS html")
+    texts = pages.select("doc_id", html_to_text(F.col("html")).alias("text")).distinct()
+    lenses = text_lenses(load_lenses())
+    for hits in (cue_hits(texts, lenses), detect(texts, lenses)):
+        assert hits._jdf.queryExecution().optimizedPlan().toString().count("noscript") == 1
+        assert {r["doc_id"] for r in hits.collect()} == {0, 1, 2}
