@@ -73,7 +73,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    j = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    # orders meet customers first, so that lines, many times as many, are not shuffled for it
+    o = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
+    j = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     assurance = F.when(F.col("l_returnflag") == "R", "FACT").when(F.col("l_returnflag") == "A", "ATTRIBUTED").otherwise("RUMOR")
     receipts = F.when(F.col("l_linenumber") == 7, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("order/"), "l_orderkey")))
     lens = F.when(F.col("l_linenumber") == 6, F.lit("no_such_lens")).otherwise(F.lit("license_register"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lensmark.functions.text import html_to_text, iso_day, strip
+from lensmark.sources.scratch import written
 
 DOCUMENT = "doc_id string, text string, subject string, url string, date string, ord long"
 RECORD = "institution string, lens string, marker string, move string, actor string, assurance string, severity double, self_correction double, span string, receipts array<string>, note string"
@@ -50,8 +51,8 @@ def _offset(rows: DataFrame, name: str, within: Column, count: Column) -> DataFr
     """rows with ``name``: their number within their block of a file, from 0, and what the blocks before hold together."""
     blocks = rows.groupBy("file", "block").agg(count.alias("c"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    # No hint: blocks grow with the input, and adaptive execution broadcasts them where their measured size allows.
+    blocks = written(blocks.select("file", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before")), "blocks")
+    # No hint: blocks grow with the input. As a table their size is known, and where it allows they are broadcast and no line is shuffled.
     return rows.withColumn("within", within).join(blocks, ["file", "block"]).withColumn(name, F.col("before") + F.col("within")).drop("before", "within")
 
 
@@ -62,7 +63,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"))
     first = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("c"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    starts = first.select("file", "block", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    starts = written(first.select("file", "block", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("start")), "blocks")  # see _offset()
     return rows.join(starts, ["file", "block"]).select("file", "block", "line", (F.col("id") + F.col("start")).alias("n"))
 
 

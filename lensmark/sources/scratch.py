@@ -56,9 +56,9 @@ def scratch_tables(spark: SparkSession) -> Iterator[list[str]]:
 
 
 def written_text(df: DataFrame, tag: str) -> str:
-    """The folder of text files of a column of lines in the shared folder."""
+    """The folder of compressed text files of a column of lines in the shared folder."""
     path = note(f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")
-    df.write.text(path)
+    df.write.option("compression", "gzip").text(path)
     return path
 
 

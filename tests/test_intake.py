@@ -6,6 +6,7 @@ from lensmark import cli
 from lensmark.operators import subjects
 from lensmark.plans.lenses import load_lenses
 from lensmark.sources import intake
+from lensmark.sources.scratch import written_text
 from lensmark.streaming.events import stream_jsonl, windowed_hits
 
 
@@ -128,3 +129,18 @@ def test_pools_pairs_and_odd_graphs(spark, tmp_path):
     rows = spark.createDataFrame([(1, json.dumps({"nodes": [{"label": "N", "sources": ["http://n"]}], "people": [{"id": "p", "sources": None}, {"id": "q", "sources": ["http://1", "http://2"]}]})), (2, "not json"), (3, None)], "file int, value string")
     found = intake.subject_sources(rows).orderBy("pool", "place").collect()
     assert [(r["pool"], r["id"], r["name"], r["place"], r["url"]) for r in found] == [("nodes", None, "N", 0, "http://n"), ("people", "q", None, 0, "http://1"), ("people", "q", None, 1, "http://2")]
+
+
+def test_lines_are_numbered_without_a_shuffle_and_kept_compressed(spark):
+    lines = spark.range(4000, numPartitions=3).selectExpr("concat(id, repeat(sha2(string(id), 256), 3)) AS value")
+    path = written_text(lines, "lines")
+    assert all(f.endswith(".gz") for f in spark.read.text(path).inputFiles())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        for rows in (intake.numbered_lines(spark, path), intake.from_x_export(spark, path)):
+            assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        got = intake.numbered_lines(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r["n"] for r in got) == list(range(4000)) and all(r["line"].startswith(str(r["n"])) for r in got)
